@@ -5,7 +5,7 @@ pairs (sketch of the first, sketch of the second), so tables**2 tables cost 2 *
 square root of computing each table's own.  Equal sets collapse first.  In each bucket every set is compared
 with the smallest document only (a grouped minimum and a join: no pairs within a group); pairs whose minhashes agree
 often enough are confirmed on full sets.  After components are known, buckets that still hold several components
-are compared across components, so links that miss their bucket's smallest document are found as well.
+are compared across components, so links that miss their bucket's smallest document are found as well; shingles that no other set there holds rule most of these pairs out.
 
 A pair at the similarity threshold s shares a table with probability (1 - (1 - s**rows)**tables)**2: 0.99993 at
 s = 0.85 with 8 tables of 2, 0.99993 at s = 0.8 with 10.  The agreement filter lets 0.999999 of such pairs through.
@@ -154,14 +154,18 @@ class NearDuplicates:
         fits = (100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")) & (agreement(F.col("sa"), F.col("sb")) >= self.least)
         return met.where(fits).select("a", "b", "na", "nb")
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b, na, nb) with 100 * intersection >= percent * union on full sets."""
-        need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    def members(self, need: DataFrame, name: str) -> DataFrame:
+        """(id, s0, members) of the sets `need` (id) names."""
         texts = self.docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(need, "id", "left_semi")
         full = full_sets(texts, self.size)
         if self.repeated:
             full = full.join(self.sets.select("id", "s0"), ["id", "s0"], "left_semi").dropDuplicates(["id"])
-        full = written(full, "members", large=True)
+        return written(full, name, large=True)
+
+    def confirmed(self, pairs: DataFrame, full: DataFrame | None = None) -> DataFrame:
+        """(a, b, linked) of pairs (a, b, na, nb): linked if 100 * intersection >= percent * union on full sets."""
+        if full is None:
+            full = self.members(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "members")
         met = pairs.join(full.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a").join(full.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
         both = F.size(F.array_intersect("ma", "mb")).cast("long")
         return met.select("a", "b", (100 * both >= self.percent * (F.col("na") + F.col("nb") - both)).alias("linked"))
@@ -172,25 +176,43 @@ class NearDuplicates:
         crowded = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "low")
         star = keyed.join(crowded, "key").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"), "key")
         star = written(star, "buckets", large=True)
-        judged = written(self.confirmed(written(self.alike(star.select("a", "b").distinct()), "pairs")), "judged")
+        judged = written(self.confirmed(written(self.alike(star.select("a", "b").distinct()), "pairs")), "judged", large=True)
         found = judged.where("linked").select("a", "b")
         labels = written(components(found), "labels")
-        # buckets that hold several components: compare across them what has not been compared
-        label = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-        member = star.select("key", F.col("a").alias("id")).union(star.select("key", F.col("b").alias("id")).distinct())
-        member = member.join(label("id"), "id", "left").select("key", "id", F.coalesce("cid", "id").alias("c"))
-        mixed = member.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count_distinct("id").alias("n")).where("low < high and n > 2").select("key")
-        member = member.join(mixed, "key").join(self.sets.select("id", "n_shingles"), "id")
-        one, two = member.alias("x"), member.alias("y")
-        close = (F.col("x.id") > F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & (100 * F.least("x.n_shingles", "y.n_shingles") >= self.percent * F.greatest("x.n_shingles", "y.n_shingles"))
-        more = one.join(two, (F.col("x.key") == F.col("y.key")) & close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-        more = written(self.alike(more.join(judged.select("a", "b"), ["a", "b"], "left_anti")), "across")
+        more, full = self.across(star, judged, labels)
         out = found
         if more.take(1):
-            out = written(out.union(self.confirmed(more).where("linked").select("a", "b")), "links")
+            out = written(out.union(self.confirmed(more, full).where("linked").select("a", "b")), "links")
         discard(star)
         return out
 
+    def across(self, star: DataFrame, judged: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs of different components that share a bucket and may still link, and the full sets of their buckets.
+
+        A shingle that only one set of all these buckets holds is in no intersection.  A set's other shingles bound
+        each of its intersections, and two sets of sizes n and m need percent * (n + m) / (100 + percent) common ones: an exact
+        test that turns away edited copies by their own edits, inside the join, before any pair exists.
+        """
+        label = labels.select(F.col("node").alias("id"), F.col("component").alias("c"))
+        member = star.select("key", F.col("a").alias("id")).union(star.select("key", F.col("b").alias("id")).distinct())
+        member = member.join(label, "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
+        mixed = member.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("id").alias("n")).where("low < high and n > 2").select("key")
+        member = written(member.join(mixed, "key"), "mixed")
+        full = self.members(member.select("id").distinct(), "mixed-members")
+        alone = full.select("id", F.explode("members").alias("g")).groupBy("g").agg(F.count("id").alias("n"), F.min("id").alias("id")).where("n = 1")
+        alone = alone.groupBy("id").agg(F.count("g").alias("alone"))
+        known = self.sets.join(full.select("id"), "id", "left_semi").join(alone, "id", "left")
+        known = written(known.select("id", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("shared"), "sig"), "known")
+        # a set that fits no set of the least possible size fits none
+        fits = known.where(F.col("shared") * (100 + self.percent) * 100 >= self.percent * (100 + self.percent) * F.col("n"))
+        member = member.join(fits, "id")
+        one, two = member.alias("x"), member.alias("y")
+        close = (F.col("x.id") > F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & (100 * F.least("x.n", "y.n") >= self.percent * F.greatest("x.n", "y.n"))
+        close &= (100 + self.percent) * F.least("x.shared", "y.shared") >= self.percent * (F.col("x.n") + F.col("y.n"))
+        close &= agreement(F.col("x.sig"), F.col("y.sig")) >= self.least
+        more = one.join(two, (F.col("x.key") == F.col("y.key")) & close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
+        return written(more.join(judged.select("a", "b"), ["a", "b"], "left_anti"), "across"), full
+
     def labelled(self) -> DataFrame:
         """(doc_id, n_shingles, component_id, kept) of every row of docs.
 
