@@ -81,7 +81,10 @@ def read_export(path: Path | str, fmt: str, integers: tuple[str, ...] = ()) -> l
 def verify_export(path: Path | str, integers: tuple[str, ...] = ()) -> dict[str, Any]:
     """File hash, row count and evidence hash against the manifest; CSV has no nested fields, so its evidence is not comparable."""
     manifest = json.loads(Path(f"{path}.manifest.json").read_text(encoding="utf-8"))
-    rows = read_export(path, manifest["format"], integers)
+    try:
+        rows = read_export(path, manifest["format"], integers)
+    except ValueError:
+        return {"ok": False, "readable": False}
     checks = {"sha256": file_sha256(path) == manifest["sha256"], "rows": len(rows) == manifest["rows"]}
     if manifest["format"] != "csv":
         checks["evidence"] = evidence_hash(rows) == manifest["evidence_sha256"]
