@@ -12,6 +12,7 @@ Template: ``### role: text</turn>`` and a newline a turn.  Inside texts ``\\`` b
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -110,6 +111,10 @@ def role_name(role: Column) -> Column:
     return out
 
 
+def turn_of(role: str, text: str) -> Callable[[Column], Column]:
+    return lambda t: F.struct(role_name(t[role]).alias("role"), F.coalesce(t[text], F.lit("")).alias("text"))
+
+
 def canonical_json(records: DataFrame, column: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """`records` with layout, fingerprint and turns (role, text) of a JSON string column.
 
@@ -126,7 +131,7 @@ def canonical_json(records: DataFrame, column: str, layouts: tuple[Layout, ...]
         same = print_of == fingerprint(F.lit(shape_of(x)))
         if x.each:
             where, role, text = x.each
-            got = F.transform(get(where, f"array<struct<`{role}`:string,`{text}`:string>>"), lambda t, r=role, c=text: F.struct(role_name(t[r]).alias("role"), F.coalesce(t[c], F.lit("")).alias("text")))
+            got = F.transform(get(where, f"array<struct<`{role}`:string,`{text}`:string>>"), turn_of(role, text))
         else:
             made = [F.struct(F.lit(r).alias("role"), F.coalesce(get(p, "string"), F.lit("")).alias("text")) for r, p in x.turns]
             got = F.filter(F.array(*made), lambda t: ~((t["role"] == "user_more") & (t["text"] == "")))

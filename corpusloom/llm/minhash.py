@@ -139,14 +139,14 @@ class NearDuplicates:
 
     def keyed(self) -> DataFrame:
         """(key, id): tables ** 2 rows for each distinct set."""
-        t, r = self.tables, self.rows
-
-        def half(at: int) -> Column:
-            return F.array(*(F.xxhash64(F.lit(at + k), *(F.col("sig")[at + k * r + i] for i in range(r))) for k in range(t)))
-
-        first = self.sets.select("id", half(t * r).alias("second"), F.explode(half(0)).alias("x"))
+        first = self.sets.select("id", self.half(1).alias("second"), F.explode(self.half(0)).alias("x"))
         return first.select("id", "x", F.explode("second").alias("y")).select(F.xxhash64("x", "y").alias("key"), "id")
 
+    def half(self, side: int) -> Column:
+        """The sketches of one collection: array<long>, `tables` long."""
+        at, r = side * self.tables * self.rows, self.rows
+        return F.array(*(F.xxhash64(F.lit(at + k), *(F.col("sig")[at + k * r + i] for i in range(r))) for k in range(self.tables)))
+
     def alike(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose set sizes and minhashes allow the similarity."""
         side = lambda c: self.sets.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
@@ -156,7 +156,8 @@ class NearDuplicates:
 
     def members(self, need: DataFrame, name: str) -> DataFrame:
         """(id, s0, members) of the sets `need` (id) names."""
-        texts = self.docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(need, "id", "left_semi")
+        texts = self.docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+        texts = texts.join(need.hint("merge"), "id", "left_semi")  # ids grow with the corpus: never a broadcast
         full = full_sets(texts, self.size)
         if self.repeated:
             full = full.join(self.sets.select("id", "s0"), ["id", "s0"], "left_semi").dropDuplicates(["id"])
@@ -202,7 +203,7 @@ class NearDuplicates:
         alone = full.select("id", F.explode("members").alias("g")).groupBy("g").agg(F.count("id").alias("n"), F.min("id").alias("id")).where("n = 1")
         alone = alone.groupBy("id").agg(F.count("g").alias("alone"))
         known = self.sets.join(full.select("id"), "id", "left_semi").join(alone, "id", "left")
-        known = written(known.select("id", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("shared"), "sig"), "known")
+        known = written(known.select("id", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("shared"), "sig", self.half(0).alias("first"), self.half(1).alias("second")), "known")
         # a set that fits no set of the least possible size fits none
         fits = known.where(F.col("shared") * (100 + self.percent) * 100 >= self.percent * (100 + self.percent) * F.col("n"))
         member = member.join(fits, "id")
@@ -210,6 +211,9 @@ class NearDuplicates:
         close = (F.col("x.id") > F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & (100 * F.least("x.n", "y.n") >= self.percent * F.greatest("x.n", "y.n"))
         close &= (100 + self.percent) * F.least("x.shared", "y.shared") >= self.percent * (F.col("x.n") + F.col("y.n"))
         close &= agreement(F.col("x.sig"), F.col("y.sig")) >= self.least
+        # of the buckets that both are in, the first gives the pair
+        same = lambda side: F.get(F.filter(F.zip_with(f"x.{side}", f"y.{side}", lambda a, b: F.when(a == b, a)), lambda v: v.isNotNull()), F.lit(0))
+        close &= F.col("x.key") == F.xxhash64(same("first"), same("second"))
         more = one.join(two, (F.col("x.key") == F.col("y.key")) & close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
         return written(more.join(judged.select("a", "b"), ["a", "b"], "left_anti"), "across"), full
 
