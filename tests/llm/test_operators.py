@@ -101,7 +101,7 @@ def test_packing(docs, none):
             at += n
         assert at <= 512
     more_than_half = sum(r["length"] > 256 for r in rows)  # no two of these share a sequence
-    assert len(by_bin) <= max(-(-total // 512), more_than_half) + 1
+    assert len(by_bin) <= 1.15 * max(-(-total // 512), more_than_half)  # many pieces lie just above a third or a half of 512
     assert packing.pack_documents(none, WORD).count() == 0
 
 
