@@ -308,8 +308,8 @@ def _sources() -> dict[str, Pair]:
         return alignment.align_staged(segments, tokens.where("token_id > 0")).select("segment_id", "status", "confidence", "token_id")
 
     out["align_staged"] = staged, (
-        f"{words}, t AS (SELECT * FROM tokens WHERE token_id > 0), k AS (SELECT collection_no, unit_no, surface, count(*) AS n, min(token_id) AS one FROM t GROUP BY ALL), "
-        "j AS (SELECT x.id AS segment_id, x.token_no, t.token_id AS hit, coalesce(k.n, 0) AS n, k.one FROM x LEFT JOIN t USING (collection_no, unit_no, token_no) LEFT JOIN k ON k.collection_no = x.collection_no AND k.unit_no = x.unit_no AND k.surface = x.surface) "
+        f"{words}, own AS (SELECT * FROM tokens WHERE token_id > 0), k AS (SELECT collection_no, unit_no, surface, count(*) AS n, min(token_id) AS one FROM own GROUP BY ALL), "
+        "j AS (SELECT x.id AS segment_id, x.token_no, t.token_id AS hit, coalesce(k.n, 0) AS n, k.one FROM x LEFT JOIN own AS t USING (collection_no, unit_no, token_no) LEFT JOIN k ON k.collection_no = x.collection_no AND k.unit_no = x.unit_no AND k.surface = x.surface) "
         "SELECT segment_id, CASE WHEN hit IS NOT NULL AND token_no % 5 <> 0 THEN 'aligned' WHEN hit IS NOT NULL THEN CASE WHEN token_no % 2 = 0 THEN 'partial' ELSE 'aligned' END WHEN n = 1 THEN 'partial' WHEN n > 1 THEN 'ambiguous' ELSE 'unaligned' END AS status, "
         "CASE WHEN hit IS NOT NULL AND token_no % 5 <> 0 THEN 1.0::DOUBLE WHEN hit IS NOT NULL THEN 0.9::DOUBLE WHEN n = 1 THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END AS confidence, CASE WHEN hit IS NOT NULL THEN hit WHEN n = 1 THEN one END AS token_id FROM j"
     )
