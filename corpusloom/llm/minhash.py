@@ -14,6 +14,8 @@ s = 0.85 with 8 tables of 2, 0.99993 at s = 0.8 with 10.  The agreement filter l
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -60,9 +62,9 @@ def sketch(hashed: np.ndarray, upto: np.ndarray, n: int) -> np.ndarray:
     if not full.any():
         return out
     at = upto[:-1][full]
-    add, times = seeds(n)
+    flip, times = seeds(n)
     for k in range(n):
-        out[full, k] = np.minimum.reduceat((((hashed ^ add[k]) * times[k]) >> tx.U64(32)).astype(np.uint32), at).view(np.int32)
+        out[full, k] = np.minimum.reduceat((((hashed ^ flip[k]) * times[k]) >> tx.U64(32)).astype(np.uint32), at).view(np.int32)
     return out
 
 
@@ -76,6 +78,20 @@ def fingerprint(hashed: np.ndarray, upto: np.ndarray, salt: int) -> np.ndarray:
     return tx.signed(total[upto[1:]] - total[upto[:-1]])
 
 
+#: Words of 64 parity bits of an odd sketch, and its salt.
+ODD_WORDS, ODD_SALT = 16, 0x0DD5EED
+
+
+def odd_sketch(hashed: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    """The parity of each set's members in each of 64 * ODD_WORDS cells: two sets differ in no fewer members than their sketches in bits."""
+    sets = len(upto) - 1
+    out = np.zeros(sets * ODD_WORDS, tx.U64)
+    cell = tx.mix(hashed ^ tx.U64(ODD_SALT))
+    word = np.repeat(np.arange(sets), np.diff(upto)) * ODD_WORDS + (cell % tx.U64(ODD_WORDS)).astype(np.int64)
+    np.bitwise_xor.at(out, word, tx.U64(1) << (cell >> tx.U64(58)))
+    return out
+
+
 def signatures(docs: DataFrame, size: int, n: int) -> DataFrame:
     """(doc_id, n_shingles, s0, s1, sig) of every row; s0, s1 fingerprint the set by sums over its members."""
 
@@ -92,7 +108,7 @@ def signatures(docs: DataFrame, size: int, n: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(id, s0, members) of every row: its fingerprint and its whole shingle set."""
+    """(id, s0, members, odd) of every row: its fingerprint, its whole shingle set and the odd sketch of that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,9 +116,10 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
             for i, j, d, o in tx.blocks(data, offs):
                 hashed, upto = shingles(d, o, size)
                 members = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(tx.signed(hashed)))
-                yield pa.record_batch([batch.column(0)[i:j], pa.array(fingerprint(hashed, upto, SALTS[0])), members], names=["id", "s0", "members"])
+                odd = pa.FixedSizeListArray.from_arrays(pa.array(tx.signed(odd_sketch(hashed, upto))), ODD_WORDS).cast(pa.list_(pa.int64()))
+                yield pa.record_batch([batch.column(0)[i:j], pa.array(fingerprint(hashed, upto, SALTS[0])), members, odd], names=["id", "s0", "members", "odd"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, s0 long, members array<long>")
+    return docs.select("id", "text").mapInArrow(run, "id long, s0 long, members array<long>, odd array<long>")
 
 
 def agreement(a: Column, b: Column) -> Column:
@@ -155,7 +172,7 @@ class NearDuplicates:
         return met.where(fits).select("a", "b", "na", "nb")
 
     def members(self, need: DataFrame, name: str) -> DataFrame:
-        """(id, s0, members) of the sets `need` (id) names."""
+        """(id, s0, members, odd) of the sets `need` (id) names."""
         texts = self.docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
         texts = texts.join(need.hint("merge"), "id", "left_semi")  # ids grow with the corpus: never a broadcast
         full = full_sets(texts, self.size)
@@ -192,7 +209,8 @@ class NearDuplicates:
 
         A shingle that only one set of all these buckets holds is in no intersection.  A set's other shingles bound
         each of its intersections, and two sets of sizes n and m need percent * (n + m) / (100 + percent) common ones: an exact
-        test that turns away edited copies by their own edits, inside the join, before any pair exists.
+        test that turns away edited copies by their own edits, inside the join, before any pair exists.  So does a second one:
+        linked sets differ in (100 - percent) * (n + m) / (100 + percent) members at most, and so do the bits of their odd sketches.
         """
         label = labels.select(F.col("node").alias("id"), F.col("component").alias("c"))
         member = star.select("key", F.col("a").alias("id")).union(star.select("key", F.col("b").alias("id")).distinct())
@@ -202,8 +220,8 @@ class NearDuplicates:
         full = self.members(member.select("id").distinct(), "mixed-members")
         alone = full.select("id", F.explode("members").alias("g")).groupBy("g").agg(F.count("id").alias("n"), F.min("id").alias("id")).where("n = 1")
         alone = alone.groupBy("id").agg(F.count("g").alias("alone"))
-        known = self.sets.join(full.select("id"), "id", "left_semi").join(alone, "id", "left")
-        known = written(known.select("id", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("shared"), "sig", self.half(0).alias("first"), self.half(1).alias("second")), "known")
+        known = self.sets.join(full.select("id", "odd"), "id").join(alone, "id", "left")
+        known = written(known.select("id", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("shared"), "sig", "odd", self.half(0).alias("first"), self.half(1).alias("second")), "known")
         # a set that fits no set of the least possible size fits none
         fits = known.where(F.col("shared") * (100 + self.percent) * 100 >= self.percent * (100 + self.percent) * F.col("n"))
         member = member.join(fits, "id")
@@ -214,6 +232,8 @@ class NearDuplicates:
         # of the buckets that both are in, the first gives the pair
         same = lambda side: F.get(F.filter(F.zip_with(f"x.{side}", f"y.{side}", lambda a, b: F.when(a == b, a)), lambda v: v.isNotNull()), F.lit(0))
         close &= F.col("x.key") == F.xxhash64(same("first"), same("second"))
+        apart = reduce(add, (F.bit_count(F.col("x.odd")[k].bitwiseXOR(F.col("y.odd")[k])) for k in range(ODD_WORDS)))
+        close &= (100 + self.percent) * apart <= (100 - self.percent) * (F.col("x.n") + F.col("y.n"))
         more = one.join(two, (F.col("x.key") == F.col("y.key")) & close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
         return written(more.join(judged.select("a", "b"), ["a", "b"], "left_anti"), "across"), full
 

@@ -148,6 +148,18 @@ def test_near_duplicates(docs, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_odd_sketches_never_differ_more_than_their_sets():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 40, 150, 3000):
+        base = rng.integers(0, 1 << 63, n + 60, dtype=np.uint64)
+        sets = [np.unique(base[k : k + n]) for k in (0, 0, 1, 12, 60)]
+        sketches = minhash.odd_sketch(np.concatenate(sets), np.cumsum([0, *map(len, sets)])).reshape(len(sets), -1)
+        for a, x in zip(sets, sketches, strict=True):
+            for b, y in zip(sets, sketches, strict=True):
+                bits = int(np.bitwise_count(x ^ y).sum())
+                assert bits <= len(np.setxor1d(a, b)) and bits % 2 == len(np.setxor1d(a, b)) % 2
+
+
 def test_repeated_doc_ids(spark):
     t = " ".join(f"w{i}" for i in range(80))
     df = spark.createDataFrame([(1, t), (1, t), (2, t), (2, "x y z"), (None, t), (3, None)], "doc_id long, text string")
