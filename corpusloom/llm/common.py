@@ -76,18 +76,18 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 64) ->
     """(node, component) of every node of `edges` (a, b): the smallest node reachable.
 
     Alternates large-star and small-star steps; every step is a grouped minimum and a join, so a hub with
-    millions of links is pre-aggregated and then split by the skew join.  Each round is a written table.
+    millions of links is pre-aggregated and then split by the skew join.  Each round is a written table.  It ends when every
+    node has one edge to a node that has none to a smaller one, which one grouped count over the nodes shows.
     """
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
-    before = None
     for _ in range(rounds):
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if seen == before or not seen[0]:
+        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").agg(F.count("*")).first()[0] == 0:
             break
-        before = seen
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # one row for each edge at most, so repeats may wait for the end of the round
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         step = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b")

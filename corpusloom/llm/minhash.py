@@ -181,28 +181,30 @@ class NearDuplicates:
         return written(full, name, large=True)
 
     def confirmed(self, pairs: DataFrame, full: DataFrame | None = None) -> DataFrame:
-        """(a, b, linked) of pairs (a, b, na, nb): linked if 100 * intersection >= percent * union on full sets."""
+        """Pairs (a, b, na, nb, ...) and linked: whether 100 * intersection >= percent * union on full sets."""
         if full is None:
             full = self.members(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "members")
         met = pairs.join(full.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a").join(full.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
         both = F.size(F.array_intersect("ma", "mb")).cast("long")
-        return met.select("a", "b", (100 * both >= self.percent * (F.col("na") + F.col("nb") - both)).alias("linked"))
+        return met.select(*pairs.columns, (100 * both >= self.percent * (F.col("na") + F.col("nb") - both)).alias("linked"))
 
-    def links(self) -> DataFrame:
-        """(a, b) links that connect all components."""
+    def linked(self) -> tuple[DataFrame, DataFrame | None]:
+        """(node, component) after the first phase, and (node, component) of those components that links across them merge, if any.
+
+        Components of the second phase are taken of the first's as nodes, so they cost the links across alone.
+        """
         keyed = self.keyed()
         crowded = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "low")
         star = keyed.join(crowded, "key").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"), "key")
         star = written(star, "buckets", large=True)
-        judged = written(self.confirmed(written(self.alike(star.select("a", "b").distinct()), "pairs")), "judged", large=True)
-        found = judged.where("linked").select("a", "b")
-        labels = written(components(found), "labels")
+        judged = written(self.confirmed(written(self.alike(star.select("a", "b").distinct()), "pairs")).select("a", "b", "linked"), "judged", large=True)
+        labels = written(components(judged.where("linked").select("a", "b")), "labels")
         more, full = self.across(star, judged, labels)
-        out = found
+        merged = None
         if more.take(1):
-            out = written(out.union(self.confirmed(more, full).where("linked").select("a", "b")), "links")
+            merged = components(self.confirmed(more, full).where("linked").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         discard(star)
-        return out
+        return labels, merged
 
     def across(self, star: DataFrame, judged: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Pairs of different components that share a bucket and may still link, and the full sets of their buckets.
@@ -228,13 +230,14 @@ class NearDuplicates:
         one, two = member.alias("x"), member.alias("y")
         close = (F.col("x.id") > F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & (100 * F.least("x.n", "y.n") >= self.percent * F.greatest("x.n", "y.n"))
         close &= (100 + self.percent) * F.least("x.shared", "y.shared") >= self.percent * (F.col("x.n") + F.col("y.n"))
+        # the cheap test of bits goes before those that walk arrays
+        apart = reduce(add, (F.bit_count(F.col("x.odd")[k].bitwiseXOR(F.col("y.odd")[k])) for k in range(ODD_WORDS)))
+        close &= (100 + self.percent) * apart <= (100 - self.percent) * (F.col("x.n") + F.col("y.n"))
         close &= agreement(F.col("x.sig"), F.col("y.sig")) >= self.least
         # of the buckets that both are in, the first gives the pair
         same = lambda side: F.get(F.filter(F.zip_with(f"x.{side}", f"y.{side}", lambda a, b: F.when(a == b, a)), lambda v: v.isNotNull()), F.lit(0))
         close &= F.col("x.key") == F.xxhash64(same("first"), same("second"))
-        apart = reduce(add, (F.bit_count(F.col("x.odd")[k].bitwiseXOR(F.col("y.odd")[k])) for k in range(ODD_WORDS)))
-        close &= (100 + self.percent) * apart <= (100 - self.percent) * (F.col("x.n") + F.col("y.n"))
-        more = one.join(two, (F.col("x.key") == F.col("y.key")) & close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
+        more = one.join(two, (F.col("x.key") == F.col("y.key")) & close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb")).distinct()
         return written(more.join(judged.select("a", "b"), ["a", "b"], "left_anti"), "across"), full
 
     def labelled(self) -> DataFrame:
@@ -244,8 +247,10 @@ class NearDuplicates:
         `kept` marks that document.  Of rows that share a doc_id, the one with the smallest set takes part in linking; the
         others get the component of an equal set, or their own doc_id.  Null doc_ids link with nothing.
         """
-        found = components(self.links())
-        named = self.sets.join(found.withColumnRenamed("node", "id"), "id", "left").select("s0", "s1", F.col("n_shingles").alias("_n"), F.coalesce("component", "id").alias("component_id"))
+        first, merged = self.linked()
+        named = self.sets.join(first.withColumnRenamed("node", "id"), "id", "left").select("s0", "s1", F.col("n_shingles").alias("_n"), F.coalesce("component", "id").alias("component_id"))
+        if merged is not None:
+            named = named.join(merged.withColumnRenamed("node", "component_id"), "component_id", "left").withColumn("component_id", F.coalesce("component", "component_id")).drop("component")
         rows = self.signed.select("doc_id", "n_shingles", "s0", "s1")
         same = (rows["s0"] == named["s0"]) & (rows["s1"] == named["s1"]) & (rows["n_shingles"] == named["_n"]) & rows["doc_id"].isNotNull()
         out = rows.join(named, same, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
