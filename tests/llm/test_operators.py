@@ -260,3 +260,20 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 101), (102, 101), (7, 7)]
     got = dict(common.components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {i: 0 for i in range(21)} | {100: 100, 101: 100, 102: 100}
+
+
+def vector_links(spark, x):
+    """(n_links, component_id) of each row by near_vectors, and by brute force."""
+    common.ship(spark)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    u = hnsw.unit(x)
+    link = (u @ u.T >= 0.9) & ~np.eye(len(u), dtype=bool)
+    root = hnsw.forest(*np.nonzero(link), len(u))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in hnsw.near_vectors(df, 0.9).collect()}
+    return [got[i] for i in range(len(x))], list(zip(link.sum(1).tolist(), root.tolist(), strict=True))
+
+
+def test_vector_links_of_nodes_that_no_walk_reaches(spark):
+    rng = np.random.default_rng(5)
+    got, want = vector_links(spark, rng.normal(size=2) + rng.normal(size=(3000, 2)) * 1e-5)
+    assert got == want
