@@ -277,3 +277,32 @@ def test_vector_links_of_nodes_that_no_walk_reaches(spark):
     rng = np.random.default_rng(5)
     got, want = vector_links(spark, rng.normal(size=2) + rng.normal(size=(3000, 2)) * 1e-5)
     assert got == want
+
+
+def test_small_groups_beside_a_large_one(spark):
+    rng = np.random.default_rng(6)
+    hot = rng.normal(size=64) + rng.normal(size=(1500, 64)) * 1e-3
+    pairs = rng.normal(size=(1500, 64)) * 0.45 + rng.normal(size=64)
+    noise = rng.normal(size=(1500, 64))
+    noise *= 0.44 * np.linalg.norm(pairs, axis=1, keepdims=True) / np.linalg.norm(noise, axis=1, keepdims=True)
+    got, want = vector_links(spark, np.concatenate([hot, pairs, pairs + noise]))
+    assert got == want
+
+
+def test_walked_graphs_miss_no_links(monkeypatch):
+    monkeypatch.setattr(hnsw, "WIDE", 16)  # so that a small graph is walked
+    rng = np.random.default_rng(6)
+    flat = rng.normal(size=2) + rng.normal(size=(3000, 2)) * 1e-5
+    hot = rng.normal(size=64) + rng.normal(size=(1500, 64)) * 1e-3
+    pairs = rng.normal(size=(1500, 64)) * 0.45 + rng.normal(size=64)
+    noise = rng.normal(size=(1500, 64))
+    noise *= 0.44 * np.linalg.norm(pairs, axis=1, keepdims=True) / np.linalg.norm(noise, axis=1, keepdims=True)
+    for x in (flat, np.concatenate([hot, pairs, pairs + noise])):
+        u, part = hnsw.unit(x), np.arange(0, len(x), 6)
+        graph = hnsw.Graph(u[part], part)
+        own = np.full(len(u), -1)
+        own[part] = np.arange(len(part))
+        found = list(hnsw.linked(graph, u, np.arange(len(u)), own, 0.9, hnsw.shard_beam(graph, part, 0.9)))
+        n = sum(np.bincount(r, minlength=len(u)) for r, _ in found)
+        assert (n == (u @ u[part].T >= 0.9).sum(1)).all()
+    assert hnsw.shard_beam(graph, part, 0.9) == hnsw.BEAM
