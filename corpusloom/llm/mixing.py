@@ -9,13 +9,13 @@ source that holds a third of all rows like any other.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The rate above which a Poisson draw is refused: means this large need whole-number repetition first.
-MAX_RATE = 32.0
+#: Rates up to this sum from 0 copies; beyond it exp(-rate) nears underflow, and sums start 12 deviations below the rate.
+FROM_ZERO = 700.0
+#: Copies that one array holds.
+AT_ONCE = 1 << 16
 
 
 def uniform(seed: int, *columns: str) -> Column:
@@ -24,17 +24,23 @@ def uniform(seed: int, *columns: str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def poisson_count(rate: Column, u: Column, most: float) -> Column:
-    """The smallest k whose cumulative Poisson probability exceeds u; `most` bounds the rate and so the table of k."""
-    reach = int(most + 12 * math.sqrt(most) + 16)
+def poisson_count(rate: Column, u: Column) -> Column:
+    """The smallest k whose cumulative Poisson probability exceeds u, for any rate; k ends 12 deviations above the rate."""
+    far = F.sqrt(rate) * 12
+    first = F.when(rate > FROM_ZERO, F.floor(rate - far)).otherwise(0).cast("int")
+    reach = F.ceil(far + F.when(rate > FROM_ZERO, far).otherwise(rate) + 16).cast("int")
+    # the probability of `first` by Stirling's series, which is exact to rounding for counts this large
+    k = F.greatest(first, F.lit(1)).cast("double")
+    large = F.exp(k - rate + k * F.log(rate / k) - F.log(2 * F.pi() * k) / 2 - 1 / (12 * k) + 1 / (360 * k * k * k))
+    low = F.when(rate > FROM_ZERO, large).otherwise(F.exp(-rate))
     # fold over k: (count, term, cumulative)
-    start = F.struct(F.lit(0).alias("n"), F.exp(-rate).alias("term"), F.exp(-rate).alias("sum"))
+    start = F.struct(first.alias("n"), low.alias("term"), low.alias("sum"))
 
     def step(acc: Column, k: Column) -> Column:
-        term = acc["term"] * rate / k
+        term = acc["term"] * rate / (first + k)
         return F.struct((acc["n"] + F.when(u >= acc["sum"], 1).otherwise(0)).alias("n"), term.alias("term"), (acc["sum"] + term).alias("sum"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(reach)), start, step, lambda acc: acc["n"])
+    return F.aggregate(F.sequence(F.lit(1), reach), start, step, lambda acc: acc["n"])
 
 
 def rates(docs: DataFrame, exponent: float = 0.5, budget: float = 1.0, weights: dict[str, float] | None = None, size: str = "n_chars") -> DataFrame:
@@ -51,17 +57,18 @@ def rates(docs: DataFrame, exponent: float = 0.5, budget: float = 1.0, weights:
         total = total.withColumn("weight", F.coalesce(F.element_at(given, F.col("source")), F.lit(0.0)) if given is not None else F.lit(0.0))
     whole = total.agg(F.sum("size").alias("all_size"), F.sum(F.when(F.col("size") > 0, F.col("weight"))).alias("all_weight"))
     rate = F.when((F.col("size") > 0) & (F.col("all_weight") > 0), F.lit(float(budget)) * F.col("weight") / F.col("all_weight") * F.col("all_size") / F.col("size")).otherwise(0.0)
-    return total.join(F.broadcast(whole)).select(F.col("source").alias("_source"), F.least(rate, F.lit(MAX_RATE)).alias("_rate"))
+    return total.join(F.broadcast(whole)).select(F.col("source").alias("_source"), rate.alias("_rate"))
 
 
 def mix(docs: DataFrame, seed: int = 7, exponent: float = 0.5, budget: float = 1.0, weights: dict[str, float] | None = None, key: str = "doc_id") -> DataFrame:
     """All columns of `docs`, a row for each copy, with `copy` (from 1) and `mix_key`, dealt out globally by mix_key.
 
-    Rows that repeat a key draw the same number of copies each.  An empty table gives an empty one.
+    Every rate is honoured, however large.  Rows that repeat a key draw the same number of copies each.  An empty table gives an empty one.
     """
     rate = rates(docs, exponent, budget, weights)
     with_rate = docs.join(rate, docs["source"].eqNullSafe(rate["_source"]), "left").drop("_source")
-    counted = with_rate.withColumn("_n", poisson_count(F.coalesce("_rate", F.lit(0.0)), uniform(seed, key), MAX_RATE)).where("_n > 0")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n", "_rate")
+    counted = with_rate.withColumn("_n", poisson_count(F.coalesce("_rate", F.lit(0.0)), uniform(seed, key))).where("_n > 0")
+    part = counted.withColumn("_from", F.explode(F.sequence(F.lit(1), F.col("_n"), F.lit(AT_ONCE))))
+    copies = part.withColumn("copy", F.explode(F.sequence("_from", F.least(F.col("_n"), F.col("_from") + (AT_ONCE - 1))))).drop("_n", "_rate", "_from")
     keyed = copies.withColumn("mix_key", F.xxhash64(F.lit(seed), F.col(key), F.col("copy")))
     return keyed.repartition("mix_key").sortWithinPartitions("mix_key")

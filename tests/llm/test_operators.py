@@ -306,3 +306,11 @@ def test_walked_graphs_miss_no_links(monkeypatch):
         n = sum(np.bincount(r, minlength=len(u)) for r, _ in found)
         assert (n == (u @ u[part].T >= 0.9).sum(1)).all()
     assert hnsw.shard_beam(graph, part, 0.9) == hnsw.BEAM
+
+
+def test_mixing_honours_large_rates(spark):
+    rows = [(i, "large", 1_000_000) for i in range(20)] + [(100 + i, "small", 1000) for i in range(10)] + [(200, "tiny", 100)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_chars long")
+    n = {r["source"]: r["n"] for r in mixing.mix(df, weights={"large": 18.0, "small": 1.0, "tiny": 1.0}).groupBy("source").agg(F.sum("n_chars").alias("n")).collect()}
+    # a twentieth of 20 million characters each: rates of 100 and of 10,001
+    assert abs(n["small"] / 1_000_505 - 1) < 0.2 and abs(n["tiny"] / 1_000_505 - 1) < 0.06
