@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def opened(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path of a folder, for tasks that read or write files of their own there."""
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[5:]
+    return pafs.FileSystem.from_uri(uri)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path in the shared folder."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str, large: bool = False) -> DataFrame:
     """Cut lineage: write `df` once in the shared folder and read it back.
 
@@ -67,9 +82,7 @@ def written(df: DataFrame, name: str, large: bool = False) -> DataFrame:
 def discard(*frames: DataFrame) -> None:
     """Delete tables that `written` made and nobody will read again."""
     for df in frames:
-        context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(df._written_to)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, df._written_to)
 
 
 def components(edges: DataFrame, name: str = "components", rounds: int = 64) -> DataFrame:

@@ -19,13 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import new_path, written
+from .common import new_path, opened, written
 from .tokens import Encoder
 
 MAGIC = b"CLREC1"
@@ -56,12 +55,6 @@ def unframe(data: bytes, at: int = 0) -> tuple[bytes, int]:
     return payload, end + 4
 
 
-def opened(uri: str) -> tuple[pafs.FileSystem, str]:
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri[5:]
-    return pafs.FileSystem.from_uri(uri)
-
-
 def write_records(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, partitions: int | None = None) -> DataFrame:
     """Write ids of all rows in ascending doc_id order; the manifest: (shard, path, records, tokens), one row a file.
 
