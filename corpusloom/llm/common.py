@@ -88,9 +88,10 @@ def discard(*frames: DataFrame) -> None:
 def components(edges: DataFrame, name: str = "components", rounds: int = 64) -> DataFrame:
     """(node, component) of every node of `edges` (a, b): the smallest node reachable.
 
-    Alternates large-star and small-star steps; every step is a grouped minimum and a join, so a hub with
-    millions of links is pre-aggregated and then split by the skew join.  Each round is a written table.  It ends when every
-    node has one edge to a node that has none to a smaller one, which one grouped count over the nodes shows.
+    Alternates large-star and small-star steps; each is a grouped minimum (partial aggregation) and a join.  The minimum is a
+    written table before the join, so both sides of the join are plain exchanges, and a hub with millions of links is split
+    as a skewed key.  It ends when every node has one edge to a node that has none to a smaller one, which one grouped count
+    over the nodes shows.
     """
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
     for _ in range(rounds):
@@ -98,14 +99,13 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 64) ->
         if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").agg(F.count("*")).first()[0] == 0:
             break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), name)
         # one row for each edge at most, so repeats may wait for the end of the round
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        step = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b")
+        large = written(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"), name)
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), name)
+        step = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b")
         last, now = now, written(step.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-        discard(last)
+        discard(last, low, large, least)
     else:
         raise RuntimeError("components: no fixed point")
     own = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

@@ -195,6 +195,7 @@ class NearDuplicates:
         """
         keyed = self.keyed()
         crowded = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "low")
+        crowded = written(crowded, "crowded")  # known before the join, so that a crowded key can be split
         star = keyed.join(crowded, "key").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"), "key")
         star = written(star, "buckets", large=True)
         judged = written(self.confirmed(written(self.alike(star.select("a", "b").distinct()), "pairs")).select("a", "b", "linked"), "judged", large=True)
@@ -203,7 +204,7 @@ class NearDuplicates:
         merged = None
         if more.take(1):
             merged = components(self.confirmed(more, full).where("linked").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        discard(star)
+        discard(star, judged)
         return labels, merged
 
     def across(self, star: DataFrame, judged: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -218,6 +219,7 @@ class NearDuplicates:
         member = star.select("key", F.col("a").alias("id")).union(star.select("key", F.col("b").alias("id")).distinct())
         member = member.join(label, "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
         mixed = member.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("id").alias("n")).where("low < high and n > 2").select("key")
+        mixed = written(mixed, "mixed-keys")
         member = written(member.join(mixed, "key"), "mixed")
         full = self.members(member.select("id").distinct(), "mixed-members")
         alone = full.select("id", F.explode("members").alias("g")).groupBy("g").agg(F.count("id").alias("n"), F.min("id").alias("id")).where("n = 1")

@@ -56,8 +56,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    return mixing.mix(docs, seed=7, exponent=0.5, budget=1.0).select("doc_id", "source", "n_chars", "copy")
+    return mixing.mix(table(spark, sf_dir, "documents"), seed=7, exponent=0.5, budget=1.0).select("doc_id", "text", "lang", "source", "n_chars", "copy")
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,18 +155,15 @@ WITH sized AS (
 ), weighted AS (
   SELECT source, size, sqrt(size) AS weight, sum(size) OVER () AS all_size, sum(sqrt(size)) OVER () AS all_weight FROM sized
 ), rated AS (
-  SELECT source, CASE WHEN size > 0 THEN least(weight / all_weight * all_size / size, 32) ELSE 0 END AS rate FROM weighted
+  SELECT source, CASE WHEN size > 0 THEN weight / all_weight * all_size / size ELSE 0 END AS rate FROM weighted
 ), drawn AS (
-  SELECT doc_id, d.source, n_chars, rate,
+  SELECT d.*, rate, CAST(ceil(rate + 12 * sqrt(rate)) AS BIGINT) + 16 AS most,
     CAST(CAST('0x' || substr(md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
-  FROM documents d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source
-), terms AS (
-  SELECT k, k AS n FROM range(1, 116) t(k)
+  FROM documents d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source WHERE rate > 0
 ), counted AS (
-  SELECT doc_id, source, n_chars, copy FROM drawn, range(1, 116) t(copy)
-  WHERE u >= list_sum(list_transform(range(0, copy), lambda j: exp(-rate + j * ln(rate) - lgamma(j + 1))))
+  SELECT *, unnest(list_filter(range(1, most), lambda n: u >= list_sum(list_transform(range(0, n), lambda j: exp(-rate + j * ln(rate) - lgamma(j + 1)))))) AS copy FROM drawn
 )
-SELECT doc_id, source, n_chars, CAST(copy AS INTEGER) AS copy FROM counted
+SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy FROM counted
 """
 
 OP8_SQL = r"""
