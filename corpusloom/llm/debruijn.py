@@ -1,17 +1,22 @@
-"""Operator 6: repeated word windows by De Bruijn compaction in minimizer space.
-
-The graph's edges are runs of `window` words.  As in minimizer-space De Bruijn graphs, windows that share their smallest word
-k-mer (their anchor) hang together: within a document they form one *path* of consecutive edges through that anchor.
-
-1. Every document emits its paths: anchor hash, span, hash of the whole span (about one path for 20 words).
-2. Anchors are grouped (minimum, maximum: partial aggregation, so a passage in a third of all documents is no
-   hot key).  An anchor met in one document holds no repeat.  An anchor with one span hash everywhere is
-   *nonbranching*: all its edges share one fate, and the path stays compacted in one row.
-3. Only paths through branching anchors are expanded to edges; these are grouped by a 128-bit hash the same way.
-4. Source coordinates: the smallest document of a path or edge comes with it; each span that goes is verified by its
-   128-bit content hash against the source's, and is covered only where the document is larger than the source.
-
-Nothing is paired within a group, so work and output grow with the text.
+"""Operator 6: repeated word windows by De Bruijn compaction, the graph's k-mers dealt by minimizers.
+
+A window of `window` words is an edge of the De Bruijn graph of the corpus, from its first `window` - 1 words to its last
+ones.  Windows that share their smallest word k-mer (their anchor) hang together: within a document they form one *path* of
+consecutive edges through that anchor, and paths, not edges, move first.
+
+1. Every document emits its paths: anchor hash, span, 128-bit hash of the whole span (about one path for 20 words).
+2. Anchors are grouped (minimum, maximum: partial aggregation, so a passage in a third of all documents is no hot key).
+   An anchor met in one document holds no repeat.  An anchor with one span hash everywhere has one way in and one way out: no
+   edge of its paths *branches*, and they stay compacted.  Paths through other anchors are expanded to their edges, k-mers
+   of `window` tokens, which are grouped in the same way.
+3. Each repeated path or edge knows its *source coordinates*: smallest document and position there.  Pieces of a document that follow
+   each other both there and in their source continue without a branch; two joins find the pieces where such a run begins and
+   those where it ends, a third pairs them, and the run is compacted to one span.
+4. Source coordinates are followed back to the source's text: a digest of the words there joins each span, and words
+   go only if the span's own words have that digest.
+
+Aggregates that meet their rows again are written tables before the join, so both sides of it are plain exchanges and
+a key that many documents share is split.  Nothing is paired within a group; work and output grow with the text.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
@@ -99,9 +104,11 @@ class Block:
 
 
 def rows_of(docs: DataFrame, *carried: str) -> DataFrame:
-    """(doc_id, rid, text) and carried columns: rid tells rows that share a doc_id apart by their text."""
+    """(doc_id, rid, text) and carried columns: where doc_ids repeat, rid tells rows that share one apart by their text; else it is 0."""
+    ids = docs.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("rid"), text.alias("text"), *carried)
+    rid = F.xxhash64(text) if ids["n"] != ids["d"] else F.lit(0).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), rid.alias("rid"), text.alias("text"), *carried)
 
 
 def paths(docs: DataFrame, window: int, k: int) -> DataFrame:
@@ -145,34 +152,109 @@ def flat_spans(part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(sizes)), sizes), flat >> 32, flat & 0xFFFFFFFF
 
 
+ROW = ["doc_id", "rid"]
+#: Source words that share a group of spans to digest: a group is bounded by its document's length, however many rows repeat it.
+STRETCH = 64
+
+
+def coded(first: str, last: str) -> Column:
+    return F.shiftleft(F.col(first).cast("long"), 32).bitwiseOR(F.col(last).cast("long"))
+
+
 def packed(spans: DataFrame) -> DataFrame:
-    """(rid, spans) from (rid, first, last) rows; sizes follow each document's own length."""
-    code = F.shiftleft(F.col("first").cast("long"), 32).bitwiseOR(F.col("last").cast("long"))
-    return spans.groupBy("rid").agg(F.collect_list(code).alias("spans"))
+    """(doc_id, rid, spans) from rows with first and last; sizes follow each document's own length."""
+    return spans.groupBy(*ROW).agg(F.collect_list(coded("first", "last")).alias("spans"))
 
 
-def repeated_spans(rows: DataFrame, window: int = 50, k: int = K) -> DataFrame:
-    """(rid, spans): the runs of window starts of each row that also start in a document with a smaller doc_id."""
-    known = rows.where("doc_id is not null")
-    path = written(paths(known.select("doc_id", "rid", "text"), window, k), "paths")
+def source() -> Column:
+    """The coordinates of the smallest document among rows."""
+    return F.min(F.struct("doc_id", "rid", "first")).alias("source")
+
+
+def repeated_pieces(known: DataFrame, window: int, k: int) -> DataFrame:
+    """(doc_id, rid, first, last, s_doc, s_rid, s_first): paths and edges that also start in a document with a smaller doc_id, the smallest."""
+    path = written(paths(known, window, k), "paths")
     anchor = path.groupBy("h").agg(
-        F.min("doc_id").alias("source"), F.max("doc_id").alias("other"), F.min("c0").alias("c0_low"), F.max("c0").alias("c0_high"), F.min("c1").alias("c1_low"), F.max("c1").alias("c1_high")
+        source(), F.max("doc_id").alias("other"), F.min("c0").alias("c0_low"), F.max("c0").alias("c0_high"), F.min("c1").alias("c1_low"), F.max("c1").alias("c1_high")
     )
     plain = (F.col("c0_low") == F.col("c0_high")) & (F.col("c1_low") == F.col("c1_high"))
-    anchor = anchor.where("source < other").select("h", "source", plain.alias("plain"))
-    met = written(path.join(anchor, "h").select("doc_id", "rid", "first", "last", "source", "plain"), "anchored", large=True)
-    whole = met.where("plain and doc_id > source").select("rid", "first", "last")
-    branching = packed(met.where("not plain").select("rid", "first", "last"))
-    edge = written(expanded(known.select("doc_id", "rid", "text").join(branching, "rid"), window), "edges", large=True)
-    sources = edge.groupBy("e0", "e1").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("other")).where("source < other").drop("other")
-    single = edge.join(sources, ["e0", "e1"]).where("doc_id > source").select("rid", "first", F.col("first").alias("last"))
-    out = written(packed(whole.union(single)), "spans", large=True)
-    discard(path, met, edge)
+    anchor = written(anchor.where("source.doc_id < other").select("h", "source", plain.alias("plain")), "anchors", large=True)
+    met = written(path.join(anchor, "h").select(*ROW, "first", "last", "source", "plain"), "anchored", large=True)
+    discard(path, anchor)
+    branching = packed(met.where("not plain"))
+    edge = written(expanded(known.join(branching, ROW), window), "edges", large=True)
+    sources = written(edge.groupBy("e0", "e1").agg(source(), F.max("doc_id").alias("other")).where("source.doc_id < other").drop("other"), "sources", large=True)
+    single = edge.join(sources, ["e0", "e1"]).select(*ROW, "first", F.col("first").alias("last"), "source")
+    both = met.where("plain").select(*ROW, "first", "last", "source").union(single).where("doc_id > source.doc_id")
+    out = written(both.select(*ROW, "first", "last", F.col("source.doc_id").alias("s_doc"), F.col("source.rid").alias("s_rid"), F.col("source.first").alias("s_first")), "pieces", large=True)
+    discard(met, edge, sources)
+    return out
+
+
+def compacted(pieces: DataFrame) -> DataFrame:
+    """The same pieces in as few rows as their runs: those that follow each other in their row and in their source alike are one.
+
+    A piece begins a run if no piece of its row and source ends right before it there, and ends one if none begins right after it.
+    """
+    run = [*ROW, "s_doc", "s_rid", "shift"]
+    some = pieces.withColumn("shift", F.col("s_first") - F.col("first"))
+    heads = some.join(some.select(*run, (F.col("last") + 1).alias("first")), [*run, "first"], "left_anti").select(*run, "first")
+    tails = some.join(some.select(*run, (F.col("first") - 1).alias("last")), [*run, "last"], "left_anti").select(*run, "last")
+    order = Window.partitionBy(*run)  # runs of one row and source: bounded by the row's length
+    heads = heads.withColumn("n", F.row_number().over(order.orderBy("first")))
+    tails = tails.withColumn("n", F.row_number().over(order.orderBy("last")))
+    return heads.join(tails, [*run, "n"]).select(*ROW, "first", "last", "s_doc", "s_rid", (F.col("first") + F.col("shift")).alias("s_first"))
+
+
+def digests(block: Block, row: np.ndarray, first: np.ndarray, last: np.ndarray, window: int) -> list[bytes]:
+    """Digests of the words under the windows that start at first..last of a row, joined by one space."""
+    plain = block.kept(np.zeros(len(block.starts), bool))
+    upto = np.concatenate([[0], np.cumsum(block.ends - block.starts + 1)])
+    out = []
+    for r, a, b in zip(row.tolist(), first.tolist(), last.tolist(), strict=True):
+        base = block.own[r]
+        begin, end = upto[base + a] - upto[base], upto[base + b + window] - upto[base] - 1
+        out.append(hashlib.blake2b(plain[r][begin:end], digest_size=16).digest())
+    return out
+
+
+def with_source_digest(spans: DataFrame, known: DataFrame, window: int) -> DataFrame:
+    """`spans` with the digest of the words at their source coordinates, from the source's text."""
+    at = ["s_doc", "s_rid", "s_first", "n"]
+    spans = spans.withColumn("n", F.col("last") - F.col("first"))
+    wanted = spans.select(*at).distinct().withColumn("s_last", F.col("s_first") + F.col("n"))
+    wanted = wanted.groupBy("s_doc", "s_rid", F.floor(F.col("s_first") / STRETCH)).agg(F.collect_list(coded("s_first", "s_last")).alias("spans"))
+    texts = known.join(wanted.select(F.col("s_doc").alias("doc_id"), F.col("s_rid").alias("rid"), "spans"), ROW)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = tx.string_column(batch, "text")
+            for i, j, d, o in tx.blocks(data, offs):
+                row, first, last = flat_spans(batch.column(3)[i:j])
+                take = pa.array(row)
+                got = pa.array(digests(Block(d, o, hashes=False), row, first, last, window), pa.binary())
+                columns = [*(batch.column(c)[i:j].take(take) for c in (0, 1)), pa.array(first, pa.int32()), pa.array(last - first, pa.int32()), got]
+                yield pa.record_batch(columns, names=[*at, "digest"])
+
+    found = written(texts.select(*ROW, "text", "spans").mapInArrow(run, "s_doc long, s_rid long, s_first int, n int, digest binary"), "digests", large=True)
+    return spans.join(found, at).select(*ROW, "first", "last", "digest")
+
+
+def repeated_spans(rows: DataFrame, window: int = 50, k: int = K) -> DataFrame:
+    """(doc_id, rid, spans, digests): the runs of window starts of each row that also start in a document with a smaller doc_id."""
+    known = rows.where("doc_id is not null").select(*ROW, "text")
+    pieces = repeated_pieces(known, window, k)
+    spans = written(compacted(pieces), "spans", large=True)
+    discard(pieces)
+    each = with_source_digest(spans, known, window).withColumn("span", F.struct(coded("first", "last").alias("at"), "digest"))
+    out = each.groupBy(*ROW).agg(F.collect_list("span").alias("span"))
+    out = written(out.select(*ROW, F.col("span.at").alias("spans"), F.col("span.digest").alias("digests")), "verified", large=True)
+    discard(spans)
     return out
 
 
 def without(rows: DataFrame, spans: DataFrame, window: int, keep_text: bool) -> DataFrame:
-    """(doc_id, rid, carried columns, n_words, n_removed, kept_sha256[, kept]) of every row."""
+    """(doc_id, rid, carried columns, n_words, n_removed, kept_sha256[, kept]) of every row; spans whose digest differs from their words' stay."""
     carried = [c for c in rows.columns if c not in ("doc_id", "rid", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,13 +263,16 @@ def without(rows: DataFrame, spans: DataFrame, window: int, keep_text: bool) ->
             for i, j, d, o in tx.blocks(data, offs):
                 block = Block(d, o, hashes=False)
                 row, first, last = flat_spans(batch.column(3)[i:j])
+                told = batch.column(4)[i:j].flatten().to_pylist()
+                same = np.array([a == b for a, b in zip(told, digests(block, row, first, last, window), strict=True)], bool)
+                row, first, last = row[same], first[same], last[same]
                 edge = np.zeros(len(block.starts) + 1, np.int64)
                 np.add.at(edge, block.own[row] + first, 1)
                 np.add.at(edge, block.own[row] + last + window, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 kept = block.kept(gone)
                 removed = np.concatenate([[0], np.cumsum(gone)])[block.own]
-                out = [batch.column(c)[i:j] for c in (0, 1, *range(4, 4 + len(carried)))]
+                out = [batch.column(c)[i:j] for c in (0, 1, *range(5, 5 + len(carried)))]
                 out += [pa.array(np.diff(block.own)), pa.array(np.diff(removed)), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
                 if keep_text:
                     out.append(pa.array([x.decode("utf-8") for x in kept], pa.string()))
@@ -195,7 +280,7 @@ def without(rows: DataFrame, spans: DataFrame, window: int, keep_text: bool) ->
 
     extra = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in carried)
     schema = f"doc_id long, rid long, {extra}n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
-    return rows.join(spans, "rid", "left").select("doc_id", "rid", "text", "spans", *carried).mapInArrow(run, schema)
+    return rows.join(spans, ROW, "left").select("doc_id", "rid", "text", "spans", "digests", *carried).mapInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, k: int = K, keep_text: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
