@@ -1,9 +1,10 @@
 """Operator 3: chat formatting by schema fingerprints, in DataFrame functions only.
 
-A layout is known by the hash of its nested field paths.  `Layout` entries are declarative: paths, and where turns lie.  A typed
-table is matched by the paths of its schema; a column of JSON records is matched record by record, as
-`schema_of_variant` lists the paths of each.  All layouts become canonical turns (role, text), which one template
-renders, with spans of the loss mask, and which `read_back` parses again from the rendered text alone.
+A layout is known by its fingerprint: the hash of its nested field paths, written as a shape.  `Layout` entries are declarative: paths, and
+where turns lie.  A typed table's fingerprint comes from its schema; a column of JSON records has one a record, as
+`schema_of_variant` lists the paths of each.  The fingerprint selects the mapping, and only the mapping says which columns are read.  All layouts
+become canonical turns (role, text), which one template renders, with spans of the loss mask, and which `read_back`
+parses again from the rendered text alone.
 
 Template: ``### role: text</turn>`` and a newline a turn.  Inside texts ``\\`` becomes ``\\\\``, ``#`` ``\\h`` and ``<`` ``\\l``; in roles also
 ``:`` ``\\c``; so no text can hold a mark, and unescaping is exact.
@@ -11,9 +12,10 @@ Template: ``### role: text</turn>`` and a newline a turn.  Inside texts ``\\`` b
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,21 +27,18 @@ TURNS = "array<struct<role:string,text:string>>"
 
 @dataclass(frozen=True)
 class Layout:
-    """`paths` are its nested field paths; `turns` lists (role, path) in order, or `each` names an array with role and text fields."""
+    """`paths` are its nested field paths; `turns` lists (role, path) in order, `each` names an array with role and text fields, or `row` order, role and text of rows that are turns."""
 
     name: str
     paths: tuple[str, ...]
     turns: tuple[tuple[str, str], ...] = ()
     each: tuple[str, str, str] | None = None
-    optional: frozenset[str] = field(default_factory=frozenset)
-
-    def signature(self) -> str:
-        return "|".join(sorted(self.paths))
+    row: tuple[str, str, str] | None = None
 
 
 #: Known layouts; roles are renamed by ROLES.
 LAYOUTS = (
-    Layout("turn_rows", ("role", "text", "turn")),
+    Layout("turn_rows", ("role", "text", "turn"), row=("turn", "role", "text")),
     Layout("messages", ("messages[].content", "messages[].role"), each=("messages", "role", "content")),
     Layout("conversations", ("conversations[].from", "conversations[].value"), each=("conversations", "from", "value")),
     Layout("dialogue", ("turns[].speaker", "turns[].utterance"), each=("turns", "speaker", "utterance")),
@@ -54,8 +53,8 @@ LAYOUTS = (
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
-def fingerprint(signature: Column) -> Column:
-    return F.xxhash64(F.lit("paths"), signature)
+def fingerprint(shape: Column) -> Column:
+    return F.sha2(shape, 256)
 
 
 def schema_paths(kind: T.DataType, prefix: str = "") -> list[str]:
@@ -68,11 +67,19 @@ def schema_paths(kind: T.DataType, prefix: str = "") -> list[str]:
 
 
 def table_layout(schema: T.StructType, layouts: tuple[Layout, ...] = LAYOUTS) -> Layout | None:
-    """The layout of a typed table: equal paths, else the one with most paths among the table's (other columns are extra)."""
-    have = set(schema_paths(schema))
-    exact = [x for x in layouts if set(x.paths) == have]
-    inside = sorted((x for x in layouts if set(x.paths) <= have), key=lambda x: -len(x.paths))
-    return (exact or inside or [None])[0]
+    """The layout whose fingerprint the table has in the columns that the layout names, of several the one with most paths; other columns are extra."""
+    known = {printed(shape_of(x.paths)): x for x in layouts}
+    found = []
+    for x in layouts:
+        tops = {re.split(r"[.\[]", p)[0] for p in x.paths}
+        part = T.StructType([f for f in schema.fields if f.name in tops])
+        found.append(known.get(printed(shape_of(schema_paths(part)))))
+    return max((x for x in found if x), key=lambda x: len(x.paths), default=None)
+
+
+def printed(shape: str) -> str:
+    """What `fingerprint` gives for a shape."""
+    return hashlib.sha256(shape.encode()).hexdigest()
 
 
 def json_signature(record: Column) -> Column:
@@ -85,10 +92,10 @@ def json_signature(record: Column) -> Column:
     return shape
 
 
-def shape_of(layout: Layout) -> str:
-    """What json_signature gives for records of this layout."""
+def shape_of(paths: Iterable[str]) -> str:
+    """What json_signature gives for records of these nested field paths."""
     tree: dict = {}
-    for path in layout.paths:
+    for path in paths:
         at = tree
         for part in path.split("."):
             at = at.setdefault(part, {})
@@ -128,7 +135,7 @@ def canonical_json(records: DataFrame, column: str, layouts: tuple[Layout, ...]
     for x in layouts:
         if x.name == "turn_rows":
             continue
-        same = print_of == fingerprint(F.lit(shape_of(x)))
+        same = print_of == F.lit(printed(shape_of(x.paths)))
         if x.each:
             where, role, text = x.each
             got = F.transform(get(where, f"array<struct<`{role}`:string,`{text}`:string>>"), turn_of(role, text))
@@ -190,12 +197,30 @@ def read_back(formatted: DataFrame, key: str = "conv_id") -> DataFrame:
     )
 
 
-def format_turn_rows(table: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Formatted conversations of a typed table whose schema fingerprint says that each row is one turn."""
-    layout = table_layout(table.schema)
-    if layout is None or layout.name != "turn_rows":
-        raise ValueError(f"not a table of turn rows: {schema_paths(table.schema)}")
-    return rendered(table, key)
+def canonical_turns(table: DataFrame, key: str = "conv_id", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """(key, turn, role, text) of a typed table by the mapping that its fingerprint selects; an unknown one raises ValueError.
+
+    Rows that are turns keep their roles as they are; roles of other layouts are renamed.  Null arrays have no turns; an empty
+    second instruction is no turn.
+    """
+    layout = table_layout(table.schema, layouts)
+    if layout is None:
+        raise ValueError(f"no known layout: {schema_paths(table.schema)}")
+    if layout.row:
+        order, role, text = layout.row
+        return table.select(F.col(key).alias(key), F.col(order).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+    if layout.each:
+        where, role, text = layout.each
+        turns = F.transform(F.col(where), turn_of(role, text))
+    else:
+        made = [F.struct(F.lit(r.removesuffix("_more")).alias("role"), F.coalesce(F.col(p).cast("string"), F.lit("")).alias("text"), F.lit(r.endswith("_more")).alias("more")) for r, p in layout.turns]
+        turns = F.filter(F.array(*made), lambda t: ~(t["more"] & (t["text"] == "")))
+    return table.select(F.col(key).alias(key), F.posexplode(turns).alias("turn", "_turn")).select(key, "turn", "_turn.role", "_turn.text")
+
+
+def format_table(table: DataFrame, key: str = "conv_id", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """Formatted conversations of a typed table of any known layout."""
+    return rendered(canonical_turns(table, key, layouts), key)
 
 
 def format_json(records: DataFrame, column: str, key: str) -> DataFrame:

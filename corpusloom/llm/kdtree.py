@@ -19,8 +19,8 @@ from .common import written
 from .vectors import BLOCK_ROWS, LEAST_SHARDS, SHARD_ROWS, count_of, dealt, finite, matrix
 
 LEAF = 256
-#: Products and sums of whole numbers stay exact in a double below this.
-EXACT = float(1 << 53)
+#: Products and sums of whole numbers stay exact in a double below the first; no long holds the second.
+EXACT, LONGS = float(1 << 53), 1 << 63
 
 
 class Tree:
@@ -52,6 +52,9 @@ class Tree:
         """The largest inner product of each query with any point of each box."""
         return np.maximum(q, 0) @ self.high.T + np.minimum(q, 0) @ self.low.T
 
+    def scores(self, a: int, b: int, q: np.ndarray) -> np.ndarray:
+        return self.x[a:b] @ q
+
     def top(self, q: np.ndarray, own: np.ndarray, kth: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
         """The best k (score, -id) of each query above or at its k-th score so far, without rows of its own id."""
         out = []
@@ -70,7 +73,7 @@ class Tree:
                             heapq.heappush(queue, (-bounds[i, c], c))
                     continue
                 a, b = self.span[node]
-                score = self.x[a:b] @ q[i]
+                score = self.scores(a, b, q[i])
                 for r in np.flatnonzero(score >= least):
                     if self.ids[a + r] != own[i]:
                         one = (score[r], -int(self.ids[a + r]))
@@ -84,19 +87,37 @@ class Tree:
         return out
 
 
+class WideTree(Tree):
+    """For components whose products a double cannot hold: boxes bound in doubles, widened by their rounding; scores are exact whole numbers."""
+
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore", invalid="ignore"):
+            most = np.abs(q) @ np.maximum(np.abs(self.high), np.abs(self.low)).T
+            out = super().bounds(q) + most * 1e-12
+        return np.where(np.isnan(out), np.inf, out)
+
+    def scores(self, a: int, b: int, q: np.ndarray) -> np.ndarray:
+        whole = [int(y) for y in q]
+        out = np.empty(b - a, object)
+        out[:] = [sum(int(x) * y for x, y in zip(row, whole, strict=True)) for row in self.x[a:b]]
+        return out
+
+
 def top_k(table: DataFrame, every: int = 50, scale: int = 256, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the best k of all other rows for each row whose vec_id is divisible by `every`.
 
     Vectors that are null or hold null or non-finite components take no part, nor do rows with a null vec_id or vectors of
     another length than the query's.  Rows that share the query's vec_id are its own; an empty table gives no rows.
-    Scores must stay below 2**53 in size: larger components raise an error rather than round.
+    Ranks follow exact whole numbers whatever the components; a score beyond a long is given as the nearest long.  Of rows that
+    share a vec_id, as queries the one with the smallest vector asks.
     """
     rows = table.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where(finite("v") & F.col("vec_id").isNotNull())
-    rows = rows.withColumn("v", F.transform("v", lambda x: F.floor(x * F.lit(scale)).cast("double"))).withColumn("dim", F.size("v"))
+    whole = lambda x: F.when(F.abs(x) < F.lit(2.0**52 / scale), F.floor(x * F.lit(scale)).cast("double")).otherwise(x * F.lit(scale))
+    rows = rows.withColumn("v", F.transform("v", whole)).where(finite("v")).withColumn("dim", F.size("v"))
     rows = written(rows, "vectors")
     n = rows.count()
-    asked = rows.where(F.col("id") % every == 0).dropDuplicates(["id"])
-    asked = asked.select(*(F.col(c).alias(c) for c in asked.columns))
+    asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct("dim", "v")).alias("x")).select(F.col("id").alias("id"), F.col("x.v").alias("v"), F.col("x.dim").alias("dim"))
+    asked = written(asked, "asked")
     shards, blocks = count_of(n, SHARD_ROWS, LEAST_SHARDS), count_of(-(-n // every), BLOCK_ROWS, 1)
     points = dealt(rows, "shard", shards, "id").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = dealt(dealt(asked, "block", blocks, "id"), "home", shards, "id")
@@ -105,11 +126,11 @@ def top_k(table: DataFrame, every: int = 50, scale: int = 256, k: int = 5) -> Da
         got: list[tuple[int, int, int]] = []
         if len(q) and len(p):
             x, y = matrix(p["v"], np.float64), matrix(q["v"], np.float64)
-            if np.abs(x).max() * np.abs(y).max() * x.shape[1] >= EXACT:
-                raise ValueError("components are too large for exact scores")
+            with np.errstate(over="ignore"):
+                kind = Tree if np.abs(x).max() * np.abs(y).max() * x.shape[1] < EXACT else WideTree
             own, kth = q["id"].to_numpy(np.int64), q["kth"].to_numpy(np.float64)
-            for i, best in enumerate(Tree(x, p["id"].to_numpy(np.int64)).top(y, own, np.where(np.isnan(kth), -np.inf, kth), k)):
-                got += [(int(own[i]), -v, int(s)) for s, v in best]
+            for i, best in enumerate(kind(x, p["id"].to_numpy(np.int64)).top(y, own, np.where(np.isnan(kth), -np.inf, kth), k)):
+                got += [(int(own[i]), -v, max(-LONGS, min(LONGS - 1, int(s)))) for s, v in best]
         return pd.DataFrame(got, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     def run(queries: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ MARKED = r"\### Assistant: </turn> ok"
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(MARKED).alias("text"))
-    return chat.read_back(chat.format_turn_rows(rows.unionByName(extra)))
+    return chat.read_back(chat.format_table(rows.unionByName(extra)))
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
