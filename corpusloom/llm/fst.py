@@ -2,16 +2,19 @@
 
 Three machines, each finite and deterministic, count the tokens of byte-level BPE without building a token:
 
-1. The *segmenter* reads bytes; its states are "in a word" and "in white space".  A block of bytes is cut into
-   chunks of fixed length, each chunk yields its state map with the number of segments it opens, and the maps compose
-   by a parallel prefix scan; every segment start resets the later machines, so a text's count is a difference of
-   prefix sums, whatever the chunks.
-2. The *splitter* marks where the tokenizer's pattern opens a pre-token; it is definite (two characters of
+1. The *splitter* marks where the tokenizer's pattern opens a pre-token; it is definite (two characters of
    history, three of lookahead), so it is evaluated by shifts.
-3. The *merger* is BPE itself.  A state holds, for every vocabulary prefix that ends here, the last token before it and
-   its count relative to now; reading a byte gives the next state and how the emitted-token count changes.  By the
-   pair property of BPE (a token sequence is the encoding exactly if each neighbouring pair is) one last token is
-   possible.  States are made on first use; distinct pre-tokens then run in lockstep through the table.
+2. The *merger* is BPE itself.  A state holds, for every vocabulary prefix that ends here, the last token before it and
+   its count relative to now; reading a byte gives the next state, and each transition is annotated with how the emitted-token
+   count changes.  By the pair property of BPE (a token sequence is the encoding exactly if each neighbouring pair is)
+   one last token is possible.  States and transitions are made on first use.
+3. The *segmenter* has the states "in a word" and "in white space" and counts words.
+
+Text is cut into chunks of fixed length that run in lockstep.  A chunk's state map is constant from its first pre-token start on,
+which resets the merger, so all chunks run that part at once; what lies before depends on the state that the chunks before
+hand over.  Composing the maps from left to right, a round for all chunks whose state is known, fixes the
+emitted count of every byte, and counts of texts are differences of prefix sums, whatever the chunks.  The segmenter's two-state maps
+compose by a parallel prefix scan in full.  Distinct segments of text run once a worker.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ from .tokens import ChunkTable, chunks
 
 #: Transitions that a worker keeps at most.
 KEPT_ARCS = 4_000_000
-SCAN = 4096
+#: Bytes of a chunk: of the segmenter, of the merger.
+SCAN, CHUNK = 4096, 64
 
 
 def compose(outer: tuple[np.ndarray, np.ndarray], inner: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -138,29 +142,49 @@ class Merger:
             self.states.append(made)
         return self.known[made], count
 
-    def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Tokens of each byte span, all spans a byte further at each step."""
+    def moves(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next state, emitted) of each state << 8 | byte, making transitions not met before."""
+        some, back = np.unique(keys, return_inverse=True)
+        rows = self.arcs.find(some.view(tx.U64))
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            got = np.array([self.arc(int(k) >> 8, int(k) & 255) for k in some[new]], np.int64)
+            rows[new] = np.arange(self.arcs.size, self.arcs.size + len(new))
+            self.arcs.add(some[new].view(tx.U64))
+            self.to, self.emit = np.concatenate([self.to, got[:, 0]]), np.concatenate([self.emit, got[:, 1]])
+        return self.to[rows][back], self.emit[rows][back]
+
+    def run(self, data: np.ndarray, fresh: np.ndarray, out: np.ndarray, at: np.ndarray, ends: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """End states of the spans at..ends from `state`, all spans a byte further at each step; `out` gets what each byte emits."""
+        at, state, live = at.copy(), state.copy(), np.flatnonzero(at < ends)
+        while len(live):
+            pos = at[live]
+            state[live], out[pos] = self.moves(np.where(fresh[pos], 0, state[live]) << 8 | data[pos])
+            at[live] += 1
+            live = live[at[live] < ends[live]]
+        return state
+
+    def emitted(self, data: np.ndarray, starts: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
+        """What each byte emits, by the composed state maps of chunks; `starts` are pre-token starts, the first byte's among them."""
         if self.arcs.size > KEPT_ARCS:
             self.clear()
-        total, state = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-        order = np.argsort(starts - ends, kind="stable")  # longest first: the living spans are a prefix
-        size = (ends - starts)[order]
-        at, live = starts[order], len(order)
-        for step in range(int(size[0]) if len(size) else 0):
-            live = int(np.searchsorted(-size[:live], -step, "left"))
-            keys, back = np.unique(state[:live] << 8 | data[at[:live] + step], return_inverse=True)
-            rows = self.arcs.find(keys.view(tx.U64))
-            new = np.flatnonzero(rows < 0)
-            if len(new):
-                got = np.array([self.arc(int(k) >> 8, int(k) & 255) for k in keys[new]], np.int64)
-                rows[new] = np.arange(self.arcs.size, self.arcs.size + len(new))
-                self.arcs.add(keys[new].view(tx.U64))
-                self.to, self.emit = np.concatenate([self.to, got[:, 0]]), np.concatenate([self.emit, got[:, 1]])
-            rows = rows[back]
-            state[:live] = self.to[rows]
-            total[:live] += self.emit[rows]
-        out = np.empty(len(order), np.int64)
-        out[order] = total
+        out, fresh = np.zeros(len(data), np.int64), np.zeros(len(data), bool)
+        if not len(data):
+            return out
+        fresh[starts] = True
+        heads = np.arange(0, len(data), chunk)
+        ends = np.minimum(heads + chunk, len(data))
+        reset = np.append(starts, len(data))[np.searchsorted(starts, heads)]
+        constant = reset < ends
+        after = np.full(len(heads), -1, np.int64)  # state after each chunk, -1: not known yet
+        after[constant] = self.run(data, fresh, out, reset[constant], ends[constant], np.zeros(int(constant.sum()), np.int64))
+        waiting = np.flatnonzero(reset > heads)
+        while len(waiting):
+            known = after[waiting - 1] >= 0
+            now, waiting = waiting[known], waiting[~known]
+            got = self.run(data, fresh, out, heads[now], np.minimum(reset, ends)[now], after[now - 1])
+            through = ~constant[now]
+            after[now[through]] = got[through]
         return out
 
 
@@ -217,8 +241,8 @@ class Counter(ChunkTable):
     def clear(self) -> None:
         self.keys, self.value = tx.KeyTable(), np.zeros(0, np.int64)
 
-    def split(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The splitter: bytes of all parts, pre-token starts and ends in them, and each part's range."""
+    def split(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The splitter: bytes of all parts, pre-token starts in them, and each part's offsets."""
         raw = b"".join(parts)
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         offs = np.zeros(len(parts) + 1, np.int64)
@@ -252,10 +276,7 @@ class Counter(ChunkTable):
                 q = quote[hit]
                 cut[q + 1] = False
                 cut[np.minimum(q + size, n)] = True
-        first = np.flatnonzero(cut[:n])
-        starts = at[first]
-        ends = np.concatenate([starts[1:], [len(data)]]) if len(first) else starts
-        return data, starts, ends, np.searchsorted(starts, offs)
+        return data, at[np.flatnonzero(cut[:n])], offs
 
     def learn(self, new: list[bytes]) -> None:
         marks = [s.encode() for s in self.special]
@@ -272,11 +293,9 @@ class Counter(ChunkTable):
                     owner.append(i)
         value = fixed
         if parts:
-            data, starts, ends, own = self.split(parts)
-            _, first, back = np.unique(tx.hash_spans(data, starts, ends, 13), return_index=True, return_inverse=True)
-            counts = self.merger.counts(data, starts[first], ends[first])[back]
-            upto = np.concatenate([[0], np.cumsum(counts)])
-            value = value + np.bincount(owner, weights=upto[own[1:]] - upto[own[:-1]], minlength=len(new)).astype(np.int64)
+            data, starts, offs = self.split(parts)
+            upto = np.concatenate([[0], np.cumsum(self.merger.emitted(data, starts))])[offs]
+            value = value + np.bincount(owner, weights=np.diff(upto), minlength=len(new)).astype(np.int64)
         self.value = np.concatenate([self.value, value])
 
     def count(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
