@@ -22,18 +22,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles at 0.8: of each component the smallest doc_id stays.
+    """Five-word shingles at 0.8: of each component one document stays, the one with the smallest doc_id.
 
-    Rows that share a doc_id are one document, whose first row by text stays; rows with a null doc_id and empty texts stay.
+    Rows that repeat doc_id and text are one document.  Where texts differ under one doc_id, all of them take part, by a hash of
+    both, and of a component the smallest hash stays.  Rows with a null doc_id and empty texts stay.
     """
     common.ship(spark)
     docs = docs.select(*COLUMNS)
     ids = docs.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()
+    own = F.col("doc_id").cast("long")
     if ids["n"] != ids["d"]:
-        order = Window.partitionBy("doc_id").orderBy("text")
-        docs = docs.withColumn("_n", F.row_number().over(order)).where("_n = 1 or doc_id is null").drop("_n")
-    found = minhash.near_duplicates(docs, 5, 80, tables=10)
-    return docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+        own = F.when(own.isNotNull(), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+        docs = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
+    docs = docs.withColumn("_own", own)
+    found = minhash.near_duplicates(docs.select(F.col("_own").alias("doc_id"), "text"), 5, 80, tables=10)
+    gone = found.where("not kept").select(F.col("doc_id").alias("_own"))
+    return docs.join(gone, "_own", "left_anti").select(*COLUMNS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +58,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 4096 tokens."""
+    """Pieces of all documents in sequences of 4096 tokens; `row` tells the copies of a document apart."""
     common.ship(spark)
-    return packing.pack_documents(docs.select("doc_id", "text"), tokenizer("word_bpe_49k.json"), 4096, 1)
+    numbered = docs.select(F.struct("doc_id", F.monotonically_increasing_id().alias("row")).alias("_row"), "text")  # docs are files, so numbers repeat
+    pieces = packing.encode_pieces(numbered, tokenizer("word_bpe_49k.json"), 4096, 1, key="_row")
+    return packing.pack(pieces.select("_row.doc_id", "_row.row", "piece", "start", "length", "ids_crc32"), 4096, docs.count())
 
 
 STAGES = [

@@ -108,8 +108,8 @@ def top_k(table: DataFrame, every: int = 50, scale: int = 256, k: int = 5) -> Da
 
     Vectors that are null or hold null or non-finite components take no part, nor do rows with a null vec_id or vectors of
     another length than the query's.  Rows that share the query's vec_id are its own; an empty table gives no rows.
-    Ranks follow exact whole numbers whatever the components; a score beyond a long is given as the nearest long.  Of rows that
-    share a vec_id, as queries the one with the smallest vector asks.
+    Scores are exact whole numbers whatever the components; one beyond a long is the nearest long, and ranks as that.  Of rows that
+    share a vec_id, the one with the smallest vector asks.
     """
     rows = table.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where(finite("v") & F.col("vec_id").isNotNull())
     whole = lambda x: F.when(F.abs(x) < F.lit(2.0**52 / scale), F.floor(x * F.lit(scale)).cast("double")).otherwise(x * F.lit(scale))

@@ -93,10 +93,12 @@ def mix(docs: DataFrame, seed: int = 7, exponent: float = 0.5, budget: float = 1
     names = [c for c in docs.columns if c not in ADDED]
     rate = F.col("_rate")
     tables = written(rates(docs, exponent, budget, weights).select("_source", first_count(rate).alias("_first"), F.when(rate > 0, cumulative(rate)).alias("_table")), "rates")
-    own = docs.select(F.struct(*names).alias("_doc"), F.col("source").alias("_of"), uniform(seed, key).alias("_u"))
+    plain = [f"c{i}" for i in range(len(names))]  # so that no column of `docs` clashes with one of ours
+    own = docs.select(*(F.col(f"`{c}`").alias(p) for c, p in zip(names, plain, strict=True)), F.col("source").alias("_of"), uniform(seed, key).alias("_u"))
     met = own.join(tables, F.col("_of").eqNullSafe(F.col("_source")), "left").where("_table is not null")
-    counted = met.select("_doc", poisson_count(F.col("_first"), F.col("_table"), F.col("_u")).alias("_n")).where("_n > 0")
+    counted = met.select(*plain, poisson_count(F.col("_first"), F.col("_table"), F.col("_u")).alias("_n")).where("_n > 0")
     part = counted.withColumn("_from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"), F.lit(AT_ONCE).cast("long"))))
-    copies = part.select("_doc.*", F.explode(F.sequence("_from", F.least(F.col("_n"), F.col("_from") + (AT_ONCE - 1))).cast("array<int>")).alias("copy"))
+    copies = part.select(*plain, F.explode(F.sequence("_from", F.least(F.col("_n"), F.col("_from") + (AT_ONCE - 1))).cast("array<int>")).alias("copy"))
+    copies = copies.select(*(F.col(p).alias(c) for c, p in zip(names, plain, strict=True)), "copy")
     keyed = copies.withColumn("mix_key", F.xxhash64(F.lit(seed), F.col(key), F.col("copy")))
     return keyed.repartition("mix_key").sortWithinPartitions("mix_key")

@@ -37,6 +37,8 @@ SAMPLE, LONGEST, SAMPLE_WORDS = {1: 1500, 0: 2500}, 2000, 1_500_000
 HELD_OUT, CALIBRATION = 0, 1
 #: Sharpness of the soft maximum, epoch by epoch; None: the maximum itself.
 EPOCHS: tuple[float | None, ...] = (1.0, 2.0, 4.0, None)
+#: Epochs repeat until training takes so many steps.
+LEAST_STEPS = 160
 #: Width of a bin of outputs, and their range.
 BIN, RANGE = 0.1, 40.0
 EDGE = np.zeros(256, bool)
@@ -94,7 +96,7 @@ class Model:
     def outputs(self, words: np.ndarray, own: np.ndarray, responses: list[np.ndarray] | None = None) -> np.ndarray:
         """The output before the sigmoid for each document of a block."""
         responses = responses or self.responses()
-        pool = np.zeros((len(own) - 1, len(WIDTHS) * FILTERS), np.float32)
+        pool = np.full((len(own) - 1, len(WIDTHS) * FILTERS), -1e9, np.float32)  # a text without words shows nothing
         full = np.flatnonzero(np.diff(own) > 0)
         if len(full):
             parts = responses[0][words[:, 0]]
@@ -156,7 +158,9 @@ def train(docs: list[tuple[np.ndarray, int]], epochs: tuple[float | None, ...] =
     weights = {1: len(docs) / (2 * ones), 0: len(docs) / (2 * (len(docs) - ones))}
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in model.parameters()]
     step = 0
-    for n, sharp in enumerate(epochs):
+    again = -(-LEAST_STEPS // max(1, len(epochs) * -(-len(docs) // batch)))
+    schedule = [sharp for sharp in epochs for _ in range(again)]
+    for n, sharp in enumerate(schedule):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), batch):
             some = [docs[i] for i in order[at : at + batch]]
@@ -164,7 +168,7 @@ def train(docs: list[tuple[np.ndarray, int]], epochs: tuple[float | None, ...] =
             y = np.array([y for _, y in some], np.float32)
             grads = model.gradients(np.concatenate([w for w, _ in some]), own, y, np.array([weights[k] for _, k in some], np.float32), sharp)
             step += 1
-            pace = rate * (1 - 0.8 * n / len(epochs)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            pace = rate * (1 - 0.8 * n / len(schedule)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for p, g, (m, v) in zip(model.parameters(), grads, moments, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
@@ -333,9 +337,12 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     own = docs.select(*names) if "lang" in names else docs.select(*names, F.lit(None).cast("string").alias("lang"))
     model = fit(own, labels)
     found = calibrate(own, labels, model)
-    scored = with_output(own.withColumn("_text", F.col("text").cast("string")), model).drop("_text")
-    scored = scored.join(found.cuts, F.col("lang").cast("string") == F.col("_lang"), "left")  # its size is known: a written table
+    plain = [f"c{i}" for i in range(len(names))]  # so that no column of `docs` clashes with one of ours
+    renamed = own.select(*(F.col(f"`{c}`").alias(p) for c, p in zip(names, plain, strict=True)), F.col("doc_id").alias("_id"), F.col("lang").cast("string").alias("_of"), F.col("text").cast("string").alias("_text"))
+    scored = with_output(renamed, model).drop("_text")
+    scored = scored.join(found.cuts, F.col("_of") == F.col("_lang"), "left")  # its size is known: a written table
     sigmoid = lambda z: 1 / (1 + F.exp(-(z * F.lit(found.slope) + F.lit(found.shift))))
-    scored = scored.withColumns({"held_out": fold() == HELD_OUT, "score": sigmoid(F.col("_z")), "threshold": F.coalesce(sigmoid(F.col("_cut")), F.lit(0.5))})
+    held, score_, least = fold("_id") == HELD_OUT, sigmoid(F.col("_z")), F.coalesce(sigmoid(F.col("_cut")), F.lit(0.5))
     rejected = F.col("_z") >= F.coalesce("_cut", F.lit(found.cut))
-    return scored.withColumns({"predicted": (F.col("score") >= 0.5).cast("int"), "rejected": rejected}).select(*names, *ADDED)
+    added = (held, score_, (score_ >= 0.5).cast("int"), least, rejected)
+    return scored.select(*(F.col(p).alias(c) for c, p in zip(names, plain, strict=True)), *(x.alias(c) for c, x in zip(ADDED, added, strict=True)))
