@@ -24,33 +24,45 @@ def align(segments: DataFrame, tokens: DataFrame, profile: str = "base_arabic_le
     method = F.when(F.col("_n") == 0, "UNMATCHED").when(F.col("_n") > 1, "AMBIGUOUS").when(same, "NORMALIZED").otherwise("DIRECT")
     out = met.withColumn("_n", n).withColumn("method", method)
     confidence = F.when(F.col("method") == "DIRECT", 1.0).when(F.col("method") == "NORMALIZED", 0.95).otherwise(0.0)
-    status = F.when(F.col("method") == "UNMATCHED", "unmatched").when(F.col("method") == "AMBIGUOUS", "ambiguous").otherwise("aligned")
-    return out.withColumns({"confidence": confidence, "status": status, "is_ambiguous": F.col("method") == "AMBIGUOUS"}).drop("_n")
+    return out.withColumns({"confidence": confidence, "status": F.lower("method"), "is_ambiguous": F.col("method") == "AMBIGUOUS"}).drop("_n")
+
+
+#: Rules of the staged alignment, each with its status for a whole token, its status for a segment, and its confidence.
+RULES = {
+    "invalid_locator": ("unaligned", "unaligned", 0.0),
+    "missing_locator": ("unaligned", "unaligned", 0.0),
+    "exact_token": ("aligned", "aligned", 1.0),
+    "segment_exact": ("aligned", "aligned", 1.0),
+    "normalized_token": ("aligned", "partial", 0.9),
+    "bounded_candidate": ("partial", "partial", 0.6),
+    "several_candidates": ("ambiguous", "ambiguous", 0.0),
+    "surface_mismatch": ("unaligned", "unaligned", 0.0),
+}
 
 
 def align_staged(segments: DataFrame, tokens: DataFrame) -> DataFrame:
-    """The staged rules: exact address, then marks-stripped equality, then candidates in the same unit; ambiguous ones keep no token.
+    """The staged rules: a token at the address, then equality with or without marks, then candidates in the same unit; ambiguous ones keep no token.
 
-    segments: segment_id, locator (raw), address (collection_no, unit_no, token_no; null if invalid), segment_no, form.
+    segments: segment_id, collection_no, unit_no, token_no (null where the locator is invalid), segment_no, form.  An address without a token
+    ends the search: nothing elsewhere is tried.  Adds rule, status, confidence and token_id.
     """
     at = segments.join(tokens.select(*ADDRESS, F.col("token_id").alias("_at"), F.col("surface").alias("_surface")), ADDRESS, "left")
-    key = remove_marks(F.col("form"))
     others = tokens.select("collection_no", "unit_no", remove_marks(F.col("surface")).alias("_key"), F.col("token_id").alias("_other"))
     others = others.groupBy("collection_no", "unit_no", "_key").agg(F.count("*").alias("_count"), F.min("_other").alias("_one"))
-    met = at.withColumn("_key", key).join(others, ["collection_no", "unit_no", "_key"], "left")
+    met = at.withColumn("_key", remove_marks(F.col("form"))).join(others, ["collection_no", "unit_no", "_key"], "left")
     part = F.col("segment_no").isNotNull()
-    exact, near = F.col("_surface") == F.col("form"), remove_marks(F.col("_surface")) == F.col("_key")
+    invalid = F.col("collection_no").isNull() | F.col("unit_no").isNull() | F.col("token_no").isNull()
     rule = (
-        F.when(F.col("locator").isNull() | (F.col("locator") == ""), "missing_locator").when(F.col("collection_no").isNull(), "invalid_locator")
-        .when(exact, F.when(part, "segment_exact").otherwise("exact_token")).when(near, "marks_removed")
-        .when(F.col("_count") == 1, "single_candidate").when(F.col("_count") > 1, "several_candidates").otherwise("surface_mismatch")
+        F.when(invalid, "invalid_locator").when(F.col("_at").isNull(), "missing_locator")
+        .when(F.col("_surface") == F.col("form"), F.when(part, "segment_exact").otherwise("exact_token"))
+        .when(remove_marks(F.col("_surface")) == F.col("_key"), "normalized_token")
+        .when(F.col("_count") == 1, "bounded_candidate").when(F.col("_count") > 1, "several_candidates").otherwise("surface_mismatch")
     )
     out = met.withColumn("rule", rule)
-    r = F.col("rule")
-    status = F.when(r.isin("segment_exact", "exact_token"), "aligned").when(r == "marks_removed", F.when(part, "partial").otherwise("aligned")).when(r == "single_candidate", "partial").when(r == "several_candidates", "ambiguous").otherwise("unaligned")
-    confidence = F.when(r.isin("segment_exact", "exact_token"), 1.0).when(r == "marks_removed", 0.9).when(r == "single_candidate", 0.6).otherwise(0.0)
-    token = F.when(r.isin("segment_exact", "exact_token", "marks_removed"), F.col("_at")).when(r == "single_candidate", F.col("_one"))
-    return out.withColumns({"status": status, "confidence": confidence, "token_id": token}).drop("_at", "_surface", "_key", "_count", "_one")
+    of = lambda i: F.element_at(F.create_map(*(F.lit(x) for r, told in RULES.items() for x in (r, told[i]))), F.col("rule"))
+    own = F.col("rule").isin("exact_token", "segment_exact", "normalized_token")
+    token = F.when(own, F.col("_at")).when(F.col("rule") == "bounded_candidate", F.col("_one"))
+    return out.withColumns({"status": F.when(part, of(1)).otherwise(of(0)), "confidence": of(2), "token_id": token}).drop("_at", "_surface", "_key", "_count", "_one")
 
 
 def statistics(aligned: DataFrame) -> DataFrame:
@@ -71,5 +83,34 @@ def conflicts(analyses: DataFrame, key: str = "token_id", dimensions: tuple[str,
     return some.select(key, found.alias("dimensions")).where(F.size("dimensions") > 0)
 
 
+def with_conflicts(aligned: DataFrame, analyses: DataFrame) -> DataFrame:
+    """`aligned` with status `conflict` where its token has conflicting analyses, and conflict_dimensions (empty elsewhere)."""
+    met = aligned.join(conflicts(analyses), "token_id", "left")
+    found = F.coalesce("dimensions", F.array().cast("array<string>"))
+    return met.withColumns({"status": F.when(F.size(found) > 0, "conflict").otherwise(F.col("status")), "conflict_dimensions": found}).drop("dimensions")
+
+
+def conflicting(aligned: DataFrame, dimension: str | None = None) -> DataFrame:
+    """Rows in conflict, about one dimension if it is named."""
+    rows = aligned.where(F.col("status") == "conflict")
+    return rows if dimension is None else rows.where(F.array_contains("conflict_dimensions", dimension))
+
+
+def at_locator(aligned: DataFrame, collection_no: int, unit_no: int, token_no: int) -> DataFrame:
+    return aligned.where((F.col("collection_no") == collection_no) & (F.col("unit_no") == unit_no) & (F.col("token_no") == token_no))
+
+
+def validation_counts(records: DataFrame, analyses: DataFrame, aligned: DataFrame) -> DataFrame:
+    """One row: parsed records, analyses, aligned rows, and whether each parsed record has an analysis and each analysis a row."""
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    one = n(records.where("parse_status = 'parsed'"), "parsed").join(n(analyses, "analyses")).join(n(aligned, "alignments"))  # one row each
+    return one.withColumn("valid", (F.col("parsed") == F.col("analyses")) & (F.col("analyses") <= F.col("alignments")))
+
+
+def unaligned_only(segments: DataFrame, done: DataFrame) -> DataFrame:
+    """Segments that an earlier run has not aligned: aligning these and appending makes a repeated run add nothing."""
+    return segments.join(done.select("segment_id").distinct(), "segment_id", "left_anti")
+
+
 def unresolved(staged: DataFrame, status: str) -> DataFrame:
     return staged.where(F.col("status") == status)

@@ -65,6 +65,18 @@ def segment_distribution(evidence: DataFrame) -> DataFrame:
     return own.groupBy("segments").agg(F.count("*").alias("tokens"))
 
 
+parser_status_distribution, source_release_distribution, alignment_method_distribution = parser_statuses, releases, methods
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n) of each table: one plan, counts only."""
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in sorted(tables.items())]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def page(rows: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     """count descending, value ascending with nulls last; 1 to 500 rows."""
     if not 1 <= limit <= 500 or offset < 0:

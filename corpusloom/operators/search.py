@@ -24,6 +24,23 @@ def normalized(tokens: DataFrame, value: str, profile: str) -> DataFrame:
     return values(tokens, profile).where(F.col("value") == value)
 
 
+def missing_normalized(tokens: DataFrame, done: DataFrame, profile: str) -> DataFrame:
+    """(token_id, profile, value) of the tokens that `done` (token_id, profile) lacks under this profile: what an incremental run appends."""
+    have = done.where(F.col("profile") == profile).select("token_id")
+    rows = tokens.join(have, "token_id", "left_anti")
+    return values(rows, profile).select("token_id", F.lit(profile).alias("profile"), "value")
+
+
+def in_units(tokens: DataFrame, units: DataFrame) -> DataFrame:
+    """Tokens with their unit's columns: the inner join by unit_id."""
+    return tokens.join(units, "unit_id")
+
+
+def with_normalized(tokens: DataFrame, units: DataFrame, normalized_tokens: DataFrame, profile: str) -> DataFrame:
+    """Tokens with their unit and stored normalized value under one profile; tokens without a value are not in it."""
+    return in_units(tokens, units).join(normalized_tokens.where(F.col("profile") == profile).select("token_id", "value"), "token_id")
+
+
 def occurrences(text: Column, pattern: str) -> Column:
     """0-based starts of all occurrences, overlapping ones included; an empty pattern has none."""
     none = F.array().cast("array<int>")
@@ -77,11 +94,15 @@ def phrase(tokens: DataFrame, text: str, keys: list[str], profile: str | None =
     return rows.withColumns({"_hit": hit, "phrase_end": last}).where("_hit").drop("_hit")
 
 
-def repeated_ngrams(tokens: DataFrame, n: int, keys: list[str], profile: str | None = None, locations: bool = False) -> DataFrame:
-    """(gram, n[, locations]): runs of 2..10 tokens met more than once; a null-free key joins words by one space."""
+def repeated_ngrams(tokens: DataFrame, n: int, keys: list[str], profile: str | None = None, locations: bool = False, cross_unit: list[str] | None = None) -> DataFrame:
+    """(gram, n[, locations]): runs of 2..10 tokens met more than once; a null-free key joins words by one space.
+
+    Runs stay in one unit, or, given `cross_unit` (columns that partition the stream), may go over unit ends.
+    """
     if not 2 <= n <= 10:
         raise ValueError("n must be from 2 to 10")
-    found = grams(values(tokens, profile), n, keys, ["token_no"]).select(F.array_join("gram", " ").alias("gram"), *keys, "token_no")
+    part, order = (keys, ["token_no"]) if cross_unit is None else (cross_unit, [k for k in keys if k not in cross_unit] + ["token_no"])
+    found = grams(values(tokens, profile), n, part, order).select(F.array_join("gram", " ").alias("gram"), *keys, "token_no")
     count = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     if not locations:
         return count

@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..provenance import canonical_hash
+from . import projections
 from .ast import Aggregate, Boolean, Cooccurrence, Expression, Predicate, Query, RequestError, SetRequest
 from .binding import GROUP, IDENTITY, base, order_columns
-from .scope import PRODUCTION, Registry, required, requested_releases, resolve
+from .scope import PRODUCTION, Registry, required, requested_releases, resolve, same_adapters, scope_metadata
 
 COLUMN = {"canonical_text": "unit_text", "token": "surface", "segment": "segment_index"} | {d: GROUP[d] for d in ("root", "lemma", "pos", "collection", "unit", "source_release", "alignment_method", "parser_status")}
 ARRAYS = {"feature": "features", "normalization_profile": "profiles"}
@@ -43,21 +44,35 @@ class Engine:
         """`releases` (id: adapter) turns scope and capability checks on."""
         self.evidence, self.releases, self.registry = evidence, releases, registry
 
+    def scope(self, query: Query, dimensions: tuple[str, ...] = (), unit: str | None = None, strict: bool = True) -> tuple[int, ...]:
+        """Releases that a request reads; it must be able to be served from them."""
+        assert self.releases is not None
+        return resolve(self.releases, requested_releases(query.where, strict), required(query, dimensions, unit), self.registry)
+
     def rows(self, query: Query, dimensions: tuple[str, ...] = (), unit: str | None = None, strict: bool = True) -> DataFrame:
         rows = base(self.evidence)
         if self.releases is not None:
-            ids = resolve(self.releases, requested_releases(query.where, strict), required(query, dimensions, unit), self.registry)
-            rows = rows.where(F.col("release_id").isin(list(ids)))
+            rows = rows.where(F.col("release_id").isin(list(self.scope(query, dimensions, unit, strict))))
         return rows.where(compiled(query.canonical().where))
 
+    def operands(self, request: SetRequest | Cooccurrence) -> None:
+        """Refuse operands of different adapters before anything runs."""
+        if self.releases is not None:
+            same_adapters(self.releases, self.scope(request.left, unit=request.identity), self.scope(request.right, unit=request.identity))
+
+    def about(self, query: Query, dimensions: tuple[str, ...] = (), unit: str | None = None, strict: bool = True) -> dict[str, Any]:
+        if self.releases is None:
+            return {}
+        return {"scope": scope_metadata(self.releases, requested_releases(query.where, strict), self.scope(query, dimensions, unit, strict))}
+
     # filter and page
     def matches(self, query: Query) -> DataFrame:
         return self.rows(query, strict=False).orderBy(*order_columns()).offset(query.offset).limit(query.limit)
 
     def execute(self, query: Query) -> dict[str, Any]:
         total = self.rows(query, strict=False).count()
-        page = [r.asDict(True) for r in self.matches(query).collect()]  # at most 500 rows
-        return self.result("query", query, {"total": total, "returned": len(page), "truncated": query.offset + len(page) < total, "matches": page})
+        page = [r.asDict(True) for r in projections.research_matches(self.matches(query)).collect()]  # at most 500 rows
+        return self.result("query", query, {"total": total, "returned": len(page), "truncated": query.offset + len(page) < total, "matches": page} | self.about(query, strict=False))
 
     # aggregate
     def groups(self, request: Aggregate) -> DataFrame:
@@ -100,11 +115,12 @@ class Engine:
         out = {"total_groups": total, "groups": page, "truncated": request.offset + len(page) < total}
         if request.evidence_samples:
             out["evidence"] = [r.asDict() for r in self.samples(request, page_df).collect()]
-        return self.result("aggregate", request, out)
+        return self.result("aggregate", request, out | self.about(request.query, request.group_by, request.unit))
 
     # sets
     def tagged(self, request: SetRequest) -> DataFrame:
         """(id, l, r): one shuffle serves all four operations and their cardinalities."""
+        self.operands(request)
         i = F.col(IDENTITY[request.identity])
         side = lambda q, left: self.rows(q, unit=request.identity).where(i.isNotNull()).select(i.alias("id"), F.lit(left).alias("l"), F.lit(not left).alias("r")).distinct()
         return side(request.left, True).union(side(request.right, False)).groupBy("id").agg(F.max("l").alias("l"), F.max("r").alias("r"))
@@ -142,6 +158,7 @@ class Engine:
 
     # co-occurrence
     def sides(self, request: Cooccurrence) -> tuple[DataFrame, DataFrame]:
+        self.operands(request)
         own = lambda q: self.rows(q, unit="CANONICAL_TOKEN").where("unit_id is not null and token_id is not null").select("unit_id", "collection_no", "unit_no", "token_id").distinct()
         return own(request.left), own(request.right)
 
@@ -189,5 +206,5 @@ class Engine:
     @staticmethod
     def result(kind: str, request: Any, payload: dict[str, Any]) -> dict[str, Any]:
         """Rows with the request's canonical form, and a hash over both."""
-        body = {"kind": kind, "request": request.to_dict(), **payload}
+        body = {"kind": kind, "request": request.canonical().to_dict(), **payload}
         return body | {"reproducibility_hash": canonical_hash(body)}

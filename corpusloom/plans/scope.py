@@ -23,19 +23,43 @@ class Capability(str, Enum):
     PARSER_STATUS = "parser_status"
 
 
-#: Capabilities that dimensions and count units need.
-NEEDS = {
-    "root": Capability.ROOT, "lemma": Capability.LEMMA, "pos": Capability.POS, "feature": Capability.FEATURES, "segment": Capability.TOKEN_SEGMENTATION,
-    "segment_text": Capability.TOKEN_SEGMENTATION, "token": Capability.TOKEN_ALIGNMENT, "token_text": Capability.TOKEN_ALIGNMENT, "canonical_text": Capability.TOKEN_ALIGNMENT,
-    "collection": Capability.SOURCE_LOCATOR, "unit": Capability.SOURCE_LOCATOR, "alignment_method": Capability.TOKEN_ALIGNMENT,
-    "normalization_profile": Capability.NORMALIZATION, "parser_status": Capability.PARSER_STATUS, "MATCH_ROW": Capability.TOKEN_ALIGNMENT, "CANONICAL_TOKEN": Capability.TOKEN_ALIGNMENT,
-    "CANONICAL_UNIT": Capability.TOKEN_ALIGNMENT, "CANONICAL_COLLECTION": Capability.TOKEN_ALIGNMENT, "MORPHOLOGICAL_SEGMENT": Capability.TOKEN_SEGMENTATION, "SOURCE_NATIVE_RECORD": Capability.SOURCE_LOCATOR,
+_C = Capability
+#: Capabilities that dimensions and count units need, besides morphology.
+NEEDS: dict[str, tuple[Capability, ...]] = {
+    "root": (_C.ROOT,), "lemma": (_C.LEMMA,), "pos": (_C.POS,), "feature": (_C.FEATURES,), "segment": (_C.TOKEN_SEGMENTATION,), "segment_text": (_C.TOKEN_SEGMENTATION,),
+    "token": (_C.TOKEN_ALIGNMENT,), "token_text": (_C.TOKEN_ALIGNMENT,), "canonical_text": (_C.TOKEN_ALIGNMENT,), "collection": (_C.SOURCE_LOCATOR,), "unit": (_C.SOURCE_LOCATOR,),
+    "alignment_method": (_C.TOKEN_ALIGNMENT,), "normalization_profile": (_C.NORMALIZATION,), "parser_status": (_C.PARSER_STATUS,),
+    "MATCH_ROW": (_C.TOKEN_ALIGNMENT,), "CANONICAL_TOKEN": (_C.TOKEN_ALIGNMENT, _C.SOURCE_LOCATOR), "CANONICAL_UNIT": (_C.TOKEN_ALIGNMENT, _C.SOURCE_LOCATOR),
+    "CANONICAL_COLLECTION": (_C.TOKEN_ALIGNMENT, _C.SOURCE_LOCATOR), "MORPHOLOGICAL_SEGMENT": (_C.TOKEN_SEGMENTATION,), "SOURCE_NATIVE_RECORD": (_C.SOURCE_LOCATOR,),
 }
 
 
 def required(query: Query, dimensions: Iterable[str] = (), unit: str | None = None) -> set[Capability]:
     names = [p.dimension for p in walk(query.where)] + list(dimensions) + ([unit] if unit else [])
-    return {Capability.MORPHOLOGY} | {NEEDS[n] for n in names if n in NEEDS}
+    return {Capability.MORPHOLOGY} | {c for n in names for c in NEEDS.get(n, ())}
+
+
+def scope_metadata(releases: dict[int, str], requested: Iterable[int], effective: Iterable[int]) -> dict[str, Any]:
+    """What a result says of its scope: ids asked for, read, left out and unknown, and the adapters read by."""
+    asked, read = sorted(set(requested)), sorted(set(effective))
+    return {
+        "requested": asked, "effective": read, "excluded": sorted(set(releases) - set(read)), "rejected": [r for r in asked if r not in releases],
+        "adapters": sorted({releases[r] for r in read}),
+    }
+
+
+def same_adapters(releases: dict[int, str], left: Iterable[int], right: Iterable[int]) -> None:
+    """Both operands of a set operation or of pairs are read by one adapter."""
+    if {releases[r] for r in left} != {releases[r] for r in right}:
+        raise RequestError("incompatible_source_scope", "both operands need the same adapter")
+
+
+def adapter_of(metadata: dict[str, Any], formats: dict[str, str]) -> str:
+    """The adapter of a release: its recorded identity, else the one that reads its format."""
+    found = metadata.get("source_identity") or formats.get(str(metadata.get("format")))
+    if not found:
+        raise RequestError("no_registered_adapter", "neither identity nor format names an adapter")
+    return str(found)
 
 
 @dataclass(frozen=True)
@@ -64,6 +88,7 @@ class Registry:
         return tuple(self.known[k] for k in sorted(self.known))
 
 
+#: Fixed value: the adapter of the v0.4 layout.
 PRODUCTION = Registry([Adapter("qac-morphology-v0.4", frozenset(Capability))])
 
 
@@ -118,16 +143,24 @@ class Lifecycle(str, Enum):
     RETIRED = "RETIRED"
 
 
+_L = Lifecycle
+#: States that may follow each state.
+TRANSITIONS = {
+    _L.DISCOVERED: {_L.UNDER_REVIEW, _L.DEFERRED, _L.UNAVAILABLE, _L.UNSUPPORTED, _L.RETIRED},
+    _L.UNDER_REVIEW: {_L.AVAILABLE, _L.DEFERRED, _L.UNAVAILABLE, _L.UNSUPPORTED, _L.RETIRED},
+    _L.AVAILABLE: {_L.REGISTERED, _L.DEFERRED, _L.UNAVAILABLE, _L.UNSUPPORTED, _L.RETIRED},
+    _L.REGISTERED: {_L.INGESTED, _L.DEFERRED, _L.UNAVAILABLE, _L.UNSUPPORTED, _L.RETIRED},
+    _L.INGESTED: {_L.ACTIVE, _L.DEFERRED, _L.UNAVAILABLE, _L.UNSUPPORTED, _L.RETIRED},
+    _L.ACTIVE: {_L.DEFERRED, _L.UNAVAILABLE, _L.UNSUPPORTED, _L.RETIRED},
+    _L.DEFERRED: {_L.UNDER_REVIEW, _L.UNAVAILABLE, _L.UNSUPPORTED, _L.RETIRED},
+    _L.UNAVAILABLE: {_L.UNDER_REVIEW, _L.RETIRED},
+    _L.UNSUPPORTED: {_L.UNDER_REVIEW, _L.RETIRED},
+    _L.RETIRED: set(),
+}
+
+
 def transitions(state: Lifecycle) -> frozenset[Lifecycle]:
-    """One step along the working path, or out of it; what left may come back to review, what retired may not."""
-    path = [Lifecycle.DISCOVERED, Lifecycle.UNDER_REVIEW, Lifecycle.AVAILABLE, Lifecycle.REGISTERED, Lifecycle.INGESTED, Lifecycle.ACTIVE]
-    out = {Lifecycle.DEFERRED, Lifecycle.UNAVAILABLE, Lifecycle.UNSUPPORTED, Lifecycle.RETIRED}
-    if state in path:
-        at = path.index(state)
-        return frozenset(out | set(path[at + 1 : at + 2]))
-    if state is Lifecycle.DEFERRED:
-        return frozenset({Lifecycle.UNDER_REVIEW, Lifecycle.UNAVAILABLE, Lifecycle.UNSUPPORTED, Lifecycle.RETIRED})
-    return frozenset() if state is Lifecycle.RETIRED else frozenset({Lifecycle.UNDER_REVIEW, Lifecycle.RETIRED})
+    return frozenset(TRANSITIONS[state])
 
 
 @dataclass(frozen=True)

@@ -16,6 +16,7 @@ from typing import Any
 
 def _plain(value: Any) -> Any:
     if isinstance(value, datetime):
+        value = value.replace(microsecond=0)
         return value.astimezone(UTC).isoformat().replace("+00:00", "Z") if value.tzinfo else value.isoformat() + "Z"
     if isinstance(value, date | Path):
         return str(value)
@@ -25,7 +26,7 @@ def _plain(value: Any) -> Any:
         return dataclasses.asdict(value)
     if isinstance(value, set | frozenset):
         return sorted(value)
-    raise TypeError(f"no canonical form: {type(value).__name__}")
+    return str(value)
 
 
 def canonical_json(value: Any) -> str:

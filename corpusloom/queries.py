@@ -6,6 +6,8 @@ are derived by rule (stem, root, tag), so the SQL can derive them too.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +16,8 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .functions.normalize import ALIF_VARIANTS, ANNOTATION_RANGES, normalize
 from .operators import alignment, analytics, search
-from .plans import ast
-from .plans.binding import COLUMNS
+from .plans import ast, projections
+from .plans.binding import build_evidence, write_evidence
 from .plans.engine import Engine
 from .sources import corpus
 
@@ -33,33 +35,92 @@ def conversation_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", (F.col("_i") + 1).alias("token_no"), "surface", "unit_text")
 
 
-def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Places of a turn and of a token in an id: room for 2**20 turns a conversation and 2**20 tokens a turn.
+TURNS, TOKENS = 1 << 20, 1 << 20
+
+
+def star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The tables of an aligned corpus, derived by rule from conversations.
+
+    Every token is a source record with an analysis; records of punctuation or digits only are malformed.  A word with a last
+    point or comma has two segments.  Conversations alternate between a completed run of each of two releases and an unfinished
+    one.  Tokens with an apostrophe are unmatched; those that end a turn are ambiguous with the one before.
+    """
     rows = conversation_tokens(spark, sf_dir).withColumn("stem", F.regexp_replace(F.lower("surface"), "[^a-z]", ""))
-    unit = F.col("conv_id") * 1000 + F.col("turn")
-    row = unit * 100000 + F.col("token_no")
-    lemma = F.nullif(F.col("stem"), F.lit(""))
-    root = F.when(F.length("stem") >= 3, F.substring("stem", 1, 3))
-    pos = F.when(F.col("surface").rlike("[.,]$"), "P").when(F.col("surface").rlike("^[A-Z]"), "N").otherwise("V")
-    made = rows.withColumns({"lemma": lemma, "root": root, "pos": pos, "row": row, "unit_id": unit})
-    one = {
-        "release_id": F.lit(1), "run_status": F.lit("completed"), "alignment_id": F.col("row"), "status": F.lit("aligned"),
-        "method": F.when(F.col("pos") == "P", "NORMALIZED").otherwise("DIRECT"), "confidence": F.when(F.col("pos") == "P", 0.95).otherwise(1.0), "analysis_id": F.col("row"),
-        "record_id": F.col("row"), "segment_id": F.col("row"), "source_line": F.col("token_no"), "parse_status": F.lit("parsed"), "segment_index": F.lit(1), "form": F.col("surface"),
-        "features": F.array_compact(F.array(F.concat(F.lit("POS:"), "pos"), F.concat(F.lit("LEM:"), "lemma"), F.concat(F.lit("ROOT:"), "root"))), "token_id": F.col("row"),
-        "collection_id": F.col("conv_id"), "collection_no": F.col("conv_id") + 1, "unit_no": F.col("turn") + 1, "profiles": F.when(F.length("surface") <= 3, F.array(F.lit("short"))).otherwise(F.array().cast("array<string>")),
-    }
-    return made.withColumns(one).select(*COLUMNS)
+    unit = F.col("conv_id") * TURNS + F.col("turn")
+    rows = rows.withColumns({"unit_id": unit, "id": unit * TOKENS + F.col("token_no"), "size": F.size(tx.surfaces(F.col("unit_text")))})
+    none = F.array().cast("array<string>")
+    units = table(spark, sf_dir, "conversations").select(unit.alias("unit_id"), F.col("conv_id").alias("collection_id"), (F.col("conv_id") + 1).alias("collection_no"), (F.col("turn") + 1).alias("unit_no"), F.col("text").alias("unit_text"))
+    tokens = rows.select(F.col("id").alias("token_id"), "unit_id", "token_no", "surface", F.when(F.length("surface") <= 3, F.array(F.lit("short"))).otherwise(none).alias("profiles"))
+    features = F.array_compact(F.array(F.concat(F.lit("LEM:"), F.nullif("stem", F.lit(""))), F.when(F.length("stem") >= 3, F.concat(F.lit("ROOT:"), F.substring("stem", 1, 3)))))
+    records = rows.select(F.col("id").alias("record_id"), F.col("token_no").alias("source_line"), F.when(F.col("stem") == "", "malformed").otherwise("parsed").alias("parse_status"), features.alias("features"))
+    analyses = rows.select(F.col("id").alias("analysis_id"), F.col("id").alias("record_id"), F.nullif("stem", F.lit("")).alias("lemma"), F.when(F.length("stem") >= 3, F.substring("stem", 1, 3)).alias("root"))
+    mark = F.regexp_extract("surface", "[.,]$", 0)
+    tag = F.when(F.col("surface").rlike("^[A-Z]"), "N").when(F.length("stem") > 2, "V")
+    parts = F.array_compact(F.array(F.struct(F.lit(1).alias("segment_index"), F.regexp_replace("surface", "[.,]$", "").alias("form"), tag.alias("pos")), F.when(mark != "", F.struct(F.lit(2).alias("segment_index"), mark.alias("form"), F.lit("P").alias("pos")))))
+    segments = rows.select(F.col("id").alias("analysis_id"), F.explode(parts).alias("s")).select((F.col("analysis_id") * 2 + F.col("s.segment_index") - 1).alias("segment_id"), "analysis_id", "s.*")
+    runs = spark.createDataFrame([(0, 1, "completed"), (1, 2, "completed"), (2, 2, "running")], "run_id long, release_id int, run_status string")
+    twice = (F.col("token_no") == F.col("size")) & (F.col("token_no") > 1)
+    unmatched = F.instr("surface", "'") > 0
+    status = F.when(unmatched, "unmatched").when(twice, "ambiguous").when(mark != "", "normalized").otherwise("direct")
+    found = F.when(unmatched, F.array(F.lit(None).cast("long"))).when(twice, F.array(F.col("id"), F.col("id") - 1)).otherwise(F.array("id"))
+    alignment = rows.select((F.col("conv_id") % 3).alias("run_id"), "id", "unit_id", status.alias("status"), F.size(parts).alias("n"), F.posexplode(found).alias("candidate", "token_id"))
+    alignment = alignment.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
+    confidence = F.when(F.col("status") == "direct", 1.0).when(F.col("status") == "normalized", 0.95).otherwise(0.0)
+    alignment = alignment.select(
+        (F.col("id") * 4 + F.col("part") * 2 + F.col("candidate")).alias("alignment_id"), "run_id", (F.col("id") * 2 + F.col("part")).alias("segment_id"), "token_id",
+        "status", F.upper("status").alias("method"), confidence.alias("confidence"),
+    )
+    return {"alignment": alignment, "runs": runs, "segments": segments, "analyses": analyses, "records": records, "tokens": tokens, "units": units}
+
+
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The star joined and written once a session: one row for each alignment row; unmatched rows have neither token nor unit.
+
+    Requests read the written table, so they prune its columns and push filters into its scan.  Without a folder that all executors
+    share, it is joined anew.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                return build_evidence(**star(spark, sf_dir))
+            folder = f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
+        path = f"{folder.rstrip('/')}/evidence-{uuid.uuid4().hex}"
+        write_evidence(build_evidence(**star(spark, sf_dir)), path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
 
 
 EVIDENCE_SQL = f"""
 t AS (SELECT conv_id, turn, text, regexp_extract_all(text, '[^{WS}]+') AS ts FROM conversations),
-tok AS (SELECT conv_id, turn, text, ts, unnest(range(1, len(ts) + 1)) AS token_no FROM t),
-s AS (SELECT conv_id, turn, text AS unit_text, token_no, ts[token_no] AS surface, regexp_replace(lower(ts[token_no]), '[^a-z]', '', 'g') AS stem FROM tok),
-a AS (SELECT *, nullif(stem, '') AS lemma, CASE WHEN length(stem) >= 3 THEN left(stem, 3) END AS root,
-  CASE WHEN regexp_matches(surface, '[.,]$') THEN 'P' WHEN regexp_matches(surface, '^[A-Z]') THEN 'N' ELSE 'V' END AS pos,
-  conv_id * 1000 + turn AS unit_id, (conv_id * 1000 + turn) * 100000 + token_no AS row_id FROM s),
-ev AS (SELECT *, conv_id AS collection_id, conv_id + 1 AS collection_no, turn + 1 AS unit_no, CASE WHEN pos = 'P' THEN 'NORMALIZED' ELSE 'DIRECT' END AS method,
-  list_filter(['POS:' || pos, 'LEM:' || lemma, 'ROOT:' || root], lambda x: x IS NOT NULL) AS features, length(surface) <= 3 AS short FROM a)
+tok AS (SELECT conv_id, turn, text, ts, len(ts) AS size, unnest(range(1, len(ts) + 1)) AS token_no FROM t),
+s AS (SELECT conv_id, turn, text AS unit_text, size, token_no, ts[token_no] AS surface, regexp_replace(lower(ts[token_no]), '[^a-z]', '', 'g') AS stem,
+  conv_id * {TURNS} + turn AS unit_id, (conv_id * {TURNS} + turn) * {TOKENS} + token_no AS id FROM tok),
+seg AS (
+  SELECT id, 1 AS segment_index, regexp_replace(surface, '[.,]$', '') AS form, CASE WHEN regexp_matches(surface, '^[A-Z]') THEN 'N' WHEN length(stem) > 2 THEN 'V' END AS pos FROM s
+  UNION ALL SELECT id, 2, right(surface, 1), 'P' FROM s WHERE regexp_matches(surface, '[.,]$')
+),
+al AS (
+  SELECT s.*, CASE WHEN contains(surface, chr(39)) THEN 'unmatched' WHEN token_no = size AND token_no > 1 THEN 'ambiguous' WHEN regexp_matches(surface, '[.,]$') THEN 'normalized' ELSE 'direct' END AS status FROM s
+),
+hit AS (
+  SELECT *, 0 AS candidate, CASE WHEN status <> 'unmatched' THEN id END AS token_id FROM al
+  UNION ALL SELECT *, 1, id - 1 FROM al WHERE status = 'ambiguous'
+),
+every_row AS (
+  SELECT CASE WHEN h.conv_id % 3 = 0 THEN 1 ELSE 2 END AS release_id, CASE WHEN h.conv_id % 3 = 2 THEN 'running' ELSE 'completed' END AS run_status, h.id * 4 + (g.segment_index - 1) * 2 + h.candidate AS alignment_id,
+    h.status, upper(h.status) AS method, h.id AS analysis_id, h.id AS record_id, h.id * 2 + g.segment_index - 1 AS segment_id, h.token_no AS source_line, CASE WHEN h.stem = '' THEN 'malformed' ELSE 'parsed' END AS parse_status,
+    g.segment_index, g.form, g.pos, CASE WHEN length(h.stem) >= 3 THEN left(h.stem, 3) END AS root, nullif(h.stem, '') AS lemma,
+    list_filter(['LEM:' || nullif(h.stem, ''), CASE WHEN length(h.stem) >= 3 THEN 'ROOT:' || left(h.stem, 3) END], lambda x: x IS NOT NULL) AS features,
+    h.token_id, k.unit_id, k.conv_id AS collection_id, k.conv_id + 1 AS collection_no, k.turn + 1 AS unit_no, k.token_no, k.surface, k.unit_text, length(k.surface) <= 3 AS short
+  FROM hit h JOIN seg g ON g.id = h.id LEFT JOIN s k ON k.id = h.token_id
+),
+ev AS (SELECT * FROM every_row WHERE run_status = 'completed' AND status <> 'unmatched')
 """
 WITH = f"WITH {EVIDENCE_SQL} "
 
@@ -80,17 +141,20 @@ FILTERS: dict[str, tuple[dict, str]] = {
     "or": ({"or": [STOP, p("lemma", "the")]}, "pos = 'P' OR lemma = 'the'"),
     "not_null_logic": ({"and": [{"not": [p("root", "the")]}, p("unit", 1)]}, "NOT (root = 'the') AND unit_no = 1"),
     "not_feature": ({"and": [{"not": [p("feature", "LEM:the")]}, p("unit", 2)]}, "NOT coalesce(list_contains(features, 'LEM:the'), false) AND unit_no = 2"),
-    "feature_in": (p("feature", ["ROOT:the", "POS:N"], "in"), "list_has_any(features, ['ROOT:the', 'POS:N'])"),
-    "segment_release_status": ({"and": [p("segment", 1), p("source_release", 1), p("parser_status", "parsed"), p("alignment_method", "NORMALIZED")]}, "method = 'NORMALIZED'"),
+    "feature_in": (p("feature", ["ROOT:the", "LEM:of"], "in"), "list_has_any(features, ['ROOT:the', 'LEM:of'])"),
+    "segment": ({"and": [p("segment", 2), p("collection", [1, 2], "in")]}, "segment_index = 2 AND collection_no IN (1, 2)"),
+    "release": ({"and": [p("source_release", 2), p("segment", [2, 3], "in")]}, "release_id = 2 AND segment_index IN (2, 3)"),
+    "parser_status": (p("parser_status", "malformed"), "parse_status = 'malformed'"),
+    "alignment_method": (p("alignment_method", ["AMBIGUOUS", "NORMALIZED"], "in"), "method IN ('AMBIGUOUS', 'NORMALIZED')"),
     "normalization_profile": ({"not": [p("normalization_profile", "short")]}, "NOT short"),
 }
 GROUPS = {
-    "collection": "collection_no", "unit": "unit_no", "root": "root", "lemma": "lemma", "pos": "pos", "source_release": "1", "alignment_method": "method", "parser_status": "'parsed'",
-    "token_text": "surface", "segment_text": "surface",
+    "collection": "collection_no", "unit": "unit_no", "root": "root", "lemma": "lemma", "pos": "pos", "source_release": "release_id", "alignment_method": "method", "parser_status": "parse_status",
+    "token_text": "surface", "segment_text": "form",
 }
 UNITS = {
-    "MATCH_ROW": "row_id", "CANONICAL_TOKEN": "row_id", "CANONICAL_UNIT": "unit_id", "CANONICAL_COLLECTION": "collection_id", "ANNOTATION_RECORD": "row_id",
-    "MORPHOLOGICAL_ANALYSIS": "row_id", "MORPHOLOGICAL_SEGMENT": "row_id", "SOURCE_NATIVE_RECORD": "row_id",
+    "MATCH_ROW": "alignment_id", "CANONICAL_TOKEN": "token_id", "CANONICAL_UNIT": "unit_id", "CANONICAL_COLLECTION": "collection_id", "ANNOTATION_RECORD": "record_id",
+    "MORPHOLOGICAL_ANALYSIS": "analysis_id", "MORPHOLOGICAL_SEGMENT": "segment_id", "SOURCE_NATIVE_RECORD": "record_id",
 }
 
 Pair = tuple[Callable[[SparkSession, str], DataFrame], str]
@@ -101,7 +165,7 @@ def _query(where: dict, limit: int = 50, offset: int = 0) -> ast.Query:
 
 
 def _engine(spark: SparkSession, sf_dir: str) -> Engine:
-    return Engine(evidence(spark, sf_dir), {1: "qac-morphology-v0.4"})
+    return Engine(evidence(spark, sf_dir), {1: "qac-morphology-v0.4", 2: "qac-morphology-v0.4"})
 
 
 def _filters() -> dict[str, Pair]:
@@ -110,12 +174,12 @@ def _filters() -> dict[str, Pair]:
         def run(spark: SparkSession, d: str, where: dict = where) -> DataFrame:
             return _engine(spark, d).rows(_query(where), strict=False).select("alignment_id", "surface", "root", "pos")
 
-        out[f"filter_{name}"] = run, f"{WITH} SELECT row_id AS alignment_id, surface, root, pos FROM ev WHERE {sql}"
+        out[f"filter_{name}"] = run, f"{WITH} SELECT alignment_id, surface, root, pos FROM ev WHERE {sql}"
 
     def page(spark: SparkSession, d: str) -> DataFrame:
         return _engine(spark, d).matches(_query(NOUN, 40, 25)).select("collection_no", "unit_no", "token_no", "surface")
 
-    out["page_offset"] = page, f"{WITH} SELECT collection_no, unit_no, CAST(token_no AS INTEGER) AS token_no, surface FROM ev WHERE pos = 'N' ORDER BY collection_no, unit_no, token_no LIMIT 40 OFFSET 25"
+    out["page_offset"] = page, f"{WITH} SELECT collection_no, unit_no, CAST(token_no AS INTEGER) AS token_no, surface FROM ev WHERE pos = 'N' ORDER BY collection_no, unit_no, token_no, segment_index, source_line, alignment_id LIMIT 40 OFFSET 25"
     return out
 
 
@@ -132,13 +196,12 @@ def _aggregates() -> dict[str, Pair]:
     base = "NOT (root = 'zzz')"
     for d, column in GROUPS.items():
         keep = f"AND {column} IS NOT NULL" if d in ("root", "lemma", "pos") else ""
-        cast = f"CAST({column} AS INTEGER)" if d == "source_release" else column
-        add(f"agg_{d}", f"{WITH} SELECT {cast} AS {d}, count(DISTINCT row_id) AS value FROM ev WHERE {base} {keep} GROUP BY 1 ORDER BY value DESC, 1 NULLS LAST LIMIT 200", unit="MORPHOLOGICAL_SEGMENT", group_by=(d,), limit=200)
-    add("agg_feature", f"{WITH} SELECT f AS feature, count(DISTINCT row_id) AS value FROM (SELECT row_id, unnest(features) AS f FROM ev WHERE {base}) GROUP BY f ORDER BY value DESC, f LIMIT 200", unit="MORPHOLOGICAL_SEGMENT", group_by=("feature",), limit=200)
+        add(f"agg_{d}", f"{WITH} SELECT {column} AS {d}, count(DISTINCT segment_id) AS value FROM ev WHERE {base} {keep} GROUP BY 1 ORDER BY value DESC, 1 NULLS LAST LIMIT 200", unit="MORPHOLOGICAL_SEGMENT", group_by=(d,), limit=200)
+    add("agg_feature", f"{WITH} SELECT f AS feature, count(DISTINCT segment_id) AS value FROM (SELECT segment_id, unnest(features) AS f FROM ev WHERE {base}) GROUP BY f ORDER BY value DESC, f LIMIT 200", unit="MORPHOLOGICAL_SEGMENT", group_by=("feature",), limit=200)
     for u, column in UNITS.items():
         add(f"agg_{u.lower()}", f"{WITH} SELECT pos, count(DISTINCT {column}) AS value FROM ev WHERE {base} GROUP BY pos ORDER BY value DESC, pos LIMIT 100", unit=u, group_by=("pos",))
     add("agg_scalar", f"{WITH} SELECT count(DISTINCT unit_id) AS value FROM ev WHERE root = 'the'", unit="CANONICAL_UNIT", where=p("root", "the"))
-    add("agg_multi_dim", f"{WITH} SELECT collection_no AS collection, pos, root, count(DISTINCT row_id) AS value FROM ev WHERE pos = 'N' AND root IS NOT NULL GROUP BY ALL ORDER BY value, collection, pos, root LIMIT 150 OFFSET 10", unit="CANONICAL_TOKEN", group_by=("collection", "pos", "root"), order="asc", limit=150, offset=10, where=NOUN)
+    add("agg_multi_dim", f"{WITH} SELECT collection_no AS collection, pos, root, count(DISTINCT token_id) AS value FROM ev WHERE pos = 'N' AND root IS NOT NULL GROUP BY ALL ORDER BY value, collection, pos, root LIMIT 150 OFFSET 10", unit="CANONICAL_TOKEN", group_by=("collection", "pos", "root"), order="asc", limit=150, offset=10, where=NOUN)
 
     def total(spark: SparkSession, d: str) -> DataFrame:
         return _engine(spark, d).groups(ast.Aggregate(_query(NOUN), "CANONICAL_TOKEN", group_by=("lemma",))).agg(F.count("*").alias("total_groups"))
@@ -151,9 +214,9 @@ def _aggregates() -> dict[str, Pair]:
         return e.samples(request, e.aggregate_page(request)).select("root", "rank", "stable_id", "surface")
 
     out["agg_topk_evidence"] = topk, (
-        f"{WITH}, g AS (SELECT root, count(DISTINCT row_id) AS v FROM ev WHERE pos = 'V' AND root IS NOT NULL GROUP BY root ORDER BY v DESC, root LIMIT 20), "
-        "r AS (SELECT root, row_id, surface, row_number() OVER (PARTITION BY root ORDER BY row_id) AS rk FROM ev WHERE pos = 'V' AND root IN (SELECT root FROM g)) "
-        "SELECT root, CAST(rk AS INTEGER) AS rank, row_id AS stable_id, surface FROM r WHERE rk <= 3"
+        f"{WITH}, g AS (SELECT root, count(DISTINCT token_id) AS v FROM ev WHERE pos = 'V' AND root IS NOT NULL GROUP BY root ORDER BY v DESC, root LIMIT 20), "
+        "r AS (SELECT root, token_id, surface, row_number() OVER (PARTITION BY root ORDER BY token_id, alignment_id) AS rk FROM ev WHERE pos = 'V' AND root IN (SELECT root FROM g)) "
+        "SELECT root, CAST(rk AS INTEGER) AS rank, token_id AS stable_id, surface FROM r WHERE rk <= 3"
     )
     return out
 
@@ -178,9 +241,9 @@ def _sets() -> dict[str, Pair]:
 
     out["set_cardinalities"] = counts, f"{sides}, x AS (SELECT count(*) AS o FROM (SELECT id FROM l INTERSECT SELECT id FROM r)) SELECT (SELECT count(*) FROM l) AS left_count, (SELECT count(*) FROM r) AS right_count, o AS overlap, (SELECT count(*) FROM l) + (SELECT count(*) FROM r) - 2 * o AS result FROM x"
     co = ast.Cooccurrence(_query(p("root", "the")), _query(NOUN), limit=500)
-    both = f"{WITH}, l AS (SELECT DISTINCT unit_id, collection_no, unit_no, row_id FROM ev WHERE root = 'the'), r AS (SELECT DISTINCT unit_id, row_id FROM ev WHERE pos = 'N')"
-    out["cooccurrence_pairs"] = (lambda spark, d: _engine(spark, d).pairs(co)), f"{both} SELECT collection_no, unit_no, l.unit_id, l.row_id AS left_id, r.row_id AS right_id FROM l JOIN r ON l.unit_id = r.unit_id"
-    out["cooccurrence_page"] = (lambda spark, d: _engine(spark, d).pair_page(co)), f"{both} SELECT collection_no, unit_no, l.unit_id, l.row_id AS left_id, r.row_id AS right_id FROM l JOIN r ON l.unit_id = r.unit_id ORDER BY ALL LIMIT 500"
+    both = f"{WITH}, l AS (SELECT DISTINCT unit_id, collection_no, unit_no, token_id FROM ev WHERE root = 'the'), r AS (SELECT DISTINCT unit_id, token_id FROM ev WHERE pos = 'N')"
+    out["cooccurrence_pairs"] = (lambda spark, d: _engine(spark, d).pairs(co)), f"{both} SELECT collection_no, unit_no, l.unit_id, l.token_id AS left_id, r.token_id AS right_id FROM l JOIN r ON l.unit_id = r.unit_id"
+    out["cooccurrence_page"] = (lambda spark, d: _engine(spark, d).pair_page(co)), f"{both} SELECT collection_no, unit_no, l.unit_id, l.token_id AS left_id, r.token_id AS right_id FROM l JOIN r ON l.unit_id = r.unit_id ORDER BY ALL LIMIT 500"
     out["cooccurrence_counts"] = (lambda spark, d: _engine(spark, d).pair_counts(co)), f"{both}, j AS (SELECT l.unit_id, l.collection_no FROM l JOIN r ON l.unit_id = r.unit_id) SELECT (SELECT count(*) FROM l) AS left_tokens, (SELECT count(*) FROM r) AS right_tokens, count(DISTINCT unit_id) AS units, count(DISTINCT collection_no) AS collections, count(*) AS pairs FROM j"
     return out
 
@@ -190,21 +253,34 @@ def _statistics() -> dict[str, Pair]:
         return lambda spark, d: f(evidence(spark, d))
 
     def value(column: str, where: str = "true") -> str:
-        return f"{WITH} SELECT {column} AS value, count(DISTINCT row_id) AS n FROM ev WHERE {where} GROUP BY 1"
+        return f"{WITH} SELECT {column} AS value, count(DISTINCT segment_id) AS n FROM ev WHERE {where} GROUP BY 1"
+
+    def counted(s: SparkSession, d: str) -> DataFrame:
+        return analytics.table_counts(star(s, d) | {"conversations": table(s, d, "conversations")})
 
+    records = "(SELECT DISTINCT id FROM s)"
     return {
-        "stats_summary": (stat(analytics.summary), f"{WITH} SELECT count(DISTINCT row_id) AS segments, count(DISTINCT row_id) AS tokens, count(DISTINCT unit_id) AS units, count(DISTINCT row_id) AS records, count(*) AS rows FROM ev"),
+        "stats_summary": (stat(analytics.summary), f"{WITH} SELECT count(DISTINCT segment_id) AS segments, count(DISTINCT token_id) AS tokens, count(DISTINCT unit_id) AS units, count(DISTINCT record_id) AS records, count(*) AS rows FROM ev"),
         "stats_root": (stat(analytics.roots), value("root", "root IS NOT NULL")),
         "stats_lemma": (stat(analytics.lemmas), value("lemma", "lemma IS NOT NULL")),
         "stats_tag": (stat(analytics.tags), value("pos")),
-        "stats_feature": (stat(analytics.features), f"{WITH} SELECT value, count(DISTINCT row_id) AS n FROM (SELECT row_id, unnest(features) AS value FROM ev) GROUP BY value"),
-        "stats_source_release": (stat(analytics.releases), value("CAST(1 AS INTEGER)")),
-        "stats_parser_status": (stat(analytics.parser_statuses), value("'parsed'")),
-        "stats_alignment": (stat(analytics.methods), value("method")),
-        "stats_collections": (stat(analytics.collections), f"{WITH} SELECT collection_no, count(DISTINCT row_id) AS segments, count(DISTINCT row_id) AS tokens, count(DISTINCT unit_id) AS units FROM ev GROUP BY 1"),
-        "stats_units": (stat(analytics.units), f"{WITH} SELECT collection_no, unit_no, count(DISTINCT row_id) AS segments, count(DISTINCT row_id) AS tokens FROM ev GROUP BY 1, 2"),
-        "stats_segment_distribution": (stat(analytics.segment_distribution), f"{WITH} SELECT segments, count(*) AS tokens FROM (SELECT row_id, count(DISTINCT row_id) AS segments FROM ev GROUP BY row_id) GROUP BY 1"),
+        "stats_feature": (stat(analytics.features), f"{WITH} SELECT value, count(DISTINCT segment_id) AS n FROM (SELECT segment_id, unnest(features) AS value FROM ev) GROUP BY value"),
+        "stats_source_release": (stat(analytics.source_release_distribution), value("release_id")),
+        "stats_parser_status": (stat(analytics.parser_status_distribution), value("parse_status")),
+        "stats_alignment": (stat(analytics.alignment_method_distribution), value("method")),
+        "stats_collections": (stat(analytics.collections), f"{WITH} SELECT collection_no, count(DISTINCT segment_id) AS segments, count(DISTINCT token_id) AS tokens, count(DISTINCT unit_id) AS units FROM ev GROUP BY 1"),
+        "stats_units": (stat(analytics.units), f"{WITH} SELECT collection_no, unit_no, count(DISTINCT segment_id) AS segments, count(DISTINCT token_id) AS tokens FROM ev GROUP BY 1, 2"),
+        "stats_segment_distribution": (stat(analytics.segment_distribution), f"{WITH} SELECT segments, count(*) AS tokens FROM (SELECT token_id, count(DISTINCT segment_id) AS segments FROM ev WHERE token_id IS NOT NULL GROUP BY token_id) GROUP BY 1"),
         "stats_page": (lambda spark, d: analytics.page(analytics.lemmas(evidence(spark, d)), 60, 5), f"{value('lemma', 'lemma IS NOT NULL')} ORDER BY n DESC, value LIMIT 60 OFFSET 5"),
+        "stats_table_counts": (counted, f"{WITH} SELECT 'alignment' AS name, count(*) AS n FROM every_row UNION ALL SELECT 'runs', 3 UNION ALL SELECT 'segments', count(*) FROM seg UNION ALL SELECT 'analyses', count(*) FROM {records} UNION ALL SELECT 'records', count(*) FROM {records} UNION ALL SELECT 'tokens', count(*) FROM {records} UNION ALL SELECT 'units', count(*) FROM conversations UNION ALL SELECT 'conversations', count(*) FROM conversations"),
+        "evidence_star_join": (lambda s, d: evidence(s, d).select("alignment_id", "release_id", "run_status", "status", "confidence", "segment_id", "token_id", "unit_id", "token_no", "surface", "form"), f"{WITH} SELECT alignment_id, release_id, run_status, status, CASE status WHEN 'direct' THEN 1.0::DOUBLE WHEN 'normalized' THEN 0.95::DOUBLE ELSE 0.0::DOUBLE END AS confidence, segment_id, token_id, unit_id, token_no, surface, form FROM every_row"),
+        "morphology_filter": (stat(lambda e: projections.MorphologyFilter(segment=1, pos="N", method="DIRECT", release=2, feature="ROOT:the").apply(e).select("alignment_id", "segment_id", "form")), f"{WITH} SELECT alignment_id, segment_id, form FROM ev WHERE segment_index = 1 AND pos = 'N' AND method = 'DIRECT' AND release_id = 2 AND list_contains(features, 'ROOT:the')"),
+        "morphology_occurrences": (stat(lambda e: projections.MorphologyQuery(pos="P", limit=200, offset=30).page(e).select("alignment_id", "collection_no", "unit_no", "token_no", "form", "parse_status", "unit_text", F.array_join("features", "|").alias("features"))), f"{WITH} SELECT alignment_id, collection_no, unit_no, token_no, form, parse_status, unit_text, array_to_string(features, '|') AS features FROM ev WHERE pos = 'P' ORDER BY collection_no, unit_no, token_no, segment_index, source_line, alignment_id LIMIT 200 OFFSET 30"),
+        "research_matches": (
+            lambda s, d: projections.research_matches(_engine(s, d).matches(_query(NOUN, 300))).select("coordinate.unit_no", "token", "segment", "evidence.canonical_id", "evidence.alignment.method", "evidence.source_native.source_line", F.col("release.release_id").alias("release_id")),
+            f"{WITH} SELECT unit_no, surface AS token, form AS segment, concat_ws(':', collection_no, unit_no, token_no) AS canonical_id, method, source_line, release_id FROM ev WHERE pos = 'N' ORDER BY collection_no, unit_no, token_no, segment_index, source_line, alignment_id LIMIT 300",
+        ),
+        "pair_policies_agree": (lambda s, d: _engine(s, d).pairs(ast.Cooccurrence(_query(p("root", "the")), _query(NOUN), pair_policy="ALL_CROSS_PRODUCT_PAIRS")).agg(F.count("*").alias("pairs"), F.count(F.when(F.col("left_id") == F.col("right_id"), 1)).alias("selves")), f"{WITH}, l AS (SELECT DISTINCT unit_id, token_id FROM ev WHERE root = 'the'), r AS (SELECT DISTINCT unit_id, token_id FROM ev WHERE pos = 'N') SELECT count(*) AS pairs, count(CASE WHEN l.token_id = r.token_id THEN 1 END) AS selves FROM l JOIN r USING (unit_id)"),
     }
 
 
@@ -224,7 +300,7 @@ def conv_spans(spark: SparkSession, d: str) -> DataFrame:
     return tx.tokenize(table(spark, d, "conversations"), "text", "conv_id", "turn")
 
 
-CONV = f"WITH {EVIDENCE_SQL}"
+CONV = f"WITH {EVIDENCE_SQL}"  # s holds the tokens
 
 
 def _text() -> dict[str, Pair]:
@@ -238,15 +314,15 @@ def _text() -> dict[str, Pair]:
     )
     out["search_substring_token"] = (
         lambda s, d: search.substring(table(s, d, "conversations"), conv_spans(s, d), "ere", ["conv_id", "turn"]).groupBy(F.col("token_no").isNull().alias("uncovered")).agg(F.count("*").alias("n")),
-        f"{CONV} SELECT false AS uncovered, CAST(sum(len(list_filter(range(1, length(surface) - 1), lambda i: substr(surface, i, 3) = 'ere'))) AS BIGINT) AS n FROM ev WHERE length(surface) >= 3",
+        f"{CONV} SELECT false AS uncovered, CAST(sum(len(list_filter(range(1, length(surface) - 1), lambda i: substr(surface, i, 3) = 'ere'))) AS BIGINT) AS n FROM s WHERE length(surface) >= 3",
     )
-    out["search_phrase"] = (lambda s, d: search.phrase(conv_spans(s, d), "of the", ["conv_id", "turn"]).select("conv_id", "turn", "token_no")), f"{CONV}, n AS (SELECT *, lead(surface) OVER (PARTITION BY conv_id, turn ORDER BY token_no) AS nxt FROM ev) SELECT conv_id, turn, CAST(token_no AS INTEGER) AS token_no FROM n WHERE surface = 'of' AND nxt = 'the'"
-    out["search_phrase_cross_unit"] = (lambda s, d: search.phrase(conv_spans(s, d), "the and", ["conv_id", "turn"], cross_unit=["conv_id"]).select("conv_id", "turn", "token_no")), f"{CONV}, n AS (SELECT *, lead(surface) OVER (PARTITION BY conv_id ORDER BY turn, token_no) AS nxt FROM ev) SELECT conv_id, turn, CAST(token_no AS INTEGER) AS token_no FROM n WHERE surface = 'the' AND nxt = 'and'"
+    out["search_phrase"] = (lambda s, d: search.phrase(conv_spans(s, d), "of the", ["conv_id", "turn"]).select("conv_id", "turn", "token_no")), f"{CONV}, n AS (SELECT *, lead(surface) OVER (PARTITION BY conv_id, turn ORDER BY token_no) AS nxt FROM s) SELECT conv_id, turn, CAST(token_no AS INTEGER) AS token_no FROM n WHERE surface = 'of' AND nxt = 'the'"
+    out["search_phrase_cross_unit"] = (lambda s, d: search.phrase(conv_spans(s, d), "the and", ["conv_id", "turn"], cross_unit=["conv_id"]).select("conv_id", "turn", "token_no")), f"{CONV}, n AS (SELECT *, lead(surface) OVER (PARTITION BY conv_id ORDER BY turn, token_no) AS nxt FROM s) SELECT conv_id, turn, CAST(token_no AS INTEGER) AS token_no FROM n WHERE surface = 'the' AND nxt = 'and'"
     out["token_frequency_raw"] = (lambda s, d: search.frequency(doc_words(s, d))), f"{DOC_TOKENS} SELECT surface AS value, count(*) AS n FROM w GROUP BY 1"
     out["token_frequency_normalized"] = (lambda s, d: search.frequency(doc_words(s, d), PROFILE)), f"{DOC_TOKENS} SELECT regexp_replace(surface, '[{marks}]+', '', 'g') AS value, count(*) AS n FROM w GROUP BY 1"
     for n in (2, 3, 5):
         leads = " || ' ' || ".join(["surface", *(f"lead(surface, {i}) OVER o" for i in range(1, n))])
-        out[f"ngrams_repeated_{n}"] = (lambda s, d, n=n: search.repeated_ngrams(search.values(conversation_tokens(s, d)), n, ["conv_id", "turn"])), f"{CONV}, g AS (SELECT {leads} AS gram FROM ev WINDOW o AS (PARTITION BY conv_id, turn ORDER BY token_no)) SELECT gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY gram HAVING count(*) > 1"
+        out[f"ngrams_repeated_{n}"] = (lambda s, d, n=n: search.repeated_ngrams(search.values(conversation_tokens(s, d)), n, ["conv_id", "turn"])), f"{CONV}, g AS (SELECT {leads} AS gram FROM s WINDOW o AS (PARTITION BY conv_id, turn ORDER BY token_no)) SELECT gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY gram HAVING count(*) > 1"
     out["tokenize_spans"] = (
         lambda s, d: doc_tokens(s, d).groupBy("doc_id").agg(F.count("*").alias("tokens"), F.max("end").alias("last_end"), F.sum("start").alias("starts")),
         f"""{DOC_TOKENS}, g AS (SELECT doc_id, unnest(range(1, len(regexp_extract_all(text, '[{WS}]*[^{WS}]+')) + 1)) AS i, regexp_extract_all(text, '[{WS}]*[^{WS}]+') AS parts, ts FROM d),
@@ -289,47 +365,79 @@ def _sources() -> dict[str, Pair]:
     out["diagnostics_duplicates"] = (lambda s, d: corpus.duplicates(table(s, d, "lineitem"), "l_orderkey", "l_linenumber", order="l_partkey")), "SELECT l_orderkey, l_linenumber, min(l_partkey) AS first, count(*) - 1 AS further FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1"
 
     def sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-        words = conversation_tokens(s, d).select((F.col("conv_id") + 1).alias("collection_no"), (F.col("turn") + 1).alias("unit_no"), "token_no", "surface")
-        tokens = words.where("token_no % 7 <> 0").withColumn("token_id", (F.col("collection_no") * 1000 + F.col("unit_no")) * 100000 + F.col("token_no"))
-        tokens = tokens.union(tokens.where("token_no % 11 = 0").withColumn("token_id", -F.col("token_id")))
-        segments = words.withColumn("segment_id", (F.col("collection_no") * 1000 + F.col("unit_no")) * 100000 + F.col("token_no")).withColumn("form", F.when(F.col("token_no") % 5 == 0, F.concat("surface", F.lit("́"))).otherwise(F.col("surface"))).drop("surface")
-        return segments, tokens
-
-    words = f"{CONV}, x AS (SELECT collection_no, unit_no, token_no, surface, (collection_no * 1000 + unit_no) * 100000 + token_no AS id FROM ev), tokens AS (SELECT *, id AS token_id FROM x WHERE token_no % 7 <> 0 UNION ALL SELECT *, -id FROM x WHERE token_no % 7 <> 0 AND token_no % 11 = 0)"
-    out["align_locator"] = (lambda s, d: alignment.align(*sides(s, d)).select("segment_id", "token_id", "method", "confidence")), (
-        f"{words}, j AS (SELECT x.id AS segment_id, t.token_id, x.token_no, count(t.token_id) OVER (PARTITION BY x.id) AS n FROM x LEFT JOIN tokens t USING (collection_no, unit_no, token_no)) "
-        "SELECT segment_id, token_id, CASE WHEN n = 0 THEN 'UNMATCHED' WHEN n > 1 THEN 'AMBIGUOUS' WHEN token_no % 5 = 0 THEN 'NORMALIZED' ELSE 'DIRECT' END AS method, "
-        "CASE WHEN n <> 1 THEN 0.0::DOUBLE WHEN token_no % 5 = 0 THEN 0.95::DOUBLE ELSE 1.0::DOUBLE END AS confidence FROM j"
+        """All words as segments, marked in every fifth place; all words as tokens, in odd conversations two to an address, so that others stay unmatched."""
+        words = conversation_tokens(s, d).withColumn("id", (F.col("conv_id") * TURNS + F.col("turn")) * TOKENS + F.col("token_no"))
+        place = F.when(F.col("conv_id") % 2 == 0, F.col("token_no")).otherwise(F.floor((F.col("token_no") + 1) / 2))
+        address = [(F.col("conv_id") + 1).alias("collection_no"), (F.col("turn") + 1).alias("unit_no")]
+        tokens = words.select(F.col("id").alias("token_id"), *address, place.cast("int").alias("token_no"), "surface")
+        form = F.when(F.col("token_no") % 5 == 0, F.concat("surface", F.lit("\u0301"))).otherwise(F.col("surface"))
+        return words.select(F.col("id").alias("segment_id"), *address, "token_no", form.alias("form")), tokens
+
+    words = (
+        f"{CONV}, k AS (SELECT id AS token_id, conv_id + 1 AS collection_no, turn + 1 AS unit_no, CASE WHEN conv_id % 2 = 0 THEN token_no ELSE (token_no + 1) // 2 END AS token_no, surface FROM s), "
+        "x AS (SELECT id AS segment_id, conv_id + 1 AS collection_no, turn + 1 AS unit_no, token_no, surface AS plain, CASE WHEN token_no % 5 = 0 THEN surface || chr(769) ELSE surface END AS form FROM s)"
+    )
+    out["align_locator"] = (lambda s, d: alignment.align(*sides(s, d)).select("segment_id", "token_id", "method", "status", "confidence")), (
+        f"{words}, j AS (SELECT segment_id, token_id, form, plain, k.surface, count(token_id) OVER (PARTITION BY segment_id) AS n FROM x LEFT JOIN k USING (collection_no, unit_no, token_no)), "
+        "m AS (SELECT *, CASE WHEN n = 0 THEN 'UNMATCHED' WHEN n > 1 THEN 'AMBIGUOUS' WHEN form <> surface AND plain = surface THEN 'NORMALIZED' ELSE 'DIRECT' END AS method FROM j) "
+        "SELECT segment_id, token_id, method, lower(method) AS status, CASE method WHEN 'DIRECT' THEN 1.0::DOUBLE WHEN 'NORMALIZED' THEN 0.95::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM m"
     )
 
     def staged(s: SparkSession, d: str) -> DataFrame:
-        segments, tokens = sides(s, d)
-        segments = segments.withColumn("locator", F.concat_ws(":", "collection_no", "unit_no", "token_no")).withColumn("segment_no", F.when(F.col("token_no") % 2 == 0, 1))
-        return alignment.align_staged(segments, tokens.where("token_id > 0")).select("segment_id", "status", "confidence", "token_id")
-
+        """Tokens one to an address, each turn without its first word, so that places are shifted and the last one lacks its token."""
+        segments, _ = sides(s, d)
+        tokens = conversation_tokens(s, d).select(
+            ((F.col("conv_id") * TURNS + F.col("turn")) * TOKENS + F.col("token_no")).alias("token_id"), (F.col("conv_id") + 1).alias("collection_no"), (F.col("turn") + 1).alias("unit_no"),
+            F.when(F.col("conv_id") % 2 == 0, F.col("token_no")).otherwise(F.col("token_no") - 1).alias("token_no"), "surface",
+        )
+        return alignment.align_staged(segments.withColumn("segment_no", F.when(F.col("token_no") % 2 == 0, 1)), tokens).select("segment_id", "rule", "status", "confidence", "token_id")
+
+    # SURVEY L3: no token at the address ends it; equal; equal without marks; one candidate in the unit; several; none
     out["align_staged"] = staged, (
-        f"{words}, own AS (SELECT * FROM tokens WHERE token_id > 0), k AS (SELECT collection_no, unit_no, surface, count(*) AS n, min(token_id) AS one FROM own GROUP BY ALL), "
-        "j AS (SELECT x.id AS segment_id, x.token_no, t.token_id AS hit, coalesce(k.n, 0) AS n, k.one FROM x LEFT JOIN own AS t USING (collection_no, unit_no, token_no) LEFT JOIN k ON k.collection_no = x.collection_no AND k.unit_no = x.unit_no AND k.surface = x.surface) "
-        "SELECT segment_id, CASE WHEN hit IS NOT NULL AND token_no % 5 <> 0 THEN 'aligned' WHEN hit IS NOT NULL THEN CASE WHEN token_no % 2 = 0 THEN 'partial' ELSE 'aligned' END WHEN n = 1 THEN 'partial' WHEN n > 1 THEN 'ambiguous' ELSE 'unaligned' END AS status, "
-        "CASE WHEN hit IS NOT NULL AND token_no % 5 <> 0 THEN 1.0::DOUBLE WHEN hit IS NOT NULL THEN 0.9::DOUBLE WHEN n = 1 THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END AS confidence, CASE WHEN hit IS NOT NULL THEN hit WHEN n = 1 THEN one END AS token_id FROM j"
+        f"{CONV}, k AS (SELECT id AS token_id, conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN token_no ELSE token_no - 1 END AS token_no, surface FROM s), "
+        "c AS (SELECT conv_id, turn, surface, count(*) AS n, min(token_id) AS one FROM k GROUP BY ALL), "
+        "j AS (SELECT s.id AS segment_id, s.token_no, s.token_no % 5 = 0 AS marked, k.token_id AS hit_id, k.surface = s.surface AS same, coalesce(c.n, 0) AS n, c.one FROM s LEFT JOIN k ON k.conv_id = s.conv_id AND k.turn = s.turn AND k.token_no = s.token_no "
+        "LEFT JOIN c ON c.conv_id = s.conv_id AND c.turn = s.turn AND c.surface = s.surface), "
+        "r AS (SELECT *, CASE WHEN hit_id IS NULL THEN 'missing_locator' WHEN same AND NOT marked THEN CASE WHEN token_no % 2 = 0 THEN 'segment_exact' ELSE 'exact_token' END WHEN same THEN 'normalized_token' WHEN n = 1 THEN 'bounded_candidate' WHEN n > 1 THEN 'several_candidates' ELSE 'surface_mismatch' END AS rule FROM j) "
+        "SELECT segment_id, rule, CASE WHEN rule IN ('segment_exact', 'exact_token') THEN 'aligned' WHEN rule = 'normalized_token' THEN CASE WHEN token_no % 2 = 0 THEN 'partial' ELSE 'aligned' END WHEN rule = 'bounded_candidate' THEN 'partial' WHEN rule = 'several_candidates' THEN 'ambiguous' ELSE 'unaligned' END AS status, "
+        "CASE WHEN rule IN ('segment_exact', 'exact_token') THEN 1.0::DOUBLE WHEN rule = 'normalized_token' THEN 0.9::DOUBLE WHEN rule = 'bounded_candidate' THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END AS confidence, "
+        "CASE WHEN rule IN ('segment_exact', 'exact_token', 'normalized_token') THEN hit_id WHEN rule = 'bounded_candidate' THEN one END AS token_id FROM r"
     )
+    analyses = lambda s, d: evidence(s, d).select(F.md5("surface").alias("token_id"), "lemma", "root", "pos")
     out["conflict_detection"] = (
-        lambda s, d: alignment.conflicts(evidence(s, d).select(F.col("unit_id").alias("token_id"), F.when(F.col("token_no") <= 2, F.col("lemma")).alias("lemma"), F.lit("x").alias("root"), F.when(F.col("token_no") <= 3, F.col("pos")).alias("pos"))).select("token_id", F.array_join("dimensions", ",").alias("dimensions")),
-        f"{CONV}, c AS (SELECT unit_id AS token_id, count(DISTINCT CASE WHEN token_no <= 2 THEN lemma END) AS l, count(DISTINCT CASE WHEN token_no <= 3 THEN pos END) AS p FROM ev GROUP BY 1) "
-        "SELECT token_id, concat_ws(',', CASE WHEN l > 1 THEN 'lemma' END, CASE WHEN p > 1 THEN 'pos' END) AS dimensions FROM c WHERE l > 1 OR p > 1",
+        lambda s, d: alignment.conflicts(analyses(s, d)).select("token_id", F.array_join("dimensions", ",").alias("dimensions")),
+        f"{CONV}, c AS (SELECT md5(surface) AS token_id, count(DISTINCT lemma) AS l, count(DISTINCT root) AS r, count(DISTINCT pos) AS p FROM every_row WHERE surface IS NOT NULL GROUP BY 1) "
+        "SELECT token_id, concat_ws(',', CASE WHEN l > 1 THEN 'lemma' END, CASE WHEN r > 1 THEN 'root' END, CASE WHEN p > 1 THEN 'pos' END) AS dimensions FROM c WHERE l > 1 OR r > 1 OR p > 1",
+    )
+    out["conflicts_written_back"] = (
+        lambda s, d: alignment.conflicting(alignment.with_conflicts(evidence(s, d).withColumn("token_id", F.md5("surface")), analyses(s, d)), "root").select("alignment_id", "status"),
+        f"{CONV}, c AS (SELECT surface FROM every_row WHERE surface IS NOT NULL GROUP BY surface HAVING count(DISTINCT root) > 1) SELECT alignment_id, 'conflict' AS status FROM every_row JOIN c USING (surface)",
+    )
+    out["alignment_statistics"] = (lambda s, d: alignment.statistics(alignment.align(*sides(s, d)))), (
+        f"{words}, j AS (SELECT segment_id, form, plain, k.surface, count(token_id) OVER (PARTITION BY segment_id) AS n FROM x LEFT JOIN k USING (collection_no, unit_no, token_no)) "
+        "SELECT CASE WHEN n = 0 THEN 'UNMATCHED' WHEN n > 1 THEN 'AMBIGUOUS' WHEN form <> surface AND plain = surface THEN 'NORMALIZED' ELSE 'DIRECT' END AS method, count(*) AS n, count(DISTINCT segment_id) AS segments FROM j GROUP BY 1"
+    )
+    out["validation_counts"] = (
+        lambda s, d: (lambda t: alignment.validation_counts(t["records"], t["analyses"], t["alignment"]))(star(s, d)),
+        f"{CONV}, n AS (SELECT (SELECT count(*) FROM s WHERE stem <> '') AS parsed, (SELECT count(*) FROM s) AS analyses, (SELECT count(*) FROM every_row) AS alignments) SELECT *, parsed = analyses AND analyses <= alignments AS valid FROM n",
+    )
+    out["incremental_alignment"] = (
+        lambda s, d: (lambda a: alignment.unaligned_only(a[0].where("segment_no = 2"), a[1]).select("segment_id"))((star(s, d)["segments"].withColumn("segment_no", F.col("segment_index")), star(s, d)["alignment"].where("status = 'direct'"))),
+        f"{CONV} SELECT id * 2 + 1 AS segment_id FROM seg WHERE segment_index = 2 AND id * 2 + 1 NOT IN (SELECT segment_id FROM every_row WHERE status = 'direct')",
+    )
+    out["missing_normalized_tokens"] = (
+        lambda s, d: search.missing_normalized(star(s, d)["tokens"], star(s, d)["tokens"].where("size(profiles) > 0").select("token_id", F.lit(PROFILE).alias("profile")), PROFILE),
+        f"{CONV} SELECT id AS token_id, '{PROFILE}' AS profile, regexp_replace(surface, '[{tx.char_class(tx.category_ranges('M'))}]+', '', 'g') AS value FROM s WHERE length(surface) > 3",
     )
 
-    def left_labels(s: SparkSession, d: str) -> DataFrame:
-        docs = table(s, d, "documents").select("doc_id", "lang")
-        return docs.join(table(s, d, "labels"), "doc_id", "left").groupBy("lang", "toxic").agg(F.count("*").alias("n"))
-
-    out["labels_left_join"] = left_labels, "SELECT lang, toxic, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2"
-
-    def star(s: SparkSession, d: str) -> DataFrame:
-        joined = table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        return joined.groupBy("c_mktsegment", "p_brand").agg(F.count_distinct("o_orderkey").alias("orders"), F.count_distinct("l_partkey").alias("parts"), F.count("*").alias("rows"))
-
-    out["star_join_agg"] = star, "SELECT c_mktsegment, p_brand, count(DISTINCT o_orderkey) AS orders, count(DISTINCT l_partkey) AS parts, count(*) AS rows FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2"
+    out["tokens_in_units"] = (
+        lambda s, d: search.in_units(star(s, d)["tokens"], star(s, d)["units"]).select("token_id", "collection_no", "unit_no", "token_no", "surface"),
+        f"{CONV} SELECT id AS token_id, conv_id + 1 AS collection_no, turn + 1 AS unit_no, token_no, surface FROM s",
+    )
+    out["tokens_with_normalized"] = (
+        lambda s, d: search.with_normalized(star(s, d)["tokens"], star(s, d)["units"], search.missing_normalized(star(s, d)["tokens"].where("size(profiles) > 0"), s.createDataFrame([], "token_id long, profile string"), PROFILE), PROFILE).select("token_id", "unit_no", "value"),
+        f"{CONV} SELECT id AS token_id, turn + 1 AS unit_no, regexp_replace(surface, '[{tx.char_class(tx.category_ranges('M'))}]+', '', 'g') AS value FROM s WHERE length(surface) <= 3",
+    )
     return out
 
 

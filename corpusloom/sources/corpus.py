@@ -28,9 +28,20 @@ def _any(low: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
+def decimal_digits() -> tuple[str, str]:
+    """Every decimal digit of Unicode, and the ASCII digit each stands for."""
+    found = [c for c in map(chr, range(0x110000)) if c.isdecimal()]
+    return "".join(found), "".join(str(int(c)) for c in found)
+
+
+DIGITS, PLAIN = decimal_digits()
+NUMBER = f"^[{DIGITS}]+$"
+
+
 def positive(value: Column) -> Column:
-    """A positive whole number in decimal digits, else null."""
-    return F.when(value.rlike(r"^[0-9]+$"), F.when(value.try_cast("long") > 0, value.try_cast("long")))
+    """A positive whole number in decimal digits of any script, else null."""
+    number = F.translate(value, DIGITS, PLAIN).try_cast("long")
+    return F.when(value.rlike(NUMBER) & (number > 0), number)
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -39,7 +50,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     first, second = positive(F.get(parts, F.lit(0))), positive(F.get(parts, F.lit(1)))
     shaped = F.size(parts) == 3
     unit = shaped & first.isNotNull() & second.isNotNull()
-    numeric = F.get(parts, F.lit(0)).rlike("^[0-9]+$") | F.get(parts, F.lit(1)).rlike("^[0-9]+$")
+    numeric = F.get(parts, F.lit(0)).rlike(NUMBER) | F.get(parts, F.lit(1)).rlike(NUMBER)
     kind = F.when(unit, "unit_record").when((F.size(parts) >= 2) & ~F.col("content").startswith("#") & numeric, "malformed").otherwise(line_class(F.col("content")))
     return lines.withColumns({
         "record_type": kind, "collection_no": F.when(unit, first), "unit_no": F.when(unit, second), "text": F.when(unit, F.get(parts, F.lit(2))),

@@ -10,7 +10,7 @@ from corpusloom import cli, export, provenance
 from corpusloom.functions import features, normalize
 from corpusloom.functions import text as tx
 from corpusloom.operators import alignment, search
-from corpusloom.plans import ast, scope
+from corpusloom.plans import ast, projections, scope
 from corpusloom.plans.engine import Engine
 from corpusloom.queries import evidence
 from corpusloom.sources import annotations, corpus, lines
@@ -182,3 +182,47 @@ def test_hashes_exports_and_cli(spark, tmp_path, capsys):
     assert len(json.loads(capsys.readouterr().out)["groups"]) == 2
     assert cli.main(["research", str(tmp_path / "ev"), '{"where": {}}']) == 2
     assert json.loads(capsys.readouterr().err)["code"] == "invalid_research_query"
+
+
+def test_staged_rules(spark):
+    """A missing token ends the search; equality goes before marks, marks before candidates of the unit."""
+    seg = spark.createDataFrame(
+        [(1, 1, 1, 9, None, "ab"), (2, 1, 1, 1, None, "ab"), (3, 1, 1, 1, 2, "ab"), (4, 1, 1, 2, 1, "c"), (5, 1, 1, 1, None, "ć"), (6, 1, 1, 1, None, "d"), (7, 1, 1, 1, None, "zz"), (8, None, None, None, None, "ab")],
+        "segment_id long, collection_no long, unit_no long, token_no long, segment_no int, form string",
+    )
+    tok = spark.createDataFrame([(10, 1, 1, 1, "ab"), (11, 1, 1, 2, "ć"), (12, 1, 1, 3, "d"), (13, 1, 1, 4, "d")], "token_id long, collection_no long, unit_no long, token_no long, surface string")
+    got = {r["segment_id"]: (r["rule"], r["status"], r["confidence"], r["token_id"]) for r in alignment.align_staged(seg, tok).collect()}
+    assert got == {
+        1: ("missing_locator", "unaligned", 0.0, None), 2: ("exact_token", "aligned", 1.0, 10), 3: ("segment_exact", "aligned", 1.0, 10), 4: ("normalized_token", "partial", 0.9, 11),
+        5: ("bounded_candidate", "partial", 0.6, 11), 6: ("several_candidates", "ambiguous", 0.0, None), 7: ("surface_mismatch", "unaligned", 0.0, None), 8: ("invalid_locator", "unaligned", 0.0, None),
+    }
+
+
+def test_equal_requests_hash_alike_and_errors_name_their_cause():
+    a, b = (ast.Query(ast.parse({"and": x})) for x in ([ROOT, {"dimension": "unit", "operator": "eq", "value": 1}], [{"dimension": "ayah", "operator": "eq", "value": 1}, ROOT]))
+    for make in (lambda q: q, lambda q: ast.Aggregate(q, "MATCH_ROW"), lambda q: ast.SetRequest(q, q, "CANONICAL_UNIT", "UNION"), lambda q: ast.Cooccurrence(q, q)):
+        assert Engine.result("x", make(a), {})["reproducibility_hash"] == Engine.result("x", make(b), {})["reproducibility_hash"]
+    assert ast.Aggregate(a, "MATCH_ROW").limit == 50
+    for code, make in (
+        ("unsupported_dimension", lambda: ast.Predicate("nope", "eq", "x")), ("unsupported_group_dimension", lambda: ast.Aggregate(a, "MATCH_ROW", group_by=("root", "root"))),
+        ("unsupported_metric", lambda: ast.Aggregate(a, "MATCH_ROW", order="up")),
+    ):
+        with pytest.raises(ast.RequestError) as e:
+            make()
+        assert e.value.code == code
+    assert scope.Capability.SOURCE_LOCATOR in scope.required(a, unit="CANONICAL_TOKEN")
+    told = scope.scope_metadata({1: "x", 2: "y"}, [1, 9], [1])
+    assert told == {"requested": [1, 9], "effective": [1], "excluded": [2], "rejected": [9], "adapters": ["x"]}
+    with pytest.raises(ast.RequestError):
+        scope.same_adapters({1: "x", 2: "y"}, [1], [2])
+    assert scope.adapter_of({"format": "f"}, {"f": "x"}) == "x"
+
+
+def test_numbers_in_any_script_and_morphology_filters(spark):
+    rows = spark.createDataFrame([("١٢|٣|text|more",), ("0|1|x",), ("a|b|c",)], "content string")
+    got = corpus.parse_lines(rows).collect()
+    assert (got[0]["collection_no"], got[0]["unit_no"], got[0]["text"]) == (12, 3, "text|more") and got[1]["record_type"] == "malformed"
+    for bad in ({}, {"root": "x", "limit": 501}, {"collection": 0}, {"method": "GUESSED"}):
+        with pytest.raises(ValueError):
+            projections.MorphologyQuery(**bad)
+    assert provenance.canonical_json({"t": __import__("datetime").datetime(2020, 1, 2, 3, 4, 5, 678)}) == '{"t":"2020-01-02T03:04:05Z"}'
