@@ -6,9 +6,10 @@ import re
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-pipeline = pytest.importorskip("corpus_pipeline")
 from tokenizers import Tokenizer  # noqa: E402
 
+import corpus_pipeline as pipeline  # noqa: E402
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
