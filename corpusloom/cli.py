@@ -1,14 +1,108 @@
-"""Command line: requests over an evidence table, readers and export checks."""
+"""Command line: requests over an evidence table, searches of a corpus, statistics, registration, runs and export checks."""
 
 from __future__ import annotations
 
 import argparse
 import sys
 from pathlib import Path
+from typing import Any
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .export import render, verify_export
 from .plans.ast import RequestError, load, request
+from .functions import normalize, text as tx
+from .operators import analytics, search
+from .plans.projections import FILTERS, NUMBERS, MorphologyQuery
 from .provenance import canonical_json, environment
+from .runs import RunLog
+
+KEYS = ["collection_no", "unit_no"]
+STATISTICS = {
+    "summary": analytics.summary, "root": analytics.roots, "lemma": analytics.lemmas, "tag": analytics.tags, "feature": analytics.features, "collections": analytics.collections, "units": analytics.units,
+    "segments": analytics.segment_distribution, "source-release": analytics.source_release_distribution, "parser-status": analytics.parser_status_distribution, "alignment": analytics.alignment_method_distribution,
+}
+#: Commands that answer with a page of rows.
+PAGED = ("search", "count", "ngrams", "unit", "token", "tokens", "morphology", "stats")
+
+
+def paged(sub: argparse._SubParsersAction) -> None:
+    """Parsers of the commands that answer with a page of rows of a corpus or an evidence table."""
+    made = {name: sub.add_parser(name) for name in PAGED}
+    made["search"].add_argument("kind", choices=["exact", "normalized", "substring", "phrase"])
+    for c in made.values():
+        c.add_argument("path")
+        c.add_argument("--profile")
+        c.add_argument("--limit", type=int, default=50)
+        c.add_argument("--offset", type=int, default=0)
+        c.add_argument("--runs", help="folder of a run log to record the page in")
+        c.add_argument("--allow-dirty", action="store_true")
+    made["search"].add_argument("value")
+    made["ngrams"].add_argument("n", type=int)
+    for name, places in (("unit", KEYS), ("token", [*KEYS, "token_no"])):
+        for place in places:
+            made[name].add_argument(place, type=int)
+    for f in [*FILTERS, "feature"]:
+        made["morphology"].add_argument(f"--{f}", type=int if f in NUMBERS else str)
+    made["stats"].add_argument("name", choices=list(STATISTICS))
+
+
+def page_of(spark: Any, a: argparse.Namespace) -> DataFrame:
+    """The rows that a paged command asks for, in a total order."""
+    if not 1 <= a.limit <= 500 or a.offset < 0:
+        raise ValueError("limit must be 1..500 and offset nonnegative")
+    if a.command == "morphology":
+        given = {f: getattr(a, f) for f in [*FILTERS, "feature"]}
+        return MorphologyQuery(**given, limit=a.limit, offset=a.offset).page(spark.read.parquet(a.path))
+    if a.command == "stats":
+        rows = STATISTICS[a.name](spark.read.parquet(a.path))
+        order = [F.desc("n"), F.asc_nulls_last("value")] if {"n", "value"} <= set(rows.columns) else [F.asc_nulls_last(c) for c in rows.columns]
+        return rows.orderBy(*order).offset(a.offset).limit(a.limit)
+    from .sources.corpus import read_corpus, units
+
+    own = units(read_corpus(spark, a.path))
+    tokens = tx.tokenize(own, "text", *KEYS)
+    if a.command == "count":
+        return search.frequency(tokens, a.profile).orderBy(F.desc("n"), "value").offset(a.offset).limit(a.limit)
+    if a.command == "ngrams":
+        return search.repeated_ngrams(tokens, a.n, KEYS, a.profile).orderBy(F.desc("n"), "gram").offset(a.offset).limit(a.limit)
+    if a.command == "search":
+        rows = {
+            "exact": lambda: search.exact(tokens, a.value), "normalized": lambda: search.normalized(tokens, a.value, a.profile or ""),
+            "substring": lambda: search.substring(own, tokens, a.value, KEYS), "phrase": lambda: search.phrase(tokens, a.value, KEYS, a.profile),
+        }[a.kind]()
+    else:
+        rows = own if a.command == "unit" else search.values(tokens, a.profile)
+        for place in {"unit": KEYS, "token": [*KEYS, "token_no"]}.get(a.command, []):
+            rows = rows.where(F.col(place) == getattr(a, place))
+    order = [*KEYS, *(c for c in ("token_no", "start") if c in rows.columns)]
+    return rows.orderBy(*order).offset(a.offset).limit(a.limit)
+
+
+def answer(spark: Any, a: argparse.Namespace) -> None:
+    """Print a page as JSON lines; with a run log, the run is recorded first and its rows with it."""
+    asked = {k: v for k, v in vars(a).items() if k not in ("runs", "allow_dirty") and v is not None}
+    log = RunLog(a.runs, spark) if a.runs else None
+    run = log.start(a.command, {"path": a.path}, {}, asked, allow_dirty=a.allow_dirty) if log else None
+    try:
+        rows = [r.asDict(True) for r in page_of(spark, a).collect()]  # at most 500 rows
+    except Exception as e:
+        if log:
+            log.fail(run["id"], str(e))
+        raise
+    if log:
+        log.finish(run["id"], rows)
+    sys.stdout.write("".join(canonical_json(r) + "\n" for r in rows))
+
+
+def normalization(a: argparse.Namespace) -> Any:
+    if a.action == "list":
+        return [normalize.profile(n) for n in normalize.profiles()]
+    if a.action == "show":
+        return normalize.profile(a.value)
+    got = normalize.explain_value(a.value, a.profile or "")
+    return got if a.action == "explain" else {"input": a.value, "value": got["value"], "changed": got["value"] != a.value}
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -27,12 +121,30 @@ def main(argv: list[str] | None = None) -> int:
     c = sub.add_parser("verify-export")
     c.add_argument("path")
     sub.add_parser("environment")
+    c = sub.add_parser("verify-run")
+    c.add_argument("runs")
+    c.add_argument("id", type=int)
+    c = sub.add_parser("register")
+    for name in ("path", "store", "name", "version"):
+        c.add_argument(name)
+    c = sub.add_parser("normalization")
+    c.add_argument("action", choices=["list", "show", "explain", "compare"])
+    c.add_argument("value", nargs="?", default="")
+    c.add_argument("--profile")
+    paged(sub)
     a = p.parse_args(argv)
     try:
         if a.command == "verify-export":
             got = verify_export(a.path)
             print(canonical_json(got))
             return 0 if got["ok"] else 1
+        if a.command == "verify-run":
+            got = RunLog(a.runs).verify(a.id)
+            print(canonical_json(got))
+            return 0 if got["ok"] else 1
+        if a.command == "normalization":
+            print(canonical_json(normalization(a)))
+            return 0
         from pyspark.sql import SparkSession
 
         spark = SparkSession.builder.appName("corpusloom").getOrCreate()
@@ -50,6 +162,15 @@ def main(argv: list[str] | None = None) -> int:
 
             print(canonical_json({r[0]: r[1] for r in status_counts(read_v04(spark, a.path)).collect()}))
             return 0
+        if a.command in PAGED:
+            answer(spark, a)
+            return 0
+        if a.command == "register":
+            from .sources.register import register_corpus
+
+            got = register_corpus(spark, a.path, a.store, a.name, a.version)
+            print(canonical_json(got))
+            return 0 if got["status"] != "rejected" else 1
         here = Path(a.request)
         is_file = len(a.request) < 4096 and here.is_file()
         text = here.read_text(encoding="utf-8") if is_file else a.request
@@ -62,6 +183,9 @@ def main(argv: list[str] | None = None) -> int:
     except RequestError as e:
         print(canonical_json(e.to_dict()), file=sys.stderr)
         return 2
+    except (ValueError, FileNotFoundError) as e:
+        print(canonical_json({"code": "invalid_request", "message": str(e)}), file=sys.stderr)
+        return 2
 
 
 if __name__ == "__main__":

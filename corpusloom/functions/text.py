@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -97,8 +98,6 @@ def codepoints(units: DataFrame, text: str = "text", *keys: str) -> DataFrame:
 
 def unicode_dimension(spark: SparkSession, characters: DataFrame) -> DataFrame:
     """(character, name, category, combining, flags) of the distinct characters of `characters`: at most Unicode's size."""
-    from collections.abc import Iterator
-
     import pandas as pd
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,7 +115,29 @@ def unicode_dimension(spark: SparkSession, characters: DataFrame) -> DataFrame:
 
 
 def codepoint_inventory(units: DataFrame, text: str = "text") -> DataFrame:
-    return codepoints(units, text).groupBy("codepoint", "character").agg(F.count("*").alias("n"))
+    """(codepoint, character, n): each task counts its texts in one array of Unicode's size, so no row a character is made."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(sys.maxunicode + 1, np.int64)
+        held: list[bytes] = []
+        size = 0
+        for batch in batches:
+            for value in batch.column(0):
+                t = value.as_py()
+                if t:
+                    held.append(t.encode("utf-32-le"))
+                    size += len(held[-1])
+                if size > 1 << 24:
+                    counts += np.bincount(np.frombuffer(b"".join(held), "<u4"), minlength=len(counts))
+                    held, size = [], 0
+        counts += np.bincount(np.frombuffer(b"".join(held), "<u4"), minlength=len(counts))
+        met = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([f"U+{c:04X}" for c in met], pa.string()), pa.array([chr(c) for c in met], pa.string()), pa.array(counts[met])], ["codepoint", "character", "n"])
+
+    found = units.select(F.col(text).cast("string")).mapInArrow(run, "codepoint string, character string, n long")
+    return found.groupBy("codepoint", "character").agg(F.sum("n").alias("n"))
 
 
 def owner_tokens(points: DataFrame, tokens: DataFrame, *keys: str) -> DataFrame:

@@ -76,9 +76,14 @@ def duplicates(rows: DataFrame, *address: str, order: str = "line_no") -> DataFr
 
 
 def gaps(rows: DataFrame, collection: str, unit: str) -> DataFrame:
-    """(collection, missing): unit numbers below a collection's largest that it lacks, from 1."""
-    have = rows.groupBy(collection).agg(F.collect_set(unit).alias("have"), F.max(unit).alias("last"))
-    return have.select(collection, F.explode(F.array_except(F.sequence(F.lit(1).cast(rows.schema[unit].dataType), "last"), "have")).alias("missing"))
+    """(collection, missing): unit numbers below a collection's largest that it lacks, from 1.
+
+    Only the holes between neighbours are made, so no row holds a collection's numbers.
+    """
+    have = rows.where(F.col(unit) >= 1).select(collection, unit).distinct()
+    before = F.coalesce(F.lag(unit).over(Window.partitionBy(collection).orderBy(unit)), F.lit(0).cast(rows.schema[unit].dataType))
+    holes = have.withColumn("_before", before).where(F.col(unit) - F.col("_before") > 1)
+    return holes.select(collection, F.explode(F.sequence(F.col("_before") + 1, F.col(unit) - 1)).alias("missing"))
 
 
 def reversals(rows: DataFrame, collection: str, order: str, path: str = "path") -> DataFrame:
