@@ -179,7 +179,7 @@ class CatalogSource:
         """Ingestion needs a registered source, activation an ingested one."""
         need = {"ingest": Lifecycle.REGISTERED, "activate": Lifecycle.INGESTED}[action]
         if self.lifecycle is not need:
-            raise RequestError("source_lifecycle_error", f"{action} needs {need.value}, {self.source_id} is {self.lifecycle.value}")
+            raise RequestError("source_lifecycle_blocked", f"{action} needs {need.value}, {self.source_id} is {self.lifecycle.value}")
 
 
 def catalog(sources: Iterable[CatalogSource], state: Lifecycle | None = None) -> tuple[CatalogSource, ...]:
