@@ -397,6 +397,37 @@ def test_walked_graphs_miss_no_links():
     assert hnsw.shard_beam(graph, part, 0.9) == hnsw.BEAM and time.process_time() - began < 60
 
 
+def test_vectors_meet_few_others_however_many_there_are():
+    rng = np.random.default_rng(7)
+    met = []
+    for n in (30_000, 120_000):
+        x = hnsw.unit(rng.normal(size=(n, 32)))
+        y = hnsw.turned(x[-1000:], hnsw.unit(rng.normal(size=(1000, 32))), 0.9)
+        y = y[(link := (x[-1000:] * y).sum(1) >= 0.9)]
+        centres = n // hnsw.ROWS_EACH
+        graph = hnsw.Graph(x[:centres], np.arange(centres))
+        margin, beam = hnsw.route(graph, x[centres:][: hnsw.AUDIT_ROWS], n, 0.9)
+        lists = []
+        for q in (x[-1000:][link], y):
+            lists.append(np.zeros((len(q), centres), bool))
+            for r, c, _ in hnsw.routed(graph, q, margin, beam):
+                lists[-1][r, c] = True
+        assert beam and len(y) > 100 and (lists[0] & lists[1]).any(1).mean() > 0.95
+        size = hnsw.all_margins(graph, x[:4000]) <= margin
+        met.append((lists[0] @ size.sum(0)).mean() * n / 4000)
+    # every row was once compared with, or searched for in, all others: four times as many
+    assert met[1] < 2.5 * met[0] and met[1] < 0.25 * 120_000
+
+
+def test_long_lists_are_compared_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "LIST_ROWS", 200)
+    rng = np.random.default_rng(8)
+    tight = rng.normal(size=64) + rng.normal(size=(500, 64)) * 0.1
+    wide = rng.normal(size=64) + rng.normal(size=(900, 64)) * rng.uniform(0.05, 0.45, size=(900, 1))
+    got, want = vector_links(spark, np.concatenate([tight, wide, rng.normal(size=(600, 64))]))
+    assert got == want and len({n for n, _ in want}) > 100
+
+
 def test_vector_links_of_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [0.0, 1.0]), (None, [1.0, 0.0])], "vec_id long, embedding array<double>").withColumn("dim", F.lit(1))
     got = sorted(tuple(r) for r in hnsw.near_vectors(df).where("vec_id is not null").collect())
