@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import discard, written
+from .common import discard, mapped, written
 
 #: Words of an anchor k-mer.
 K = 12
@@ -122,7 +122,7 @@ def paths(docs: DataFrame, window: int, k: int) -> DataFrame:
                 out += [pa.array(got[c], pa.int32()) for c in ("first", "last")] + [pa.array(tx.signed(got[c])) for c in ("h", "c0", "c1")]
                 yield pa.record_batch(out, names=["doc_id", "rid", "first", "last", "h", "c0", "c1"])
 
-    return docs.mapInArrow(run, "doc_id long, rid long, first int, last int, h long, c0 long, c1 long")
+    return mapped(docs, run, "doc_id long, rid long, first int, last int, h long, c0 long, c1 long")
 
 
 def expanded(met: DataFrame, window: int) -> DataFrame:
@@ -142,7 +142,7 @@ def expanded(met: DataFrame, window: int) -> DataFrame:
                 out = [batch.column(c)[i:j].take(take) for c in (0, 1)]
                 yield pa.record_batch([*out, pa.array(start, pa.int32()), pa.array(tx.signed(e0)), pa.array(tx.signed(e1))], names=["doc_id", "rid", "first", "e0", "e1"])
 
-    return met.select("doc_id", "rid", "text", "spans").mapInArrow(run, "doc_id long, rid long, first int, e0 long, e1 long")
+    return mapped(met.select("doc_id", "rid", "text", "spans"), run, "doc_id long, rid long, first int, e0 long, e1 long")
 
 
 def flat_spans(part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,7 +236,7 @@ def with_source_digest(spans: DataFrame, known: DataFrame, window: int) -> DataF
                 columns = [*(batch.column(c)[i:j].take(take) for c in (0, 1)), pa.array(first, pa.int32()), pa.array(last - first, pa.int32()), got]
                 yield pa.record_batch(columns, names=[*at, "digest"])
 
-    found = written(texts.select(*ROW, "text", "spans").mapInArrow(run, "s_doc long, s_rid long, s_first int, n int, digest binary"), "digests", large=True)
+    found = written(mapped(texts.select(*ROW, "text", "spans"), run, "s_doc long, s_rid long, s_first int, n int, digest binary"), "digests", large=True)
     return spans.join(found, at).select(*ROW, "first", "last", "digest")
 
 
@@ -280,7 +280,7 @@ def without(rows: DataFrame, spans: DataFrame, window: int, keep_text: bool) ->
 
     extra = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in carried)
     schema = f"doc_id long, rid long, {extra}n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
-    return rows.join(spans, ROW, "left").select("doc_id", "rid", "text", "spans", "digests", *carried).mapInArrow(run, schema)
+    return mapped(rows.join(spans, ROW, "left").select("doc_id", "rid", "text", "spans", "digests", *carried), run, schema)
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, k: int = K, keep_text: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import components, discard, written
+from .common import components, discard, mapped, written
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +104,7 @@ def signatures(docs: DataFrame, size: int, n: int) -> DataFrame:
                 sig = pa.FixedSizeListArray.from_arrays(pa.array(sketch(hashed, upto, n).ravel()), n).cast(pa.list_(pa.int32()))
                 yield pa.record_batch([batch.column(0)[i:j], pa.array(np.diff(upto)), *sums, sig], names=["doc_id", "n_shingles", "s0", "s1", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, s0 long, s1 long, sig array<int>")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n_shingles long, s0 long, s1 long, sig array<int>")
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -119,7 +119,7 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
                 odd = pa.FixedSizeListArray.from_arrays(pa.array(tx.signed(odd_sketch(hashed, upto))), ODD_WORDS).cast(pa.list_(pa.int64()))
                 yield pa.record_batch([batch.column(0)[i:j], pa.array(fingerprint(hashed, upto, SALTS[0])), members, odd], names=["id", "s0", "members", "odd"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, s0 long, members array<long>, odd array<long>")
+    return mapped(docs.select("id", "text"), run, "id long, s0 long, members array<long>, odd array<long>")
 
 
 def agreement(a: Column, b: Column) -> Column:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .common import mapped
 from .tokens import Encoder
 
 #: Documents of a packing group; a group leaves at most about one sequence badly filled.
@@ -225,7 +226,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, k
                 yield pa.record_batch(columns, names=[key, "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.selectExpr(f"`{key}`", f"cast(`{text}` as string) as text").mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
+    return mapped(docs.selectExpr(f"`{key}`", f"cast(`{text}` as string) as text"), run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:

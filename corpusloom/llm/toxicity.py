@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import written
+from .common import mapped, written
 
 BUCKET_BITS, TABLES, DIM, FILTERS, WIDTHS = 16, 4, 4, 8, (1, 2, 3)
 #: Bytes of the two prefixes.
@@ -225,17 +225,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 taken = [words[a:b].tobytes() if b - a <= LONGEST else None for a, b in zip(own, own[1:], strict=False)]
                 yield pa.record_batch([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(sizes), pa.array(taken, pa.binary())], names=["h", "y", "n", "words"])
 
-    rows = texts.select("h", F.col("_y").alias("y"), "text").mapInArrow(hashed, "h long, y int, n long, words binary").where("words is not null")
+    rows = mapped(texts.select("h", F.col("_y").alias("y"), "text"), hashed, "h long, y int, n long, words binary").where("words is not null")
     upto = F.sum("n").over(Window.orderBy("h", "n", "words"))  # over the bounded sample only
     rows = rows.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_WORDS).select("h", "y", "words")
     got = rows.groupBy().applyInPandas(train_task, "model binary").collect()  # one model of a fixed size
     return pickle.loads(got[0]["model"]) if got else Model.random()
 
 
+#: Bytes of text whose responses are held at once: a word has some 400 bytes of them.
+OUTPUT_BYTES = 1 << 18
+
+
 def with_output(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of `docs` and _z, the output for column _text."""
+    """All columns of `docs` but _text, and _z, the output for column _text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: tables of 2**16 buckets
-    names = docs.columns
+    names = [c for c in docs.columns if c != "_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_model = sent.value
@@ -243,12 +247,12 @@ def with_output(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             data, offs = tx.string_column(batch, "_text")
             out = np.zeros(len(offs) - 1)
-            for i, j, d, o in tx.blocks(data, offs, 1 << 20):
+            for i, j, d, o in tx.blocks(data, offs, OUTPUT_BYTES):
                 out[i:j] = own_model.outputs(*word_buckets(d, o), responses)
-            yield pa.record_batch([*batch.columns, pa.array(out)], names=[*names, "_z"])
+            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(out)], names=[*names, "_z"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _z double"
-    return docs.mapInArrow(run, schema)
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in names) + "_z double"
+    return mapped(docs, run, schema)
 
 
 @dataclass(frozen=True)
@@ -339,7 +343,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     found = calibrate(own, labels, model)
     plain = [f"c{i}" for i in range(len(names))]  # so that no column of `docs` clashes with one of ours
     renamed = own.select(*(F.col(f"`{c}`").alias(p) for c, p in zip(names, plain, strict=True)), F.col("doc_id").alias("_id"), F.col("lang").cast("string").alias("_of"), F.col("text").cast("string").alias("_text"))
-    scored = with_output(renamed, model).drop("_text")
+    scored = with_output(renamed, model)
     scored = scored.join(found.cuts, F.col("_of") == F.col("_lang"), "left")  # its size is known: a written table
     sigmoid = lambda z: 1 / (1 + F.exp(-(z * F.lit(found.slope) + F.lit(found.shift))))
     held, score_, least = fold("_id") == HELD_OUT, sigmoid(F.col("_z")), F.coalesce(sigmoid(F.col("_cut")), F.lit(0.5))

@@ -9,6 +9,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -459,3 +460,24 @@ def test_mixing_honours_large_rates(spark):
     n = {r["source"]: r["n"] for r in mixing.mix(df, weights={"large": 18.0, "small": 1.0, "tiny": 1.0}).groupBy("source").agg(F.sum("n_chars").alias("n")).collect()}
     # a twentieth of 20 million characters each: rates of 100 and of 10,001
     assert abs(n["small"] / 1_000_505 - 1) < 0.2 and abs(n["tiny"] / 1_000_505 - 1) < 0.06
+
+
+def test_batches_for_workers_are_bounded_by_bytes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 2000, 1, 1).selectExpr("id as doc_id", "repeat('word ', if(id = 7, 2000000, 2000)) as text")
+    sizes = lambda batches: (pa.record_batch([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"]) for b in batches)
+    model = toxicity.Model.random()
+    made = (
+        lambda: debruijn.paths(docs.selectExpr("doc_id", "0L as rid", "text"), 50, 12), lambda: minhash.signatures(docs, 3, 8), lambda: minhash.full_sets(docs.withColumnRenamed("doc_id", "id"), 3),
+        lambda: packing.encode_pieces(docs, WORD, 4096, 1), lambda: toxicity.with_output(docs.withColumnRenamed("text", "_text"), model),
+    )
+    for make in made:
+        spark.conf.unset(key)
+        make()
+        got = docs.mapInArrow(sizes, "n long, bytes long").collect()
+        assert sum(r["n"] for r in got) == 2000 and all(r["bytes"] <= common.BATCH_BYTES + 20_000 for r in got if r["bytes"] < 10_000_000) and len(got) > 4
+    spark.conf.set(key, "1m")
+    made[0]()
+    assert spark.conf.get(key) == "1m"
+    spark.conf.unset(key)
+    assert toxicity.with_output(docs.withColumnRenamed("text", "_text"), model).columns == ["doc_id", "_z"]
