@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, debruijn, fst, hnsw, kdtree, minhash, mixing, packing, records, toxicity
+from . import chat, debruijn, fst, hnsw, kdtree, minhash, mixing, packing, quality, records, toxicity
 
 from .common import ship
 
@@ -73,6 +73,11 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, records.write_records(docs, tokenizer("byte_bpe_50k.json"), 2))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_packing, op2_toxicity, op3_chat, op4_embedding_dedup, op5_topk, op6_substring_dedup, op7_mixing, op8_minhash, op9_token_counts, op10_records, pipeline)
+    own = (op1_packing, op2_toxicity, op3_chat, op4_embedding_dedup, op5_topk, op6_substring_dedup, op7_mixing, op8_minhash, op9_token_counts, op10_records, op13_quality, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -181,8 +186,30 @@ low AS (SELECT a, min(b) AS c FROM walk GROUP BY a)
 SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c AS component_id, c = doc_id AS kept FROM s JOIN low ON low.a = doc_id
 """
 
+OP13_SQL = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents
+), win AS (
+  SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)
+), again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM win) WHERE c > 1),
+rep AS (SELECT rid, count(*) AS n FROM (SELECT DISTINCT rid, i + k AS i FROM again, (SELECT unnest([0, 1, 2]) AS k)) GROUP BY rid),
+f AS (
+  SELECT doc_id, ws, ls, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+    coalesce(n, 0) AS n_repeat_words
+  FROM w LEFT JOIN rep USING (rid)
+), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (word_chars < 2 * n_words OR word_chars > 12 * n_words OR 10 * n_symbols > n_words OR 2 * n_dup_lines > len(ls)
+    OR 10 * len(list_filter(ws, lambda x: regexp_matches(x, '\pL'))) < 8 * n_words
+    OR 10 * len(list_filter(ls, lambda x: regexp_matches(x, '^[ \t]*[•●▪*-]|(\.\.\.|…)[ \t\r]*$'))) > 9 * len(ls)) AS kept
+FROM b
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_chat": OP3_SQL, "op4_embedding_dedup": OP4_SQL, "op5_topk": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op8_minhash": OP8_SQL,
+        "op13_quality": OP13_SQL,
     }
