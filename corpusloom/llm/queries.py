@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, debruijn, fst, hnsw, kdtree, minhash, mixing, packing, quality, records, toxicity
+from . import chat, debruijn, fst, hnsw, kdtree, minhash, mixing, packing, quality, records, repair, toxicity
 
 from .common import ship
 
@@ -73,6 +73,10 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, records.write_records(docs, tokenizer("byte_bpe_50k.json"), 2))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -85,7 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_packing, op2_toxicity, op3_chat, op4_embedding_dedup, op5_topk, op6_substring_dedup, op7_mixing, op8_minhash, op9_token_counts, op10_records, op13_quality, pipeline)
+    own = (op1_packing, op2_toxicity, op3_chat, op4_embedding_dedup, op5_topk, op6_substring_dedup, op7_mixing, op8_minhash, op9_token_counts, op10_records, op12_repair, op13_quality, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -186,6 +190,59 @@ low AS (SELECT a, min(b) AS c FROM walk GROUP BY a)
 SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c AS component_id, c = doc_id AS kept FROM s JOIN low ON low.a = doc_id
 """
 
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), told AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+), ruled AS (
+  SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS h FROM told, crc
+), r AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM ruled)
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i,
+    CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'o' END AS x,
+    NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS is_blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS is_cut FROM r
+), f AS (
+  SELECT *, CASE WHEN is_blank THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN is_cut THEN 'truncated' ELSE '' END AS fault,
+    lag(x) OVER (PARTITION BY conv_id ORDER BY i) || x AS pair FROM o
+), ins(a, b, c, e) AS (
+  VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 2, 'I'), (0, 3, 4, 'II'), (1, 2, 2, 'I'), (1, 3, 4, 'II'), (2, 3, 2, 'I'), (3, 2, 2, 'I')
+), step(x, a, b) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)
+), op AS (
+  SELECT x.x, fault, a, a AS b, 3 AS c, 'D' AS e FROM (VALUES ('s'), ('u'), ('a'), ('o')) x(x), (VALUES ('blank'), ('duplicate'), ('truncated'), ('')) y(fault), range(4) z(a)
+  UNION ALL SELECT x, fault, a, b, c, 'K' FROM step, (VALUES ('truncated', 1), ('', 0)) y(fault, c)
+  UNION ALL SELECT x.x, fault, a, b, c, 'R' FROM step, (VALUES ('truncated', 3), ('', 2)) y(fault, c), (VALUES ('s'), ('u'), ('a'), ('o')) x(x) WHERE step.x <> 's'
+), move AS (SELECT op.x, fault, ins.a, op.b, ins.c + op.c AS c, ins.e || op.e AS e FROM ins JOIN op ON ins.b = op.a
+), dp AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS a, '00000000' AS v FROM o
+  UNION ALL
+  SELECT dp.conv_id, dp.i + 1, CAST(move.b AS BIGINT), min(lpad(CAST(CAST(substr(v, 1, 8) AS BIGINT) + move.c AS VARCHAR), 8, '0') || substr(v, 9) || move.e)
+  FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i JOIN move ON move.a = dp.a AND move.x = f.x AND move.fault = f.fault GROUP BY ALL
+), told_by AS (
+  SELECT conv_id, count(*) AS n, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM f GROUP BY conv_id
+), won AS (
+  SELECT d.conv_id, min(lpad(CAST(CAST(substr(v, 1, 8) AS BIGINT) + ins.c AS VARCHAR), 8, '0') || substr(v, 9) || ins.e) AS v
+  FROM told_by t JOIN dp d ON d.conv_id IS NOT DISTINCT FROM t.conv_id AND d.i = t.n JOIN ins ON ins.a = d.a AND ins.b IN (0, 3) GROUP BY d.conv_id
+), letters AS (
+  SELECT conv_id, k, substr(v, 8 + k, 1) AS e, count(*) FILTER (substr(v, 8 + k, 1) <> 'I') OVER (PARTITION BY conv_id ORDER BY k) AS ri FROM (SELECT *, unnest(range(1, length(v) - 7)) AS k FROM won)
+), outs AS (
+  SELECT l.conv_id, k, e, role, text, row_number() OVER (PARTITION BY l.conv_id ORDER BY k) - 1 AS p
+  FROM letters l LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.i = l.ri - 1 AND e <> 'I' WHERE e <> 'D'
+), sys AS (SELECT conv_id, max(CASE WHEN p = 0 AND e = 'K' AND role[1] = 's' THEN 1 ELSE 0 END) AS s FROM outs GROUP BY conv_id),
+said AS (
+  SELECT outs.conv_id, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN (p - s) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY k)) AS h
+  FROM outs JOIN sys ON sys.conv_id IS NOT DISTINCT FROM outs.conv_id GROUP BY outs.conv_id
+)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(substr(v, 1, 8), '0') AS BIGINT) AS cost, coalesce(substr(v, 9), '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN told_by t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN won w ON w.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN said s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 OP13_SQL = r"""
 WITH w AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
@@ -211,5 +268,5 @@ FROM b
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_chat": OP3_SQL, "op4_embedding_dedup": OP4_SQL, "op5_topk": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op8_minhash": OP8_SQL,
-        "op13_quality": OP13_SQL,
+        "op12_repair": OP12_SQL, "op13_quality": OP13_SQL,
     }
