@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, debruijn, fst, hnsw, kdtree, minhash, mixing, packing, quality, records, repair, toxicity
+from . import chat, debruijn, fst, hnsw, kdtree, minhash, mixing, packing, phrases, quality, records, repair, toxicity
 
 from .common import ship
 
@@ -73,6 +73,10 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, records.write_records(docs, tokenizer("byte_bpe_50k.json"), 2))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"), 30, 2000)
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
@@ -89,7 +93,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_packing, op2_toxicity, op3_chat, op4_embedding_dedup, op5_topk, op6_substring_dedup, op7_mixing, op8_minhash, op9_token_counts, op10_records, op12_repair, op13_quality, pipeline)
+    own = (op1_packing, op2_toxicity, op3_chat, op4_embedding_dedup, op5_topk, op6_substring_dedup, op7_mixing, op8_minhash, op9_token_counts, op10_records, op11_phrases, op12_repair, op13_quality, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -190,6 +194,28 @@ low AS (SELECT a, min(b) AS c FROM walk GROUP BY a)
 SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c AS component_id, c = doc_id AS kept FROM s JOIN low ON low.a = doc_id
 """
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), p AS (SELECT lang, regexp_extract_all(unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws FROM d
+), g AS (
+  SELECT lang, m, array_to_string(ws[i : i + m - 1], ' ') AS ph, count(*) AS c
+  FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(ws) >= m) GROUP BY ALL
+), f AS (SELECT *, string_split(ph, ' ') AS w FROM g WHERE c >= 30),
+n AS (SELECT lang, CAST(sum(c) AS BIGINT) AS n FROM g WHERE m = 1 GROUP BY lang),
+cut AS (
+  SELECT q.lang, q.ph, q.m, a, k, x.c AS l, y.c AS r, CAST(2000000 * CAST(a AS HUGEINT) // (x.c + y.c) AS BIGINT) AS score
+  FROM (SELECT lang, ph, m, c AS a, k, array_to_string(w[1 : k], ' ') AS lp, array_to_string(w[k + 1 : m], ' ') AS rp FROM (SELECT *, unnest(range(1, m)) AS k FROM f)) q
+  JOIN f x ON x.lang = q.lang AND x.ph = lp JOIN f y ON y.lang = q.lang AND y.ph = rp
+), best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1),
+inner_ AS (
+  SELECT lang, array_to_string(w[i : i + j - 1], ' ') AS ph, max(c) AS most
+  FROM (SELECT *, unnest(range(1, m - j + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS j FROM f WHERE m > 2)) GROUP BY ALL
+), ok AS (SELECT b.* FROM best b LEFT JOIN inner_ i ON i.lang = b.lang AND i.ph = b.ph WHERE most IS NULL OR 100 * most < 80 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, ph) AS rank FROM ok)
+SELECT lang, rank, ph AS phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 OP12_SQL = r"""
 WITH RECURSIVE crc AS (
   SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
@@ -268,5 +294,5 @@ FROM b
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_chat": OP3_SQL, "op4_embedding_dedup": OP4_SQL, "op5_topk": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op8_minhash": OP8_SQL,
-        "op12_repair": OP12_SQL, "op13_quality": OP13_SQL,
+        "op11_phrases": OP11_SQL, "op12_repair": OP12_SQL, "op13_quality": OP13_SQL,
     }
