@@ -1,20 +1,16 @@
-"""Operator 4: embedding near-duplicates by a hierarchical navigable small-world graph over centres.
+"""Operator 4: embedding near-duplicates by a hierarchical navigable small-world graph a shard.
 
-Equal vectors collapse first.  A bounded hashed sample of rows, none linked to another, are the centres; one graph holds them.  Every
-row walks the graph to its nearest centre and joins the lists of all centres within a margin: those whose bisecting plane with
-the nearest one is at most so far away.  Rows that share a list are compared, in double precision where rounding could
-decide, and a pair that shares several counts in the first, so the work grows with the rows and not with their square.
+Equal vectors collapse first.  A shard is a cap of the sphere: rows go to the nearest of centres drawn by hash, one for SHARD_ROWS rows,
+and a cap with more rows is dealt into several shards.  Each builds a graph of its rows, written to the shared folder, and knows the largest angle from its
+centre.  Blocks of rows ask every shard: rows whose angle to the centre exceeds that reach by more than the angle of the least cosine are answered by
+this bound, which is exact; the others walk the graph.  Nothing is shuffled or copied for it.
 
-A pair with cosine >= least shares a list for certain where the margin is half of their largest distance; small tables take that margin.
-Larger ones take the least margin by which planted pairs at exactly the least similarity, the hardest there are, share a list
-in RECALL of the cases.  The walk's beam is audited with the same pairs; where no beam passes, or a row's beam ends within
-the margin, rows are compared with every centre, as are the centres that no walk reaches with every row.
+Beams are audited twice, against brute force: in the build with planted queries at exactly the least cosine, the hardest there are, and for each block and
+shard with a sample of the block's rows.  A beam that misses links is widened; where none passes, the block is compared with the whole shard.
+Rows whose beam shows a link, or nearly, are compared with the whole shard too, so groups of any size are found whole.  Pairs are verified in double precision where
+rounding could decide.  A block returns, for each row, how many rows it links to and a spanning forest of the links instead of all pairs.
 
-Rows within half of the least angle of their centre are its ball: they link with one another for certain, are counted by a sum, and
-meet other rows only where some are near enough.  Other long lists are dealt into parts, and all pairs of parts compared.  A
-comparison returns, for each row, how many rows it links to, and a spanning forest of the links instead of all pairs.
-
-`linked` searches a single graph that holds all rows.
+Rows of a table are searched for in all shards that the bounds cannot rule out: where data have no clusters, work grows with rows times shards.
 """
 
 from __future__ import annotations
@@ -26,28 +22,22 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import components, new_path, opened, remove, written
-from .vectors import finite, matrix
+from .common import components, mapped, new_path, opened, remove, written
+from .vectors import BLOCK_ROWS, LEAST_SHARDS, SHARD_ROWS, finite, matrix
 
 #: Neighbours of a node above the ground and on it, and the beam when building.
 M, M0, BUILD_BEAM = 12, 24, 32
 #: First beam, its growth, share of audited queries (at least AUDIT_LEAST of a block), share of links that they
 #: are to find on average, planted queries of a shard.
 BEAM, WIDEN, AUDIT_EACH, AUDIT_LEAST, RECALL, PLANTED = 48, 2, 64, 48, 0.98, 512
-#: Rows a centre; centres at least and at most, and their components at most; sampled rows beside them for audits.
-ROWS_EACH, LEAST_CENTRES, MOST_CENTRES, CENTRE_CELLS, AUDIT_ROWS = 256, 4, 1 << 15, 1 << 22, 1024
-#: Lists a row may join on average, or in a small table all rows together, before the margin is cut to what the audit asks for.
-LISTS, SMALL = 4, 1 << 18
-#: Rows of a list that are compared at once; longer ones are dealt into parts.
-LIST_ROWS = 8192
-#: First beam of a walk to centres, and what part of it is added until the audit passes.
-ROUTE_BEAM, ROUTE_WIDEN = 32, 4
 #: Open nodes of a beam that a step visits at once.
 AT_ONCE = 4
+#: Components of a shard's vectors at most.
+SHARD_CELLS = 1 << 24
 #: Cells of a lockstep visited table, or of a block of similarities.
 CELLS = 1 << 24
 #: A beam that comes so near to the least similarity is taken to show a link.
@@ -262,22 +252,21 @@ class Graph:
             yield from self.compared(q, todo[~shown], least, self.strays)
 
 
-def passing(graph: Graph, q: np.ndarray, own: np.ndarray, least: float, beam: int | None) -> int | None:
-    """The first beam, from `beam` on, by which queries with links find their share of them on average; None: none does, compare all."""
+def passing(graph: Graph, q: np.ndarray, own: np.ndarray, least: float, beam: int | None) -> tuple[int | None, int, int]:
+    """The first beam, from `beam` on, by which queries with links find their share of them on average (None: none does, compare all), their links and those found."""
 
     def count(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         return sum((np.bincount(r[node != own[r]], minlength=len(q)) for r, node in parts), np.zeros(len(q), np.int64))
 
-    if beam is None:
-        return None
     total = count(graph.compared(q, np.arange(len(q)), least))
     some = total > 0
     q, own, total = q[some], own[some], total[some]
-    while beam < len(graph.x):
-        if not len(q) or (count(graph.within(q, own, least, beam)) / total).mean() >= RECALL:
-            return beam
+    while beam is not None and beam < len(graph.x):
+        found = count(graph.within(q, own, least, beam))
+        if not len(q) or (found / total).mean() >= RECALL:
+            return beam, int(total.sum()), int(found.sum())
         beam *= WIDEN
-    return None
+    return None, int(total.sum()), int(total.sum())
 
 
 def planted(graph: Graph, keys: np.ndarray, least: float) -> np.ndarray:
@@ -298,22 +287,21 @@ def turned(x: np.ndarray, away: np.ndarray, least: float) -> np.ndarray:
 def shard_beam(graph: Graph, keys: np.ndarray, least: float) -> int | None:
     """The first beam of a shard that finds the links of planted queries; None: compare all."""
     q = planted(graph, keys, least)
-    return passing(graph, q, np.full(len(q), -1), least, BEAM)
+    return passing(graph, q, np.full(len(q), -1), least, BEAM)[0]
 
 
-def audited(graph: Graph, q: np.ndarray, keys: np.ndarray, own: np.ndarray, least: float, beam: int | None) -> int | None:
-    """The first beam, from the shard's on, that passes the audit of a hashed sample of these queries; None: compare all."""
+def audited(graph: Graph, q: np.ndarray, keys: np.ndarray, own: np.ndarray, least: float, beam: int | None) -> tuple[int | None, int, int]:
+    """`passing` from the shard's beam on, by a hashed sample of these queries."""
     rank = np.argsort(tx.mix(keys.astype(np.int64).view(tx.U64)))
     sample = rank[: max(AUDIT_LEAST, len(keys) // AUDIT_EACH)]
     return passing(graph, q[sample], own[sample], least, beam)
 
 
-def linked(graph: Graph, q: np.ndarray, keys: np.ndarray, own: np.ndarray, least: float, beam: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Parts of the (query row, node) pairs that link, by a beam that passed the audits or else by comparing all.
+def linked(graph: Graph, q: np.ndarray, own: np.ndarray, least: float, beam: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Parts of the (query row, node) pairs that link, by a beam that passed the audits or, with none, by comparing all.
 
     `own` is each query's own node, -1 where another graph holds it: that pair needs no search.
     """
-    beam = audited(graph, q, keys, own, least, beam)
     parts = graph.compared(q, np.arange(len(q)), least) if beam is None else graph.within(q, own, least, beam)
     for r, node in parts:
         other = node != own[r]
@@ -375,243 +363,166 @@ def load(folder: str, path: str) -> tuple[Graph, np.ndarray, np.ndarray]:
     return graph, data["ids"], data["weight"]
 
 
-def apart(x: np.ndarray, least: float, block: int = 1024) -> np.ndarray:
-    """Rows of x, in order, that are not linked to an earlier one of them."""
-    kept = np.zeros(0, np.int64)
-    f = x.astype(np.float32)
-    for at in range(0, len(x), block):
-        mine = np.arange(at, min(at + block, len(x)))
-        if len(kept):
-            mine = mine[(f[mine] @ f[kept].T).max(1) < least]
-        near = f[mine] @ f[mine].T >= least
-        free = np.ones(len(mine), bool)
-        for k in range(len(mine)):
-            if free[k]:
-                free[k + 1 :] &= ~near[k, k + 1 :]
-        kept = np.concatenate([kept, mine[free]])
-    return kept
-
-
-def margins(sims: np.ndarray, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """How far each row is from the plane between its nearest centre and each of the centres `ids` (-1: none); 0 for the nearest."""
-    rows = np.arange(len(sims))
-    first = sims.argmax(1)
-    top = x[ids[rows, first]]
-    gap = np.sqrt(np.maximum(2 - 2 * np.einsum("bcd,bd->bc", x[ids], top), 1e-12))
-    out = (sims[rows, first][:, None] - sims) / gap
-    out[rows, first] = 0
-    return np.where(ids >= 0, out, np.inf)
-
-
-def all_margins(graph: Graph, q: np.ndarray) -> np.ndarray:
-    """The margins of query rows to every centre."""
-    sims = q.astype(np.float32) @ graph.x.T
-    first = sims.argmax(1)
-    out = (sims.max(1)[:, None] - sims) / np.sqrt(np.maximum(2 - 2 * (graph.x[first] @ graph.x.T), 1e-12))
-    out[np.arange(len(q)), first] = 0
-    return out
+def rows_each(dim: Column, most: int) -> Column:
+    """Rows of a shard of vectors of this length: its graph is held whole by a task."""
+    return F.greatest(F.least(F.lit(most), F.floor(F.lit(SHARD_CELLS) / dim)), F.lit(1))
 
 
-def routed(graph: Graph, q: np.ndarray, margin: float, beam: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Parts of the (query row, centre, whether it is the nearest) of all centres within the margin; beam None: compare with all."""
-    step = max(1, min(1024, (CELLS >> 2) // max(1, len(graph.x))))
-    for at in range(0, len(q), step):
-        x = q[at : at + step].astype(np.float32)
-        whole = np.ones(len(x), bool)
-        if beam is not None:
-            hub = np.full((len(x), 1), graph.hub)
-            entry = hub
-            for level in range(graph.top, 0, -1):
-                entry, _ = graph.search(x, entry, level, 1)
-            ids, sims = graph.search(x, np.concatenate([entry, np.where(entry == hub, -1, hub)], 1), 0, beam)
-            full = ids[:, -1] >= 0 if beam < len(graph.x) else np.zeros(len(x), bool)
-            if len(graph.strays):
-                ids = np.concatenate([ids, np.broadcast_to(graph.strays.astype(ids.dtype), (len(x), len(graph.strays)))], 1)
-                sims = np.concatenate([sims, x @ graph.x[graph.strays].T], 1)
-            far = margins(sims, ids, graph.x)
-            whole = full & (far[:, beam - 1] <= margin)
-            r, c = np.nonzero((far <= margin) & ~whole[:, None])
-            yield at + r, ids[r, c].astype(np.int64), far[r, c] == 0
-        if whole.any():
-            rest = np.flatnonzero(whole)
-            far = all_margins(graph, x[rest])
-            r, c = np.nonzero(far <= margin)
-            yield at + rest[r], c, far[r, c] == 0
-
-
-def route(graph: Graph, x: np.ndarray, total: int, least: float) -> tuple[float, int | None]:
-    """The margin and beam for a table of `total` rows, by sampled rows `x` that are no centres."""
-    exact = float(np.sqrt(max(0.0, 2 - 2 * least))) / 2 + EDGE
-    beam: int | None = ROUTE_BEAM
-    if not len(x):
-        return exact, beam
-    free = np.flatnonzero((x.astype(np.float32) @ graph.x.T).max(1) < least)
-    free = free if len(free) else np.arange(len(x))
-    y = x[free[np.searchsorted(free, np.arange(len(x)), "right") % len(free)]]  # each towards another row, as data lie, but not at a centre
-    away = y - (y * x).sum(1, keepdims=True) * x
-    some = np.abs(away).max(1) > EDGE
-    far = all_margins(graph, x)
-    margin = exact
-    mean = max(LISTS, SMALL / total)
-    if (far <= exact).sum() > mean * len(x):
-        margin = min(exact, float(np.partition(far, int(mean * len(x)), axis=None)[int(mean * len(x))]))
-        if some.any():
-            both = np.maximum(far[some], all_margins(graph, turned(x[some], away[some], least))).min(1)
-            margin = max(margin, min(exact, float(np.quantile(both, (1 + RECALL) / 2))))
-    if not some.any():
-        return margin, None
-    x, y = x[some], turned(x[some], away[some], least)
-    while beam is not None:
-        lists = []
-        for q in (x, y):
-            joined = np.zeros((len(q), len(graph.x)), bool)
-            for r, c, _ in routed(graph, q, margin, beam):
-                joined[r, c] = True
-            lists.append(joined)
-        if (lists[0] & lists[1]).any(1).mean() >= RECALL:
-            break
-        beam = beam + beam // ROUTE_WIDEN if beam < len(graph.x) else None
-    return margin, beam
-
-
-def common_first(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The first list that rows share, of ascending lists (-1 at the ends); -1: none."""
-    out = np.full(len(a), -1, a.dtype)
-    for k in range(a.shape[1] - 1, -1, -1):
-        both = (a[:, k] >= 0) & (a[:, k][:, None] == b).any(1)
-        out[both] = a[both, k]
+def caps(rows: DataFrame, shard_rows: int, least_shards: int) -> DataFrame:
+    """(dim, cap, v): centres of the caps of each length of vectors, rows in the order of a hash."""
+    sizes = rows.groupBy("dim").agg(F.count("*").alias("total"))
+    sizes = sizes.withColumn("want", F.greatest(F.ceil(F.col("total") / rows_each(F.col("dim"), shard_rows)), F.lit(least_shards)))
+    share = F.greatest(4 * F.col("want") / F.col("total") * (1 << 30), F.lit(1 << 14))  # more than wanted, so that their order decides
+    lot = F.xxhash64(F.lit("cap"), "id")
+    some = rows.join(sizes, "dim").where(F.pmod(lot, F.lit(1 << 30)) < share).withColumn("_lot", lot)
+    ranked = some.withColumn("cap", F.row_number().over(Window.partitionBy("dim").orderBy("_lot", "id")) - 1)
+    return ranked.where(F.col("cap") < F.col("want")).select("dim", "cap", "v")
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The centre with the largest cosine of each row, the first of equal ones."""
+    out, step = np.zeros(len(x), np.int64), max(1, CELLS // max(1, len(centres)))
+    for at in range(0, len(x), step):
+        out[at : at + step] = (x[at : at + step] @ centres.T).argmax(1)
     return out
 
 
-def listed(frame: pd.DataFrame, cell: int, low: int, high: int, kind: str, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Parts of the (row, row) links, both ways, that count in one list, or between two parts of it."""
-    x = unit(np.frombuffer(b"".join(frame["x"]), kind).reshape(len(frame), -1))
-    size = np.fromiter(map(len, frame["cells"]), np.int64, len(frame)) // 4
-    lists = np.full((len(frame), size.max()), -1, np.int32)
-    lists[np.arange(size.max()) < size[:, None]] = np.frombuffer(b"".join(frame["cells"]), "<i4")
-    ball, part, close = frame["ball"].to_numpy(), frame["part"].to_numpy(), frame["close"].to_numpy()
-    graph = Graph.__new__(Graph)
-    graph.exact, graph.x = x, x.astype(np.float32)
-    inner = ball == cell
-    sides = [(np.flatnonzero(~inner & (part == low)), np.flatnonzero(~inner & (part == high)))]
-    sides += [(np.flatnonzero(inner & (part == p)), np.flatnonzero(~inner & close & (part == q))) for p, q in {(low, high), (high, low)}]
-    for k, (left, right) in enumerate(sides):
-        once = not k and low == high  # both sides are the same rows: each pair by its smaller one
-        step = max(1, min(256 if once else CELLS, (CELLS >> 3) // max(1, len(right))))
-        for at in range(0, len(left) if len(right) else 0, step):
-            for a, b in graph.compared(x, left[at : at + step], least, right[at:] if once else right):
-                good = ((a < b) if once else (a != b)) & ((ball[a] < 0) | (ball[a] != ball[b]))
-                a, b = a[good], b[good]
-                good = common_first(lists[a], lists[b]) == cell
-                a, b = a[good], b[good]
-                yield a, b
-                yield b, a
-
-
-def near_vectors(table: DataFrame, least: float = 0.9) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row of `table` (vec_id, embedding).
+class Shards:
+    """What every task knows of the shards: their files, beams, centres and the angle that each reaches."""
+
+    def __init__(self, folder: str, rows: list):
+        self.folder, self.rows = folder, {}
+        for r in rows:
+            self.rows.setdefault(r["dim"], []).append(r)
+        self.centres = {d: np.array([r["centre"] for r in some]) for d, some in self.rows.items()}
+        self.reach = {d: np.array([r["reach"] for r in some]) for d, some in self.rows.items()}
+
+    def asked(self, dim: int, x: np.ndarray, least: float) -> np.ndarray:
+        """(query row, shard): whether a node of the shard may link; if not, the angle to its centre proves it."""
+        cos = np.clip(x @ self.centres[dim].T, -1, 1)
+        return np.arccos(cos) <= self.reach[dim] + np.arccos(np.clip(least, -1, 1)) + EDGE
+
+
+def near_vectors(table: DataFrame, least: float = 0.9, shard_rows: int = SHARD_ROWS, least_shards: int = LEAST_SHARDS) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every row of `table` (vec_id, embedding); see `searched`."""
+    return searched(table, least, shard_rows, least_shards)[0]
+
+
+def searched(table: DataFrame, least: float = 0.9, shard_rows: int = SHARD_ROWS, least_shards: int = LEAST_SHARDS) -> tuple[DataFrame, DataFrame]:
+    """((vec_id, n_links, component_id, kept) of every row of `table` (vec_id, embedding), audits).
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing: 0 links, a component of their
     own.  Vectors of different lengths never link.  Rows that share a vec_id are rows of their own and count as links.
+    Audits hold dim, shard, asked (rows that the shard's bound could not answer), links (of audited rows with any, by brute force), found
+    (by the beam taken; all where no beam passed) and compared (no beam passed: all pairs of the block and the shard were compared).
     """
     single = table.schema["embedding"].dataType.elementType.simpleString() == "float"  # kept as it is, half as long
-    kind, part = ("<f4", "float") if single else ("<f8", "double")
+    part = "float" if single else "double"
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{part}>").alias("v"))
     ok = finite("v") & F.exists("v", lambda x: x != 0) & F.col("vec_id").isNotNull()
     rows = rows.withColumn("v", F.when(ok, F.transform("v", lambda x: x + F.lit(0.0).cast(part))))
     kinds = written(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("m")), "kinds")
     size = kinds.agg(F.count("*").alias("n"), F.count_distinct("id").alias("d")).first()
-    n, each = size["n"], 1
-    if n != size["d"]:  # vectors that differ under one vec_id are nodes of their own, in the order of ids
+    each = 1
+    if size["n"] != size["d"]:  # vectors that differ under one vec_id are nodes of their own, in the order of ids
         kinds = written(kinds.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("v")) - 1), "numbered")
         each = kinds.agg(F.max("r")).first()[0] + 1
         kinds = kinds.withColumn("id", F.col("id") * each + F.col("r")).drop("r")
     kinds = kinds.withColumn("dim", F.size("v"))
-    folder = new_path(table.sparkSession, "graphs")
-    sizes = kinds.groupBy("dim").agg(F.count("*").alias("total"))
-    sizes = sizes.withColumn("want", F.least(F.greatest(F.ceil(F.col("total") / ROWS_EACH), F.lit(LEAST_CENTRES)), F.lit(MOST_CENTRES), F.greatest(F.floor(F.lit(CENTRE_CELLS) / F.col("dim")), F.lit(LEAST_CENTRES))))
-    share = (F.col("want") + AUDIT_ROWS) / F.col("total") * (1 << 30)
-    sample = kinds.join(sizes, "dim").where(F.pmod(F.xxhash64(F.lit("centre"), "id"), F.lit(1 << 30)) < share)
-
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        ids = frame["id"].to_numpy(np.int64)
-        order = np.argsort(tx.mix(ids.view(tx.U64)), kind="stable")
-        x, ids, want = unit(matrix(frame["v"], np.float64))[order], ids[order], int(frame["want"].iloc[0])
-        kept = apart(x[:want], least)
-        graph = Graph(x[kept], ids[kept])
-        margin, beam = route(graph, x[want:][:AUDIT_ROWS], int(frame["total"].iloc[0]), least)
-        path = save(folder, graph, ids[kept], np.ones(len(kept), np.int64))
-        return pd.DataFrame({"dim": frame["dim"].iloc[:1], "path": [path], "margin": [margin], "beam": [beam or 0]})
-
-    graphs = written(sample.groupBy("dim").applyInPandas(fit, "dim int, path string, margin double, beam int"), "graphs")
-    routes = {g["dim"]: (g["path"], g["margin"], g["beam"] or None) for g in graphs.collect()}  # a row a length of vectors
-    angle = float(np.arccos(np.clip(least, -1, 1)))
-    inside, outside = np.cos(angle / 2) + EDGE * EDGE, np.cos(min(1.5 * angle, np.pi)) - EDGE
+    spark = table.sparkSession
+    folder = new_path(spark, "graphs")
+    centres: dict[int, list] = {}
+    for r in caps(kinds, shard_rows, least_shards).orderBy("dim", "cap").collect():  # one for `shard_rows` rows
+        centres.setdefault(r["dim"], []).append(r["v"])
+    heads = {d: unit(np.array(v)) for d, v in centres.items()}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_graphs: dict[int, Graph] = {}
         for batch in batches:
-            dims = batch.column("dim").to_numpy()
-            for dim in np.unique(dims):
-                part = batch.filter(pa.array(dims == dim))
-                if dim not in open_graphs:
-                    open_graphs = {dim: load(folder, routes[int(dim)][0])[0]}
-                graph, (_, margin, beam) = open_graphs[dim], routes[int(dim)]
-                v = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                x, n = unit(v), len(v)
-                r, c, nearest = (np.concatenate(p) for p in zip(*routed(graph, x, margin, beam), strict=True))
-                order = np.lexsort((c, r))
-                r, c, nearest = r[order], c[order], nearest[order]
-                fresh = np.ones(len(r), bool)  # a stray may be met twice
-                fresh[1:] = (r[1:] != r[:-1]) | (c[1:] != c[:-1])
-                r, c, nearest = r[fresh], c[fresh], nearest[fresh]
-                cos = np.einsum("kd,kd->k", x[r], graph.exact[c])
-                ball = np.full(n, -1, np.int32)
-                mine = nearest & (cos >= inside)
-                ball[r[mine]] = c[mine]
-                ends = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=n))]).astype(np.int32)
-                cells, raw = c.astype("<i4"), v.astype(kind)
-                yield pa.RecordBatch.from_arrays([
-                    part.column("id"), part.column("m"), part.column("dim"), pa.array(ball), pa.array([row.tobytes() for row in raw], pa.binary()),
-                    pa.array([cells[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(cells.astype(np.int32))), pa.ListArray.from_arrays(pa.array(ends), pa.array(cos >= outside)),
-                ], ["id", "m", "dim", "ball", "x", "cells", "cell", "close"])
-
-    placed = kinds.select("id", "m", "dim", "v").mapInArrow(place, "id long, m long, dim int, ball int, x binary, cells binary, cell array<int>, close array<boolean>")
-    placed = written(placed, "placed")
-    remove(table.sparkSession, folder)
-    joined = placed.withColumn("at", F.explode(F.arrays_zip("cell", "close"))).withColumn("cell", F.col("at.cell")).withColumn("close", F.col("at.close")).drop("at")
-    inner = F.col("ball") == F.col("cell")
-    lists = joined.groupBy("dim", "cell").agg(F.sum((~inner).cast("long")).alias("outer"), F.sum((~inner & F.col("close")).cast("long")).alias("near"), F.count("*").alias("size"))
-    lists = lists.withColumn("size", F.when(F.col("near") > 0, F.col("size")).otherwise(F.col("outer"))).where("size > 1")
-    lists = written(lists.select("dim", "cell", "near", F.ceil(F.col("size") / LIST_ROWS).cast("int").alias("parts")), "lists")
-    members = joined.join(lists, ["dim", "cell"]).where(~inner | (F.col("near") > 0)).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "id"), F.col("parts")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    members = members.select("id", "m", "dim", "ball", "x", "cells", "cell", "close", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-
-    def compare(key: tuple[int, int, int, int], frame: pd.DataFrame) -> pd.DataFrame:
-        ids, weight, n = frame["id"].to_numpy(np.int64), frame["m"].to_numpy(np.int64), len(frame)
-        order = np.argsort(ids)
-        rank = np.empty(n, np.int64)
-        rank[order] = np.arange(n)  # the smallest member of a component has the smallest id
-        links, label, all_ = np.zeros(n, np.int64), np.arange(n), np.arange(n)
-        for a, b in folded(listed(frame, int(key[1]), int(key[2]), int(key[3]), kind, least), CELLS >> 4):
-            links += np.bincount(a, weights=weight[b], minlength=n).astype(np.int64)
-            label = forest(np.concatenate([rank[a], all_]), np.concatenate([rank[b], label]), n)
-        low = ids[order][label[rank]]
-        some = (links > 0) | (low != ids)
-        return pd.DataFrame({"a": ids[some], "b": low[some], "n": links[some]})
-
-    found = written(members.groupBy("dim", "cell", "low", "high").applyInPandas(compare, "a long, b long, n long"), "links")
-    balls = placed.where("ball >= 0").groupBy("dim", "ball").agg(F.sum("m").alias("n"), F.min("id").alias("b"))
-    inside_balls = written(placed.where("ball >= 0").select("dim", "ball", F.col("id").alias("a"), "m").join(balls, ["dim", "ball"]).select("a", "b", (F.col("n") - F.col("m")).alias("n")).where("n > 0"), "balls")
-    found = found.unionByName(inside_balls)
+            for dim, some, x in by_length(batch):
+                yield pa.record_batch([*(some.column(c) for c in ("id", "m", "dim", "v")), pa.array(nearest(x, heads[dim]).astype(np.int32))], names=["id", "m", "dim", "v", "cap"])
+
+    placed = written(mapped(kinds.select("id", "m", "dim", "v"), place, f"id long, m long, dim int, v array<{part}>, cap int"), "placed")
+    parts = placed.groupBy("dim", "cap").agg(F.ceil(F.count("*") / rows_each(F.col("dim"), shard_rows)).cast("int").alias("parts"))
+    sharded = placed.join(parts, ["dim", "cap"]).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "id"), F.col("parts")).cast("int"))
+
+    def build(key: tuple[int, int, int], frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("id")
+        ids, x, centre = frame["id"].to_numpy(np.int64), unit(matrix(frame["v"], np.float64)), heads[int(key[0])][int(key[1])]
+        graph = Graph(x, ids)
+        beam = shard_beam(graph, ids, least)
+        reach = float(np.arccos(np.clip(x @ centre, -1, 1)).max())
+        path = save(folder, graph, ids, frame["m"].to_numpy(np.int64))
+        return pd.DataFrame({"dim": [int(key[0])], "cap": [int(key[1])], "part": [int(key[2])], "path": [path], "beam": [beam or 0], "reach": [reach]})
+
+    graphs = written(sharded.select("id", "m", "dim", "v", "cap", "part").groupBy("dim", "cap", "part").applyInPandas(build, "dim int, cap int, part int, path string, beam int, reach double"), "graphs")
+    known = Shards(folder, [r.asDict() | {"centre": heads[r["dim"]][r["cap"]]} for r in graphs.orderBy("dim", "cap", "part").collect()])  # a row a shard
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("dim", pa.int32()), ("shard", pa.int32()), ("asked", pa.int64()), ("links", pa.int64()), ("found", pa.int64()), ("compared", pa.bool_())])
+
+    def query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            for dim, some, x in by_length(block):
+                keys, asked = some.column("id").to_numpy(), known.asked(dim, x, least)
+                for shard, row in enumerate(known.rows[dim]):
+                    mine = np.flatnonzero(asked[:, shard])
+                    if not len(mine):
+                        continue
+                    got, audit = ask(folder, row, x[mine], keys[mine], least)
+                    n = len(got[0])
+                    told = {"dim": dim, "shard": shard, "asked": len(mine)} | audit
+                    columns = [*(np.append(c, 0) for c in got)]
+                    arrays = [pa.array(c, pa.int64(), mask=np.arange(n + 1) == n) for c in columns]
+                    arrays += [pa.array([None] * n + [told[f.name]], f.type) for f in list(schema)[3:]]
+                    yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+    spread = placed.select("id", "dim", "v").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["n"] // BLOCK_ROWS)))
+    told = written(mapped(spread, query, "a long, b long, n long, dim int, shard int, asked long, links long, found long, compared boolean"), "links")
+    remove(spark, folder)
+    found = told.where("a is not null and (n > 0 or a <> b)")
+    audits = told.where("a is null").groupBy("dim", "shard").agg(*(F.sum(c).alias(c) for c in ("asked", "links", "found")), F.max("compared").alias("compared"))
+    # a vector meets itself in its own shard: m rows, of which one is the row
     links = found.groupBy("a").agg(F.sum("n").alias("n"))
-    parts = components(found.select("a", "b"))
-    known = kinds.join(links, F.col("id") == F.col("a"), "left").join(parts, F.col("id") == F.col("node"), "left")
-    known = known.select(F.col("v").alias("_v"), (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.floor(F.coalesce("component", "id") / F.lit(each)).alias("component_id") if each > 1 else F.coalesce("component", "id").alias("component_id"))
+    joined = components(found.select("a", "b"))
+    all_ = kinds.join(links, F.col("id") == F.col("a"), "left").join(joined, F.col("id") == F.col("node"), "left")
+    all_ = all_.select(F.col("v").alias("_v"), (F.coalesce("n", "m") - 1).alias("n_links"), F.floor(F.coalesce("component", "id") / F.lit(each)).alias("component_id") if each > 1 else F.coalesce("component", "id").alias("component_id"))
     # the hash first: sorts seldom get to the vectors
-    known, rows = known.withColumn("_h", F.xxhash64("_v")), rows.withColumn("h", F.xxhash64("v"))
-    out = rows.join(known, (rows["h"] == known["_h"]) & (rows["v"] == known["_v"]), "left")
+    all_, rows = all_.withColumn("_h", F.xxhash64("_v")), rows.withColumn("h", F.xxhash64("v"))
+    out = rows.join(all_, (rows["h"] == all_["_h"]) & (rows["v"] == all_["_v"]), "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id")), audits
+
+
+def by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+    """(length, rows, unit vectors) of a batch with dim and v, each length by itself."""
+    dims = batch.column("dim").to_numpy()
+    for dim in np.unique(dims):
+        some = batch.filter(pa.array(dims == dim))
+        yield int(dim), some, unit(some.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+
+
+def blocks(batches: Iterator[pa.RecordBatch], rows: int = BLOCK_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches gathered to about `rows` rows, so that a graph is read for many queries."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= rows:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def ask(folder: str, row: dict, x: np.ndarray, keys: np.ndarray, least: float) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], dict]:
+    """((node, smallest node of its component here, links), audit) of queries against one shard; its own row is a link."""
+    graph, ids, weight = load(folder, row["path"])
+    at = np.minimum(np.searchsorted(ids, keys), len(ids) - 1)
+    own = np.where(ids[at] == keys, at, -1)
+    every, back = np.unique(np.concatenate([keys, ids]), return_inverse=True)
+    of_row, of_node = back[: len(keys)], back[len(keys) :]
+    links, label, all_ = np.zeros(len(every), np.int64), np.arange(len(every)), np.arange(len(every))
+    beam, total, met = audited(graph, x, keys, own, least, row["beam"] or None)
+    for r, node in folded(linked(graph, x, own, least, beam)):
+        links += np.bincount(of_row[r], weights=weight[node], minlength=len(every)).astype(np.int64)
+        label = forest(np.concatenate([of_row[r], all_]), np.concatenate([of_node[node], label]), len(every))
+    some = (links > 0) | (label != all_)
+    return (every[some], every[label[some]], links[some]), {"links": total, "found": met, "compared": beam is None}

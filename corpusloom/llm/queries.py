@@ -47,6 +47,15 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_vectors(table(spark, sf_dir, "embeddings"), 0.9)
 
 
+def noisy_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4 on embeddings with a noisy copy of each, by rule: cosines from 0.8 to 1, so that links exist and end near 0.9."""
+    own = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    far = (F.col("vec_id") % 10) / 10.0
+    noisy = F.transform("embedding", lambda x, i: x * (1 + far * ((F.col("vec_id") + i) % 3 - 1)))
+    copies = own.select("vec_id", noisy.alias("embedding")).withColumn("vec_id", F.col("vec_id") + 1_000_000_000)
+    return hnsw.near_vectors(own.unionByName(copies), 0.9)
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(table(spark, sf_dir, "embeddings"), 50, 256, 5)
 
@@ -93,7 +102,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_packing, op2_toxicity, op3_chat, op4_embedding_dedup, op5_topk, op6_substring_dedup, op7_mixing, op8_minhash, op9_token_counts, op10_records, op11_phrases, op12_repair, op13_quality, pipeline)
+    own = (op1_packing, op2_toxicity, op3_chat, op4_embedding_dedup, op5_topk, op6_substring_dedup, op7_mixing, op8_minhash, op9_token_counts, op10_records, op11_phrases, op12_repair, op13_quality, noisy_vectors, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -144,6 +153,11 @@ SELECT u.vec_id, coalesce(n, 0) AS n_links, coalesce(c, u.vec_id) AS component_i
 FROM u LEFT JOIN low ON low.a = u.vec_id LEFT JOIN deg ON deg.a = u.vec_id
 """
 
+NOISY_SQL = OP4_SQL.replace("FROM embeddings\n", """FROM (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS embedding FROM embeddings
+    UNION ALL SELECT vec_id + 1000000000, list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * (1 + (vec_id % 10) / 10.0 * ((vec_id + i - 1) % 3 - 1))) FROM embeddings)
+""")
+
 OP6_SQL = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -293,6 +307,6 @@ FROM b
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op3_chat": OP3_SQL, "op4_embedding_dedup": OP4_SQL, "op5_topk": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op8_minhash": OP8_SQL,
+        "op3_chat": OP3_SQL, "op4_embedding_dedup": OP4_SQL, "noisy_vectors": NOISY_SQL, "op5_topk": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op8_minhash": OP8_SQL,
         "op11_phrases": OP11_SQL, "op12_repair": OP12_SQL, "op13_quality": OP13_SQL,
     }

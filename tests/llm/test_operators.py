@@ -392,41 +392,51 @@ def test_walked_graphs_miss_no_links():
         graph = hnsw.Graph(u[part], part)
         own = np.full(len(u), -1)
         own[part] = np.arange(len(part))
-        found = list(hnsw.linked(graph, u, np.arange(len(u)), own, 0.9, hnsw.shard_beam(graph, part, 0.9)))
+        beam, *_ = hnsw.audited(graph, u, np.arange(len(u)), own, 0.9, hnsw.shard_beam(graph, part, 0.9))
+        found = list(hnsw.linked(graph, u, own, 0.9, beam))
         n, want = sum(np.bincount(r, minlength=len(u)) for r, _ in found), (u @ u[part].T >= 0.9).sum(1)
         assert (n <= want).all() and n.sum() >= 0.995 * want.sum()
     assert hnsw.shard_beam(graph, part, 0.9) == hnsw.BEAM and time.process_time() - began < 60
 
 
-def test_vectors_meet_few_others_however_many_there_are():
-    rng = np.random.default_rng(7)
-    met = []
-    for n in (30_000, 120_000):
-        x = hnsw.unit(rng.normal(size=(n, 32)))
-        y = hnsw.turned(x[-1000:], hnsw.unit(rng.normal(size=(1000, 32))), 0.9)
-        y = y[(link := (x[-1000:] * y).sum(1) >= 0.9)]
-        centres = n // hnsw.ROWS_EACH
-        graph = hnsw.Graph(x[:centres], np.arange(centres))
-        margin, beam = hnsw.route(graph, x[centres:][: hnsw.AUDIT_ROWS], n, 0.9)
-        lists = []
-        for q in (x[-1000:][link], y):
-            lists.append(np.zeros((len(q), centres), bool))
-            for r, c, _ in hnsw.routed(graph, q, margin, beam):
-                lists[-1][r, c] = True
-        assert beam and len(y) > 100 and (lists[0] & lists[1]).any(1).mean() > 0.95
-        size = hnsw.all_margins(graph, x[:4000]) <= margin
-        met.append((lists[0] @ size.sum(0)).mean() * n / 4000)
-    # every row was once compared with, or searched for in, all others: four times as many
-    assert met[1] < 2.5 * met[0] and met[1] < 0.25 * 120_000
-
-
-def test_long_lists_are_compared_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(hnsw, "LIST_ROWS", 200)
+def planted_vectors(n, seed):
+    """Rows of 64 components, of which the last tenth lie at cosines from 0.9 to 0.92 from the first."""
+    rng = np.random.default_rng(seed)
+    x = hnsw.unit(rng.normal(size=(n, 64)))
+    k = n // 10
+    away = rng.normal(size=(k, 64))
+    away -= (away * x[:k]).sum(1, keepdims=True) * x[:k]
+    cos = rng.uniform(0.9001, 0.92, size=(k, 1))
+    x[-k:] = cos * x[:k] + np.sqrt(1 - cos * cos) * hnsw.unit(away)
+    return x, k
+
+
+@pytest.mark.parametrize("n", [600, 6000, 30_000])
+def test_links_just_above_the_least_cosine_are_found_at_every_size(spark, n):
+    common.ship(spark)
+    x, k = planted_vectors(n, n)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    got, audits = hnsw.searched(df, 0.9, shard_rows=max(200, n // 8))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got.collect()}
+    met = sum(got[n - k + i] == (1, i) and got[i] == (1, i) for i in range(k))
+    assert len(got) == n and met >= 0.99 * k and sum(a for a, _ in got.values()) <= 2 * k
+    told = audits.agg(F.sum("found").alias("found"), F.sum("links").alias("links"), F.sum("asked").alias("asked")).first()
+    assert told["links"] is not None and told["found"] >= 0.98 * told["links"]
+
+
+def test_bounds_of_caps_spare_shards_and_lose_nothing(spark):
+    common.ship(spark)
     rng = np.random.default_rng(8)
-    tight = rng.normal(size=64) + rng.normal(size=(500, 64)) * 0.1
-    wide = rng.normal(size=64) + rng.normal(size=(900, 64)) * rng.uniform(0.05, 0.45, size=(900, 1))
-    got, want = vector_links(spark, np.concatenate([tight, wide, rng.normal(size=(600, 64))]))
-    assert got == want and len({n for n, _ in want}) > 100
+    # clusters far from each other, one with a third of the rows
+    x = np.concatenate([rng.normal(size=32) + rng.normal(size=(n, 32)) * rng.uniform(0.02, 0.3) for n in (900, *[225] * 8)])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got, audits = hnsw.searched(df, 0.9, shard_rows=60)
+    u = hnsw.unit(x)
+    link = u @ u.T >= 0.9
+    want = hnsw.forest(*np.nonzero(link), len(u))
+    assert [tuple(r)[1:3] for r in got.orderBy("vec_id").collect()] == list(zip((link.sum(1) - 1).tolist(), want.tolist(), strict=True))
+    told = audits.agg(F.count("*").alias("shards"), F.sum("asked").alias("asked")).first()
+    assert told["shards"] >= 40 and told["asked"] < 0.5 * told["shards"] * len(x)
 
 
 def test_vector_links_of_repeated_and_null_ids(spark):
