@@ -20,9 +20,11 @@ def parse_v04(lines: DataFrame) -> DataFrame:
     good = four & (place != "")
     other = F.when(c == "", "blank").when(c == HEADER, "header").when(c.startswith("#") & F.lower(c).contains("copyright"), "copyright").when(c.startswith("#"), "comment")
     tried = c.startswith("(") | (c.contains("\t") & other.isNull())
-    kind = F.when(other.isNotNull(), other).when(tried, "morphology").otherwise("unknown")
-    status = F.when(other.isNotNull() | ~tried, "unknown").when(good, "parsed").otherwise("malformed")
-    error = F.when(status == "malformed", F.when(four, "invalid locator").otherwise("exactly four tab-separated fields"))
+    tried, broken = F.coalesce(tried, F.lit(False)), c.isNull()
+    good = F.coalesce(good, F.lit(False))
+    kind = F.when(broken, "unknown").when(other.isNotNull(), other).when(tried, "morphology").otherwise("unknown")
+    status = F.when(broken, "malformed").when(other.isNotNull() | ~tried, "unknown").when(good, "parsed").otherwise("malformed")
+    error = F.when(status == "malformed", F.when(broken, "no UTF-8").when(four, "invalid locator").otherwise("exactly four tab-separated fields"))
     get = lambda i: F.when(good, F.get(fields, F.lit(i)))
     features = F.when(good, feature_struct(F.get(fields, F.lit(3))))
     out = lines.withColumns({"kind": kind, "parse_status": status, "parse_error": error, "locator": F.when(good, place), "form": get(1), "tag": get(2), "features": features})
@@ -35,7 +37,7 @@ def parse_synthetic(lines: DataFrame) -> DataFrame:
     c = F.col("content")
     fields = F.split(c, "\t", -1)
     eight = F.size(fields) == 8
-    kind = F.when(c == "", "blank").when(c.startswith("#") & F.lower(c).contains("license"), "license").when(c.startswith("#"), "comment").when(c.startswith("@"), "unknown").when(eight, "analysis").otherwise("malformed")
+    kind = F.when(c.isNull(), "malformed").when(c == "", "blank").when(c.startswith("#") & F.lower(c).contains("license"), "license").when(c.startswith("#"), "comment").when(c.startswith("@"), "unknown").when(eight, "analysis").otherwise("malformed")
     status = F.when(kind == "analysis", "parsed").when(kind == "malformed", "malformed").otherwise("unknown")
     get = lambda i: F.when(kind == "analysis", F.get(fields, F.lit(i)))
     filled = lambda i: F.nullif(get(i), F.lit(""))
@@ -55,7 +57,7 @@ def read_synthetic(spark: SparkSession, path: str) -> DataFrame:
 
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
     """(path, bytes, sha256, sha512) of files."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.sha2("content", 512).alias("sha512"))
+    return spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.sha2("content", 512).alias("sha512"))
 
 
 def status_counts(records: DataFrame) -> DataFrame:

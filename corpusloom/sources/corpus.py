@@ -45,13 +45,13 @@ def positive(value: Column) -> Column:
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """Adds record_type, collection_no, unit_no and text.  Text may hold further pipes."""
+    """Adds record_type, collection_no, unit_no and text.  Text may hold further pipes; lines with a pipe and no address, and lines that are no UTF-8, are malformed."""
     parts = F.split("content", "\\|", 3)
     first, second = positive(F.get(parts, F.lit(0))), positive(F.get(parts, F.lit(1)))
     shaped = F.size(parts) == 3
     unit = shaped & first.isNotNull() & second.isNotNull()
-    numeric = F.get(parts, F.lit(0)).rlike(NUMBER) | F.get(parts, F.lit(1)).rlike(NUMBER)
-    kind = F.when(unit, "unit_record").when((F.size(parts) >= 2) & ~F.col("content").startswith("#") & numeric, "malformed").otherwise(line_class(F.col("content")))
+    piped = (F.size(parts) >= 2) & ~F.col("content").startswith("#")
+    kind = F.when(F.col("content").isNull(), "malformed").when(unit, "unit_record").when(piped, "malformed").otherwise(line_class(F.col("content")))
     return lines.withColumns({
         "record_type": kind, "collection_no": F.when(unit, first), "unit_no": F.when(unit, second), "text": F.when(unit, F.get(parts, F.lit(2))),
     })

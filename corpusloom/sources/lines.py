@@ -1,6 +1,11 @@
-"""Byte-exact line readers: one splitter with a terminator set for each format.
+"""Byte-exact, splittable line reader with a terminator set for each format.
 
-Files are read whole by `binaryFile`, so endings survive; a reader row is (path, line_no, content, ending, byte_start, byte_end).
+Spark's text source cuts files at LF and nowhere else, in byte ranges of any size, and finds line starts across their borders; a CR before the LF stays with
+its line, so no range can part the two.  What follows is per row, or a sum over one range: CRs are resolved inside a row, and numbers and
+offsets are running sums within a range plus those of the ranges before it.  No file is one row, one task or one group.
+
+A reader row is (path, line_no, content, ending, byte_start, byte_end, raw): content is null where the bytes are no UTF-8, and then
+raw holds them; a byte order mark is part of the first line.
 """
 
 from __future__ import annotations
@@ -10,31 +15,66 @@ from pyspark.sql import functions as F
 
 #: Terminators by format: any of CRLF, LF, CR; or LF only, with a CR before it part of the ending.
 ANY, LF_ONLY = "\r\n|\n|\r", "\r?\n"
+BOM = "﻿"
 
 
-def lines_of(content: Column, terminators: str = ANY) -> Column:
-    body = "[^\\r\\n]*" if terminators == ANY else "[^\\n]*?"
-    return F.regexp_extract_all(content, F.lit(f"({body})({terminators})|([^\\n]+)$" if terminators != ANY else f"({body})({terminators})|([^\\r\\n]+)$"), 0)
-
-
-def split_lines(files: DataFrame, terminators: str = ANY) -> DataFrame:
-    """Lines of (path, content) rows; an empty file has none, the last line may lack an ending."""
-    text = F.decode(F.col("content"), "UTF-8")
-    rows = files.select("path", F.posexplode(lines_of(text, terminators)).alias("_i", "_raw"))
-    ending = F.regexp_extract("_raw", f"({terminators}|\\r)$" if terminators == LF_ONLY else f"({terminators})$", 1)
-    rows = rows.withColumn("ending", ending)
-    run = Window.partitionBy("path").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.octet_length("_raw")).over(run)
-    out = rows.withColumns({"byte_end": end, "content": F.expr("substring(_raw, 1, length(_raw) - length(ending))")})
-    return out.select("path", (F.col("_i") + 1).alias("line_no"), "content", "ending", (F.col("byte_end") - F.octet_length("_raw")).alias("byte_start"), "byte_end")
+def pieces_of(value: Column) -> Column:
+    """The parts between CRs of a line; one that is no UTF-8 is cut byte by byte."""
+    each = F.transform(F.split(F.decode(value.cast("binary"), "ISO-8859-1"), "\r", -1), lambda x: F.encode(x, "ISO-8859-1").cast("string"))
+    return F.when(F.is_valid_utf8(value), F.split(value, "\r", -1)).otherwise(each)
 
 
 def read_lines(spark: SparkSession, path: str, terminators: str = ANY) -> DataFrame:
-    return split_lines(spark.read.format("binaryFile").load(path).select("path", "content"), terminators)
+    """Lines of all files of `path`; an empty file has none, the last line may lack an ending.
+
+    Ranges follow spark.sql.files.maxPartitionBytes and change nothing in the rows.  A file's size tells what its rows cannot: whether the
+    last line has its LF, and whether the source has taken a byte order mark off.
+    """
+    found = spark.read.option("lineSep", "\n").text(path)
+    found = found.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.col("_metadata.file_size").alias("_size"))
+    cut = pieces_of(F.col("value")) if terminators == ANY else F.array(F.when(F.endswith("value", F.lit("\r")), F.expr("substring(cast(value as binary), 1, octet_length(value) - 1)").cast("string")).otherwise(F.col("value")))
+    trailing = F.endswith("value", F.lit("\r"))
+    rows = found.withColumns({"_id": F.monotonically_increasing_id(), "_bytes": F.octet_length("value").cast("long") + 1, "_cut": cut})
+    if terminators == ANY:  # the part behind a trailing CR is no line of its own: the CR belongs to the LF
+        rows = rows.withColumn("_cut", F.when(trailing, F.slice("_cut", F.lit(1), F.size("_cut") - 1)).otherwise(F.col("_cut")))
+    rows = rows.withColumns({"_lines": F.size("_cut").cast("long"), "_cr": trailing})
+    by_path = Window.partitionBy("path").orderBy("_block")
+    before = by_path.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("path", "_block", "_size").agg(F.sum("_bytes").alias("_b"), F.sum("_lines").alias("_l"))  # a row a range
+    every = Window.partitionBy("path")
+    excess = F.col("_size") - F.sum("_b").over(every)  # 0, less one without a last LF, three more with a mark
+    ranges = ranges.select(
+        "path", "_block", F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_b0"), F.coalesce(F.sum("_l").over(before), F.lit(0)).alias("_l0"),
+        (F.col("_block") == F.max("_block").over(every)).alias("_last"), excess.isin(-1, 2).alias("_open"), (excess > 0).alias("_mark"),
+    )
+    inside = Window.partitionBy("path", "_block").orderBy("_id")
+    sums = inside.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"_b1": F.coalesce(F.sum("_bytes").over(sums), F.lit(0)), "_l1": F.coalesce(F.sum("_lines").over(sums), F.lit(0)), "_end": F.lead("_id").over(inside).isNull()})
+    rows = rows.join(ranges, ["path", "_block"])
+    lf = F.when(F.col("_last") & F.col("_end") & F.col("_open"), "").otherwise("\n")
+    marked = F.col("_mark") & (F.col("_b0") + F.col("_b1") == 0)
+    shift = F.when(F.col("_mark") & ~marked, F.lit(3)).otherwise(F.lit(0))
+    start = F.col("_b0") + F.col("_b1") + shift
+    size = lambda x: F.octet_length(x).cast("long")
+    length = F.transform("_cut", lambda x: size(x) + 1)
+    rows = rows.withColumns({"_start": start, "_mine": marked, "_lf": lf, "_ends": length})
+    out = rows.select("path", "_l0", "_l1", "_start", "_mine", "_lf", "_cr", "_ends", "_lines", F.posexplode("_cut").alias("_i", "_x"))
+    final = F.col("_i") == F.col("_lines") - 1
+    ending = F.when(~final, "\r").otherwise(F.concat(F.when(F.col("_cr"), "\r").otherwise(""), "_lf"))
+    offset = F.aggregate(F.slice("_ends", F.lit(1), F.col("_i")), F.lit(0).cast("long"), lambda a, x: a + x)
+    first = F.col("_mine") & (F.col("_i") == 0)
+    begin = F.col("_start") + offset + F.when(F.col("_mine") & (F.col("_i") > 0), F.lit(3)).otherwise(F.lit(0))
+    whole = F.when(first, F.concat(F.lit(BOM), "_x")).otherwise(F.col("_x"))
+    out = out.withColumns({"line_no": F.col("_l0") + F.col("_l1") + F.col("_i") + 1, "_x": whole, "ending": ending, "byte_start": begin})
+    valid = F.is_valid_utf8("_x")
+    return out.select(
+        "path", "line_no", F.when(valid, F.col("_x")).alias("content"), "ending", "byte_start", (F.col("byte_start") + size("_x") + F.octet_length("ending")).alias("byte_end"),
+        F.when(~valid, F.col("_x").cast("binary")).alias("raw"),
+    )
 
 
 def rebuilt(lines: DataFrame) -> DataFrame:
-    """(path, text, sha256): files from their lines, for reconstruction checks."""
-    part = F.struct("line_no", F.concat("content", "ending").alias("x"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda t: t["x"]), "")
-    return lines.groupBy("path").agg(text.alias("text")).withColumn("sha256", F.sha2("text", 256))
+    """(path, text, sha256): small files from their lines, as one value each, for reconstruction checks."""
+    bytes_ = F.concat(F.coalesce(F.col("raw"), F.col("content").cast("binary")), F.col("ending").cast("binary"))
+    whole = F.aggregate(F.array_sort(F.collect_list(F.struct("line_no", bytes_.alias("x")))), F.lit(b""), lambda a, t: F.concat(a, t["x"]))
+    return lines.groupBy("path").agg(whole.alias("_all")).select("path", F.col("_all").cast("string").alias("text"), F.sha2("_all", 256).alias("sha256"))
