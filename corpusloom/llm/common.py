@@ -81,6 +81,11 @@ def written(df: DataFrame, name: str, large: bool = False) -> DataFrame:
     return out
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """`df` in at most three tasks a core, for tables with a row or less for many rows of their input: partitions are joined as they are, so nothing is shuffled."""
+    return df.coalesce(3 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 #: Bytes of a batch that goes to a Python worker: a task holds several copies of one, both beside the JVM's heap and in the worker.
 BATCH_BYTES = 4 << 20
 _BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mapped, written
+from .common import gathered, mapped, written
 
 #: Turns of an element at most (as a power of two), and elements that one product takes.
 CHUNK_BITS, FAN = 12, 64
@@ -144,7 +144,7 @@ def marked(turns: DataFrame) -> DataFrame:
         "_key", "pos", "turn", "role", F.sha2("text", 256).alias("digest"), F.when(first.isin("s", "u", "a"), first).otherwise("o").alias("initial"),
         (~F.rlike("text", F.lit(r"[^\x20\x09-\x0D]"))).alias("blank"), (~F.rlike("text", F.lit(r"[.!?][\x20\x09-\x0D]*\z"))).alias("truncated"),
     )
-    earliest = written(found.where("not blank").groupBy(*seen).agg(F.min("pos").alias("_pos"), F.count("*").alias("n")).where("n > 1").drop("n"), "repeated-turns")
+    earliest = written(gathered(found.where("not blank").groupBy(*seen).agg(F.min("pos").alias("_pos"), F.count("*").alias("n")).where("n > 1").drop("n")), "repeated-turns")
     on = found["_key"].eqNullSafe(earliest["_key"]) & (found["role"] == earliest["role"]) & (found["digest"] == earliest["digest"])
     known = found.join(earliest, on, "left").select(*(found[c] for c in found.columns), (~F.col("blank") & F.coalesce(F.col("pos") > F.col("_pos"), F.lit(False))).alias("duplicate"))
     fault = F.when(F.col("blank"), "blank").when(F.col("duplicate"), "duplicate").when(F.col("truncated"), "truncated").otherwise("")
@@ -180,7 +180,7 @@ def wholes(parts: DataFrame) -> DataFrame:
     """One element a conversation: products of FAN elements that follow each other, level by level, until each has one."""
     kind = parts.schema["_key"].dataType.simpleString()
     some = Window.partitionBy("_key")  # runs, not turns: a conversation of 10**9 turns has 250,000
-    level = written(parts.withColumns({"_n": F.count("*").over(some), "seq": (F.row_number().over(some.orderBy("seq")) - 1).cast("long")}), "elements")
+    level = written(gathered(parts.withColumns({"_n": F.count("*").over(some), "seq": (F.row_number().over(some.orderBy("seq")) - 1).cast("long")})), "elements")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +194,7 @@ def wholes(parts: DataFrame) -> DataFrame:
     left, most = level.where("_n > 1").drop("_n"), level.agg(F.max("_n")).first()[0] or 1
     while most > 1:
         grouped = left.groupBy("_key", F.floor(F.col("seq") / FAN).alias("seq")).agg(F.sort_array(F.collect_list(F.struct("seq", *FIELDS))).alias("parts"))
-        left, most = written(mapped(grouped, run, f"_key {kind}, seq long, {SCHEMA}"), "elements"), -(-most // FAN)
+        left, most = written(mapped(gathered(grouped), run, f"_key {kind}, seq long, {SCHEMA}"), "elements"), -(-most // FAN)
     return single.unionByName(left.select("_key", *FIELDS))
 
 
@@ -283,7 +283,7 @@ def repair(rows: DataFrame, key: str = "conv_id") -> tuple[DataFrame, DataFrame]
     as long as the conversation has turns, a byte each, so a conversation of 10**9 turns needs rows of some GB.
     """
     turns = numbered(rows, key)
-    answer = written(answers(wholes(elements(marked(turns)))), "answers")
+    answer = written(gathered(answers(wholes(elements(marked(turns))))), "answers")
     return answer.withColumnRenamed("_key", key), repaired(turns, answer).withColumnRenamed("_key", key)
 
 
@@ -300,7 +300,7 @@ def damaged(rows: DataFrame, key: str = "conv_id") -> DataFrame:
 def report(rows: DataFrame, key: str = "conv_id") -> DataFrame:
     """Every conversation of `rows` after damage and repair: its answer and the digest of its repaired turns; without turns zeros and empty strings."""
     answer, turns = repair(damaged(rows, key), key)
-    told = written(digests(turns.withColumnRenamed(key, "_key")), "repaired")
+    told = digests(turns.withColumnRenamed(key, "_key"))
     every = rows.select(F.col(key).alias("_every")).distinct()
     names = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
     joined_ = every.join(answer, every["_every"].eqNullSafe(answer[key]), "left").drop(key)
