@@ -63,13 +63,33 @@ def token_structs(text: Column) -> Column:
 def tokenize(units: DataFrame, text: str = "text", *keys: str) -> DataFrame:
     """One row a token: keys, token_no, surface, delimiter_before, start, end.
 
-    Spans come from running sums over one unit's tokens (a window by unit), so long texts cost no more than their length.
+    Spans are known inside the unit's own row, so one Arrow pass finds them and nothing is shuffled or sorted.
     """
-    words = units.select(*keys, F.posexplode(F.arrays_zip(surfaces(F.col(text)).alias("w"), F.split(F.col(text), WORD, -1).alias("g"))).alias("_i", "_x"))
-    rows = words.select(*keys, (F.col("_i") + 1).alias("token_no"), F.col("_x.w").alias("surface"), F.col("_x.g").alias("delimiter_before"))
-    run = Window.partitionBy(*keys).orderBy("token_no").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.length("delimiter_before") + F.coalesce(F.length("surface"), F.lit(0))).over(run)
-    return rows.withColumn("end", end.cast("int")).where("surface is not null").withColumn("start", F.col("end") - F.length("surface"))
+    import re
+
+    import pyarrow as pa
+
+    word = re.compile("[^" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in WHITESPACE_RANGES) + "]+")
+    names = ("token_no", "surface", "delimiter_before", "start", "end")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row: list[int] = []
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for i, value in enumerate(batch.column(len(keys)).to_pylist()):
+                at = 0
+                for k, m in enumerate(word.finditer(value or ""), 1):
+                    row.append(i)
+                    for column, x in zip(out, (k, m.group(), value[at : m.start()], m.start(), m.end()), strict=True):
+                        column.append(x)
+                    at = m.end()
+            take = pa.array(row, pa.int64())
+            types = (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32())
+            yield pa.record_batch([*(batch.column(i).take(take) for i in range(len(keys))), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=[*keys, *names])
+
+    rows = units.select(*keys, F.col(text).cast("string").alias("_text"))
+    kinds = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in keys)
+    return rows.mapInArrow(run, kinds + "token_no int, surface string, delimiter_before string, start int, `end` int")
 
 
 def trailing_delimiter(text: Column) -> Column:
@@ -138,21 +158,3 @@ def codepoint_inventory(units: DataFrame, text: str = "text") -> DataFrame:
 
     found = units.select(F.col(text).cast("string")).mapInArrow(run, "codepoint string, character string, n long")
     return found.groupBy("codepoint", "character").agg(F.sum("n").alias("n"))
-
-
-def owner_tokens(points: DataFrame, tokens: DataFrame, *keys: str) -> DataFrame:
-    """Code points with the token that covers them (null between tokens): an equi-join on exploded spans."""
-    spans = tokens.select(*keys, "token_no", F.explode(F.sequence("start", F.col("end") - 1)).alias("position"))
-    return points.join(spans, [*keys, "position"], "left")
-
-
-def running_ordinals(units: DataFrame, counts: str, order: list[str]) -> DataFrame:
-    """Adds before_collection and before_all: tokens of earlier units, by running sums over the unit table, never over tokens.
-
-    The global sum runs over one row a collection, so no window holds all units in one task.
-    """
-    own = Window.partitionBy(order[0]).orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, -1)
-    total = units.groupBy(order[0]).agg(F.sum(counts).alias("_sum"))
-    before = total.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy(order[0]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
-    out = units.withColumn("before_collection", F.coalesce(F.sum(counts).over(own), F.lit(0)))
-    return out.join(before, order[0]).withColumn("before_all", F.col("before_collection") + F.col("_before")).drop("_before")

@@ -27,7 +27,8 @@ def align(segments: DataFrame, tokens: DataFrame, profile: str = "base_arabic_le
     return out.withColumns({"confidence": confidence, "status": F.lower("method"), "is_ambiguous": F.col("method") == "AMBIGUOUS"}).drop("_n")
 
 
-#: Rules of the staged alignment, each with its status for a whole token, its status for a segment, and its confidence.
+#: Rules of the staged alignment, each with its status for a whole token, its status for a segment, and its confidence; of several
+#: bounded candidates none is chosen, with status ambiguous and confidence 0.
 RULES = {
     "invalid_locator": ("unaligned", "unaligned", 0.0),
     "missing_locator": ("unaligned", "unaligned", 0.0),
@@ -35,7 +36,6 @@ RULES = {
     "segment_exact": ("aligned", "aligned", 1.0),
     "normalized_token": ("aligned", "partial", 0.9),
     "bounded_candidate": ("partial", "partial", 0.6),
-    "several_candidates": ("ambiguous", "ambiguous", 0.0),
     "surface_mismatch": ("unaligned", "unaligned", 0.0),
 }
 
@@ -56,13 +56,15 @@ def align_staged(segments: DataFrame, tokens: DataFrame) -> DataFrame:
         F.when(invalid, "invalid_locator").when(F.col("_at").isNull(), "missing_locator")
         .when(F.col("_surface") == F.col("form"), F.when(part, "segment_exact").otherwise("exact_token"))
         .when(remove_marks(F.col("_surface")) == F.col("_key"), "normalized_token")
-        .when(F.col("_count") == 1, "bounded_candidate").when(F.col("_count") > 1, "several_candidates").otherwise("surface_mismatch")
+        .when(F.col("_count") >= 1, "bounded_candidate").otherwise("surface_mismatch")
     )
     out = met.withColumn("rule", rule)
     of = lambda i: F.element_at(F.create_map(*(F.lit(x) for r, told in RULES.items() for x in (r, told[i]))), F.col("rule"))
     own = F.col("rule").isin("exact_token", "segment_exact", "normalized_token")
-    token = F.when(own, F.col("_at")).when(F.col("rule") == "bounded_candidate", F.col("_one"))
-    return out.withColumns({"status": F.when(part, of(1)).otherwise(of(0)), "confidence": of(2), "token_id": token}).drop("_at", "_surface", "_key", "_count", "_one")
+    several = (F.col("rule") == "bounded_candidate") & (F.col("_count") > 1)
+    token = F.when(own, F.col("_at")).when((F.col("rule") == "bounded_candidate") & ~several, F.col("_one"))
+    status = F.when(several, "ambiguous").when(part, of(1)).otherwise(of(0))
+    return out.withColumns({"status": status, "confidence": F.when(several, 0.0).otherwise(of(2)), "token_id": token}).drop("_at", "_surface", "_key", "_count", "_one")
 
 
 def statistics(aligned: DataFrame) -> DataFrame:

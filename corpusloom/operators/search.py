@@ -7,7 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..functions.normalize import normalize
+from .stream import owners, with_halo
 
 
 def values(tokens: DataFrame, profile: str | None = None) -> DataFrame:
@@ -57,54 +59,80 @@ def occurrences(text: Column, pattern: str) -> Column:
 
 
 def substring(units: DataFrame, tokens: DataFrame, pattern: str, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, start, end, token_no): hits, with the first token that covers each whole hit (null if none does)."""
+    """(keys, start, end, token_no): hits, with the token that covers each whole hit (null if none does): one sweep over starts of tokens and hits."""
     hits = units.where(F.col(text).contains(pattern)).select(*keys, F.explode(occurrences(F.col(text), pattern)).alias("start"))
-    hits = hits.withColumn("end", F.col("start") + len(pattern))
-    span = tokens.select(*keys, "token_no", F.col("start").alias("_s"), F.col("end").alias("_e"))
-    met = hits.join(span.join(hits.select(*keys).distinct(), keys, "left_semi"), keys, "left")
-    return met.groupBy(*keys, "start", "end").agg(F.min(F.when((F.col("_s") <= F.col("start")) & (F.col("_e") >= F.col("end")), F.col("token_no"))).alias("token_no"))
+    met = owners(hits, tokens.select(*keys, "token_no", "start", "end"), keys, "start")
+    end = F.col("start") + len(pattern)
+    return met.select(*keys, "start", end.alias("end"), F.when(F.col("_owner_end") >= end, F.col("token_no")).alias("token_no"))
+
+
+def phrase_in_units(units: DataFrame, phrase: str, keys: list[str], text: str = "text", profile: str | None = None) -> DataFrame:
+    """(keys, token_no, start, phrase_end) of every hit inside one unit, overlapping ones included: found in the unit's own row, so nothing is shuffled."""
+    words = phrase.split()
+    if not words:
+        raise ValueError("a phrase needs a word")
+    named = F.struct(tx.surfaces(F.col(text)).alias("w"), F.split(F.col(text), tx.WORD, -1).alias("g"))
+    rows = units.where(F.contains(F.col(text), F.lit(words[0])) if profile is None else F.lit(True)).select(*keys, F.explode(F.array(named)).alias("_x"))  # once a row
+    value = lambda i: F.get("_x.w", i) if profile is None else normalize(F.get("_x.w", i), profile)
+
+    def same(i: Column) -> Column:
+        out = value(i) == words[0]
+        for k, w in enumerate(words[1:], 1):
+            out &= value(i + k) == w
+        return F.coalesce(out, F.lit(False))
+
+    hits = rows.where(F.size("_x.w") >= len(words)).select(*keys, "_x", F.explode(F.filter(F.sequence(F.lit(0), F.size("_x.w") - len(words)), same)).alias("_i"))
+    length = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda t, x: t + F.length(x))
+    i, m = F.col("_i"), len(words)
+    start, end = length(F.col("_x.g"), i + 1) + length(F.col("_x.w"), i), length(F.col("_x.g"), i + m) + length(F.col("_x.w"), i + m)
+    return hits.select(*keys, (i + 1).alias("token_no"), start.alias("start"), end.alias("phrase_end"))
 
 
 def frequency(tokens: DataFrame, profile: str | None = None) -> DataFrame:
     return values(tokens, profile).groupBy("value").agg(F.count("*").alias("n"))
 
 
-def grams(tokens: DataFrame, n: int, within: list[str], order: list[str]) -> DataFrame:
-    """Every run of n values in a partition, as array `gram`, on the row of its first token."""
-    win = Window.partitionBy(*within).orderBy(*order).rowsBetween(0, n - 1)
-    return tokens.withColumn("gram", F.collect_list("value").over(win)).where(F.size("gram") == n)
+def stream_window(tokens: DataFrame, n: int, keys: list[str], cross_unit: bool) -> tuple[DataFrame, list[str], Column]:
+    """(rows, partition and order of windows of n tokens, which rows may start one): inside units, or over the whole stream in the order of `keys`."""
+    if not cross_unit:
+        return tokens, [*keys, "token_no"], F.lit(True)
+    rows, home, (part, at) = with_halo(tokens, [*keys, "token_no"], n)
+    return rows, [part, at], home
 
 
-def phrase(tokens: DataFrame, text: str, keys: list[str], profile: str | None = None, cross_unit: list[str] | None = None) -> DataFrame:
+def phrase(tokens: DataFrame, text: str, keys: list[str], profile: str | None = None, cross_unit: bool = False) -> DataFrame:
     """Runs of tokens equal to the phrase's words; overlapping hits are kept.
 
-    Runs stay in one unit, or, given `cross_unit` (columns that partition the stream), may go over unit ends.
-    Only tokens equal to the first word start a run; look-ahead is by lead(), so nothing is collected.
+    Runs stay in one unit, or with `cross_unit` go over the ends of units and collections, as the whole table is one stream.
     """
     words = text.split()
     if not words:
         raise ValueError("a phrase needs a word")
-    rows = values(tokens, profile)
-    part, order = (keys, ["token_no"]) if cross_unit is None else (cross_unit, [k for k in keys if k not in cross_unit] + ["token_no"])
-    win = Window.partitionBy(*part).orderBy(*order)
+    rows, (*part, order), home = stream_window(values(tokens, profile), len(words), keys, cross_unit)
+    win = Window.partitionBy(*part).orderBy(order)
     hit = F.col("value") == words[0]
     for i, w in enumerate(words[1:], 1):
         hit &= F.lead("value", i).over(win) == w
     last = F.lead("end", len(words) - 1).over(win) if len(words) > 1 else F.col("end")
-    return rows.withColumns({"_hit": hit, "phrase_end": last}).where("_hit").drop("_hit")
+    found = rows.withColumns({"_hit": hit & home, "phrase_end": last}).where("_hit")
+    return found.select(*tokens.columns, "value", "phrase_end") if "value" not in tokens.columns else found.select(*tokens.columns, "phrase_end")
 
 
-def repeated_ngrams(tokens: DataFrame, n: int, keys: list[str], profile: str | None = None, locations: bool = False, cross_unit: list[str] | None = None) -> DataFrame:
-    """(gram, n[, locations]): runs of 2..10 tokens met more than once; a null-free key joins words by one space.
+def repeated_ngrams(tokens: DataFrame, n: int, keys: list[str], profile: str | None = None, locations: bool = False, cross_unit: bool = False) -> DataFrame:
+    """(gram, n, sequence_sha256[, locations]): runs of 2..10 tokens met more than once; gram joins the words by one space, the hash tells apart
+    sequences whose joined words agree.
 
-    Runs stay in one unit, or, given `cross_unit` (columns that partition the stream), may go over unit ends.
+    Runs stay in one unit, or with `cross_unit` go over the ends of units and collections.
     """
     if not 2 <= n <= 10:
         raise ValueError("n must be from 2 to 10")
-    part, order = (keys, ["token_no"]) if cross_unit is None else (cross_unit, [k for k in keys if k not in cross_unit] + ["token_no"])
-    found = grams(values(tokens, profile), n, part, order).select(F.array_join("gram", " ").alias("gram"), *keys, "token_no")
-    count = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    rows, (*part, order), home = stream_window(values(tokens, profile), n, keys, cross_unit)
+    win = Window.partitionBy(*part).orderBy(order).rowsBetween(0, n - 1)
+    found = rows.withColumns({"_gram": F.collect_list("value").over(win), "_home": home}).where((F.size("_gram") == n) & F.col("_home"))
+    sized = F.array_join(F.transform("_gram", lambda w: F.concat(F.octet_length(w).cast("string"), F.lit(":"), w)), "")
+    found = found.select(F.array_join("_gram", " ").alias("gram"), F.sha2(sized, 256).alias("sequence_sha256"), *keys, "token_no")
+    count = found.groupBy("gram", "sequence_sha256").agg(F.count("*").alias("n")).where("n > 1")
     if not locations:
         return count
     place = F.struct(*keys, "token_no")
-    return found.join(count, "gram").groupBy("gram", "n").agg(F.array_sort(F.collect_list(place)).alias("locations"))
+    return found.join(count, ["gram", "sequence_sha256"]).groupBy("gram", "sequence_sha256", "n").agg(F.array_sort(F.collect_list(place)).alias("locations"))

@@ -13,13 +13,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ingest
 from .functions import text as tx
 from .functions.normalize import ALIF_VARIANTS, ANNOTATION_RANGES, normalize
 from .operators import alignment, analytics, search
+from .operators import stream as stream_ops
 from .plans import ast, projections
 from .plans.binding import build_evidence, write_evidence
 from .plans.engine import Engine
+from .scratch import fresh
 from .sources import corpus
+from .store import ROW_BITS, Store
 
 WS = tx.char_class(tx.WHITESPACE_RANGES)
 PROFILE = "remove_combining_marks_v1"
@@ -316,18 +320,44 @@ def _text() -> dict[str, Pair]:
         lambda s, d: search.substring(table(s, d, "conversations"), conv_spans(s, d), "ere", ["conv_id", "turn"]).groupBy(F.col("token_no").isNull().alias("uncovered")).agg(F.count("*").alias("n")),
         f"{CONV} SELECT false AS uncovered, CAST(sum(len(list_filter(range(1, length(surface) - 1), lambda i: substr(surface, i, 3) = 'ere'))) AS BIGINT) AS n FROM s WHERE length(surface) >= 3",
     )
-    out["search_phrase"] = (lambda s, d: search.phrase(conv_spans(s, d), "of the", ["conv_id", "turn"]).select("conv_id", "turn", "token_no")), f"{CONV}, n AS (SELECT *, lead(surface) OVER (PARTITION BY conv_id, turn ORDER BY token_no) AS nxt FROM s) SELECT conv_id, turn, CAST(token_no AS INTEGER) AS token_no FROM n WHERE surface = 'of' AND nxt = 'the'"
-    out["search_phrase_cross_unit"] = (lambda s, d: search.phrase(conv_spans(s, d), "the and", ["conv_id", "turn"], cross_unit=["conv_id"]).select("conv_id", "turn", "token_no")), f"{CONV}, n AS (SELECT *, lead(surface) OVER (PARTITION BY conv_id ORDER BY turn, token_no) AS nxt FROM s) SELECT conv_id, turn, CAST(token_no AS INTEGER) AS token_no FROM n WHERE surface = 'the' AND nxt = 'and'"
+    out["search_phrase"] = (lambda s, d: search.phrase_in_units(table(s, d, "conversations"), "of the", ["conv_id", "turn"]).select("conv_id", "turn", "token_no", F.expr("phrase_end - start").alias("size"))), f"{CONV}, n AS (SELECT *, lead(surface) OVER (PARTITION BY conv_id, turn ORDER BY token_no) AS nxt FROM s) SELECT conv_id, turn, CAST(token_no AS INTEGER) AS token_no, 6 AS size FROM n WHERE surface = 'of' AND nxt = 'the' AND contains(unit_text, 'of the') UNION ALL SELECT conv_id, turn, CAST(token_no AS INTEGER), CAST(length(regexp_extract(unit_text, 'of[{WS}]+the')) AS INTEGER) FROM n WHERE surface = 'of' AND nxt = 'the' AND NOT contains(unit_text, 'of the')"
+    stream = f"{CONV}, n AS (SELECT *, lead(surface) OVER (ORDER BY conv_id, turn, token_no) AS nxt, lead(conv_id) OVER (ORDER BY conv_id, turn, token_no) AS conv FROM s)"
+    out["search_phrase_cross_unit"] = (lambda s, d: search.phrase(conv_spans(s, d), "the and", ["conv_id", "turn"], cross_unit=True).select("conv_id", "turn", "token_no")), f"{stream} SELECT conv_id, turn, CAST(token_no AS INTEGER) AS token_no FROM n WHERE surface = 'the' AND nxt = 'and'"
+
+    def first_words(s: SparkSession, d: str) -> DataFrame:
+        """The first and last tokens of every conversation, so that most pairs of neighbours lie over the end of one."""
+        words = conversation_tokens(s, d).withColumn("size", F.size(tx.surfaces(F.col("unit_text"))))
+        last = table(s, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("_last"))
+        return words.join(last, "conv_id").where("(turn = 0 and token_no = 1) or (turn = _last and token_no = size)").drop("_last", "size")
+
+    ends = f"{CONV}, e AS (SELECT * FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM (SELECT s.*, (SELECT max(turn) FROM conversations c WHERE c.conv_id = s.conv_id) AS latest FROM s)) WHERE (turn = 0 AND token_no = 1) OR (turn = latest AND token_no = size))"
+    out["ngrams_over_collection_ends"] = (
+        lambda s, d: search.repeated_ngrams(first_words(s, d), 2, ["conv_id", "turn"], cross_unit=True).select("gram", "n"),
+        f"{ends}, g AS (SELECT surface || ' ' || lead(surface) OVER (ORDER BY conv_id, turn, token_no) AS gram FROM e) SELECT gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY gram HAVING count(*) > 1",
+    )
+    out["ngrams_locations_cross_unit"] = (
+        lambda s, d: search.repeated_ngrams(conversation_tokens(s, d), 4, ["conv_id", "turn"], cross_unit=True, locations=True).select("gram", "n", F.array_join(F.transform("locations", lambda x: F.concat_ws(":", x["conv_id"], x["turn"], x["token_no"])), " ").alias("places"), "sequence_sha256"),
+        f"{CONV}, g AS (SELECT conv_id, turn, token_no, [surface, lead(surface, 1) OVER o, lead(surface, 2) OVER o, lead(surface, 3) OVER o] AS ws FROM s WINDOW o AS (ORDER BY conv_id, turn, token_no)) "
+        "SELECT array_to_string(ws, ' ') AS gram, count(*) AS n, string_agg(concat_ws(':', conv_id, turn, token_no), ' ' ORDER BY conv_id, turn, token_no) AS places, "
+        "sha256(array_to_string(list_transform(ws, lambda w: CAST(strlen(w) AS VARCHAR) || ':' || w), '')) AS sequence_sha256 FROM g WHERE ws[4] IS NOT NULL GROUP BY ws HAVING count(*) > 1",
+    )
+    out["codepoint_owners"] = (
+        lambda s, d: stream_ops.owners(tx.codepoints(table(s, d, "conversations"), "text", "conv_id", "turn").where("character in ('e', ' ')"), conv_spans(s, d), ["conv_id", "turn"]).groupBy("conv_id", "turn", "character", "token_no").agg(F.count("*").alias("n"), F.sum("position").alias("places")),
+        f"""WITH c AS (SELECT conv_id, turn, string_split(text, '') AS cs FROM conversations), p AS (SELECT conv_id, turn, cs, unnest(range(1, len(cs) + 1)) AS i FROM c),
+        q AS (SELECT conv_id, turn, i, cs[i] AS character, regexp_matches(cs[i], '[^{WS}]') AS solid, i > 1 AND regexp_matches(cs[i - 1], '[^{WS}]') AS before FROM p WHERE cs[i] <> ''),
+        r AS (SELECT *, sum(CASE WHEN solid AND NOT before THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY i) AS k FROM q)
+        SELECT conv_id, turn, character, CAST(CASE WHEN solid THEN k END AS INTEGER) AS token_no, count(*) AS n, CAST(sum(i - 1) AS BIGINT) AS places FROM r WHERE character IN ('e', ' ') GROUP BY ALL""",
+    )
     out["token_frequency_raw"] = (lambda s, d: search.frequency(doc_words(s, d))), f"{DOC_TOKENS} SELECT surface AS value, count(*) AS n FROM w GROUP BY 1"
     out["token_frequency_normalized"] = (lambda s, d: search.frequency(doc_words(s, d), PROFILE)), f"{DOC_TOKENS} SELECT regexp_replace(surface, '[{marks}]+', '', 'g') AS value, count(*) AS n FROM w GROUP BY 1"
     for n in (2, 3, 5):
         leads = " || ' ' || ".join(["surface", *(f"lead(surface, {i}) OVER o" for i in range(1, n))])
-        out[f"ngrams_repeated_{n}"] = (lambda s, d, n=n: search.repeated_ngrams(search.values(conversation_tokens(s, d)), n, ["conv_id", "turn"])), f"{CONV}, g AS (SELECT {leads} AS gram FROM s WINDOW o AS (PARTITION BY conv_id, turn ORDER BY token_no)) SELECT gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY gram HAVING count(*) > 1"
+        out[f"ngrams_repeated_{n}"] = (lambda s, d, n=n: search.repeated_ngrams(search.values(conversation_tokens(s, d)), n, ["conv_id", "turn"]).select("gram", "n")), f"{CONV}, g AS (SELECT {leads} AS gram FROM s WINDOW o AS (PARTITION BY conv_id, turn ORDER BY token_no)) SELECT gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY gram HAVING count(*) > 1"
     out["tokenize_spans"] = (
         lambda s, d: doc_tokens(s, d).groupBy("doc_id").agg(F.count("*").alias("tokens"), F.max("end").alias("last_end"), F.sum("start").alias("starts")),
-        f"""{DOC_TOKENS}, g AS (SELECT doc_id, unnest(range(1, len(regexp_extract_all(text, '[{WS}]*[^{WS}]+')) + 1)) AS i, regexp_extract_all(text, '[{WS}]*[^{WS}]+') AS parts, ts FROM d),
-        e AS (SELECT doc_id, i, ts[i] AS surface, sum(length(parts[i])) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM g)
-        SELECT doc_id, count(*) AS tokens, CAST(max(e) AS INTEGER) AS last_end, CAST(sum(e - length(surface)) AS BIGINT) AS starts FROM e GROUP BY doc_id""",
+        f"""WITH d AS (SELECT doc_id, unnest(regexp_extract_all(text, '[{WS}]*[^{WS}]+')) AS part, generate_subscripts(regexp_extract_all(text, '[{WS}]*[^{WS}]+'), 1) AS i FROM documents),
+        e AS (SELECT doc_id, length(regexp_replace(part, '^[{WS}]+', '')) AS size, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM d)
+        SELECT doc_id, count(*) AS tokens, CAST(max(e) AS INTEGER) AS last_end, CAST(sum(e - size) AS BIGINT) AS starts FROM e GROUP BY doc_id""",
     )
     out["reconstruct_units"] = (
         lambda s, d: tx.reconstruct(conv_spans(s, d), "conv_id", "turn").select("conv_id", "turn", F.md5("text").alias("digest")),
@@ -341,11 +371,18 @@ def _text() -> dict[str, Pair]:
         lambda s, d: table(s, d, "conversations").select("conv_id", "turn", F.size(F.regexp_extract_all("text", F.lit(r"(\X)"), 1)).cast("long").alias("graphemes")),
         "SELECT conv_id, turn, length_grapheme(text) AS graphemes FROM conversations",
     )
-    out["running_ordinals"] = (
-        lambda s, d: tx.running_ordinals(table(s, d, "conversations").select("conv_id", "turn", F.size(tx.surfaces(F.col("text"))).alias("tokens")), "tokens", ["conv_id", "turn"]).select("conv_id", "turn", "tokens", "before_collection", "before_all"),
-        f"""WITH c AS (SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '[^{WS}]+')) AS INTEGER) AS tokens FROM conversations)
-        SELECT conv_id, turn, tokens, CAST(coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before_collection,
-        CAST(coalesce(sum(tokens) OVER (ORDER BY conv_id, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before_all FROM c""",
+    sums = {"before_tokens": F.size(tx.surfaces(F.col("text"))), "before_codepoints": F.length("text"), "before_bytes": F.octet_length("text")}
+    over = "OVER (ORDER BY conv_id, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)"
+
+    def ordinals(s: SparkSession, d: str) -> DataFrame:
+        out = stream_ops.running(table(s, d, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"], sums)
+        first = out.groupBy("conv_id").agg(F.min("before_tokens").alias("_first"))
+        return out.join(first, "conv_id").select("conv_id", "turn", *sums, (F.col("before_tokens") - F.col("_first")).alias("before_in_collection"))
+
+    out["running_ordinals"] = ordinals, (
+        f"WITH c AS (SELECT conv_id, turn, len(regexp_extract_all(text, '[^{WS}]+')) AS tokens, length(text) AS points, strlen(text) AS bytes FROM conversations) "
+        f"SELECT conv_id, turn, CAST(coalesce(sum(tokens) {over} AS before_tokens, CAST(coalesce(sum(points) {over} AS before_codepoints, CAST(coalesce(sum(bytes) {over} AS before_bytes, "
+        f"CAST(coalesce(sum(tokens) {over.replace('(ORDER BY conv_id, turn', '(PARTITION BY conv_id ORDER BY turn')} AS before_in_collection FROM c"
     )
     signs = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ANNOTATION_RANGES)
     alif = "".join(ALIF_VARIANTS)
@@ -398,10 +435,10 @@ def _sources() -> dict[str, Pair]:
         "c AS (SELECT conv_id, turn, surface, count(*) AS n, min(token_id) AS one FROM k GROUP BY ALL), "
         "j AS (SELECT s.id AS segment_id, s.token_no, s.token_no % 5 = 0 AS marked, k.token_id AS hit_id, k.surface = s.surface AS same, coalesce(c.n, 0) AS n, c.one FROM s LEFT JOIN k ON k.conv_id = s.conv_id AND k.turn = s.turn AND k.token_no = s.token_no "
         "LEFT JOIN c ON c.conv_id = s.conv_id AND c.turn = s.turn AND c.surface = s.surface), "
-        "r AS (SELECT *, CASE WHEN hit_id IS NULL THEN 'missing_locator' WHEN same AND NOT marked THEN CASE WHEN token_no % 2 = 0 THEN 'segment_exact' ELSE 'exact_token' END WHEN same THEN 'normalized_token' WHEN n = 1 THEN 'bounded_candidate' WHEN n > 1 THEN 'several_candidates' ELSE 'surface_mismatch' END AS rule FROM j) "
-        "SELECT segment_id, rule, CASE WHEN rule IN ('segment_exact', 'exact_token') THEN 'aligned' WHEN rule = 'normalized_token' THEN CASE WHEN token_no % 2 = 0 THEN 'partial' ELSE 'aligned' END WHEN rule = 'bounded_candidate' THEN 'partial' WHEN rule = 'several_candidates' THEN 'ambiguous' ELSE 'unaligned' END AS status, "
-        "CASE WHEN rule IN ('segment_exact', 'exact_token') THEN 1.0::DOUBLE WHEN rule = 'normalized_token' THEN 0.9::DOUBLE WHEN rule = 'bounded_candidate' THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END AS confidence, "
-        "CASE WHEN rule IN ('segment_exact', 'exact_token', 'normalized_token') THEN hit_id WHEN rule = 'bounded_candidate' THEN one END AS token_id FROM r"
+        "r AS (SELECT *, CASE WHEN hit_id IS NULL THEN 'missing_locator' WHEN same AND NOT marked THEN CASE WHEN token_no % 2 = 0 THEN 'segment_exact' ELSE 'exact_token' END WHEN same THEN 'normalized_token' WHEN n > 0 THEN 'bounded_candidate' ELSE 'surface_mismatch' END AS rule FROM j) "
+        "SELECT segment_id, rule, CASE WHEN rule IN ('segment_exact', 'exact_token') THEN 'aligned' WHEN rule = 'normalized_token' THEN CASE WHEN token_no % 2 = 0 THEN 'partial' ELSE 'aligned' END WHEN rule = 'bounded_candidate' THEN CASE WHEN n = 1 THEN 'partial' ELSE 'ambiguous' END ELSE 'unaligned' END AS status, "
+        "CASE WHEN rule IN ('segment_exact', 'exact_token') THEN 1.0::DOUBLE WHEN rule = 'normalized_token' THEN 0.9::DOUBLE WHEN rule = 'bounded_candidate' AND n = 1 THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END AS confidence, "
+        "CASE WHEN rule IN ('segment_exact', 'exact_token', 'normalized_token') THEN hit_id WHEN rule = 'bounded_candidate' AND n = 1 THEN one END AS token_id FROM r"
     )
     analyses = lambda s, d: evidence(s, d).select(F.md5("surface").alias("token_id"), "lemma", "root", "pos")
     out["conflict_detection"] = (
@@ -441,8 +478,100 @@ def _sources() -> dict[str, Pair]:
     return out
 
 
+_STORES: dict[tuple[str, str], Store] = {}
+#: What stands in the annotation file for a token, by its number modulo 10: see `annotation_lines`.
+MARKED, SHIFTED, OTHER, INVALID, PART, TWICE, BROKEN = 3, 5, 7, 9, 1, 2, 8
+
+
+def annotation_lines(words: DataFrame) -> DataFrame:
+    """A line of eight fields for each token, some with a mark, at the next token's place, of another form, at no place, for a part, twice with another lemma, or a field short."""
+    k, t = F.col("token_no") % 10, F.col("token_no")
+    place = F.concat_ws(":", F.col("conv_id") + 1, F.col("turn") + 1, F.when(k == SHIFTED, t + 1).when(k == INVALID, F.lit(0)).otherwise(t), F.when(k == PART, F.lit(1)))
+    form = F.when(k == MARKED, F.concat("surface", F.lit("\u0301"))).when(k == OTHER, "zzz").otherwise(F.col("surface"))
+    low = F.lower("surface")
+    rows = words.select("conv_id", "turn", "token_no", place.alias("place"), form.alias("form"), low.alias("low"), k.alias("k"), F.explode(F.sequence(F.lit(1), F.when(k == TWICE, 2).otherwise(1))).alias("variant"))
+    lemma, tag = F.when(F.col("variant") == 2, "other").otherwise(F.col("low")), F.when(F.col("form").rlike("^[A-Z]"), "N").otherwise("V")
+    fields = [F.col("place"), F.col("form"), F.lit("t"), tag, lemma, F.substring("low", 1, 3), F.concat(F.lit("POS="), tag, F.lit("|bare"))]
+    line = F.concat_ws("\t", *fields, F.when(F.col("k") != BROKEN, F.col("variant").cast("string")))
+    return rows.select("conv_id", "turn", "token_no", "variant", line.alias("value"))
+
+
+def ingested(spark: SparkSession, sf_dir: str) -> Store:
+    """A store with conversations as a text release and `annotation_lines` as a run of it, by way of files that are read back, once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        store, texts, notes = Store(spark, fresh(spark, "store")), fresh(spark, "corpus-files"), fresh(spark, "annotation-files")
+        rows = table(spark, sf_dir, "conversations").where(F.col("text") != "").withColumn("text", F.regexp_replace("text", "[\\r\\n]", " "))
+        line = F.concat_ws("|", F.col("conv_id") + 1, F.col("turn") + 1, "text")
+        rows.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn").select(line).write.text(texts)
+        order = ["conv_id", "turn", "token_no", "variant"]
+        annotation_lines(conversation_tokens(spark, sf_dir)).repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.text(notes)
+        release = ingest.ingest_text(store, texts)["run"]
+        ingest.ingest_annotations(store, notes, "synthetic", release, ingest.STAGED)
+        _STORES[key] = store
+    return _STORES[key]
+
+
+INGEST_SQL = f"""{WITH}, tk AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn, token_no) AS g FROM s),
+ln AS (
+  SELECT tk.*, token_no % 10 AS k, variant, row_number() OVER (ORDER BY conv_id, turn, token_no, variant) AS ordinal,
+    CASE WHEN token_no % 10 = {SHIFTED} THEN token_no + 1 ELSE token_no END AS at, CASE WHEN token_no % 10 = {OTHER} THEN 'zzz' ELSE surface END AS form
+  FROM tk, (SELECT unnest([1, 2]) AS variant) WHERE variant = 1 OR token_no % 10 = {TWICE}
+), cand AS (SELECT conv_id, turn, surface AS form, count(*) AS n, min(g) AS one FROM tk GROUP BY ALL),
+met AS (
+  SELECT ln.*, h.g AS hit, h.surface AS there, coalesce(cand.n, 0) AS n, cand.one FROM ln
+  LEFT JOIN tk h ON h.conv_id = ln.conv_id AND h.turn = ln.turn AND h.token_no = ln.at
+  LEFT JOIN cand ON cand.conv_id = ln.conv_id AND cand.turn = ln.turn AND cand.form = ln.form WHERE ln.k <> {BROKEN}
+), ruled AS (
+  SELECT *, CASE WHEN k = {INVALID} THEN 'invalid_locator' WHEN hit IS NULL THEN 'missing_locator' WHEN there = form AND k <> {MARKED} THEN CASE WHEN k = {PART} THEN 'segment_exact' ELSE 'exact_token' END
+    WHEN there = form THEN 'normalized_token' WHEN n > 0 THEN 'bounded_candidate' ELSE 'surface_mismatch' END AS rule FROM met
+), won AS (
+  SELECT *, CASE WHEN rule IN ('exact_token', 'segment_exact', 'normalized_token') THEN hit WHEN rule = 'bounded_candidate' AND n = 1 THEN one END AS token,
+    CASE WHEN variant = 2 THEN 'other' ELSE lower(surface) END AS lemma, left(lower(surface), 3) AS root, CASE WHEN regexp_matches(form, '^[A-Z]') THEN 'N' ELSE 'V' END AS tag FROM ruled
+), odd AS (
+  SELECT token, concat_ws(',', CASE WHEN count(DISTINCT lemma) > 1 THEN 'lemma' END, CASE WHEN count(DISTINCT root) > 1 THEN 'root' END, CASE WHEN count(DISTINCT tag) > 1 THEN 'pos' END) AS dims
+  FROM won WHERE token IS NOT NULL GROUP BY token
+), al_rows AS (
+  SELECT ordinal, rule, CASE WHEN coalesce(dims, '') <> '' THEN 'conflict' WHEN rule IN ('exact_token', 'segment_exact', 'normalized_token') THEN 'aligned'
+    WHEN rule = 'bounded_candidate' THEN CASE WHEN n = 1 THEN 'partial' ELSE 'ambiguous' END ELSE 'unaligned' END AS status,
+    CASE WHEN rule IN ('exact_token', 'segment_exact') THEN 1.0::DOUBLE WHEN rule = 'normalized_token' THEN 0.9::DOUBLE WHEN rule = 'bounded_candidate' AND n = 1 THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END AS confidence,
+    token, coalesce(dims, '') AS dims, root FROM won LEFT JOIN odd USING (token)
+)"""
+
+
+def _ingest() -> dict[str, Pair]:
+    own = lambda c: F.col(c).bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    out: dict[str, Pair] = {}
+    out["ingest_tables_units"] = (
+        lambda s, d: ingested(s, d).table("units").select(own("unit_id").alias("ordinal"), "collection_no", "unit_no", "first_token", "first_codepoint"),
+        f"""WITH c AS (SELECT conv_id, turn, regexp_replace(text, '[\r\n]', ' ', 'g') AS text FROM conversations WHERE text <> '')
+        SELECT row_number() OVER w AS ordinal, conv_id + 1 AS collection_no, turn + 1 AS unit_no, CAST(coalesce(sum(len(regexp_extract_all(text, '[^{WS}]+'))) OVER p, 0) AS BIGINT) AS first_token,
+        CAST(coalesce(sum(length(text)) OVER p, 0) AS BIGINT) AS first_codepoint FROM c WINDOW w AS (ORDER BY conv_id, turn), p AS (ORDER BY conv_id, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+    )
+    out["ingest_tables_tokens"] = (
+        lambda s, d: ingested(s, d).table("tokens").select(own("token_id").alias("ordinal"), "collection_no", "unit_no", "token_no", "surface", "start"),
+        f"""{INGEST_SQL}, part AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[{WS}]*[^{WS}]+')) AS part, generate_subscripts(regexp_extract_all(text, '[{WS}]*[^{WS}]+'), 1) AS i FROM conversations),
+        e AS (SELECT conv_id, turn, i, sum(length(part)) OVER (PARTITION BY conv_id, turn ORDER BY i) AS e FROM part)
+        SELECT g AS ordinal, tk.conv_id + 1 AS collection_no, tk.turn + 1 AS unit_no, CAST(token_no AS INTEGER) AS token_no, surface, CAST(e - length(surface) AS INTEGER) AS start
+        FROM tk JOIN e ON e.conv_id = tk.conv_id AND e.turn = tk.turn AND e.i = token_no""",
+    )
+    out["ingest_tables_alignments"] = (
+        lambda s, d: ingested(s, d).table("alignments").select(own("segment_id").alias("ordinal"), own("alignment_id").alias("row"), "rule", "status", "confidence", own("token_id").alias("token"), F.array_join("conflict_dimensions", ",").alias("dims")),
+        f"{INGEST_SQL} SELECT ordinal, row_number() OVER (ORDER BY ordinal) AS row, rule, status, confidence, token, dims FROM al_rows",
+    )
+    out["ingest_tables_counts"] = (
+        lambda s, d: (lambda t: t["records"].groupBy(F.lit("records").alias("name"), F.col("parse_status").alias("status")).agg(F.count("*").alias("n")).unionByName(t["alignments"].groupBy(F.lit("alignments").alias("name"), "status").agg(F.count("*").alias("n"))))({n: ingested(s, d).table(n) for n in ("records", "alignments")}),
+        f"{INGEST_SQL} SELECT 'records' AS name, CASE WHEN k = {BROKEN} THEN 'malformed' ELSE 'parsed' END AS status, count(*) AS n FROM ln GROUP BY ALL UNION ALL SELECT 'alignments', status, count(*) FROM al_rows GROUP BY ALL",
+    )
+    out["ingest_evidence_roots"] = (
+        lambda s, d: ingest.evidence(ingested(s, d)).groupBy("root", "status").agg(F.count_distinct("segment_id").alias("segments"), F.count_distinct("token_id").alias("tokens"), F.count_distinct("unit_id").alias("units")),
+        f"{INGEST_SQL} SELECT root, status, count(DISTINCT ordinal) AS segments, count(DISTINCT token) AS tokens, count(DISTINCT CASE WHEN token IS NOT NULL THEN tk.unit_id END) AS units FROM al_rows LEFT JOIN tk ON tk.g = al_rows.token GROUP BY ALL",
+    )
+    return out
+
+
 def registered() -> dict[str, Pair]:
-    return _aggregates() | _filters() | _sets() | _statistics() | _text() | _sources()
+    return _aggregates() | _filters() | _sets() | _statistics() | _text() | _sources() | _ingest()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -194,7 +194,7 @@ def test_staged_rules(spark):
     got = {r["segment_id"]: (r["rule"], r["status"], r["confidence"], r["token_id"]) for r in alignment.align_staged(seg, tok).collect()}
     assert got == {
         1: ("missing_locator", "unaligned", 0.0, None), 2: ("exact_token", "aligned", 1.0, 10), 3: ("segment_exact", "aligned", 1.0, 10), 4: ("normalized_token", "partial", 0.9, 11),
-        5: ("bounded_candidate", "partial", 0.6, 11), 6: ("several_candidates", "ambiguous", 0.0, None), 7: ("surface_mismatch", "unaligned", 0.0, None), 8: ("invalid_locator", "unaligned", 0.0, None),
+        5: ("bounded_candidate", "partial", 0.6, 11), 6: ("bounded_candidate", "ambiguous", 0.0, None), 7: ("surface_mismatch", "unaligned", 0.0, None), 8: ("invalid_locator", "unaligned", 0.0, None),
     }
 
 
