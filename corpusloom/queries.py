@@ -10,7 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ingest
@@ -41,6 +41,8 @@ def conversation_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Places of a turn and of a token in an id: room for 2**20 turns a conversation and 2**20 tokens a turn.
 TURNS, TOKENS = 1 << 20, 1 << 20
+#: Characters of a token that finds no match.
+LONG = 12
 
 
 def star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -48,7 +50,7 @@ def star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
     Every token is a source record with an analysis; records of punctuation or digits only are malformed.  A word with a last
     point or comma has two segments.  Conversations alternate between a completed run of each of two releases and an unfinished
-    one.  Tokens with an apostrophe are unmatched; those that end a turn are ambiguous with the one before.
+    one.  Tokens of LONG characters and more are unmatched; those that end a turn are ambiguous with the one before.
     """
     rows = conversation_tokens(spark, sf_dir).withColumn("stem", F.regexp_replace(F.lower("surface"), "[^a-z]", ""))
     unit = F.col("conv_id") * TURNS + F.col("turn")
@@ -65,7 +67,7 @@ def star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     segments = rows.select(F.col("id").alias("analysis_id"), F.explode(parts).alias("s")).select((F.col("analysis_id") * 2 + F.col("s.segment_index") - 1).alias("segment_id"), "analysis_id", "s.*")
     runs = spark.createDataFrame([(0, 1, "completed"), (1, 2, "completed"), (2, 2, "running")], "run_id long, release_id int, run_status string")
     twice = (F.col("token_no") == F.col("size")) & (F.col("token_no") > 1)
-    unmatched = F.instr("surface", "'") > 0
+    unmatched = F.length("surface") >= LONG
     status = F.when(unmatched, "unmatched").when(twice, "ambiguous").when(mark != "", "normalized").otherwise("direct")
     found = F.when(unmatched, F.array(F.lit(None).cast("long"))).when(twice, F.array(F.col("id"), F.col("id") - 1)).otherwise(F.array("id"))
     alignment = rows.select((F.col("conv_id") % 3).alias("run_id"), "id", "unit_id", status.alias("status"), F.size(parts).alias("n"), F.posexplode(found).alias("candidate", "token_id"))
@@ -110,7 +112,7 @@ seg AS (
   UNION ALL SELECT id, 2, right(surface, 1), 'P' FROM s WHERE regexp_matches(surface, '[.,]$')
 ),
 al AS (
-  SELECT s.*, CASE WHEN contains(surface, chr(39)) THEN 'unmatched' WHEN token_no = size AND token_no > 1 THEN 'ambiguous' WHEN regexp_matches(surface, '[.,]$') THEN 'normalized' ELSE 'direct' END AS status FROM s
+  SELECT s.*, CASE WHEN length(surface) >= {LONG} THEN 'unmatched' WHEN token_no = size AND token_no > 1 THEN 'ambiguous' WHEN regexp_matches(surface, '[.,]$') THEN 'normalized' ELSE 'direct' END AS status FROM s
 ),
 hit AS (
   SELECT *, 0 AS candidate, CASE WHEN status <> 'unmatched' THEN id END AS token_id FROM al
@@ -189,7 +191,7 @@ def _filters() -> dict[str, Pair]:
 
 def _aggregates() -> dict[str, Pair]:
     out: dict[str, Pair] = {}
-    anything = {"not": [p("root", "zzz")]}
+    anything = {"not": [p("feature", "zzz")]}  # two-valued: rows without features are in
 
     def add(name: str, sql: str, **request: object) -> None:
         def run(spark: SparkSession, d: str) -> DataFrame:
@@ -197,13 +199,13 @@ def _aggregates() -> dict[str, Pair]:
 
         out[name] = run, sql
 
-    base = "NOT (root = 'zzz')"
+    base = "NOT coalesce(list_contains(features, 'zzz'), false)"
     for d, column in GROUPS.items():
         keep = f"AND {column} IS NOT NULL" if d in ("root", "lemma", "pos") else ""
         add(f"agg_{d}", f"{WITH} SELECT {column} AS {d}, count(DISTINCT segment_id) AS value FROM ev WHERE {base} {keep} GROUP BY 1 ORDER BY value DESC, 1 NULLS LAST LIMIT 200", unit="MORPHOLOGICAL_SEGMENT", group_by=(d,), limit=200)
     add("agg_feature", f"{WITH} SELECT f AS feature, count(DISTINCT segment_id) AS value FROM (SELECT segment_id, unnest(features) AS f FROM ev WHERE {base}) GROUP BY f ORDER BY value DESC, f LIMIT 200", unit="MORPHOLOGICAL_SEGMENT", group_by=("feature",), limit=200)
     for u, column in UNITS.items():
-        add(f"agg_{u.lower()}", f"{WITH} SELECT pos, count(DISTINCT {column}) AS value FROM ev WHERE {base} GROUP BY pos ORDER BY value DESC, pos LIMIT 100", unit=u, group_by=("pos",))
+        add(f"agg_{u.lower()}", f"{WITH} SELECT pos, count(DISTINCT {column}) AS value FROM ev WHERE {base} AND pos IS NOT NULL GROUP BY pos ORDER BY value DESC, pos LIMIT 100", unit=u, group_by=("pos",))
     add("agg_scalar", f"{WITH} SELECT count(DISTINCT unit_id) AS value FROM ev WHERE root = 'the'", unit="CANONICAL_UNIT", where=p("root", "the"))
     add("agg_multi_dim", f"{WITH} SELECT collection_no AS collection, pos, root, count(DISTINCT token_id) AS value FROM ev WHERE pos = 'N' AND root IS NOT NULL GROUP BY ALL ORDER BY value, collection, pos, root LIMIT 150 OFFSET 10", unit="CANONICAL_TOKEN", group_by=("collection", "pos", "root"), order="asc", limit=150, offset=10, where=NOUN)
 
@@ -296,6 +298,30 @@ def doc_words(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", (F.col("_i") + 1).alias("token_no"), "surface")
 
 
+#: What stands for pieces of text where normalization is asked for: a mark, a sign and alif letters, by rule.
+SPELLED = (("la", "l\u0301a"), ("an", "\u0622\u064en"), ("ou", "o\u06d6u"), ("is", "\u0671s"))
+
+
+def spelled(text: Column) -> Column:
+    for plain, odd in SPELLED:
+        text = F.replace(text, F.lit(plain), F.lit(odd))
+    return text
+
+
+def spelled_sql(text: str) -> str:
+    for plain, odd in SPELLED:
+        text = f"replace({text}, '{plain}', '{odd}')"
+    return text
+
+
+def spelled_words(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(tx.surfaces(spelled(F.col("text")))).alias("_i", "surface"))
+    return rows.select("doc_id", (F.col("_i") + 1).alias("token_no"), "surface")
+
+
+SPELLED_TOKENS = DOC_TOKENS.replace("SELECT doc_id, text, regexp_extract_all(text,", f"SELECT doc_id, text, regexp_extract_all({spelled_sql('text')},")
+
+
 def doc_tokens(spark: SparkSession, d: str) -> DataFrame:
     return tx.tokenize(table(spark, d, "documents"), "text", "doc_id")
 
@@ -311,7 +337,7 @@ def _text() -> dict[str, Pair]:
     out: dict[str, Pair] = {}
     out["search_exact"] = (lambda s, d: search.exact(doc_words(s, d), "the").select("doc_id", "token_no")), f"{DOC_TOKENS} SELECT doc_id, CAST(token_no AS INTEGER) AS token_no FROM w WHERE surface = 'the'"
     marks = tx.char_class(tx.category_ranges("M"))
-    out["search_normalized"] = (lambda s, d: search.normalized(doc_words(s, d), "la", PROFILE).select("doc_id", "token_no")), f"{DOC_TOKENS} SELECT doc_id, CAST(token_no AS INTEGER) AS token_no FROM w WHERE regexp_replace(surface, '[{marks}]+', '', 'g') = 'la'"
+    out["search_normalized"] = (lambda s, d: search.normalized(spelled_words(s, d), "la", PROFILE).select("doc_id", "token_no")), f"{SPELLED_TOKENS} SELECT doc_id, CAST(token_no AS INTEGER) AS token_no FROM w WHERE regexp_replace(surface, '[{marks}]+', '', 'g') = 'la'"
     out["search_substring_overlapping"] = (
         lambda s, d: table(s, d, "documents").select("doc_id", F.explode(search.occurrences(F.col("text"), "anan")).alias("start")),
         "WITH d AS (SELECT doc_id, text, unnest(range(1, length(text) - 2)) AS i FROM documents WHERE contains(text, 'anan')) SELECT doc_id, CAST(i - 1 AS INTEGER) AS start FROM d WHERE substr(text, i, 4) = 'anan'",
@@ -325,15 +351,15 @@ def _text() -> dict[str, Pair]:
     out["search_phrase_cross_unit"] = (lambda s, d: search.phrase(conv_spans(s, d), "the and", ["conv_id", "turn"], cross_unit=True).select("conv_id", "turn", "token_no")), f"{stream} SELECT conv_id, turn, CAST(token_no AS INTEGER) AS token_no FROM n WHERE surface = 'the' AND nxt = 'and'"
 
     def first_words(s: SparkSession, d: str) -> DataFrame:
-        """The first and last tokens of every conversation, so that most pairs of neighbours lie over the end of one."""
+        """The first letters of the first and last tokens of every conversation, so that half of all pairs of neighbours lie over the end of one."""
         words = conversation_tokens(s, d).withColumn("size", F.size(tx.surfaces(F.col("unit_text"))))
         last = table(s, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("_last"))
-        return words.join(last, "conv_id").where("(turn = 0 and token_no = 1) or (turn = _last and token_no = size)").drop("_last", "size")
+        return words.join(last, "conv_id").where("(turn = 0 and token_no = 1) or (turn = _last and token_no = size)").drop("_last", "size").withColumn("surface", F.lower(F.substring("surface", 1, 1)))
 
     ends = f"{CONV}, e AS (SELECT * FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM (SELECT s.*, (SELECT max(turn) FROM conversations c WHERE c.conv_id = s.conv_id) AS latest FROM s)) WHERE (turn = 0 AND token_no = 1) OR (turn = latest AND token_no = size))"
     out["ngrams_over_collection_ends"] = (
         lambda s, d: search.repeated_ngrams(first_words(s, d), 2, ["conv_id", "turn"], cross_unit=True).select("gram", "n"),
-        f"{ends}, g AS (SELECT surface || ' ' || lead(surface) OVER (ORDER BY conv_id, turn, token_no) AS gram FROM e) SELECT gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY gram HAVING count(*) > 1",
+        f"{ends}, g AS (SELECT lower(left(surface, 1)) || ' ' || lower(left(lead(surface) OVER (ORDER BY conv_id, turn, token_no), 1)) AS gram FROM e) SELECT gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY gram HAVING count(*) > 1",
     )
     out["ngrams_locations_cross_unit"] = (
         lambda s, d: search.repeated_ngrams(conversation_tokens(s, d), 4, ["conv_id", "turn"], cross_unit=True, locations=True).select("gram", "n", F.array_join(F.transform("locations", lambda x: F.concat_ws(":", x["conv_id"], x["turn"], x["token_no"])), " ").alias("places"), "sequence_sha256"),
@@ -349,7 +375,7 @@ def _text() -> dict[str, Pair]:
         SELECT conv_id, turn, character, CAST(CASE WHEN solid THEN k END AS INTEGER) AS token_no, count(*) AS n, CAST(sum(i - 1) AS BIGINT) AS places FROM r WHERE character IN ('e', ' ') GROUP BY ALL""",
     )
     out["token_frequency_raw"] = (lambda s, d: search.frequency(doc_words(s, d))), f"{DOC_TOKENS} SELECT surface AS value, count(*) AS n FROM w GROUP BY 1"
-    out["token_frequency_normalized"] = (lambda s, d: search.frequency(doc_words(s, d), PROFILE)), f"{DOC_TOKENS} SELECT regexp_replace(surface, '[{marks}]+', '', 'g') AS value, count(*) AS n FROM w GROUP BY 1"
+    out["token_frequency_normalized"] = (lambda s, d: search.frequency(spelled_words(s, d), PROFILE)), f"{SPELLED_TOKENS} SELECT regexp_replace(surface, '[{marks}]+', '', 'g') AS value, count(*) AS n FROM w GROUP BY 1"
     for n in (2, 3, 5):
         leads = " || ' ' || ".join(["surface", *(f"lead(surface, {i}) OVER o" for i in range(1, n))])
         out[f"ngrams_repeated_{n}"] = (lambda s, d, n=n: search.repeated_ngrams(search.values(conversation_tokens(s, d)), n, ["conv_id", "turn"]).select("gram", "n")), f"{CONV}, g AS (SELECT {leads} AS gram FROM s WINDOW o AS (PARTITION BY conv_id, turn ORDER BY token_no)) SELECT gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY gram HAVING count(*) > 1"
@@ -387,8 +413,8 @@ def _text() -> dict[str, Pair]:
     signs = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ANNOTATION_RANGES)
     alif = "".join(ALIF_VARIANTS)
     out["normalize_letters"] = (
-        lambda s, d: table(s, d, "documents").select("doc_id", F.md5(normalize(F.col("text"), "base_arabic_letters_v1")).alias("digest")),
-        f"SELECT doc_id, md5(translate(regexp_replace(regexp_replace(text, '[{marks}]+', '', 'g'), '[{signs}]+', '', 'g'), '{alif}', '{'ا' * len(alif)}')) AS digest FROM documents",
+        lambda s, d: table(s, d, "documents").select("doc_id", F.md5(normalize(spelled(F.col("text")), "base_arabic_letters_v1")).alias("digest")),
+        f"SELECT doc_id, md5(translate(regexp_replace(regexp_replace({spelled_sql('text')}, '[{marks}]+', '', 'g'), '[{signs}]+', '', 'g'), '{alif}', '{'ا' * len(alif)}')) AS digest FROM documents",
     )
     return out
 
@@ -459,12 +485,13 @@ def _sources() -> dict[str, Pair]:
         f"{CONV}, n AS (SELECT (SELECT count(*) FROM s WHERE stem <> '') AS parsed, (SELECT count(*) FROM s) AS analyses, (SELECT count(*) FROM every_row) AS alignments) SELECT *, parsed = analyses AND analyses <= alignments AS valid FROM n",
     )
     out["incremental_alignment"] = (
-        lambda s, d: (lambda a: alignment.unaligned_only(a[0].where("segment_no = 2"), a[1]).select("segment_id"))((star(s, d)["segments"].withColumn("segment_no", F.col("segment_index")), star(s, d)["alignment"].where("status = 'direct'"))),
-        f"{CONV} SELECT id * 2 + 1 AS segment_id FROM seg WHERE segment_index = 2 AND id * 2 + 1 NOT IN (SELECT segment_id FROM every_row WHERE status = 'direct')",
+        lambda s, d: (lambda t: alignment.unaligned_only(t["segments"], t["alignment"].join(t["runs"].where("run_status = 'completed'"), "run_id", "left_semi")).select("segment_id", "form"))(star(s, d)),
+        f"{CONV}, done AS (SELECT DISTINCT segment_id FROM every_row WHERE run_status = 'completed') SELECT g.id * 2 + g.segment_index - 1 AS segment_id, form FROM seg g ANTI JOIN done ON done.segment_id = g.id * 2 + g.segment_index - 1",
     )
+    accented = lambda s, d: star(s, d)["tokens"].withColumn("surface", F.replace("surface", F.lit("e"), F.lit("e\u0301")))
     out["missing_normalized_tokens"] = (
-        lambda s, d: search.missing_normalized(star(s, d)["tokens"], star(s, d)["tokens"].where("size(profiles) > 0").select("token_id", F.lit(PROFILE).alias("profile")), PROFILE),
-        f"{CONV} SELECT id AS token_id, '{PROFILE}' AS profile, regexp_replace(surface, '[{tx.char_class(tx.category_ranges('M'))}]+', '', 'g') AS value FROM s WHERE length(surface) > 3",
+        lambda s, d: search.missing_normalized(accented(s, d), star(s, d)["tokens"].where("size(profiles) > 0").select("token_id", F.lit(PROFILE).alias("profile")), PROFILE),
+        f"{CONV} SELECT id AS token_id, '{PROFILE}' AS profile, regexp_replace(replace(surface, 'e', 'e' || chr(769)), '[{tx.char_class(tx.category_ranges('M'))}]+', '', 'g') AS value FROM s WHERE length(surface) > 3",
     )
 
     out["tokens_in_units"] = (
@@ -472,8 +499,8 @@ def _sources() -> dict[str, Pair]:
         f"{CONV} SELECT id AS token_id, conv_id + 1 AS collection_no, turn + 1 AS unit_no, token_no, surface FROM s",
     )
     out["tokens_with_normalized"] = (
-        lambda s, d: search.with_normalized(star(s, d)["tokens"], star(s, d)["units"], search.missing_normalized(star(s, d)["tokens"].where("size(profiles) > 0"), s.createDataFrame([], "token_id long, profile string"), PROFILE), PROFILE).select("token_id", "unit_no", "value"),
-        f"{CONV} SELECT id AS token_id, turn + 1 AS unit_no, regexp_replace(surface, '[{tx.char_class(tx.category_ranges('M'))}]+', '', 'g') AS value FROM s WHERE length(surface) <= 3",
+        lambda s, d: search.with_normalized(star(s, d)["tokens"], star(s, d)["units"], search.missing_normalized(accented(s, d).where("size(profiles) > 0"), s.createDataFrame([], "token_id long, profile string"), PROFILE), PROFILE).select("token_id", "unit_no", "value"),
+        f"{CONV} SELECT id AS token_id, turn + 1 AS unit_no, regexp_replace(replace(surface, 'e', 'e' || chr(769)), '[{tx.char_class(tx.category_ranges('M'))}]+', '', 'g') AS value FROM s WHERE length(surface) <= 3",
     )
     return out
 
