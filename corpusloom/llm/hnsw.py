@@ -474,7 +474,7 @@ def searched(table: DataFrame, least: float = 0.9, shard_rows: int = SHARD_ROWS,
                     arrays += [pa.array([None] * n + [told[f.name]], f.type) for f in list(schema)[3:]]
                     yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-    spread = placed.select("id", "dim", "v").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["n"] // BLOCK_ROWS)))
+    spread = placed.select("id", "dim", "v").repartition(max(spark.sparkContext.defaultParallelism, -(-size["n"] // BLOCK_ROWS)))
     told = written(mapped(spread, query, "a long, b long, n long, dim int, shard int, asked long, links long, found long, compared boolean"), "links")
     remove(spark, folder)
     found = told.where("a is not null and (n > 0 or a <> b)")
