@@ -6,9 +6,10 @@ import copy
 import hashlib
 import json
 import unicodedata
+from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import category_ranges, char_class
@@ -67,20 +68,52 @@ def remove_marks(value: Column) -> Column:
     return F.regexp_replace(value, dropping(category_ranges("Mn")), "")
 
 
+#: Columns of a log entry: place and character before the operation, what it did and why, and the place after it (null if dropped).
+LOG = "array<struct<operation:int,type:string,input_index:int,input:string,source:long,action:string,output:string,reason:string,output_index:int>>"
+
+
 def explain_value(value: str, profile_id: str, ids: list[int] | None = None) -> dict[str, Any]:
-    """Value, log of every change and output-to-source mapping of one token: for inspection, off the hot path."""
-    ids = list(range(len(value))) if ids is None else ids
-    now, log = list(zip(value, ids, strict=True)), []
+    """Value, log of every step of every character, and the source of each output character: one pass for each operation of the profile."""
+    now, log = list(zip(value, range(len(value)) if ids is None else ids, strict=True)), []
     for number, op in enumerate(profile(profile_id)["configuration"]["operations"]):
-        kept = []
-        for c, source in now:
-            gone = (op["type"] == "drop_general_category_prefix" and unicodedata.category(c).startswith(op["prefix"])) or (
-                op["type"] == "drop_codepoint_ranges" and any(a <= ord(c) <= b for a, b in op["ranges"])
-            )
-            to = op["mapping"].get(c, c) if op["type"] == "replace_codepoints" else c
-            action = "drop" if gone else "replace" if to != c else "keep"
-            log.append({"operation": number, "type": op["type"], "action": action, "input": c, "output": "" if gone else to, "source": source})
-            if not gone:
+        kind, kept = op["type"], []
+        for place, (c, source) in enumerate(now):
+            to, reason = c, None
+            if kind == "drop_general_category_prefix" and unicodedata.category(c).startswith(op["prefix"]):
+                to, reason = "", f"general_category_prefix:{op['prefix']}"
+            elif kind == "drop_codepoint_ranges" and any(a <= ord(c) <= b for a, b in op["ranges"]):
+                to, reason = "", "configured_codepoint_range"
+            elif kind == "replace_codepoints" and c in op["mapping"]:
+                to, reason = op["mapping"][c], "configured_codepoint_mapping"
+            action = "keep" if reason is None else "replace" if to else "drop"
+            at = None if action == "drop" else len(kept)
+            log.append({"operation": number, "type": kind, "input_index": place, "input": c, "source": source, "action": action, "output": to, "reason": reason, "output_index": at})
+            if at is not None:
                 kept.append((to, source))
         now = kept
     return {"value": "".join(c for c, _ in now), "profile": profile_id, "log": log, "mapping": [[s] for _, s in now]}
+
+
+def explained(tokens: DataFrame, profile_id: str, *keys: str, surface: str = "surface", ids: str | None = None) -> DataFrame:
+    """(keys, value, log, mapping) of every token: `explain_value` as columns, batch by batch in the executors; nothing is shuffled.
+
+    `ids` names an array column with the id of each character; without it positions stand for them.  Null surfaces have null columns.
+    """
+    from ..scratch import ship
+
+    profile(profile_id)
+    ship(tokens.sparkSession)
+    rows = tokens.select(*keys, F.col(surface).cast("string").alias("_surface"), (F.col(ids).cast("array<long>") if ids else F.lit(None).cast("array<long>")).alias("_ids"))
+
+    def run(batches: Iterator[Any]) -> Iterator[Any]:
+        import pyarrow as pa
+
+        entry = pa.struct([("operation", pa.int32()), ("type", pa.string()), ("input_index", pa.int32()), ("input", pa.string()), ("source", pa.int64()), ("action", pa.string()), ("output", pa.string()), ("reason", pa.string()), ("output_index", pa.int32())])
+        for batch in batches:
+            values, own = batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist()
+            told = [None if v is None else explain_value(v, profile_id, i) for v, i in zip(values, own, strict=True)]
+            columns = [pa.array([t and t["value"] for t in told], pa.string()), pa.array([t and t["log"] for t in told], pa.list_(entry)), pa.array([t and [s for (s,) in t["mapping"]] for t in told], pa.list_(pa.int64()))]
+            yield pa.record_batch([*(batch.column(k) for k in range(len(keys))), *columns], names=[*keys, "value", "log", "mapping"])
+
+    kinds = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in keys)
+    return rows.mapInArrow(run, f"{kinds}value string, log {LOG}, mapping array<long>")

@@ -29,6 +29,8 @@ from .store import ROW_BITS, Store
 #: Algorithms: candidates of a token's address, all kept; or the staged rules, with conflicts marked.
 BY_ADDRESS, STAGED = "address-v1", "staged-v1"
 FORMATS = {"v04": (LF_ONLY, annotations.parse_v04), "synthetic": (ANY, annotations.parse_synthetic)}
+#: Adapter that serves the runs of each format.
+ADAPTERS = {"v04": "qac-morphology-v0.4", "synthetic": "qac-morphology-v0.4"}
 TEXT_VERSION, PARSE_VERSION = "text-v1", "records-v1"
 
 
@@ -160,3 +162,27 @@ def evidence(store: Store) -> DataFrame:
     return out.select(*COLUMNS)
 
 
+
+
+def releases(store: Store) -> dict[int, str]:
+    """Committed annotation runs and the adapters that serve them, as requests need them for scope and capability checks."""
+    runs = store.manifest()["runs"].values()
+    return {r["run"]: ADAPTERS[r["about"]["format"]] for r in runs if r["about"]["kind"] == "annotations"}
+
+
+def listed(store: Store) -> list[dict[str, Any]]:
+    """What each committed run is: number, key and facts, in the order of numbers."""
+    return sorted(({"run": r["run"], "key": k, **r["about"]} for k, r in store.manifest()["runs"].items()), key=lambda r: r["run"])
+
+
+def aligned(store: Store, run: int | None = None, status: str | None = None, conflict: str | None = None, locator_: tuple[int, int, int] | None = None) -> DataFrame:
+    """Alignment rows with their segment's address, form and locator, of one run, status, conflicting dimension or token address if named."""
+    rows = store.table("alignments")
+    rows = rows.join(store.table("segments").select("segment_id", "collection_no", "unit_no", "token_no", "segment_no", "form", "locator"), "segment_id")
+    if run is not None:
+        rows = rows.where(F.col("run_id") == run)
+    if status is not None:
+        rows = alignment.unresolved(rows, status)
+    if conflict is not None:
+        rows = alignment.conflicting(rows, conflict)
+    return rows if locator_ is None else alignment.at_locator(rows, *locator_)

@@ -12,6 +12,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.stream import running
 from ..provenance import canonical_hash
 from . import projections
 from .ast import Aggregate, Boolean, Cooccurrence, Expression, Predicate, Query, RequestError, SetRequest
@@ -168,14 +169,28 @@ class Engine:
         right = right.select(F.col("unit_id"), F.col("token_id").alias("right_id"))
         return left.withColumnRenamed("token_id", "left_id").join(right, "unit_id").select("collection_no", "unit_no", "unit_id", "left_id", "right_id")
 
-    def pair_page(self, request: Cooccurrence) -> DataFrame:
-        """Only as many units as fill the page are joined: a unit in both sides holds a pair at least."""
+    def pair_page(self, request: Cooccurrence, offset: int = 0) -> DataFrame:
+        """Pairs offset..offset + limit by collection, unit, left and right token; only they are made, however far the page lies.
+
+        A unit has left tokens times right tokens pairs, so sums over the units before it number its own; the page's units follow from
+        the sums, and each of their pairs from its number: left is number div rights, right the rest.
+        """
+        if offset < 0:
+            raise RequestError("invalid_cooccurrence_scope", "offset must not be negative")
         left, right = self.sides(request)
-        shared = left.select("collection_no", "unit_no", "unit_id").distinct().join(right.select("unit_id").distinct(), "unit_id", "left_semi")
-        some = shared.orderBy("collection_no", "unit_no", "unit_id").limit(request.limit)
-        keep = some.select("unit_id")
-        out = left.join(keep, "unit_id", "left_semi").withColumnRenamed("token_id", "left_id").join(right.select("unit_id", F.col("token_id").alias("right_id")), "unit_id")
-        return out.select("collection_no", "unit_no", "unit_id", "left_id", "right_id").orderBy("collection_no", "unit_no", "unit_id", "left_id", "right_id").limit(request.limit)
+        place = ["collection_no", "unit_no", "unit_id"]
+        sizes = left.groupBy(*place).agg(F.count("*").alias("_nl")).join(right.groupBy("unit_id").agg(F.count("*").alias("_nr")), "unit_id")
+        sums = running(sizes, place, {"_before": F.col("_nl") * F.col("_nr")})
+        low = F.greatest(F.lit(offset) - F.col("_before"), F.lit(0))
+        high = F.least(F.lit(offset + request.limit) - F.col("_before"), F.col("_nl") * F.col("_nr"))
+        few = sums.where((F.col("_before") < offset + request.limit) & (F.col("_before") + F.col("_nl") * F.col("_nr") > offset))
+        numbers = few.select(*place, "_nr", F.explode(F.sequence(low.cast("long"), (high - 1).cast("long"))).alias("_k"))
+        numbers = numbers.select(*place, F.expr("_k div _nr").alias("_i"), F.expr("_k % _nr").alias("_j"))
+        units = few.select("unit_id")
+        own = Window.partitionBy("unit_id").orderBy("token_id")
+        ranked = lambda side, token, rank: side.select("unit_id", "token_id").join(units, "unit_id", "left_semi").select("unit_id", F.col("token_id").alias(token), (F.row_number().over(own) - 1).cast("long").alias(rank))
+        out = numbers.join(ranked(left, "left_id", "_i"), ["unit_id", "_i"]).join(ranked(right, "right_id", "_j"), ["unit_id", "_j"])
+        return out.select(*place, "left_id", "right_id").orderBy(*place, "left_id", "right_id")
 
     def pair_counts(self, request: Cooccurrence) -> DataFrame:
         """Pairs of a unit are left tokens times right tokens; no pair is made."""

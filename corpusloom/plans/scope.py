@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 from enum import Enum
+from functools import reduce
 from typing import Any
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..provenance import canonical_hash, canonical_json
 from .ast import Boolean, Expression, Predicate, Query, RequestError, walk
 
 
@@ -186,19 +192,68 @@ def catalog(sources: Iterable[CatalogSource], state: Lifecycle | None = None) ->
     return tuple(sorted((s for s in sources if state is None or s.lifecycle is state), key=lambda s: s.source_id))
 
 
-def scope_filter(rows: Any, config: dict[str, Any]) -> Any:
-    """A scope as a real filter: include_collections, exclude_collections, exact_units ([collection, unit]), unit_range ([from, to] of source_order)."""
-    from pyspark.sql import functions as F
-
-    if config.get("include_collections"):
-        rows = rows.where(F.col("collection_no").isin(list(config["include_collections"])))
-    if config.get("exclude_collections"):
-        rows = rows.where(~F.col("collection_no").isin(list(config["exclude_collections"])))
-    if config.get("exact_units"):
-        any_of = F.lit(False)
-        for c, u in config["exact_units"]:
-            any_of |= (F.col("collection_no") == c) & (F.col("unit_no") == u)
-        rows = rows.where(any_of)
-    if config.get("unit_range"):
-        rows = rows.where(F.col("source_order").between(*config["unit_range"]))
-    return rows.where(F.col("unit_no").isNotNull()) if config.get("numbered_only") else rows
+#: Keys of a scope and what each holds where it says nothing: kinds of units, collections in and out, single units, ranges of units in a collection,
+#: ranges of the source's order, and units in an order of their own.
+SCOPE: dict[str, Any] = {
+    "unit_types": None, "include_collections": None, "exclude_collections": [], "exact_units": [], "unit_ranges": [], "source_order_ranges": [], "ordered_unit_ids": None,
+}
+
+
+def canonical_scope(config: dict[str, Any]) -> dict[str, Any]:
+    """All keys, with sorted lists where order says nothing and overlapping ranges joined; RequestError for unknown keys and ranges that end before they begin."""
+    unknown = sorted(set(config) - set(SCOPE))
+    if unknown:
+        raise RequestError("invalid_research_query", f"a scope has no {', '.join(unknown)}")
+    out = SCOPE | {k: v for k, v in config.items() if v is not None}
+    for k in ("unit_types", "include_collections", "exclude_collections"):
+        out[k] = sorted(set(out[k])) if out[k] is not None else None
+    out["exact_units"] = sorted({tuple(x) for x in out["exact_units"]})
+    out["unit_ranges"] = [(c, *r) for c in sorted({x[0] for x in out["unit_ranges"]}) for r in joined((a, b) for d, a, b in out["unit_ranges"] if d == c)]
+    out["source_order_ranges"] = joined(tuple(x) for x in out["source_order_ranges"])
+    if out["ordered_unit_ids"] is not None:
+        out["ordered_unit_ids"] = list(dict.fromkeys(out["ordered_unit_ids"]))
+    return json.loads(canonical_json(out))
+
+
+def joined(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Inclusive ranges as few as possible, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if b < a:
+            raise RequestError("invalid_research_query", f"range {a}..{b} ends before it begins")
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def scope_hash(config: dict[str, Any]) -> str:
+    """Equal for scopes that say the same."""
+    return canonical_hash(canonical_scope(config))
+
+
+def scoped(rows: DataFrame, config: dict[str, Any]) -> DataFrame:
+    """The rows of a scope: all its keys must hold, of those that say something, and of exact units and ranges one.
+
+    `rows` has collection_no and unit_no, and unit_type, source_order or unit_id where the scope names them.  All of it is one condition on plain columns, so it
+    reaches the scan.  With ordered_unit_ids there is a column scope_order, the place of the row's unit in that list.
+    """
+    s = canonical_scope(config)
+    among = lambda c, values: F.col(c).isin(list(values))
+    terms = []
+    for key, column in (("unit_types", "unit_type"), ("include_collections", "collection_no"), ("ordered_unit_ids", "unit_id")):
+        if s[key] is not None:
+            terms.append(among(column, s[key]))
+    if s["exclude_collections"]:
+        terms.append(~among("collection_no", s["exclude_collections"]))
+    one = [(F.col("collection_no") == c) & (F.col("unit_no") == u) for c, u in s["exact_units"]]
+    one += [(F.col("collection_no") == c) & F.col("unit_no").between(a, b) for c, a, b in s["unit_ranges"]]
+    one += [F.col("source_order").between(a, b) for a, b in s["source_order_ranges"]]
+    if one:
+        terms.append(reduce(lambda a, b: a | b, one))
+    out = rows.where(reduce(lambda a, b: a & b, terms)) if terms else rows
+    if s["ordered_unit_ids"]:
+        places = F.create_map(*(F.lit(x) for i, u in enumerate(s["ordered_unit_ids"]) for x in (u, i)))
+        out = out.withColumn("scope_order", F.element_at(places, F.col("unit_id")))
+    return out

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from . import ingest
 from .functions import text as tx
-from .functions.normalize import ALIF_VARIANTS, ANNOTATION_RANGES, normalize
-from .operators import alignment, analytics, search
+from .functions.normalize import ALIF_VARIANTS, ANNOTATION_RANGES, explained, normalize
+from .operators import alignment, analytics, digests, search
 from .operators import stream as stream_ops
-from .plans import ast, projections
+from .plans import ast, projections, scope
 from .plans.binding import build_evidence, write_evidence
 from .plans.engine import Engine
 from .scratch import fresh
@@ -250,6 +250,7 @@ def _sets() -> dict[str, Pair]:
     both = f"{WITH}, l AS (SELECT DISTINCT unit_id, collection_no, unit_no, token_id FROM ev WHERE root = 'the'), r AS (SELECT DISTINCT unit_id, token_id FROM ev WHERE pos = 'N')"
     out["cooccurrence_pairs"] = (lambda spark, d: _engine(spark, d).pairs(co)), f"{both} SELECT collection_no, unit_no, l.unit_id, l.token_id AS left_id, r.token_id AS right_id FROM l JOIN r ON l.unit_id = r.unit_id"
     out["cooccurrence_page"] = (lambda spark, d: _engine(spark, d).pair_page(co)), f"{both} SELECT collection_no, unit_no, l.unit_id, l.token_id AS left_id, r.token_id AS right_id FROM l JOIN r ON l.unit_id = r.unit_id ORDER BY ALL LIMIT 500"
+    out["cooccurrence_page_far"] = (lambda spark, d: _engine(spark, d).pair_page(co, 700)), f"{both} SELECT collection_no, unit_no, l.unit_id, l.token_id AS left_id, r.token_id AS right_id FROM l JOIN r ON l.unit_id = r.unit_id ORDER BY ALL LIMIT 500 OFFSET 700"
     out["cooccurrence_counts"] = (lambda spark, d: _engine(spark, d).pair_counts(co)), f"{both}, j AS (SELECT l.unit_id, l.collection_no FROM l JOIN r ON l.unit_id = r.unit_id) SELECT (SELECT count(*) FROM l) AS left_tokens, (SELECT count(*) FROM r) AS right_tokens, count(DISTINCT unit_id) AS units, count(DISTINCT collection_no) AS collections, count(*) AS pairs FROM j"
     return out
 
@@ -397,10 +398,10 @@ def _text() -> dict[str, Pair]:
         lambda s, d: table(s, d, "conversations").select("conv_id", "turn", F.size(F.regexp_extract_all("text", F.lit(r"(\X)"), 1)).cast("long").alias("graphemes")),
         "SELECT conv_id, turn, length_grapheme(text) AS graphemes FROM conversations",
     )
-    sums = {"before_tokens": F.size(tx.surfaces(F.col("text"))), "before_codepoints": F.length("text"), "before_bytes": F.octet_length("text")}
     over = "OVER (ORDER BY conv_id, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)"
 
     def ordinals(s: SparkSession, d: str) -> DataFrame:
+        sums = {"before_tokens": F.size(tx.surfaces(F.col("text"))), "before_codepoints": F.length("text"), "before_bytes": F.octet_length("text")}
         out = stream_ops.running(table(s, d, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"], sums)
         first = out.groupBy("conv_id").agg(F.min("before_tokens").alias("_first"))
         return out.join(first, "conv_id").select("conv_id", "turn", *sums, (F.col("before_tokens") - F.col("_first")).alias("before_in_collection"))
@@ -502,6 +503,31 @@ def _sources() -> dict[str, Pair]:
         lambda s, d: search.with_normalized(star(s, d)["tokens"], star(s, d)["units"], search.missing_normalized(accented(s, d).where("size(profiles) > 0"), s.createDataFrame([], "token_id long, profile string"), PROFILE), PROFILE).select("token_id", "unit_no", "value"),
         f"{CONV} SELECT id AS token_id, turn + 1 AS unit_no, regexp_replace(replace(surface, 'e', 'e' || chr(769)), '[{tx.char_class(tx.category_ranges('M'))}]+', '', 'g') AS value FROM s WHERE length(surface) <= 3",
     )
+    out["digest_differences"] = (
+        lambda s, d: (lambda t: digests.differences(t, t.withColumn("surface", F.when((F.col("token_no") == 2) & (F.col("conv_id") % 7 == 3), F.lower("surface")).otherwise(F.col("surface"))).where("conv_id % 11 <> 5 or turn > 0"), "conv_id", "turn"))(conversation_tokens(s, d).select("conv_id", "turn", "token_no", "surface")),
+        f"{CONV} SELECT conv_id, turn, count(*) AS left_n, count(*) FILTER (conv_id % 11 <> 5 OR turn > 0) AS right_n FROM s GROUP BY conv_id, turn "
+        "HAVING (conv_id % 11 = 5 AND turn = 0) OR (conv_id % 7 = 3 AND count(*) FILTER (token_no = 2 AND lower(surface) <> surface) > 0)",
+    )
+    marks, signs = (f"regexp_matches(c, '[{tx.char_class(r)}]')" for r in (tx.category_ranges("M"), tuple(map(tuple, ANNOTATION_RANGES))))
+    entry = "struct_pack(operation := {n}, place := i, c := c, source := source, action := CASE WHEN {test} THEN '{action}' ELSE 'keep' END, o := CASE WHEN {test} THEN {to} ELSE c END, at := CASE WHEN {at} THEN row_number() OVER (PARTITION BY doc_id, token_no, {at} ORDER BY i) - 1 END) AS e"
+    step = lambda n, rows, test, action, to, at: f"s{n} AS (SELECT doc_id, token_no, {entry.format(n=n, test=test, action=action, to=to, at=at)} FROM ({rows}))"
+    kept = lambda n: f"SELECT doc_id, token_no, e.o AS c, e.source AS source, e.at AS i FROM s{n} WHERE e.at IS NOT NULL"
+    letters = "', '".join(ALIF_VARIANTS)
+    out["transformation_log"] = (
+        lambda s, d: explained(spelled_words(s, d).where("doc_id % 3 = 0 or token_no % 2 = 1"), "base_arabic_letters_v1", "doc_id", "token_no").select("doc_id", "token_no", "value", F.explode("log").alias("e"), "mapping")
+        .groupBy("doc_id", "e.operation", "e.action").agg(F.count("*").alias("n"), F.sum("e.input_index").alias("places"), F.sum("e.source").alias("sources"), F.sum("e.output_index").alias("outputs")),
+        f"{SPELLED_TOKENS}, ch AS (SELECT doc_id, token_no, string_split(surface, '') AS cs FROM w WHERE doc_id % 3 = 0 OR token_no % 2 = 1), x AS (SELECT doc_id, token_no, unnest(range(0, len(cs))) AS i, unnest(cs) AS c FROM ch), "
+        f"{step(0, 'SELECT *, i AS source FROM x', marks, 'drop', chr(39) * 2, f'NOT {marks}')}, {step(1, kept(0), signs, 'drop', chr(39) * 2, f'NOT {signs}')}, "
+        f"{step(2, kept(1), f'c IN ({chr(39)}{letters}{chr(39)})', 'replace', f'{chr(39)}ا{chr(39)}', 'true')} "
+        "SELECT doc_id, CAST(e.operation AS INTEGER) AS operation, e.action AS action, count(*) AS n, CAST(sum(e.place) AS BIGINT) AS places, CAST(sum(e.source) AS BIGINT) AS sources, CAST(sum(e.at) AS BIGINT) AS outputs "
+        "FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2) GROUP BY ALL",
+    )
+    area = {"exclude_collections": [3], "exact_units": [[2, 1]], "unit_ranges": [[1, 2, 4], [5, 1, 2], [3, 1, 9]], "source_order_ranges": [[40, 60], [55, 75]]}
+    out["scope_units"] = (
+        lambda s, d: scope.scoped(ingested(s, d).table("units").withColumn("source_order", F.col("first_unit") + 1), area).select("collection_no", "unit_no", "source_order"),
+        "WITH u AS (SELECT conv_id + 1 AS collection_no, turn + 1 AS unit_no, row_number() OVER (ORDER BY conv_id, turn) AS source_order FROM conversations WHERE text <> '') SELECT * FROM u WHERE collection_no <> 3 "
+        "AND ((collection_no = 2 AND unit_no = 1) OR (collection_no = 1 AND unit_no BETWEEN 2 AND 4) OR (collection_no = 5 AND unit_no BETWEEN 1 AND 2) OR source_order BETWEEN 40 AND 75)",
+    )
     return out
 
 

@@ -1,12 +1,16 @@
 """Ingest by committed runs: one call, idempotent, refused while unfinished, safe against races; digests that locate damage."""
 
+import json
 import threading
 
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom import ingest
+from corpusloom import cli, ingest
+from corpusloom.functions import normalize
 from corpusloom.operators import digests, search, stream
+from corpusloom.plans import scope
+from corpusloom.plans.ast import RequestError
 from corpusloom.queries import conversation_tokens
 from corpusloom.store import Store, Unfinished
 
@@ -130,3 +134,51 @@ def test_no_shuffle_for_phrases_inside_units(spark):
 
 def test_tokens_of_conversations_are_counted_once(spark):
     assert conversation_tokens(spark, "/root/testdata/sf0.001").count() == 6463
+
+
+def run_cli(capsys, *argv):
+    code = cli.main([str(a) for a in argv])
+    out = capsys.readouterr()
+    return code, [json.loads(x) for x in (out.out or out.err).splitlines()]
+
+
+def test_command_line_ingests_and_inspects(spark, tmp_path, files, capsys):
+    store = f"file://{tmp_path}/store"
+    code, (text,) = run_cli(capsys, "ingest-text", store, files[0])
+    assert code == 0 and text["run"] == 1
+    assert run_cli(capsys, "ingest-annotations", store, files[1], "synthetic", 1)[1][0]["run"] == 2
+    assert [r["kind"] for r in run_cli(capsys, "runs", store)[1][0]] == ["text", "annotations"]
+    assert {r["locator"] for r in run_cli(capsys, "alignment", store, "--status", "unaligned")[1]} == {"1:2:9", "1:2:1", "1:2:x"}
+    assert len(run_cli(capsys, "alignment", store, "--conflict", "lemma")[1]) == 2 and len(run_cli(capsys, "alignment", store, "--locator", "1:1:1", "--limit", 2)[1]) == 2
+    ask = '{"where": {"dimension": "root", "operator": "eq", "value": "r1"}}'
+    code, (got,) = run_cli(capsys, "research", store, ask, "--store")
+    assert code == 0 and "r1" in json.dumps(got)
+    assert run_cli(capsys, "research", store, '{"where": {"dimension": "source_release", "operator": "eq", "value": 9}}', "--store")[0] == 2
+    code, (area,) = run_cli(capsys, "scope", '{"unit_ranges": [[1, 2, 2], [1, 1, 1]]}', "--corpus", files[0])
+    assert code == 0 and area["units"] == 2 and area["scope"]["unit_ranges"] == [[1, 1, 2]]
+    assert run_cli(capsys, "scope", '{"nothing": 1}')[0] == 2 and run_cli(capsys, "locks")[0] == 0
+    assert {r["character"]: r["n"] for r in run_cli(capsys, "unicode", files[0])[1][0]}["a"] == 10
+    assert run_cli(capsys, "release-manifest", store)[1][0]["source_releases"][0]["source_release_id"] == 2
+    assert [r["token_no"] for r in run_cli(capsys, "search", "phrase", files[0], "beta delta", "--cross-unit")[1]] == [4]
+
+
+def test_logs_tell_every_step_as_columns(spark):
+    tokens = spark.createDataFrame([(1, "أَۖx", [7, 8, 9, 10]), (2, "", []), (3, None, None)], "id int, surface string, ids array<long>")
+    rows = {r["id"]: r for r in normalize.explained(tokens, "base_arabic_letters_v1", "id", ids="ids").collect()}
+    assert rows[3]["value"] is None and rows[2]["log"] == [] and (rows[1]["value"], rows[1]["mapping"]) == ("اx", [7, 10])
+    told = [(e["operation"], e["input_index"], e["source"], e["action"], e["output_index"]) for e in rows[1]["log"]]
+    assert told == [(0, 0, 7, "keep", 0), (0, 1, 8, "drop", None), (0, 2, 9, "drop", None), (0, 3, 10, "keep", 1), (1, 0, 7, "keep", 0), (1, 1, 10, "keep", 1), (2, 0, 7, "replace", 0), (2, 1, 10, "keep", 1)]
+    assert rows[1]["log"][1]["reason"] == "general_category_prefix:M" and rows[1]["log"][6]["reason"] == "configured_codepoint_mapping"
+
+
+def test_scopes_that_say_the_same_are_equal(spark):
+    one = {"source_order_ranges": [[5, 9], [1, 3], [4, 4]], "include_collections": [2, 1, 2]}
+    assert scope.scope_hash(one) == scope.scope_hash({"include_collections": [1, 2], "source_order_ranges": [[1, 9]]}) != scope.scope_hash({"include_collections": [1, 2]})
+    units = spark.createDataFrame([(10 + i, 1 + i // 4, 1 + i % 4, i + 1, "numbered" if i % 2 else "other") for i in range(12)], "unit_id int, collection_no int, unit_no int, source_order int, unit_type string")
+    ids = lambda **config: [r["unit_id"] for r in scope.scoped(units, config).orderBy("unit_id").collect()]
+    assert ids() == list(range(10, 22)) and ids(unit_types=["numbered"], exclude_collections=[2]) == [11, 13, 19, 21]
+    assert ids(exact_units=[[3, 4]], unit_ranges=[[1, 2, 3]], source_order_ranges=[[6, 6]]) == [11, 12, 15, 21]
+    ordered = scope.scoped(units, {"ordered_unit_ids": [20, 11, 13, 11]}).orderBy("scope_order")
+    assert [r["unit_id"] for r in ordered.collect()] == [20, 11, 13] and ids(include_collections=[]) == []
+    with pytest.raises(RequestError):
+        scope.canonical_scope({"unit_ranges": [[1, 3, 2]]})

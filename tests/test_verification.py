@@ -81,8 +81,8 @@ def test_goldens(spark, tmp_path, monkeypatch):
 
 def test_locks_manifest_and_certificate(spark, monkeypatch):
     assert v.locks()["failed"] == 0
-    monkeypatch.setitem(v.LOCKS, "request_hashes", lambda: 1 / 0)
-    assert [r["name"] for r in v.locks()["results"] if not r["passed"]] == ["request_hashes"]
+    monkeypatch.setitem(v.LOCKS, "every_field_counts", lambda: 1 / 0)
+    assert [r["name"] for r in v.locks()["results"] if not r["passed"]] == ["every_field_counts"]
     one = v.manifest({1: "qac-morphology-v0.4"})
     assert one["manifest_hash"] == v.manifest({1: "qac-morphology-v0.4"})["manifest_hash"] != v.manifest({2: "qac-morphology-v0.4"})["manifest_hash"]
     first, second = v.certificate({}), v.certificate({}, {"passed": 7, "failed": 0, "warnings": 0, "status": "PASS"})
