@@ -11,14 +11,16 @@ Three machines, each finite and deterministic, count the tokens of byte-level BP
 3. The *segmenter* has the states "in a word" and "in white space" and counts words.
 
 Text is cut into chunks of fixed length that run in lockstep.  A chunk's state map is constant from its first pre-token start on,
-which resets the merger, so all chunks run that part at once; what lies before depends on the state that the chunks before
-hand over.  Composing the maps from left to right, a round for all chunks whose state is known, fixes the
-emitted count of every byte, and counts of texts are differences of prefix sums, whatever the chunks.  The segmenter's two-state maps
-compose by a parallel prefix scan in full.  Distinct segments of text run once a worker.
+which resets the merger, so all chunks run that part at once; what lies before depends on the state that the chunk before hands over.  That
+state is guessed, from the chunk before entered fresh, as BPE forgets soon; all chunks run from their guesses, and their maps between "entered as
+guessed" and "otherwise" compose by a parallel prefix scan, which tells the chunks whose guess was wrong.  Those run again, from what was handed
+over, until none is.  So the emitted count of every byte is fixed, and counts of texts are differences of prefix sums, whatever the chunks.  The
+segmenter's maps compose by the same scan.  Distinct segments of text run once a worker.  Pre-tokens above LONG_WORD bytes are merged by a heap.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -31,6 +33,8 @@ from .tokens import ChunkTable, chunks
 
 #: Transitions that a worker keeps at most.
 KEPT_ARCS = 4_000_000
+#: Bytes of a pre-token from which on it is merged by itself.
+LONG_WORD = 1024
 #: Bytes of a chunk: of the segmenter, of the merger.
 SCAN, CHUNK = 4096, 64
 
@@ -176,17 +180,51 @@ class Merger:
         ends = np.minimum(heads + chunk, len(data))
         reset = np.append(starts, len(data))[np.searchsorted(starts, heads)]
         constant = reset < ends
-        after = np.full(len(heads), -1, np.int64)  # state after each chunk, -1: not known yet
+        after = np.zeros(len(heads), np.int64)  # state after each chunk whose map is constant
         after[constant] = self.run(data, fresh, out, reset[constant], ends[constant], np.zeros(int(constant.sum()), np.int64))
         waiting = np.flatnonzero(reset > heads)
-        while len(waiting):
-            known = after[waiting - 1] >= 0
-            now, waiting = waiting[known], waiting[~known]
-            got = self.run(data, fresh, out, heads[now], np.minimum(reset, ends)[now], after[now - 1])
-            through = ~constant[now]
-            after[now[through]] = got[through]
+        if not len(waiting):
+            return out
+        before = waiting - 1
+        first = constant[before]  # the chunk before tells the state; of the others it is guessed from that chunk entered fresh
+        guess = after[before]
+        guess[~first] = self.run(data, fresh, np.zeros_like(out), heads[before[~first]], ends[before[~first]], np.zeros(int((~first).sum()), np.int64))
+        stop, end, todo = np.minimum(reset, ends)[waiting], np.zeros(len(waiting), np.int64), np.arange(len(waiting))
+        while len(todo):
+            end[todo] = self.run(data, fresh, out, heads[waiting[todo]], stop[todo], guess[todo])
+            # a chunk's map between "entered as guessed" (0) and "otherwise" (1): it leaves the next one as guessed, or not; runs begin anew
+            follows = np.append(~first[1:], False)
+            missed = np.append(end[:-1] != guess[1:], False)
+            to = np.stack([follows & missed, follows], 1).astype(np.int64)
+            sums = np.add.reduceat(out, np.stack([heads[waiting], stop], 1).ravel()[: 2 * len(waiting) - (stop[-1] >= len(data))])[::2]
+            entered = np.concatenate([[0], scan((to, np.stack([sums, np.zeros_like(sums)], 1)))[0][:-1, 0]])
+            todo = np.flatnonzero(entered == 1)
+            guess[todo] = end[todo - 1]
         return out
 
+    def merges(self, word: bytes) -> int:
+        """Tokens of one long word: merges by rank and place from a heap, in time n log n."""
+        n, rank = len(word), self.ranks.get
+        parts: list[bytes | None] = [word[i : i + 1] for i in range(n)]
+        after, before, left = list(range(1, n + 1)), list(range(-1, n - 1)), n
+        heap = [(r, i) for i in range(n - 1) if (r := rank((parts[i], parts[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            a, j = parts[i], after[i]
+            if a is None or j >= n or rank((a, parts[j])) != r:
+                continue
+            parts[i], parts[j], left = a + parts[j], None, left - 1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (new := rank((parts[i], parts[k]))) is not None:
+                    heapq.heappush(heap, (new, i))
+            h = before[i]
+            if h >= 0 and (new := rank((parts[h], parts[i]))) is not None:
+                heapq.heappush(heap, (new, h))
+        return left
+
 
 #: Classes of characters for the splitter.
 LETTER, DIGIT, BLANK, SPACE, OTHER = range(5)
@@ -278,6 +316,20 @@ class Counter(ChunkTable):
                 cut[np.minimum(q + size, n)] = True
         return data, at[np.flatnonzero(cut[:n])], offs
 
+    def emitted(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """What each byte emits; pre-tokens above LONG_WORD bytes, whose states hardly recur, emit their tokens at their first byte."""
+        size = np.diff(np.append(starts, len(data)))
+        long = np.flatnonzero(size > LONG_WORD)
+        if not len(long):
+            return self.merger.emitted(data, starts)
+        out, keep = np.zeros(len(data), np.int64), np.ones(len(data), bool)
+        for k in long:
+            out[starts[k]] = self.merger.merges(data[starts[k] : starts[k] + size[k]].tobytes())
+            keep[starts[k] : starts[k] + size[k]] = False
+        short = np.delete(starts, long)
+        out[keep] = self.merger.emitted(data[keep], (np.cumsum(keep) - 1)[short])
+        return out
+
     def learn(self, new: list[bytes]) -> None:
         marks = [s.encode() for s in self.special]
         parts, owner, fixed = [], [], np.zeros(len(new), np.int64)
@@ -294,7 +346,7 @@ class Counter(ChunkTable):
         value = fixed
         if parts:
             data, starts, offs = self.split(parts)
-            upto = np.concatenate([[0], np.cumsum(self.merger.emitted(data, starts))])[offs]
+            upto = np.concatenate([[0], np.cumsum(self.emitted(data, starts))])[offs]
             value = value + np.bincount(owner, weights=np.diff(upto), minlength=len(new)).astype(np.int64)
         self.value = np.concatenate([self.value, value])
 
