@@ -6,7 +6,8 @@ centre.  Blocks of rows ask every shard: rows whose angle to the centre exceeds
 this bound, which is exact; the others walk the graph.  Nothing is shuffled or copied for it.
 
 Beams are audited twice, against brute force: in the build with planted queries at exactly the least cosine, the hardest there are, and for each block and
-shard with a sample of the block's rows.  A beam that misses links is widened; where none passes, the block is compared with the whole shard.
+shard with a sample of the block's rows.  A beam that misses links is widened while that is worth it; where none passes, the block is compared with
+the whole shard, exactly.
 Rows whose beam shows a link, or nearly, are compared with the whole shard too, so groups of any size are found whole.  Pairs are verified in double precision where
 rounding could decide.  A block returns, for each row, how many rows it links to and a spanning forest of the links instead of all pairs.
 
@@ -34,6 +35,9 @@ M, M0, BUILD_BEAM = 12, 24, 32
 #: First beam, its growth, share of audited queries (at least AUDIT_LEAST of a block), share of links that they
 #: are to find on average, planted queries of a shard.
 BEAM, WIDEN, AUDIT_EACH, AUDIT_LEAST, RECALL, PLANTED = 48, 2, 64, 48, 0.98, 512
+#: Nodes of a shard for each place of the widest beam: a wider one takes longer than comparing all of the shard, which is exact (a walk with beam 48 takes as
+#: long as some 70,000 comparisons of 64 components).
+WORTH = 1024
 #: Open nodes of a beam that a step visits at once.
 AT_ONCE = 4
 #: Components of a shard's vectors at most.
@@ -261,7 +265,7 @@ def passing(graph: Graph, q: np.ndarray, own: np.ndarray, least: float, beam: in
     total = count(graph.compared(q, np.arange(len(q)), least))
     some = total > 0
     q, own, total = q[some], own[some], total[some]
-    while beam is not None and beam < len(graph.x):
+    while beam is not None and beam < len(graph.x) and beam <= max(BEAM, len(graph.x) // WORTH):
         found = count(graph.within(q, own, least, beam))
         if not len(q) or (found / total).mean() >= RECALL:
             return beam, int(total.sum()), int(found.sum())
