@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .common import discard, mapped, written
 
+#: Bytes of a block: a word has some 20 numbers of eight bytes while its paths or edges are made.
+BLOCK = 1 << 21
 #: Words of an anchor k-mer.
 K = 12
 _BASES = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
@@ -115,7 +117,7 @@ def paths(docs: DataFrame, window: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = tx.string_column(batch, "text")
-            for i, j, d, o in tx.blocks(data, offs):
+            for i, j, d, o in tx.blocks(data, offs, BLOCK):
                 got = Block(d, o).paths(window, k)
                 row = pa.array(got["row"])
                 out = [batch.column(c)[i:j].take(row) for c in (0, 1)]
@@ -132,7 +134,7 @@ def expanded(met: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             data, offs = tx.string_column(batch, "text")
             spans = batch.column(3)
-            for i, j, d, o in tx.blocks(data, offs):
+            for i, j, d, o in tx.blocks(data, offs, BLOCK):
                 block, part = Block(d, o), spans[i:j]
                 row, first, last = flat_spans(part)
                 size = last - first + 1
@@ -229,7 +231,7 @@ def with_source_digest(spans: DataFrame, known: DataFrame, window: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = tx.string_column(batch, "text")
-            for i, j, d, o in tx.blocks(data, offs):
+            for i, j, d, o in tx.blocks(data, offs, BLOCK):
                 row, first, last = flat_spans(batch.column(3)[i:j])
                 take = pa.array(row)
                 got = pa.array(digests(Block(d, o, hashes=False), row, first, last, window), pa.binary())
@@ -260,7 +262,7 @@ def without(rows: DataFrame, spans: DataFrame, window: int, keep_text: bool) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = tx.string_column(batch, "text")
-            for i, j, d, o in tx.blocks(data, offs):
+            for i, j, d, o in tx.blocks(data, offs, BLOCK):
                 block = Block(d, o, hashes=False)
                 row, first, last = flat_spans(batch.column(3)[i:j])
                 told = batch.column(4)[i:j].flatten().to_pylist()
