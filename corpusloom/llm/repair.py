@@ -184,7 +184,7 @@ def wholes(parts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [{"_key": r["_key"], "seq": r["seq"]} | reduced(r["parts"]) for r in batch.to_pylist()]
+            rows = [reduced(r["parts"]) | {"_key": r["_key"], "seq": r["seq"]} for r in batch.to_pylist()]
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     long, text = pa.int64(), pa.string()
