@@ -6,13 +6,15 @@ uniform number that the document's key and a seed fix, so a task that runs again
 
 Each source's distribution is tabulated once; a document finds its count in it by bisection.  The table of sources is written before
 it meets the documents: Spark knows its size, broadcasts it only below its limit, and otherwise splits a source that
-holds a third of all rows like any skewed key.  Copies, whole documents, are dealt out by a hash of (key, copy).
+holds a third of all rows like any skewed key.  Copies, whole documents, are dealt out by a hash of their columns and
+number, so that neither null nor repeated keys gather in one partition.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import written
 
@@ -24,9 +26,9 @@ AT_ONCE = 1 << 16
 ADDED = ("copy", "mix_key")
 
 
-def uniform(seed: int, *columns: str) -> Column:
-    """A number in [0, 1) fixed by seed and columns: 52 bits of an MD5 digest; null reads as empty."""
-    text = F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
+def uniform(seed: int, key: Column) -> Column:
+    """A number in [0, 1) fixed by seed and key: 52 bits of an MD5 digest; null reads as empty."""
+    text = F.concat_ws("|", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit("")))
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
@@ -88,17 +90,19 @@ def mix(docs: DataFrame, seed: int = 7, exponent: float = 0.5, budget: float = 1
     """All columns of `docs`, a row for each copy, with `copy` (from 1) and `mix_key`, dealt out globally by mix_key.
 
     Columns of these two names in `docs` give way; others, of any name, stay.  Every rate is honoured, however large.  Rows that
-    repeat a key draw the same number of copies each; null keys draw alike.  An empty table gives an empty one.
+    repeat a key draw the same number of copies each; rows without a key draw by their text (where the table has one), so
+many of them keep the mean.  An empty table gives an empty one.
     """
     names = [c for c in docs.columns if c not in ADDED]
     rate = F.col("_rate")
     tables = written(rates(docs, exponent, budget, weights).select("_source", first_count(rate).alias("_first"), F.when(rate > 0, cumulative(rate)).alias("_table")), "rates")
     plain = [f"c{i}" for i in range(len(names))]  # so that no column of `docs` clashes with one of ours
-    own = docs.select(*(F.col(f"`{c}`").alias(p) for c, p in zip(names, plain, strict=True)), F.col("source").alias("_of"), uniform(seed, key).alias("_u"))
+    drawn = F.coalesce(F.col(key).cast("string"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))) if "text" in names else F.col(key)
+    own = docs.select(*(F.col(f"`{c}`").alias(p) for c, p in zip(names, plain, strict=True)), F.col("source").alias("_of"), uniform(seed, drawn).alias("_u"))
     met = own.join(tables, F.col("_of").eqNullSafe(F.col("_source")), "left").where("_table is not null")
     counted = met.select(*plain, poisson_count(F.col("_first"), F.col("_table"), F.col("_u")).alias("_n")).where("_n > 0")
     part = counted.withColumn("_from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"), F.lit(AT_ONCE).cast("long"))))
     copies = part.select(*plain, F.explode(F.sequence("_from", F.least(F.col("_n"), F.col("_from") + (AT_ONCE - 1))).cast("array<int>")).alias("copy"))
     copies = copies.select(*(F.col(p).alias(c) for c, p in zip(names, plain, strict=True)), "copy")
-    keyed = copies.withColumn("mix_key", F.xxhash64(F.lit(seed), F.col(key), F.col("copy")))
+    keyed = copies.withColumn("mix_key", F.xxhash64(F.lit(seed), F.col("copy"), *(F.col(f"`{c}`") for c in names if not isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType)))))
     return keyed.repartition("mix_key").sortWithinPartitions("mix_key")

@@ -185,7 +185,7 @@ WITH sized AS (
   SELECT source, CASE WHEN size > 0 THEN weight / all_weight * all_size / size ELSE 0 END AS rate FROM weighted
 ), drawn AS (
   SELECT d.*, rate, CAST(ceil(rate + 12 * sqrt(rate)) AS BIGINT) + 16 AS most,
-    CAST(CAST('0x' || substr(md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
+    CAST(CAST('0x' || substr(md5('7|' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
   FROM documents d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source WHERE rate > 0
 ), counted AS (
   SELECT *, unnest(list_filter(range(1, most), lambda n: u >= list_sum(list_transform(range(0, n), lambda j: exp(-rate + j * ln(rate) - lgamma(j + 1)))))) AS copy FROM drawn

@@ -472,6 +472,13 @@ def test_mixing_honours_large_rates(spark):
     assert abs(n["small"] / 1_000_505 - 1) < 0.2 and abs(n["tiny"] / 1_000_505 - 1) < 0.06
 
 
+def test_mixing_rows_without_a_key(spark):
+    df = spark.range(0, 4000, 1, 2).selectExpr("cast(null as long) as doc_id", "concat('text ', id) as text", "if(id % 2 = 0, 'a', 'b') as source", "if(id % 2 = 0, 100L, 400L) as n_chars")
+    got = mixing.mix(df, seed=5)
+    sizes = {r["source"]: r["n"] for r in got.groupBy("source").agg(F.sum("n_chars").alias("n")).collect()}
+    assert abs(sizes["b"] / sizes["a"] / 2 - 1) < 0.15 and got.select("mix_key").distinct().count() == got.count()
+
+
 def test_batches_for_workers_are_bounded_by_bytes(spark):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     docs = spark.range(0, 2000, 1, 1).selectExpr("id as doc_id", "repeat('word ', if(id = 7, 2000000, 2000)) as text")
