@@ -92,10 +92,6 @@ def tokenize(units: DataFrame, text: str = "text", *keys: str) -> DataFrame:
     return rows.mapInArrow(run, kinds + "token_no int, surface string, delimiter_before string, start int, `end` int")
 
 
-def trailing_delimiter(text: Column) -> Column:
-    return F.regexp_extract(text, f"({GAP})$", 1)
-
-
 def reconstruct(tokens: DataFrame, *keys: str) -> DataFrame:
     """Text of each unit from its tokens (without the trailing delimiter)."""
     part = F.struct("token_no", F.concat("delimiter_before", "surface").alias("x"))

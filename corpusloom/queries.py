@@ -423,7 +423,7 @@ def _text() -> dict[str, Pair]:
 def _sources() -> dict[str, Pair]:
     out: dict[str, Pair] = {}
     out["diagnostics_gaps"] = (lambda s, d: corpus.gaps(table(s, d, "labels").select((F.col("doc_id") % 10).alias("bin"), (F.floor(F.col("doc_id") / 10) + 1).alias("no")), "bin", "no")), (
-        "WITH l AS (SELECT doc_id % 10 AS bin, doc_id // 10 + 1 AS no FROM labels), m AS (SELECT bin, max(no) AS last FROM l GROUP BY bin), x AS (SELECT bin, unnest(range(1, last + 1)) AS missing FROM m) "
+        "WITH l AS (SELECT doc_id % 10 AS bin, doc_id // 10 + 1 AS no FROM labels), m AS (SELECT bin, min(no) AS first, max(no) AS last FROM l GROUP BY bin), x AS (SELECT bin, unnest(range(first, last + 1)) AS missing FROM m) "
         "SELECT bin, missing FROM x WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.bin = x.bin AND l.no = x.missing)"
     )
     out["diagnostics_duplicates"] = (lambda s, d: corpus.duplicates(table(s, d, "lineitem"), "l_orderkey", "l_linenumber", order="l_partkey")), "SELECT l_orderkey, l_linenumber, min(l_partkey) AS first, count(*) - 1 AS further FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1"
@@ -608,6 +608,11 @@ def _ingest() -> dict[str, Pair]:
         SELECT g AS ordinal, tk.conv_id + 1 AS collection_no, tk.turn + 1 AS unit_no, CAST(token_no AS INTEGER) AS token_no, surface, CAST(e - length(surface) AS INTEGER) AS start
         FROM tk JOIN e ON e.conv_id = tk.conv_id AND e.turn = tk.turn AND e.i = token_no""",
     )
+    order = ["collection_no", "unit_no", "token_no"]
+    out["token_results_page"] = (
+        lambda s, d: projections.preview(projections.token_results(ingested(s, d).table("tokens"), ingested(s, d).table("units").select("unit_id", "unit_text")), 300, 45, *order).select(*order, "address", "surface", "length", F.length("unit_text").alias("unit_length")),
+        f"{INGEST_SQL} SELECT conv_id + 1 AS collection_no, turn + 1 AS unit_no, CAST(token_no AS INTEGER) AS token_no, concat_ws(':', conv_id + 1, turn + 1, token_no) AS address, surface, CAST(length(surface) AS INTEGER) AS length, CAST(length(unit_text) AS INTEGER) AS unit_length FROM tk ORDER BY 1, 2, 3 LIMIT 300 OFFSET 45",
+    )
     out["ingest_tables_alignments"] = (
         lambda s, d: ingested(s, d).table("alignments").select(own("segment_id").alias("ordinal"), own("alignment_id").alias("row"), "rule", "status", "confidence", own("token_id").alias("token"), F.array_join("conflict_dimensions", ",").alias("dims")),
         f"{INGEST_SQL} SELECT ordinal, row_number() OVER (ORDER BY ordinal) AS row, rule, status, confidence, token, dims FROM al_rows",

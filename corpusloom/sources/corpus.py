@@ -76,16 +76,22 @@ def duplicates(rows: DataFrame, *address: str, order: str = "line_no") -> DataFr
 
 
 def gaps(rows: DataFrame, collection: str, unit: str) -> DataFrame:
-    """(collection, missing): unit numbers below a collection's largest that it lacks, from 1.
+    """(collection, missing): unit numbers that a collection lacks between its first and its last one.
 
     Only the holes between neighbours are made, so no row holds a collection's numbers.
     """
     have = rows.where(F.col(unit) >= 1).select(collection, unit).distinct()
-    before = F.coalesce(F.lag(unit).over(Window.partitionBy(collection).orderBy(unit)), F.lit(0).cast(rows.schema[unit].dataType))
+    before = F.lag(unit).over(Window.partitionBy(collection).orderBy(unit))
     holes = have.withColumn("_before", before).where(F.col(unit) - F.col("_before") > 1)
     return holes.select(collection, F.explode(F.sequence(F.col("_before") + 1, F.col(unit) - 1)).alias("missing"))
 
 
+def collection_gaps(rows: DataFrame, collection: str) -> list[int]:
+    """Collection numbers missing between the first and the last one, from one row a collection."""
+    have = sorted(r[0] for r in rows.select(collection).distinct().collect())
+    return [n for a, b in zip(have, have[1:], strict=False) for n in range(a + 1, b)]
+
+
 def reversals(rows: DataFrame, collection: str, order: str, path: str = "path") -> DataFrame:
     """Rows whose collection number is below the one before."""
     before = F.lag(collection).over(Window.partitionBy(path).orderBy(order))
@@ -99,5 +105,7 @@ def diagnostics(parsed: DataFrame) -> dict[str, object]:
     rows = units(parsed)
     empty = rows.where("text = ''").count()
     twice = duplicates(rows, "path", "collection_no", "unit_no").count()
+    ends = rows.agg(F.min(F.struct("line_no", "collection_no", "unit_no")).alias("first"), F.max(F.struct("line_no", "collection_no", "unit_no")).alias("last")).first()
+    address = lambda r: [r["collection_no"], r["unit_no"]] if r else None
     failed = bool(kinds.get("malformed") or kinds.get("unknown") or empty or twice)
-    return {"classes": kinds, "newlines": endings, "empty_text": empty, "duplicates": twice, "gaps": gaps(rows, "collection_no", "unit_no").count(), "reversals": reversals(rows, "collection_no", "line_no").count(), "failed": failed}
+    return {"classes": kinds, "newlines": endings, "empty_text": empty, "duplicates": twice, "gaps": gaps(rows, "collection_no", "unit_no").count(), "reversals": reversals(rows, "collection_no", "line_no").count(), "collection_gaps": collection_gaps(rows, "collection_no"), "first": address(ends["first"]), "last": address(ends["last"]), "failed": failed}
