@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from . import ingest
 from .functions import text as tx
 from .functions.normalize import ALIF_VARIANTS, ANNOTATION_RANGES, explained, normalize
-from .operators import alignment, analytics, digests, search
+from .operators import alignment, analytics, bitmaps, digests, search
 from .operators import stream as stream_ops
-from .plans import ast, projections, scope
-from .plans.binding import build_evidence, write_evidence
+from .plans import ast, projections, scope, skipping
+from .plans.binding import base, build_evidence, write_evidence
 from .plans.engine import Engine
-from .scratch import fresh
+from .scratch import fresh, written
 from .sources import corpus
 from .store import ROW_BITS, Store
 
@@ -255,6 +255,19 @@ def _sets() -> dict[str, Pair]:
     return out
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str, query: ast.Query) -> DataFrame:
+    """The evidence that a request needs by the index of its files, which is written once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    whole = evidence(spark, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = fresh(spark, "evidence-index")
+        skipping.write_index(whole, _INDEXES[key])
+    return skipping.evidence_for(spark, _WRITTEN[key], spark.read.parquet(_INDEXES[key]), query)
+
+
 def _statistics() -> dict[str, Pair]:
     def stat(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, d: f(evidence(spark, d))
@@ -266,7 +279,17 @@ def _statistics() -> dict[str, Pair]:
         return analytics.table_counts(star(s, d) | {"conversations": table(s, d, "conversations")})
 
     records = "(SELECT DISTINCT id FROM s)"
+    rare = _query({"and": [p("feature", ["ROOT:zwe", "ROOT:sys", "LEM:the"], "in"), p("pos", "N")]})
+
+    def bitmap_rollup(s: SparkSession, d: str) -> DataFrame:
+        """Tokens by collection and by root from one table of bitmaps by both."""
+        made = written(bitmaps.bitmaps(base(evidence(s, d)), "token_id", "collection_no", "root"), "bitmaps")
+        by = lambda c: bitmaps.counts(made, c).select(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value"), "n")
+        return by("collection_no").unionByName(by("root")).unionByName(bitmaps.counts(made).select(F.lit("all").alias("dimension"), F.lit(None).cast("string").alias("value"), "n"))
+
     return {
+        "bitmap_rollup": (bitmap_rollup, f"{WITH} SELECT 'collection_no' AS dimension, CAST(collection_no AS VARCHAR) AS value, count(DISTINCT token_id) AS n FROM ev GROUP BY 2 UNION ALL SELECT 'root', root, count(DISTINCT token_id) FROM ev GROUP BY 2 UNION ALL SELECT 'all', NULL, count(DISTINCT token_id) FROM ev"),
+        "filter_by_index": (lambda s, d: Engine(indexed(s, d, rare)).rows(rare, strict=False).select("alignment_id", "surface", "root", "pos"), f"{WITH} SELECT alignment_id, surface, root, pos FROM ev WHERE list_has_any(features, ['ROOT:zwe', 'ROOT:sys', 'LEM:the']) AND pos = 'N'"),
         "stats_summary": (stat(analytics.summary), f"{WITH} SELECT count(DISTINCT segment_id) AS segments, count(DISTINCT token_id) AS tokens, count(DISTINCT unit_id) AS units, count(DISTINCT record_id) AS records, count(*) AS rows FROM ev"),
         "stats_root": (stat(analytics.roots), value("root", "root IS NOT NULL")),
         "stats_lemma": (stat(analytics.lemmas), value("lemma", "lemma IS NOT NULL")),

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from corpusloom import cli, ingest
 from corpusloom.functions import normalize
-from corpusloom.operators import digests, search, stream
-from corpusloom.plans import scope
+from corpusloom.operators import bitmaps, digests, search, stream
+from corpusloom.plans import scope, skipping
 from corpusloom.plans.ast import RequestError
+from corpusloom.plans.binding import base
+from corpusloom.plans.engine import Engine
 from corpusloom.queries import conversation_tokens
 from corpusloom.store import Store, Unfinished
 
@@ -182,3 +184,31 @@ def test_scopes_that_say_the_same_are_equal(spark):
     assert [r["unit_id"] for r in ordered.collect()] == [20, 11, 13] and ids(include_collections=[]) == []
     with pytest.raises(RequestError):
         scope.canonical_scope({"unit_ranges": [[1, 3, 2]]})
+
+
+def test_selective_requests_open_few_files(spark, tmp_path):
+    from corpusloom import queries as q
+
+    path, where = f"file://{tmp_path}/ev", f"file://{tmp_path}/index"
+    q.evidence(spark, "/root/testdata/sf0.001").repartitionByRange(8, "root", "lemma", "alignment_id").write.partitionBy("release_id").parquet(path)
+    whole = spark.read.parquet(path)
+    skipping.write_index(whole, where)
+    index = spark.read.parquet(where)
+    lemma = base(whole).where("lemma is not null").groupBy("lemma").count().orderBy("count", "lemma").first()["lemma"]
+    ask = q._query({"and": [q.p("feature", f"LEM:{lemma}"), {"not": [q.p("root", "zzz")]}]})
+    some = skipping.evidence_for(spark, path, index, ask)
+    assert len(whole.inputFiles()) >= 8 and 1 <= len(some.inputFiles()) <= 3
+    plain, few = (Engine(e).rows(ask, strict=False).select("alignment_id", "release_id").collect() for e in (whole, some))
+    assert sorted(plain) == sorted(few) != []
+    either = q._query({"or": [q.p("root", "the"), q.p("pos", "N")]})
+    assert len(skipping.evidence_for(spark, path, index, either).inputFiles()) == len(whole.inputFiles())
+    assert skipping.evidence_for(spark, path, index, q._query(q.p("root", "none such"))).count() == 0
+
+
+def test_bitmaps_merge_to_exact_counts(spark):
+    rows = [(g, h, (g * 7919 + k * 104729) % 100_003 if k % 9 else None) for g in range(4) for h in ("x", None) for k in range(3000)]
+    df = spark.createDataFrame(rows, "g int, h string, id long").repartition(3)
+    made = bitmaps.bitmaps(df, "id", "g", "h")
+    for groups in (("g", "h"), ("g",), ("h",), ()):
+        want = {tuple(r)[:-1]: r["n"] for r in df.groupBy(*groups).agg(F.count_distinct("id").alias("n")).collect()}
+        assert {tuple(r)[:-1]: r["n"] for r in bitmaps.counts(made, *groups).collect()} == want
