@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,6 +95,20 @@ def frequency(tokens: DataFrame, profile: str | None = None) -> DataFrame:
     return values(tokens, profile).groupBy("value").agg(F.count("*").alias("n"))
 
 
+def word_frequency(units: DataFrame, text: str = "text", profile: str | None = None) -> DataFrame:
+    """(value, n) as `frequency` of the units' tokens: each batch counts its words first, so a row a word of a batch is shuffled and normalized, not a row a token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            met: Counter[str] = Counter()
+            for value in batch.column(0).to_pylist():
+                met.update((value or "").split())
+            yield pa.record_batch([pa.array(list(met), pa.string()), pa.array(list(met.values()), pa.int64())], names=["surface", "n"])
+
+    counted = units.select(F.col(text).cast("string")).mapInArrow(run, "surface string, n long")
+    return values(counted, profile).groupBy("value").agg(F.sum("n").alias("n"))
+
+
 def stream_window(tokens: DataFrame, n: int, keys: list[str], cross_unit: bool) -> tuple[DataFrame, list[str], Column]:
     """(rows, partition and order of windows of n tokens, which rows may start one): inside units, or over the whole stream in the order of `keys`."""
     if not cross_unit:

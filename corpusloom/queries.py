@@ -398,8 +398,8 @@ def _text() -> dict[str, Pair]:
         r AS (SELECT *, sum(CASE WHEN solid AND NOT before THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY i) AS k FROM q)
         SELECT conv_id, turn, character, CAST(CASE WHEN solid THEN k END AS INTEGER) AS token_no, count(*) AS n, CAST(sum(i - 1) AS BIGINT) AS places FROM r WHERE character IN ('e', ' ') GROUP BY ALL""",
     )
-    out["token_frequency_raw"] = (lambda s, d: search.frequency(doc_words(s, d))), f"{DOC_TOKENS} SELECT surface AS value, count(*) AS n FROM w GROUP BY 1"
-    out["token_frequency_normalized"] = (lambda s, d: search.frequency(spelled_words(s, d), PROFILE)), f"{SPELLED_TOKENS} SELECT regexp_replace(surface, '[{marks}]+', '', 'g') AS value, count(*) AS n FROM w GROUP BY 1"
+    out["token_frequency_raw"] = (lambda s, d: search.word_frequency(table(s, d, "documents"))), f"{DOC_TOKENS} SELECT surface AS value, count(*) AS n FROM w GROUP BY 1"
+    out["token_frequency_normalized"] = (lambda s, d: search.word_frequency(table(s, d, "documents").select(spelled(F.col("text")).alias("text")), profile=PROFILE)), f"{SPELLED_TOKENS} SELECT regexp_replace(surface, '[{marks}]+', '', 'g') AS value, count(*) AS n FROM w GROUP BY 1"
     for n in (2, 3, 5):
         leads = " || ' ' || ".join(["surface", *(f"lead(surface, {i}) OVER o" for i in range(1, n))])
         out[f"ngrams_repeated_{n}"] = (lambda s, d, n=n: search.repeated_ngrams(search.values(conversation_tokens(s, d)), n, ["conv_id", "turn"]).select("gram", "n")), f"{CONV}, g AS (SELECT {leads} AS gram FROM s WINDOW o AS (PARTITION BY conv_id, turn ORDER BY token_no)) SELECT gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY gram HAVING count(*) > 1"

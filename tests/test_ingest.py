@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import cli, ingest
 from corpusloom.functions import normalize
+from corpusloom.functions import text as tx
 from corpusloom.operators import bitmaps, digests, search, stream
 from corpusloom.plans import scope, skipping
 from corpusloom.plans.ast import RequestError
@@ -212,3 +213,11 @@ def test_bitmaps_merge_to_exact_counts(spark):
     for groups in (("g", "h"), ("g",), ("h",), ()):
         want = {tuple(r)[:-1]: r["n"] for r in df.groupBy(*groups).agg(F.count_distinct("id").alias("n")).collect()}
         assert {tuple(r)[:-1]: r["n"] for r in bitmaps.counts(made, *groups).collect()} == want
+
+
+def test_words_are_counted_by_batch(spark):
+    units = spark.createDataFrame([("á b　b\x1cc",), (None,), ("",), (" b ",)], "text string")
+    tokens = tx.tokenize(units.where("text is not null"), "text")
+    for profile in (None, "remove_combining_marks_v1"):
+        want = sorted(map(tuple, search.frequency(tokens, profile).collect()))
+        assert sorted(map(tuple, search.word_frequency(units, profile=profile).collect())) == want != []
