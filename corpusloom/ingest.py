@@ -38,19 +38,19 @@ def numbered(run: int, ordinal: Column) -> Column:
     return F.lit(run << ROW_BITS) + ordinal
 
 
-def ordinal_of(lines: DataFrame) -> Column:
-    """The number of a line over all files of a source, in the order of their paths, from each file's number of lines (a row a file)."""
-    upto, pairs = 0, []
+def over_files(lines: DataFrame) -> DataFrame:
+    """`lines` with source_no, the number of a line over all files of a source in the order of their paths; a row a file is broadcast."""
+    rows, upto = [], 0
     for r in sorted(lines.groupBy("path").agg(F.max("line_no").alias("n")).collect()):
-        pairs += [F.lit(r["path"]), F.lit(upto)]
+        rows.append((r["path"], upto))
         upto += r["n"]
-    start = F.element_at(F.create_map(*pairs), F.col("path")) if pairs else F.lit(0)
-    return F.col("line_no") + start.cast("long")
+    starts = F.broadcast(lines.sparkSession.createDataFrame(rows, "path string, _start long"))
+    return lines.join(starts, "path").withColumn("source_no", F.col("line_no") + F.col("_start")).drop("_start")
 
 
 def source_digest(lines: DataFrame) -> str:
     """Digest of a source's lines, whatever its files are called and in whatever ranges they are read."""
-    return table_digest(lines.select(ordinal_of(lines).alias("line_no"), F.coalesce("raw", F.col("content").cast("binary")).alias("bytes"), "ending"))
+    return table_digest(lines.select("source_no", F.coalesce("raw", F.col("content").cast("binary")).alias("bytes"), "ending"))
 
 
 def ingest_text(store: Store, path: str) -> dict[str, Any]:
@@ -58,7 +58,7 @@ def ingest_text(store: Store, path: str) -> dict[str, Any]:
 
     A file with malformed or unknown lines, empty texts or repeated addresses is refused.
     """
-    parsed = written(corpus.read_corpus(store.spark, path), "parsed")  # read once, for the digest, the diagnostics and the run
+    parsed = over_files(written(corpus.read_corpus(store.spark, path), "parsed"))  # read once, for the digest, the diagnostics and the run
     key = canonical_hash({"source": source_digest(parsed), "version": TEXT_VERSION})
     if found := store.committed(key):
         return {"key": key, "idempotent": True} | found
@@ -66,7 +66,7 @@ def ingest_text(store: Store, path: str) -> dict[str, Any]:
     if facts["failed"]:
         raise ValueError(f"the source has faults: {facts}")
     run = store.claim(key)
-    lines = store.write(run, "lines", parsed.withColumn("source_no", ordinal_of(parsed)))
+    lines = store.write(run, "lines", parsed)
     units = lines.where("record_type = 'unit_record'")
     units = units.select(numbered(run, F.col("source_no")).alias("unit_id"), F.lit(run).alias("release_id"), "collection_no", "unit_no", F.col("text").alias("unit_text"), F.col("source_no").alias("line_no"))
     units = running(units, ["line_no"], {"first_token": F.size(tx.surfaces(F.col("unit_text"))), "first_codepoint": F.length("unit_text"), "first_unit": F.lit(1)})
@@ -91,12 +91,12 @@ def ingest_annotations(store: Store, path: str, fmt: str, release: int, algorith
     if not texts:
         raise ValueError(f"no text release {release}")
     terminators, parse = FORMATS[fmt]
-    lines = written(read_lines(store.spark, path, terminators), "lines")
+    lines = over_files(written(read_lines(store.spark, path, terminators), "lines"))
     key = canonical_hash({"source": source_digest(lines), "format": fmt, "parser": PARSE_VERSION, "release": release, "algorithm": algorithm})
     if found := store.committed(key):
         return {"key": key, "idempotent": True} | found
     run = store.claim(key)
-    records = parse(lines).withColumns({"record_id": numbered(run, ordinal_of(lines)), "run_id": F.lit(run)})
+    records = parse(lines).withColumns({"record_id": numbered(run, F.col("source_no")), "run_id": F.lit(run)})
     records = store.write(run, "records", records)
     parsed = records.where("parse_status = 'parsed'")
     analyses = store.write(run, "analyses", analysed(parsed, fmt))

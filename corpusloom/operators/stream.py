@@ -29,19 +29,20 @@ def running(rows: DataFrame, order: Sequence[str], sums: Mapping[str, Column]) -
     """
     names = list(sums)
     ready = dealt(rows.withColumns({f"_{n}": F.coalesce(c.cast("long"), F.lit(0)) for n, c in sums.items()}), order)
-    totals = sorted(ready.groupBy(PART).agg(*(F.sum(f"_{n}").alias(n) for n in names)).collect())  # a row a partition
+    totals = ready.groupBy(PART).agg(*(F.sum(f"_{n}").alias(n) for n in names)).collect()  # a row a partition
     before = Window.partitionBy(PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = ready.withColumns({n: F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)) + base(totals, n) for n in names})
-    return out.drop(PART, *(f"_{n}" for n in names))
+    inside = ready.withColumns({n: F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)) for n in names})
+    out = inside.join(bases(ready, totals, names), PART).withColumns({n: F.col(n) + F.col(f"_base_{n}") for n in names})
+    return out.drop(PART, *(f"_{n}" for n in names), *(f"_base_{n}" for n in names))
 
 
-def base(totals: list, name: str) -> Column:
-    """What the partitions before a row's own sum up to."""
-    if not totals:
-        return F.lit(0).cast("long")
-    upto = [0, *accumulate(t[name] for t in totals)]
-    pairs = [F.lit(x) for t, b in zip(totals, upto, strict=False) for x in (t[PART], b)]
-    return F.element_at(F.create_map(*pairs), F.col(PART)).cast("long")
+def bases(ready: DataFrame, totals: list, names: Sequence[str]) -> DataFrame:
+    """(partition, _base_name): what the partitions before each one sum up to; as many rows as partitions, so it is broadcast."""
+    rows, upto = [], [0] * len(names)
+    for t in sorted(totals):
+        rows.append((t[PART], *upto))
+        upto = [u + t[n] for u, n in zip(upto, names, strict=True)]
+    return F.broadcast(ready.sparkSession.createDataFrame(rows, f"{PART} int, " + ", ".join(f"_base_{n} long" for n in names)))
 
 
 def with_halo(rows: DataFrame, order: Sequence[str], n: int) -> tuple[DataFrame, Column, list[str]]:
@@ -52,7 +53,8 @@ def with_halo(rows: DataFrame, order: Sequence[str], n: int) -> tuple[DataFrame,
     ready = dealt(rows, order)
     totals = sorted(ready.groupBy(PART).agg(F.count("*").alias("n")).collect())
     inside = Window.partitionBy(PART).orderBy(*order)
-    ready = ready.withColumn("_at", F.row_number().over(inside) - 1).withColumn("_g", F.col("_at") + base(totals, "n"))
+    ready = ready.withColumn("_at", F.row_number().over(inside) - 1).join(bases(ready, totals, ["n"]), PART)
+    ready = ready.withColumn("_g", F.col("_at") + F.col("_base_n")).drop("_base_n")
     ends = list(accumulate(t["n"] for t in totals))
     known = F.array(*(F.struct(F.lit(t[PART]).alias("part"), F.lit(e).cast("long").alias("end")) for t, e in zip(totals, ends, strict=True)))
     if n > 1 and totals:
