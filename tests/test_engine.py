@@ -226,3 +226,20 @@ def test_numbers_in_any_script_and_morphology_filters(spark):
         with pytest.raises(ValueError):
             projections.MorphologyQuery(**bad)
     assert provenance.canonical_json({"t": __import__("datetime").datetime(2020, 1, 2, 3, 4, 5, 678)}) == '{"t":"2020-01-02T03:04:05Z"}'
+
+
+def test_tokens_leave_in_small_batches(spark, monkeypatch):
+    """Neither many texts nor a long one make a large batch."""
+    import pyarrow as pa
+
+    units = spark.createDataFrame([(1, "a")], "unit_id long, text string")
+    held = []
+    monkeypatch.setattr(type(units), "mapInArrow", lambda self, f, schema: held.append(f))
+    tx.tokenize(units, "text", "unit_id")
+    texts = ["ab " * 40_000, None, *(["c de"] * 9_998)]
+    out = list(held[0](iter([pa.record_batch([pa.array(range(10_000), pa.int64()), pa.array(texts)], names=["unit_id", "_text"])])))
+    assert max(b.num_rows for b in out) <= 1 << 15
+    rows = [r for b in out for r in b.to_pylist()]
+    assert len(rows) == 40_000 + 2 * 9_998
+    assert rows[39_999] == {"unit_id": 0, "token_no": 40_000, "surface": "ab", "delimiter_before": " ", "start": 119_997, "end": 119_999}
+    assert rows[-1] == {"unit_id": 9_999, "token_no": 2, "surface": "de", "delimiter_before": " ", "start": 2, "end": 4}
