@@ -143,13 +143,14 @@ def repeated_ngrams(tokens: DataFrame, n: int, keys: list[str], profile: str | N
     """
     if not 2 <= n <= 10:
         raise ValueError("n must be from 2 to 10")
-    rows, (*part, order), home = stream_window(values(tokens, profile), n, keys, cross_unit)
+    words = values(tokens, profile).select(*keys, "token_no", "value")  # whatever else tokens carry stays behind
+    rows, (*part, order), home = stream_window(words, n, keys, cross_unit)
     win = Window.partitionBy(*part).orderBy(order).rowsBetween(0, n - 1)
     found = rows.withColumns({"_gram": F.collect_list("value").over(win), "_home": home}).where((F.size("_gram") == n) & F.col("_home"))
     sized = F.array_join(F.transform("_gram", lambda w: F.concat(F.octet_length(w).cast("string"), F.lit(":"), w)), "")
     found = found.select(F.array_join("_gram", " ").alias("gram"), F.sha2(sized, 256).alias("sequence_sha256"), *keys, "token_no")
-    count = found.groupBy("gram", "sequence_sha256").agg(F.count("*").alias("n")).where("n > 1")
+    gram = ["gram", "sequence_sha256"]
     if not locations:
-        return count
-    place = F.struct(*keys, "token_no")
-    return found.join(count, ["gram", "sequence_sha256"]).groupBy("gram", "sequence_sha256", "n").agg(F.array_sort(F.collect_list(place)).alias("locations"))
+        return found.groupBy(*gram).agg(F.count("*").alias("n")).where("n > 1")
+    met = found.withColumn("n", F.count("*").over(Window.partitionBy(*gram))).where("n > 1")  # one shuffle counts and gathers
+    return met.groupBy(*gram, "n").agg(F.array_sort(F.collect_list(F.struct(*keys, "token_no"))).alias("locations"))

@@ -221,3 +221,13 @@ def test_words_are_counted_by_batch(spark):
     for profile in (None, "remove_combining_marks_v1"):
         want = sorted(map(tuple, search.frequency(tokens, profile).collect()))
         assert sorted(map(tuple, search.word_frequency(units, profile=profile).collect())) == want != []
+
+
+def test_ngrams_carry_words_only_and_count_in_one_shuffle(spark, capsys):
+    rows = spark.createDataFrame([(1, i, w, "a long text") for i, w in enumerate("a b a b a b".split(), 1)], "unit int, token_no int, surface string, unit_text string")
+    found = search.repeated_ngrams(rows, 2, ["unit"], cross_unit=True, locations=True)
+    assert sorted((r["gram"], r["n"], [x["token_no"] for x in r["locations"]]) for r in found.collect()) == [("a b", 3, [1, 3, 5]), ("b a", 2, [2, 4])]
+    capsys.readouterr()
+    found.explain("formatted")
+    text = capsys.readouterr().out
+    assert "unit_text" not in text and "SortMergeJoin" not in text
