@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpusloom import cli, ingest
 from corpusloom.functions import normalize
 from corpusloom.functions import text as tx
-from corpusloom.operators import bitmaps, digests, search, stream
+from corpusloom.operators import alignment, bitmaps, digests, search, stream
 from corpusloom.plans import scope, skipping
 from corpusloom.plans.ast import RequestError
 from corpusloom.plans.binding import base
@@ -231,3 +231,25 @@ def test_ngrams_carry_words_only_and_count_in_one_shuffle(spark, capsys):
     found.explain("formatted")
     text = capsys.readouterr().out
     assert "unit_text" not in text and "SortMergeJoin" not in text
+
+
+def plan(df, capsys) -> str:
+    capsys.readouterr()
+    df.explain("formatted")
+    return capsys.readouterr().out
+
+
+def test_running_sums_shuffle_once(spark, capsys):
+    rows = spark.createDataFrame([(i, i % 7, None if i % 5 == 0 else f"w{i}") for i in range(3000)], "at int, n int, text string").repartition(5)
+    out = stream.running(rows, ["at"], {"before": F.when(F.col("n") > 0, F.col("n")), "place": F.lit(1)})
+    got = sorted(out.collect())
+    assert [r["place"] for r in got] == list(range(3000)) and [r["before"] for r in got] == [sum(k % 7 for k in range(i)) for i in range(3000)]
+    assert all(r["text"] == (None if r["at"] % 5 == 0 else f"w{r['at']}") for r in got)
+    assert "Window" not in plan(out, capsys) and stream.running(rows.limit(0), ["at"], {"before": F.lit(1)}).count() == 0
+
+
+def test_staged_alignment_builds_no_table_at_the_driver(spark, capsys):
+    rows = spark.range(5).selectExpr("id as segment_id", "1L as collection_no", "1L as unit_no", "id as token_no", "cast(null as long) as segment_no", "cast(id as string) as form")
+    tokens = rows.selectExpr("segment_id as token_id", "collection_no", "unit_no", "token_no", "form as surface")
+    text = plan(alignment.align_staged(rows, tokens), capsys)
+    assert "BroadcastHashJoin" not in text and text.count("SortMergeJoin") >= 2
