@@ -12,16 +12,21 @@ from pyspark.sql import functions as F
 LANES, SPAN = 8, 1 << 64
 
 
-def lanes(*columns: str) -> list[Column]:
-    """Sums of the lanes of all rows' digests; nulls count, and so do the names of columns, sorted."""
-    row = F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 512)
+def row_digest(*columns: str) -> Column:
+    """SHA-512 of a row in hex; nulls count, and so do the names of columns, sorted."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 512)
+
+
+def lanes(row: Column) -> list[Column]:
+    """Sums of the lanes of all rows' digests."""
     lane = lambda i: F.conv(F.substring(row, 16 * i + 1, 16), 16, 10).cast("decimal(20,0)")
     return [F.sum(lane(i)).cast("decimal(38,0)").alias(f"_{i}") for i in range(LANES)]
 
 
 def table_digest(df: DataFrame) -> str:
     """A digest of a table's rows as a multiset: partial sums by task, so neither order nor partitions matter and nothing is gathered."""
-    row = df.agg(F.count(F.lit(1)).alias("n"), *lanes(*df.columns)).first()
+    made = df.select(F.explode(F.array(row_digest(*df.columns))).alias("_row"))  # once a row, not once a lane
+    row = made.agg(F.count(F.lit(1)).alias("n"), *lanes(F.col("_row"))).first()
     text = ",".join([str(row["n"]), *(f"{int(row[f'_{i}'] or 0) % SPAN:016x}" for i in range(LANES))])
     return hashlib.sha256(text.encode()).hexdigest()
 
@@ -29,7 +34,8 @@ def table_digest(df: DataFrame) -> str:
 def key_digests(df: DataFrame, *keys: str) -> DataFrame:
     """(keys, n, digest): the multiset digest of the rows of each key."""
     rest = [c for c in df.columns if c not in keys]
-    sums = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *lanes(*rest))
+    made = df.select(*keys, F.explode(F.array(row_digest(*rest))).alias("_row"))
+    sums = made.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *lanes(F.col("_row")))
     text = F.concat_ws(",", F.col("n").cast("string"), *(F.pmod(F.col(f"_{i}"), F.lit(Decimal(SPAN))).cast("string") for i in range(LANES)))
     return sums.select(*keys, "n", F.sha2(text, 256).alias("digest"))
 

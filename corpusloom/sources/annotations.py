@@ -34,17 +34,19 @@ def parse_v04(lines: DataFrame) -> DataFrame:
 
 def parse_synthetic(lines: DataFrame) -> DataFrame:
     """Eight tab fields: locator, surface, transliteration, pos, lemma, root, features, variant."""
-    c = F.col("content")
-    fields = F.split(c, "\t", -1)
+    c, fields = F.col("content"), F.col("_fields")
     eight = F.size(fields) == 8
     kind = F.when(c.isNull(), "malformed").when(c == "", "blank").when(c.startswith("#") & F.lower(c).contains("license"), "license").when(c.startswith("#"), "comment").when(c.startswith("@"), "unknown").when(eight, "analysis").otherwise("malformed")
+    cut = lines.select("*", F.explode(F.array(F.struct(F.split(c, "\t", -1).alias("f")))).alias("_x")).withColumn("_fields", F.col("_x.f"))  # cut once a row
+    told = cut.select("*", F.explode(F.array(kind)).alias("kind"))
+    kind = F.col("kind")
     status = F.when(kind == "analysis", "parsed").when(kind == "malformed", "malformed").otherwise("unknown")
     get = lambda i: F.when(kind == "analysis", F.get(fields, F.lit(i)))
     filled = lambda i: F.nullif(get(i), F.lit(""))
-    return lines.withColumns({
-        "kind": kind, "parse_status": status, "locator": get(0), "form": get(1), "transliteration": get(2), "pos": filled(3), "lemma": filled(4), "root": filled(5),
+    return told.withColumns({
+        "parse_status": status, "locator": get(0), "form": get(1), "transliteration": get(2), "pos": filled(3), "lemma": filled(4), "root": filled(5),
         "features": synthetic_features(get(6)), "variant": F.coalesce(filled(7).try_cast("int"), F.when(kind == "analysis", 1)), "address": locator(get(0)),
-    })
+    }).drop("_x", "_fields")
 
 
 def read_v04(spark: SparkSession, path: str) -> DataFrame:
