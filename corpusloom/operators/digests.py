@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -24,10 +25,26 @@ def lanes(row: Column) -> list[Column]:
 
 
 def table_digest(df: DataFrame) -> str:
-    """A digest of a table's rows as a multiset: partial sums by task, so neither order nor partitions matter and nothing is gathered."""
-    made = df.select(F.explode(F.array(row_digest(*df.columns))).alias("_row"))  # once a row, not once a lane
-    row = made.agg(F.count(F.lit(1)).alias("n"), *lanes(F.col("_row"))).first()
-    text = ",".join([str(row["n"]), *(f"{int(row[f'_{i}'] or 0) % SPAN:016x}" for i in range(LANES))])
+    """A digest of a table's rows as a multiset: partial sums by task, so neither order nor partitions matter and nothing is gathered.
+
+    Lanes are added modulo 2**64 by batch; what leaves a batch are their halves, so that sums of any number of batches stay whole.
+    """
+    import pyarrow as pa
+
+    halves = [f"_{i}{h}" for i in range(LANES) for h in ("high", "low")]
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in filter(len, batches):
+            rows = np.frombuffer(bytes.fromhex("".join(batch.column(0).to_pylist())), ">u8").astype(np.uint64).reshape(-1, LANES)
+            sums = [int(x) for x in rows.sum(0, dtype=np.uint64)]
+            parts = [batch.num_rows, *(x for s in sums for x in (s >> 32, s & 0xFFFFFFFF))]
+            yield pa.record_batch([pa.array([x], pa.int64()) for x in parts], names=["n", *halves])
+
+    made = df.select(row_digest(*df.columns).alias("_row")).mapInArrow(added, ", ".join(f"{c} long" for c in ["n", *halves]))
+    row = made.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ["n", *halves])).first()
+    text = ",".join([str(row["n"]), *(f"{((row[f'_{i}high'] << 32) + row[f'_{i}low']) % SPAN:016x}" for i in range(LANES))])
     return hashlib.sha256(text.encode()).hexdigest()
 
 

@@ -1,5 +1,6 @@
 """Ingest by committed runs: one call, idempotent, refused while unfinished, safe against races; digests that locate damage."""
 
+import hashlib
 import json
 import threading
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import cli, ingest
-from corpusloom.functions import normalize
+from corpusloom.functions import features, normalize
 from corpusloom.functions import text as tx
 from corpusloom.operators import alignment, bitmaps, digests, search, stream
 from corpusloom.plans import scope, skipping
@@ -253,3 +254,25 @@ def test_staged_alignment_builds_no_table_at_the_driver(spark, capsys):
     tokens = rows.selectExpr("segment_id as token_id", "collection_no", "unit_no", "token_no", "form as surface")
     text = plan(alignment.align_staged(rows, tokens), capsys)
     assert "BroadcastHashJoin" not in text and text.count("SortMergeJoin") >= 2
+
+
+def test_digests_add_lanes_without_decimals(spark, capsys, monkeypatch):
+    """The same digest as sums of decimals give, and no text of a lane is made a number for each row."""
+    df = spark.range(500).selectExpr("id", "cast(id % 7 as string) as w", "if(id % 3 = 0, null, cast(cast(id as string) as binary)) as b").repartition(3)
+    made = df.select(digests.row_digest(*df.columns).alias("_row"))
+    row = made.agg(F.count(F.lit(1)).alias("n"), *digests.lanes(F.col("_row"))).first()
+    text = ",".join([str(row["n"]), *(f"{int(row[f'_{i}']) % digests.SPAN:016x}" for i in range(digests.LANES))])
+    monkeypatch.setattr(digests, "lanes", None)
+    assert digests.table_digest(df) == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_locators_are_read_without_lambdas(spark, capsys):
+    cases = ["1:2:3", "1:2:3:4", "01:2:3", "0:2:3", "1:2:0", "1:2:3:0", "1:2:3:99999999999", "99999999999:2:3", "1:2", "1:2:3:4:5", "1:2:3:", ":1:2:3", "", None]
+    df = spark.createDataFrame([(c,) for c in cases], "l string").select(features.locator(F.col("l")).alias("p"))
+    assert [tuple(r["p"]) if r["p"] else None for r in df.collect()] == [(1, 2, 3, None), (1, 2, 3, 4), (1, 2, 3, None), None, None, None, (1, 2, 3, None), *[None] * 7]
+    assert "lambda" not in plan(df, capsys)
+
+
+def test_repeated_features_keep_the_last(spark):
+    rows = spark.createDataFrame([("A=1|B=2|A=3|bare",), ("A=1|B=2|bare|",), ("",), (None,)], "f string")
+    assert [r[0] for r in rows.select(features.synthetic_features(F.col("f"))).collect()] == [{"A": "3", "B": "2", "bare": "true"}, {"A": "1", "B": "2", "bare": "true"}, {}, None]
