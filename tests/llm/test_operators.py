@@ -379,6 +379,25 @@ def test_small_groups_beside_a_large_one(spark):
     assert got == want
 
 
+def test_comparisons_by_bounds_are_exact():
+    """Components of any weight, groups in a block, few components; a beam that misses links is checked."""
+    rng = np.random.default_rng(9)
+    for d in (2, 20, 64):
+        x = rng.normal(size=(2500, d)) * np.where(np.arange(d) % 3, 1e-3, 1)
+        u = hnsw.unit(np.concatenate([x, x[:300] + rng.normal(size=(300, d)) * 0.2, rng.normal(size=(900, d)) * 1e-3 + x[0]]))
+        graph, want = hnsw.Graph(u, np.arange(len(u))), u @ u.T >= 0.9
+        own = np.arange(len(u))
+        for parts in (graph.compared(u, own, 0.9), hnsw.linked(graph, u, own, 0.9, 1)):
+            got = np.zeros_like(want, dtype=int)
+            for r, node in parts:
+                np.add.at(got, (r, node), 1)
+            assert (got == want).all()
+    heads = graph.heads(graph.x)
+    assert len(heads) == 24 and set(heads) >= set(range(0, 64, 3)) and hnsw.Graph.heads(graph, graph.x[:, :20]) is None
+    far = u[:2500][rng.permutation(2500)[:400]]
+    assert (hnsw.bounded(far, heads) @ hnsw.bounded(far, heads).T >= far @ far.T - 1e-9).all()
+
+
 def test_walked_graphs_miss_no_links():
     rng = np.random.default_rng(6)
     flat = rng.normal(size=2) + rng.normal(size=(3000, 2)) * 1e-5
