@@ -216,6 +216,17 @@ def test_bitmaps_merge_to_exact_counts(spark):
         assert {tuple(r)[:-1]: r["n"] for r in bitmaps.counts(made, *groups).collect()} == want
 
 
+def test_bitmaps_of_small_groups_are_small(spark):
+    """A group of one identity is one word of 64 bits, not a bucket of 4 kB; negative and far identities, and texts, count too."""
+    ids = [-(1 << 40), -1, 0, 63, 64, 1 << 50]
+    df = spark.createDataFrame([(k, i, str(i)) for k, i in enumerate(ids)] + [(9, 64, "64"), (9, None, None)], "g int, id long, name string")
+    made = bitmaps.bitmaps(df, "id", "g")
+    assert made.schema["bits"].dataType.typeName() == "long" and made.count() == 7
+    for identity in ("id", "name"):
+        made = bitmaps.bitmaps(df, identity, "g")
+        assert bitmaps.counts(made).first()["n"] == 6 and {r["g"]: r["n"] for r in bitmaps.counts(made, "g").collect()} == {k: 1 for k in (0, 1, 2, 3, 4, 5, 9)}
+
+
 def test_words_are_counted_by_batch(spark):
     units = spark.createDataFrame([("á b　b\x1cc",), (None,), ("",), (" b ",)], "text string")
     tokens = tx.tokenize(units.where("text is not null"), "text")
