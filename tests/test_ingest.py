@@ -227,6 +227,17 @@ def test_bitmaps_of_small_groups_are_small(spark):
         assert bitmaps.counts(made).first()["n"] == 6 and {r["g"]: r["n"] for r in bitmaps.counts(made, "g").collect()} == {k: 1 for k in (0, 1, 2, 3, 4, 5, 9)}
 
 
+def test_rows_in_conflict_meet_conflicts_only(spark, capsys):
+    """As `conflicting` of `with_conflicts`, but few conflicts are sent to the rows, which are not shuffled."""
+    rows = spark.range(400).selectExpr("id as alignment_id", "if(id % 10 = 0, null, id % 50) as token_id", "'aligned' as status")
+    told = spark.range(400).selectExpr("if(id % 10 = 0, null, id % 50) as token_id", "if(id % 50 < 5, cast(id as string), 'l') as lemma", "if(id % 50 = 3, cast(id as string), '') as root", "'V' as pos")
+    for dimension in (None, "root", "pos"):
+        want = alignment.conflicting(alignment.with_conflicts(rows, told), dimension)
+        got = alignment.in_conflict(rows, told, dimension).select(*want.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and (got.count() > 0) == (dimension != "pos")
+    assert "Exchange hashpartitioning" not in plan(got, capsys)
+
+
 def test_words_are_counted_by_batch(spark):
     units = spark.createDataFrame([("á b　b\x1cc",), (None,), ("",), (" b ",)], "text string")
     tokens = tx.tokenize(units.where("text is not null"), "text")
