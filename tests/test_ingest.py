@@ -175,6 +175,26 @@ def test_logs_tell_every_step_as_columns(spark):
     assert rows[1]["log"][1]["reason"] == "general_category_prefix:M" and rows[1]["log"][6]["reason"] == "configured_codepoint_mapping"
 
 
+def test_sums_of_logs_are_those_of_their_entries(spark, monkeypatch):
+    """A log is made once a surface, whatever worker memory holds; empty and null surfaces have no entry."""
+    words = ["أَۖx", "plain", "", None, "آ", "\u0301", "plain"]
+    tokens = spark.createDataFrame([(None if k == 2 else k, w) for k in range(4) for w in words * 3], "id int, surface string").coalesce(1)
+    log = normalize.explained(tokens, "base_arabic_letters_v1", "id").select("id", F.explode("log").alias("e"))
+    want = log.groupBy("id", "e.operation", "e.action").agg(F.count("*").alias("n"), F.sum("e.input_index").alias("places"), F.sum("e.source").alias("sources"), F.sum("e.output_index").alias("outputs"))
+    for kept in (1, 1 << 16):
+        monkeypatch.setattr(normalize, "KEPT", kept)
+        assert sorted(map(str, normalize.explained_sums(tokens, "base_arabic_letters_v1", "id").collect())) == sorted(map(str, want.collect())) != []
+    assert normalize.explained_sums(tokens.where("surface is null"), "base_arabic_letters_v1", "id").count() == 0
+    made = []
+    monkeypatch.setattr(normalize, "explain_value", lambda *a, f=normalize.explain_value: made.append(a) or f(*a))
+    run, schema = [], []
+    monkeypatch.setattr(type(tokens), "mapInArrow", lambda df, f, s: run.append(f) or schema.append(s) or tokens.selectExpr("id", "1 as operation", "'x' as action", "1L as n", "1L as places", "1L as sources", "1L as outputs"))
+    normalize.explained_sums(tokens, "base_arabic_letters_v1", "id")
+    batch = __import__("pyarrow").RecordBatch.from_pylist([{"id": 1, "_surface": w} for w in words * 50])
+    (out,) = run[0](iter([batch]))
+    assert len(made) == 5 and out.num_rows < 10
+
+
 def test_scopes_that_say_the_same_are_equal(spark):
     one = {"source_order_ranges": [[5, 9], [1, 3], [4, 4]], "include_collections": [2, 1, 2]}
     assert scope.scope_hash(one) == scope.scope_hash({"include_collections": [1, 2], "source_order_ranges": [[1, 9]]}) != scope.scope_hash({"include_collections": [1, 2]})
