@@ -17,6 +17,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from .provenance import canonical_json
+from .scratch import DROPPED, setting
 
 #: Room for the rows of a run in its ids.
 ROW_BITS = 40
@@ -107,7 +108,8 @@ class Store:
     def write(self, run: int, name: str, df: DataFrame) -> DataFrame:
         """The table of a run, written in a folder that no other attempt uses, and read back."""
         path = f"{self.root}/data/{run:08d}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        with setting(self.spark, DROPPED):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._written_to = path
         return out

@@ -55,3 +55,12 @@ def test_bytes_that_are_no_text_are_malformed_records(spark, tmp_path):
     (tmp_path / "a.tsv").write_bytes(b"(1:1:1:1)\t\xff\tN\tPOS:N\n(1:1:1:1)\tx\tN\tPOS:N\n")
     assert [r["parse_status"] for r in annotations.read_v04(spark, str(tmp_path / "a.tsv")).orderBy("line_no").collect()] == ["malformed", "parsed"]
     assert [r["parse_status"] for r in annotations.read_synthetic(spark, str(tmp_path / "a.tsv")).orderBy("line_no").collect()] == ["malformed", "malformed"]
+
+
+def test_lines_are_not_shuffled(spark, tmp_path, capsys):
+    """Only sums of ranges are: lines are numbered where they are read."""
+    (tmp_path / "c.txt").write_bytes(b"1|1|a\r2|1|b\r\n\n")
+    lines.read_lines(spark, str(tmp_path)).select("line_no", "content").explain("formatted")
+    text = capsys.readouterr().out
+    assert "SortMergeJoin" not in text and text.count("MapInArrow") >= 1
+    assert not any("value" in x for x in __import__("re").findall(r"Exchange\nInput \[\d+\]: \[([^\]]*)\]", text))
